@@ -84,10 +84,10 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], bin_co
     keys = [*group, bin_col]
     bins = df.groupBy(*keys).agg(F.sum(value).alias("__in_bin"))
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    bins = bins.withColumn("__before", F.coalesce(F.sum("__in_bin").over(over.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bins = bins.withColumn("__bins_before", F.coalesce(F.sum("__in_bin").over(over.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    right = bins.select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__before")
+    df = df.withColumn("__in_bin_before", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    right = bins.select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__bins_before")
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     joined = df.join(right, on, "inner") if on else df.crossJoin(right)
-    return joined.withColumn(out, F.col("__before") + F.col("__inner")).drop("__before", "__inner", *[f"__r_{k}" for k in keys])
+    return joined.withColumn(out, F.col("__bins_before") + F.col("__in_bin_before")).drop("__bins_before", "__in_bin_before", *[f"__r_{k}" for k in keys])

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to the module that applies it; each module has query(spark, sf_dir) and, if SQL can express it, ORACLE_SQL.
 MODULES = {
     "op1_bpe": "q_bpe",
+    "op2_quality_rules": "q_quality",
+    "op3_line_dedup": "q_lines",
+    "op6_mixing": "q_mixing",
 }
 
 
