@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from .common import ship
+
 #: A vocabulary is sent to all executors; larger ones are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pieces that a task remembers before it starts anew.
@@ -227,6 +229,7 @@ def _ids_array(parts: list[np.ndarray]) -> pa.Array:
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>): ids of every whole text, without special tokens."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # bounded by MAX_VOCABULARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +253,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id") -> DataFrame:
     """(id_col, ids, decoded binary) from (id_col, ids)."""
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(tokenizer)  # bounded by MAX_VOCABULARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

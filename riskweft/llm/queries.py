@@ -12,7 +12,13 @@ MODULES = {
     "op1_bpe": "q_bpe",
     "op2_quality_rules": "q_quality",
     "op3_line_dedup": "q_lines",
+    "op4_quality_classifier": "q_ordinal",
+    "op5_url_filters": "q_urls",
     "op6_mixing": "q_mixing",
+    "op7_minhash": "q_minhash",
+    "op8_sharding": "q_sharding",
+    "op9_neighbours": "q_neighbours",
+    "op10_toxicity": "q_toxicity",
 }
 
 
