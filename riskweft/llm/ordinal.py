@@ -121,7 +121,7 @@ class Scorer:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo, weights = self.memo, self.weights
-        for word in counts.keys() - memo.keys():
+        for word in set(counts).difference(memo):
             a, b = word_slots(word)
             memo[word] = weights[a] + weights[b]
         slots, values = rest_slots(len(words), len(counts), sum(map(eq, words, words[1:])), text.split("\n"))

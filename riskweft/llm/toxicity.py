@@ -28,20 +28,24 @@ from .ordinal import PUNCTUATION
 DIMS = 1 << 18
 #: Labelled documents to fit on, at most.
 BOUND = 8000
+#: Lengths of the beginnings of words that are features.
+PREFIXES = (4, 5, 6)
 #: A slot counts if so many documents of the sample have it.
 MIN_DOCS = 3
 
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\s][^.!?\n]*")
 
 
-def word_slot(word: str) -> int:
-    return slot(word.strip(PUNCTUATION).lower(), DIMS)
+def word_slots(word: str) -> tuple[int, ...]:
+    """Slots of the word and of its beginnings, which inflected forms share."""
+    word = word.strip(PUNCTUATION).lower()
+    return tuple({slot("w:" + word, DIMS), *(slot(f"{n}:" + word[:n], DIMS) for n in PREFIXES if len(word) >= n)})
 
 
 def extract(text: str) -> list[tuple[list[int], list[float]]]:
     out = []
     for sentence in _SENTENCE.findall(text):
-        slots = sorted({word_slot(w) for w in sentence.split()})
+        slots = sorted({s for w in sentence.split() for s in word_slots(w)})
         out.append((slots, [1.0] * len(slots)))
     return out
 
@@ -81,18 +85,20 @@ class Scorer:
         self.bias, self.weights, self.memo = model.bias, model.weights, {}
 
     def sentences(self, sentences: list[str]) -> np.ndarray:
-        """Linear score of each sentence. A word counts once in a sentence."""
+        """Linear score of each sentence. A slot counts once in a sentence."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo, weights = self.memo, self.weights
         cut = [set(s.split()) for s in sentences]
-        for word in set().union(*cut) - memo.keys():
-            at = word_slot(word)
-            memo[word] = (at, w) if (w := weights.get(at)) else None
+        for word in set().union(*cut).difference(memo):
+            memo[word] = {at: w for at in word_slots(word) if (w := weights.get(at))}
         out = []
         for ws in cut:
-            found = [x for x in map(memo.__getitem__, ws) if x]
-            out.append(self.bias + (sum(dict(found).values()) if len(found) > 1 else found[0][1] if found else 0.0))
+            found: dict[int, float] = {}
+            for x in map(memo.__getitem__, ws):
+                if x:
+                    found |= x
+            out.append(self.bias + sum(found.values()))
         return np.array(out, np.float64)
 
     def document(self, text: str) -> float:
