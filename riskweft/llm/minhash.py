@@ -8,7 +8,8 @@ one in a thousand at the very threshold, so:
 - prefix: with pairs ordered rare first, partners share one among all but their last T - 1 pairs, so only those are
   posted, and the frequent pairs of passages that many documents share are skipped;
 - merging: in a posting list everyone meets the list's most central class, not everyone; classes that are linked are in
-  one component and need not meet again; members outside the component of the list's centre then meet the rest of it.
+  one component and need not meet again; the members of lists that still hold several components then meet under the
+  rare shingles of their full sets, by the same prefix rule, now without slack.
 
 Every pair with T common coordinates is decided by exact comparison of the full sets. Nothing is capped: a list of any
 length is a join that the engine may split.
@@ -151,6 +152,42 @@ def _linked(pairs: DataFrame, cand: DataFrame, sets: DataFrame, t: int, percent:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b")
 
 
+def _rare_posts(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """(pair, id, n, comp, central, before, small, main): classes of `left` posted under the rare shingles of their full sets.
+
+    Shingles are ordered rare first; those that no other of these classes has come before all. With p percent, a pair
+    overlaps in at least 2p / (100 + p) of the size of its smaller set and p / 100 of its larger one, so partners share
+    a shingle among the first of what that leaves over: `small` marks the shorter beginning. Near copies that differ in
+    too much have nothing but their own shingles there and drop out alone. `before` counts the shingles that come first.
+    """
+    some = sets.join(left.select("id"), "id", "left_semi")
+    each = some.select("id", F.explode("set").alias("shingle"))
+    common = each.groupBy("shingle").count().where("count > 1")
+    found = each.join(common, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("found"))  # of one document
+    upto = lambda num, den: F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1 - F.col("own")
+    d = found.join(left, "id").withColumn("own", F.col("n") - F.size("found"))
+    d = d.withColumns({"short": upto(2 * percent, 100 + percent), "long": upto(percent, 100)}).where("long > 0")
+    posts = d.select("id", "n", "comp", "central", "own", "short", F.posexplode(F.slice(F.col("found.shingle"), F.lit(1), F.col("long").cast("int"))).alias("at", "pair"))
+    posts = posts.select("pair", "id", "n", "comp", "central", (F.col("own") + F.col("at")).alias("before"), (F.col("at") < F.col("short")).alias("small"))
+    lists = posts.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "comp")).alias("x")).where("low <> high")
+    return posts.join(lists.select("pair", F.col("x.comp").alias("main")), "pair")
+
+
+def _unmet(posts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of a list in different components that may be linked; one is outside the list's main component.
+
+    Where two sets first meet, they can't overlap in more than either has from there on.
+    """
+    side = lambda x, rows: rows.select("pair", F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("comp").alias(f"{x}_comp"), (F.col("n") - F.col("before")).alias(f"{x}_rest"))
+    outside, small = F.col("comp") != F.col("main"), F.col("small")
+    larger = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") != F.col("b")))
+    room = (100 + percent) * F.least("a_rest", "b_rest") >= percent * (F.col("a_n") + F.col("b_n"))
+    may = larger & room & (100 * F.col("a_n") >= percent * F.col("b_n")) & (F.col("a_comp") != F.col("b_comp"))
+    one = side("a", posts.where(outside & small)).join(side("b", posts), "pair").where(may)
+    two = side("a", posts.where(~outside & small)).join(side("b", posts.where(outside)), "pair").where(may)
+    return one.unionAll(two).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__k1, __k2, id_col, n_shingles, component_id, kept) of every row; __k1, __k2 name its contents."""
     ship(docs.sparkSession)
@@ -174,12 +211,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     comps = components(links, scratch)
 
     own = comps.withColumnRenamed("node", "id")
-    members = posts.join(own, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    members = scratch.keep(members.select("pair", "id", "n", "comp"), "members")
-    centre_comp = centres.join(own.select(F.col("id").alias("b"), F.col("comp").alias("b_comp")), "b", "left").select("pair", F.coalesce("b_comp", "b").alias("main"))
-    apart = scratch.keep(members.join(centre_comp, "pair").where("comp <> main").select("pair", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), "main"), "apart")
-    others = members.select("pair", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-    rest = apart.join(others, "pair").where(near & (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    members = posts.join(own, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("pair", "id", "n", "comp", "central")
+    members = scratch.keep(members, "members")
+    mixed = members.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair")
+    left = members.join(mixed, "pair", "left_semi").select("id", "n", "comp", "central").distinct()
+    rest = _unmet(scratch.keep(_rare_posts(sets, scratch.keep(left, "left"), percent), "rare"), percent)
     more = scratch.keep(_linked(rest, cand, sets, t, percent), "more")
     if more.limit(1).count():
         comps = components(links.union(more), scratch)
