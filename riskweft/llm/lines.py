@@ -97,7 +97,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_doc
     """The documents with __lines, their lines, and __kept, the places of the lines that stay."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.keep(long_lines(docs, id_col, text_col, min_chars), "long")
-    often = repeated_lines(lines, scratch, min_docs)
+    often = scratch.keep(repeated_lines(lines, scratch, min_docs), "often")  # so the join has no aggregate below it and may split a hot line
     gone = lines.join(often, ["h1", "h2"]).where(~F.col("__doc").eqNullSafe(F.col("last_doc")))
     gone = gone.groupBy(F.col("__k1").alias("__g1"), F.col("__k2").alias("__g2")).agg(F.collect_set("__pos").alias("__gone"))  # no more than the lines of a document
     keyed = docs.select("*", *row_key(id_col, text_col))
