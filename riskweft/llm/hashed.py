@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -20,22 +20,27 @@ def slot(token: str, dims: int) -> int:
     return xxh3_64_intdigest(token) % dims
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, id_col: str, text_col: str) -> DataFrame:
-    """(text_col, label_col) of at most bound labelled ids, the first in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, id_col: str, text_col: str, per_label: bool = False) -> DataFrame:
+    """(__doc, __text, __label) of at most bound labelled ids (of each label, if so asked), the first in order of a hash of the id.
 
     The ids are bounded, so they go to the documents by broadcast and no text is shuffled for them. An id with
     different labels counts as its largest label.
     """
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
-    some = some.orderBy(F.xxhash64(id_col), id_col).limit(bound).withColumnRenamed(id_col, "__id")
+    if per_label:
+        ranked = some.withColumn("__r", F.row_number().over(Window.partitionBy("__label").orderBy(F.xxhash64(id_col), id_col)))
+        some = ranked.where(F.col("__r") <= bound).drop("__r")  # limited before the shuffle, too
+    else:
+        some = some.orderBy(F.xxhash64(id_col), id_col).limit(bound)
+    some = some.withColumnRenamed(id_col, "__id")
     return docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(some), F.col("__doc") == F.col("__id")).select("__doc", "__text", F.col("__label").cast("int").alias("__label"))
 
 
-def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int], list[float]]]]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int], list[float]]]], valued: bool = True) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The features of the sample on the driver: label of each document, document of each part, and sparse entries.
 
-    extract gives for a text its parts (one, or its sentences), each a list of slots and their values. The size is
-    bounded by the sample's. Documents come in the order of their ids, so reruns agree.
+    extract gives for a text its parts (one, or its sentences), each a list of slots and their values, which are left
+    out unless valued. The size is bounded by the sample's. Documents come in the order of their ids, so reruns agree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +52,7 @@ def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int],
                     batch.column(2),
                     pa.array([[len(i) for i, _ in p] for p in parts], pa.list_(pa.int32())),
                     pa.array([[x for i, _ in p for x in i] for p in parts], pa.list_(pa.int32())),
-                    pa.array([[x for _, v in p for x in v] for p in parts], pa.list_(pa.float32())),
+                    pa.array([[x for _, v in p for x in v] for p in parts] if valued else [None] * len(parts), pa.list_(pa.float32())),
                 ],
                 ["id", "label", "sizes", "slots", "values"],
             )
@@ -56,9 +61,9 @@ def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int],
     rows = sample.mapInArrow(run, f"id {sample.schema['__doc'].dataType.simpleString()}, label int, sizes array<int>, slots array<int>, values array<float>").toArrow().combine_chunks().sort_by("id")
     labels = rows["label"].to_pylist()
     flat = lambda name, kind: np.asarray(rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False), kind)
-    parts = np.repeat(np.arange(len(labels)), [len(x) for x in rows["sizes"].to_pylist()]).astype(np.int64)
-    entries = np.repeat(np.arange(len(parts)), flat("sizes", np.int64))
-    return labels, parts, entries, flat("slots", np.int64), flat("values", np.float64)
+    parts = np.repeat(np.arange(len(labels), dtype=np.int32), rows["sizes"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+    entries = np.repeat(np.arange(len(parts), dtype=np.int32), flat("sizes", np.int64))
+    return labels, parts, entries, flat("slots", np.int32), flat("values", np.float32) if valued else np.zeros(0)
 
 
 class Adam:

@@ -3,7 +3,7 @@
 A document is toxic if a sentence is: its score is the noisy-or of its sentences' probabilities. The weights of hashed
 words are fitted to document labels through the noisy-or, and then locate the sentences that offend.
 
-Fitting uses at most `bound` labelled documents (a documented parameter); scoring reads every whole text.
+Fitting uses at most `bound` labelled documents of each label (a documented parameter); scoring reads every whole text.
 
 Edge cases: null and empty texts have no sentence and score 0; null labels are ignored; without a toxic label in the
 sample every score is near 0; repeated rows get equal scores; an empty table gives an empty one; columns other than the
@@ -26,12 +26,12 @@ from .hashed import MEMO_WORDS, Adam, collected, labelled_sample, sigmoid, slot
 from .ordinal import PUNCTUATION
 
 DIMS = 1 << 18
-#: Labelled documents to fit on, at most.
-BOUND = 8000
+#: Labelled documents of each label to fit on, at most.
+BOUND = 1500
 #: Lengths of the beginnings of words that are features.
-PREFIXES = (4, 5, 6)
-#: A slot counts if so many documents of the sample have it.
-MIN_DOCS = 3
+PREFIXES = (4, 5)
+#: A slot counts if so many sentences of the sample have it.
+MIN_SENTENCES = 3
 
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\s][^.!?\n]*")
 
@@ -58,14 +58,17 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND, rounds: int = 300, l1: float = 2e-5) -> ToxicityModel:
     """Penalised maximum likelihood of the noisy-or by full-batch Adam on the bounded sample, on the driver."""
-    y, parts, entries, slots, _ = collected(labelled_sample(docs, labels, label_col, bound, id_col, text_col), extract)
+    y, parts, entries, slots, _ = collected(labelled_sample(docs, labels, label_col, bound, id_col, text_col, per_label=True), extract, valued=False)
     y = np.array(y, np.float64) > 0
     if not y.any() or not len(slots):
         return ToxicityModel(-20.0, {})
-    pairs = np.unique(parts[entries] * DIMS + slots) % DIMS
-    often = np.bincount(pairs, minlength=DIMS) >= MIN_DOCS
-    entries, slots = entries[often[slots]], slots[often[slots]]
-    used, slots = np.unique(slots, return_inverse=True)
+    often = np.bincount(slots, minlength=DIMS) >= MIN_SENTENCES
+    keep = often[slots]
+    entries, slots = entries[keep], slots[keep]
+    used = np.flatnonzero(often)
+    place = np.zeros(DIMS, np.int32)
+    place[used] = np.arange(len(used))
+    slots = place[slots]
     n, m = len(y), len(parts)
     x = np.concatenate([np.zeros(len(used)), [-6.0]])
     adam = Adam(len(x), 0.1)
