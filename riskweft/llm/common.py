@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskweft.session import ship  # noqa: F401
+
 #: The six ASCII white-space characters, as a class of a Java or RE2 pattern and as a string.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,20 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{at}"
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of all executors, once a session, so they need no copy of their own."""
-    sc = spark.sparkContext
-    if getattr(sc, "_riskweft_sent", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="riskweft-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(out))
-    sc._riskweft_sent = True
-
-
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 
