@@ -40,6 +40,20 @@ def lenient_json(text: Column) -> Column:
     return F.coalesce(valid_json(text), valid_json(fenced), valid_json(braced), valid_json(F.regexp_replace(braced, r",\s*([}\]])", "$1")))
 
 
+#: The prompt around evidence.
+PROMPT = (
+    "You are a fraud investigation copilot. Given the structured fraud evidence below, output ONLY valid JSON with keys: risk_level, fraud_type, summary, evidence, recommended_action.\n"
+    "risk_level must be one of LOW, MEDIUM, HIGH (or GREEN, YELLOW, RED).\n"
+    "fraud_type examples: LEGITIMATE, ACCOUNT_TAKEOVER, VELOCITY_ABUSE, UNUSUAL_LOCATION, UNUSUAL_AMOUNT, DEVICE_COMPROMISE, MULE_ACCOUNT, MERCHANT_ANOMALY, COORDINATED_ACTIVITY.\n"
+    "Evidence:\n",
+    "\nRespond with JSON only:",
+)
+
+
+def prompt(evidence: Column) -> Column:
+    return F.concat(F.lit(PROMPT[0]), evidence, F.lit(PROMPT[1]))
+
+
 def chat_text(messages: Column) -> Column:
     """`role: content` lines of an array of (role, content)."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.coalesce(m["role"], F.lit("user")), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")

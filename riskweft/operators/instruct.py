@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
-from riskweft.functions.text import rules_of_evidence
+from riskweft.functions.text import lenient_json, rules_of_evidence
 from riskweft.operators.prepare import tagged_sample, tagged_split
 
 #: The instruction, types of the scenarios, actions of the decisions, answer keys.
@@ -132,3 +132,13 @@ def compare(base: DataFrame, tuned: DataFrame) -> DataFrame:
     names = ["json_valid_rate", "risk_level_accuracy", "fraud_type_accuracy", "exact_match_rate"]
     long = lambda df, out: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias(out)) for n in names])).alias("x")).select("x.*")
     return long(base, "base").join(long(tuned, "tuned"), "metric").withColumn("delta", F.col("tuned") - F.col("base"))
+
+
+def model_answers(records: DataFrame, answer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Records with the answers of a language model, which the caller gives: it adds `text`. Without one, the row
+    (skipped, reason) says so; nothing is made up."""
+    if answer is None:
+        return records.sparkSession.createDataFrame([(True, "no model is given")], "skipped boolean, reason string")
+    text = lenient_json(F.col("text"))
+    found = F.struct(F.upper(F.get_json_object(text, "$.risk_level")).alias("risk_level"), F.upper(F.get_json_object(text, "$.fraud_type")).alias("fraud_type"))
+    return answer(records).withColumn("answer", F.when(text.isNotNull(), found))

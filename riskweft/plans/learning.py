@@ -8,8 +8,10 @@ from riskweft.ml import attribution, iforest, models
 from riskweft.operators import features as X
 from riskweft.operators import instruct, prepare
 from riskweft.plans.risk import features, scored_with_text
+from riskweft.plans.sql import FEATURES, sql
 from riskweft.scratch import scratch_path
 from riskweft.sources import generator
+from riskweft.sources.adapters import environment as env
 from riskweft.streaming import velocity
 
 COLUMNS = ["amount_log", "hour", "is_new_device", "device_account_count", "prior_tx_count", "prior_total_amount", "vel_count_86400s", "country_switch", "distance_to_prev_km", "is_unusual_location"]
@@ -43,6 +45,30 @@ def _treeshap(s, d):
     return out.select("txn_id", *[F.round(F.get("attributions", i), 6).alias(c) for i, c in enumerate(COLUMNS)])
 
 
+def _predictor(s, d):
+    df = training(s, d)
+    p = models.Predictor(models.fit(df.where("split = 'train'"), COLUMNS, "label_fraud", "logreg", maxIter=20), COLUMNS, 0.1)
+    return p.predict(df).select("txn_id", F.round("fraud_probability", 6).alias("fraud_probability"), "prediction")
+
+
+def _proxy(s, d):
+    weights = [0.5, 0.3, 0.2]
+    out = attribution.importance_proxy(features(s, d), weights, ["amount", "prior_tx_count", "is_new_device"])
+    return out.select("txn_id", *[F.round(F.get("attributions", i), 6).alias(f"a{i}") for i in range(3)])
+
+
+def _jitter(s, d):
+    tx = env(s, d)["transactions"].select("txn_id", "account_id", F.date_trunc("hour", "ts").alias("ts"))
+    out = generator.spread_collisions(tx, ("account_id",), "ts", "txn_id")
+    return out.select("txn_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def _answers(s, d):
+    from riskweft.plans.textual import records
+
+    return instruct.model_answers(records(s, d))
+
+
 def _fitted_fusion(s, d):
     from riskweft.operators import fusion
 
@@ -118,6 +144,17 @@ QUERIES = {
     "iforest_scores": (_iforest, None),
     "treeshap": (_treeshap, None),
     "fitted_fusion": (_fitted_fusion, None),
+    "predictor_scores": (_predictor, None),
+    "importance_proxy": (
+        _proxy,
+        sql("SELECT txn_id, " + ", ".join(f"round({w}::DOUBLE * (0.95::DOUBLE + 0.1::DOUBLE * t / (t + 1)), 6) AS a{i}" for i, w in enumerate((0.5, 0.3, 0.2))) + " FROM (SELECT txn_id, amount + prior_tx_count + is_new_device AS t FROM f)", FEATURES),
+    ),
+    "model_evaluation": (_answers, "SELECT true AS skipped, 'no model is given' AS reason"),
+    "collision_jitter": (
+        _jitter,
+        sql("""SELECT txn_id, strftime(h + to_seconds([0, 1, -1, 2, -2][least(r, 5)]), '%Y-%m-%d %H:%M:%S') AS ts FROM
+            (SELECT txn_id, h, row_number() OVER (PARTITION BY account_id, h ORDER BY txn_id) AS r FROM (SELECT txn_id, account_id, date_trunc('hour', ts) AS h FROM tx))"""),
+    ),
     "instruction_dataset": (_dataset, None),
     "synthetic_environment": (_generated(generator.EnvironmentConfig), None),
     "synthetic_hard_overlap": (_generated(generator.EnvironmentConfig.hard_overlap), None),

@@ -50,8 +50,7 @@ def _chat(s, d):
 
 
 def _prompt(s, d):
-    e = table(s, d, "events").select("event_id", F.concat(F.lit("Evidence:\n"), "props", F.lit("\nRespond with JSON only:")).alias("prompt"))
-    return e
+    return table(s, d, "events").select("event_id", text.prompt(F.col("props")).alias("prompt"))
 
 
 def _examples(s, d):
@@ -154,7 +153,7 @@ QUERIES = {
         sql("SELECT txn_id, CASE channel WHEN 'online' THEN 'REMOTE' WHEN 'mobile' THEN 'REMOTE' WHEN 'atm' THEN 'CASH' ELSE 'STORE' END AS kind, upper(scenario_tag) AS fraud_type FROM tx"),
     ),
     "chat_to_text": (_chat, "SELECT conv_id, substr(string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn), 1, 512) AS text FROM conversations GROUP BY conv_id"),
-    "prompt_template": (_prompt, "SELECT event_id, 'Evidence:' || chr(10) || props || chr(10) || 'Respond with JSON only:' AS prompt FROM events"),
+    "prompt_template": (_prompt, "SELECT event_id, '" + text.PROMPT[0] + "' || props || '" + text.PROMPT[1] + "' AS prompt FROM events"),
     "latest_checkpoint": (
         lambda s, d: table(s, d, "orders").select(F.col("o_custkey"), F.concat(F.when(F.col("o_orderkey") % 3 == 0, "checkpoint-").otherwise("other-"), F.col("o_orderkey").cast("string")).alias("name")).groupBy("o_custkey").agg(F.coalesce(F.max(text.checkpoint_step(F.col("name"))), F.lit(-1)).alias("step")),
         "SELECT o_custkey, coalesce(max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END), -1) AS step FROM orders GROUP BY o_custkey",

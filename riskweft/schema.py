@@ -6,10 +6,18 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+
+_KINDS = {"long": LongType(), "int": IntegerType(), "double": DoubleType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def schema(text: str) -> StructType:
+    """From `name kind, ...`, without a session."""
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in (field.split() for field in text.split(","))])
+
 
 TABLES: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
+    name: schema(ddl)
     for name, ddl in {
         "users": "user_id long, signup_ts timestamp, home_country string, risk_segment string",
         "accounts": "account_id long, user_id long, opened_ts timestamp, account_type string, status string",
@@ -23,7 +31,7 @@ TABLES: dict[str, StructType] = {
 
 #: Columns of the flat card table, in order.
 FLAT_COLUMNS = ["Time", *[f"V{i}" for i in range(1, 29)], "Amount", "Class"]
-FLAT = StructType.fromDDL(", ".join(f"{c} {'int' if c == 'Class' else 'double'}" for c in FLAT_COLUMNS))
+FLAT = schema(", ".join(f"{c} {'int' if c == 'Class' else 'double'}" for c in FLAT_COLUMNS))
 
 
 class SchemaError(ValueError):

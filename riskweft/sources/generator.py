@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweft.schema import TABLES
@@ -180,6 +180,20 @@ def scenario_rows(spark: SparkSession, c: EnvironmentConfig, env: dict[str, Data
     return out
 
 
+#: Seconds by which repeated (account, time) rows are moved, in turn.
+JITTER = [0, 1, -1, 2, -2]
+
+
+def spread_collisions(rows: DataFrame, keys: tuple[str, ...], ts: str, order: str) -> DataFrame:
+    """Moves rows that share keys and time by +0, +1, -1, +2, -2 seconds, in their order; later ones by -2.
+
+    All rows of a collision move at once, so a moved row may meet one that stood there before.
+    """
+    turn = F.least(F.row_number().over(Window.partitionBy(*keys, ts).orderBy(order)), F.lit(len(JITTER)))
+    offset = F.element_at(F.array(*[F.lit(x) for x in JITTER]), turn)
+    return rows.withColumn(ts, F.timestamp_seconds(F.unix_seconds(F.col(ts)) + offset))
+
+
 def generate(spark: SparkSession, config: EnvironmentConfig = EnvironmentConfig()) -> dict[str, DataFrame]:
     """The seven tables. Transactions are numbered in time order and stay within the period."""
     from riskweft.operators.prepare import with_rank
@@ -189,9 +203,9 @@ def generate(spark: SparkSession, config: EnvironmentConfig = EnvironmentConfig(
     rows = background(spark, config, env)
     if config.scenarios:
         rows = rows.unionByName(scenario_rows(spark, config, env))
-    second = F.least(F.greatest("second", F.lit(0)), F.lit(config.days * 86400 - 1)).cast("long")
+    second = F.least(F.greatest("second", F.lit(2)), F.lit(config.days * 86400 - 3)).cast("long")  # leaves room to move
     rows = rows.withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.lit(config.start).cast("timestamp")) + second))
-    ranked = with_rank(rows, ["ts", "row"], "txn_id")
+    ranked = with_rank(spread_collisions(rows, ("account_id",), "ts", "row"), ["ts", "row"], "txn_id")
     names = TABLES["transactions"].fieldNames()
     env["transactions"] = ranked.withColumns({"currency": F.lit("USD"), "status": F.lit("completed"), "txn_id": F.col("txn_id").cast("long")}).select(*names)
     return env

@@ -8,12 +8,12 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
-from riskweft.schema import FLAT, FLAT_COLUMNS, TABLES, validate
+from riskweft.schema import FLAT, FLAT_COLUMNS, TABLES, schema, validate
 
-EXAMPLE = StructType.fromDDL("instruction string, input string, output string, split string")
+EXAMPLE = schema("instruction string, input string, output string, split string")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -35,8 +35,8 @@ def read_flat(spark: SparkSession, path: str, expected: list[str] | None = None,
         raise FileNotFoundError(path)
     header = spark.read.option("header", True).csv(path).columns
     kinds = {f.name: f for f in FLAT.fields}
-    schema = StructType([kinds.get(c, StructType.fromDDL(f"`{c}` string").fields[0]) for c in header])
-    df = spark.read.option("header", True).schema(schema).csv(path)
+    fields = StructType([kinds.get(c, StructField(c, StringType())) for c in header])
+    df = spark.read.option("header", True).schema(fields).csv(path)
     validate(df, expected or FLAT_COLUMNS, target)
     return df.na.drop("any")
 
@@ -51,7 +51,7 @@ def profile_flat(df: DataFrame, target: str = "Class") -> DataFrame:
 def read_environment(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
     """The seven tables from `<folder>/<table>.<fmt>`."""
     reader = lambda s: spark.read.schema(s).option("header", True) if fmt == "csv" else spark.read.schema(s)
-    return {name: getattr(reader(schema), fmt)(f"{folder}/{name}.{fmt}") for name, schema in TABLES.items()}
+    return {name: getattr(reader(fields), fmt)(f"{folder}/{name}.{fmt}") for name, fields in TABLES.items()}
 
 
 def read_examples(spark: SparkSession, path: str, schema: StructType = EXAMPLE) -> DataFrame:
