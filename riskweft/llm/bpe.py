@@ -25,8 +25,8 @@ from .common import ship
 
 #: A vocabulary is sent to all executors; larger ones are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Distinct pieces that a task remembers before it starts anew.
-MEMO_PIECES = 600_000
+#: Distinct pieces that a worker remembers before it starts a new memo; the one before is kept beside it.
+MEMO_PIECES = 250_000
 #: Bytes of text after which a batch of results is handed on.
 BATCH_BYTES = 4 << 20
 
@@ -132,6 +132,7 @@ class Tokenizer:
             flat[self.starts[rank] : self.starts[rank] + len(token)] = token
         self.flat = np.frombuffer(bytes(flat), np.uint8)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Tokenizer:
@@ -186,7 +187,7 @@ class Tokenizer:
         """Puts the ids of pieces of text, which may hold several pre-tokens, and of these into the memo."""
         find, memo = self.find, self.memo
         cut = [(piece, find(piece)) for piece in pieces]
-        texts = list({x for _, found in cut for x in found}.difference(memo))
+        texts = self.recall({x for _, found in cut for x in found}.difference(memo))
         tokens = list(map(str.encode, texts))
         for text, token, slot in zip(texts, tokens, self.hash.slots(tokens), strict=True):
             memo[text] = array("i", [self.slot_id[slot]] if slot >= 0 else self.merge(token)).tobytes()
@@ -194,6 +195,16 @@ class Tokenizer:
             if len(found) > 1:
                 memo[piece] = b"".join(map(memo.__getitem__, found))
 
+    def recall(self, pieces: set[str]) -> set[str]:
+        """Takes over what the older memo has of the pieces; the rest is new."""
+        memo, old = self.memo, self.old
+        if old:
+            for piece in pieces:
+                if (ids := old.get(piece)) is not None:
+                    memo[piece] = ids
+            return pieces.difference(memo)
+        return pieces
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of the text.
 
@@ -207,8 +218,8 @@ class Tokenizer:
         else:
             pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _cut(text)
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        if new := set(pieces).difference(self.memo):
+            self.memo, self.old = {}, self.memo
+        if (new := set(pieces).difference(self.memo)) and (new := self.recall(new)):
             self.learn(new)
         return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
 
@@ -227,13 +238,20 @@ def _ids_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>): ids of every whole text, without special tokens."""
+def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, ids array<int>): ids of every whole text, without special tokens; with decoded, also the bytes that the
+    ids give again, from the same pass."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # bounded by MAX_VOCABULARY_BYTES
+    names = [id_col, "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shared.value
+
+        def result(keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+            back = [pa.array(map(tok.decode, ids), pa.binary())] if decoded else []
+            return pa.RecordBatch.from_arrays([keys, _ids_array(ids), *back], names)
+
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             done, start, size = [], 0, 0
@@ -242,13 +260,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
                 done.append(tok.encode(s))
                 size += len(s)
                 if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([keys.slice(start, i + 1 - start), _ids_array(done)], [id_col, "ids"])
+                    yield result(keys.slice(start, i + 1 - start), done)
                     done, start, size = [], i + 1, 0
             if done:
-                yield pa.RecordBatch.from_arrays([keys.slice(start), _ids_array(done)], [id_col, "ids"])
+                yield result(keys.slice(start), done)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id") -> DataFrame:
@@ -271,7 +289,7 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id") ->
 
 def round_trip_digest(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) of every document, after encoding and decoding it."""
-    both = decode(encode(docs, tokenizer, id_col, text_col), tokenizer, id_col)
+    both = encode(docs, tokenizer, id_col, text_col, decoded=True)
     return both.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
