@@ -19,29 +19,39 @@ def hash_order(key: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key)
 
 
-def stratified_split(df: DataFrame, label: str, key: str, shares: Mapping[str, float] = {"train": 0.7, "val": 0.15, "test": 0.15}, seed: int = 42, min_class: int = 3) -> DataFrame:  # noqa: B006
-    """Adds split: per class, exact quotas (rounded cumulatively) in the order of a hash of the key.
+#: Rows of a range of hashes, about.
+RANGE_ROWS = 100_000
+
 
-    Classes are ranked in ranges of the hash, so no task sorts a whole class.
+def hash_rank(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """Adds __place, the rank from 1 in the group by a hash of the key, and __size, the rows of the group.
+
+    Rows are ranked in ranges of the hash, which are counted and prefixed, so no task sorts a whole group.
     """
+    n = df.groupBy(group).agg(F.count("*").alias("__size"))
+    d = df.join(n.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g").withColumn("__h", hash_order(key, seed))
+    d = d.withColumn("__b", F.floor((F.col("__h") / float(2**64) + 0.5) * (1 + F.floor(F.col("__size") / RANGE_ROWS))))
+    per = d.groupBy(group, "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(F.col(group).alias("__g"), F.col("__b").alias("__gb"), before.alias("__before"))
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h", key)))
+    d = d.join(per, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__gb")))
+    return d.select(*df.columns, (F.col("__before") + F.col("__r")).alias("__place"), "__size")
+
+
+def stratified_split(df: DataFrame, label: str, key: str, shares: Mapping[str, float] = {"train": 0.7, "val": 0.15, "test": 0.15}, seed: int = 42, min_class: int = 3) -> DataFrame:  # noqa: B006
+    """Adds split: per class, exact quotas (rounded cumulatively) in the order of a hash of the key."""
     if abs(sum(shares.values()) - 1) > 1e-9 or min(shares.values()) < 0:
         raise SplitError("the shares must be positive and have sum 1")
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # a row a class
     if len(sizes) < 2 or min(sizes.values()) < min_class:
         raise SplitError(f"each of two classes or more needs {min_class} rows, there are {sizes}")
-    bins = max(1, sum(sizes.values()) // 100_000)
-    d = df.withColumn("__h", hash_order(key, seed)).withColumn("__b", F.floor((F.col("__h") / float(2**64) + 0.5) * bins))
-    per = d.groupBy(label, "__b").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(label).orderBy("__b")
-    per = per.withColumns({"__before": F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__size": F.sum("__n").over(Window.partitionBy(label))})
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))).join(per, [label, "__b"])
-    place = F.col("__before") + F.col("__r")
     out, done = F, 0.0
     names = list(shares)
     for name in names[:-1]:
         done += shares[name]
-        out = out.when(place <= F.round(F.col("__size") * done), name)
-    return d.withColumn("split", out.otherwise(names[-1])).select(*df.columns, "split")
+        out = out.when(F.col("__place") <= F.round(F.col("__size") * done), name)
+    return hash_rank(df, label, key, seed).withColumn("split", out.otherwise(names[-1])).select(*df.columns, "split")
 
 
 def tagged_sample(df: DataFrame, tag: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -55,11 +65,10 @@ def tagged_sample(df: DataFrame, tag: str, key: str, n: int, seed: int = 42) ->
 
 def tagged_split(df: DataFrame, tag: str, key: str, seed: int = 42) -> DataFrame:
     """Adds split: 80/10/10 per tag, with at least one row for val and test if the tag has five."""
-    w = Window.partitionBy(tag).orderBy(hash_order(key, seed), key)
-    d = df.withColumns({"__r": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(tag))})
-    part = F.when(F.col("__n") >= 5, F.greatest(F.lit(1), F.floor(F.col("__n") * 0.1))).otherwise(F.floor(F.col("__n") * 0.1))
-    split = F.when(F.col("__r") <= part, "val").when(F.col("__r") <= 2 * part, "test").otherwise("train")
-    return d.withColumn("split", split).drop("__r", "__n")
+    tenth = F.floor(F.col("__size") * 0.1)
+    part = F.when(F.col("__size") >= 5, F.greatest(F.lit(1), tenth)).otherwise(tenth)
+    split = F.when(F.col("__place") <= part, "val").when(F.col("__place") <= 2 * part, "test").otherwise("train")
+    return hash_rank(df, tag, key, seed).withColumn("split", split).select(*df.columns, "split")
 
 
 def ordered_split(df: DataFrame, order: Sequence[str], share: float = 0.8) -> DataFrame:
