@@ -77,7 +77,9 @@ class OrdinalModel:
     def tail(self, z: np.ndarray, grade: int) -> np.ndarray:
         """P(grade >= the given one)."""
         k = int(np.searchsorted(self.grades, grade))
-        return np.ones(len(z)) if k == 0 else np.zeros(len(z)) if k == len(self.grades) else self.tails(z)[:, k - 1]
+        if k == 0 or len(self.grades) < 2:
+            return np.ones(len(z))
+        return np.zeros(len(z)) if k == len(self.grades) else self.tails(z)[:, k - 1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND, rounds: int = 250, l2: float = 1e-4) -> OrdinalModel:
@@ -86,7 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     grades = sorted(set(y))
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros(0), np.zeros(DIMS))
-    used, slots = np.unique(slots, return_inverse=True)
+    used = np.flatnonzero(np.bincount(slots, minlength=DIMS))
+    place = np.zeros(DIMS, np.int32)
+    place[used] = np.arange(len(used))
+    slots = place[slots]
     n, k = len(y), np.searchsorted(grades, y)
     w, steps = np.zeros(len(used)), np.log(np.full(len(grades) - 1, 1.0))
     steps[0] = 0.0  # the first threshold; the others follow it by exp(steps)
