@@ -152,7 +152,7 @@ def _linked(pairs: DataFrame, cand: DataFrame, sets: DataFrame, t: int, percent:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b")
 
 
-def _rare_posts(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(pair, id, n, comp, central, before, small, main): classes of `left` posted under the rare shingles of their full sets.
 
     Shingles are ordered rare first; those that no other of these classes has come before all. With p percent, a pair
@@ -169,8 +169,9 @@ def _rare_posts(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     d = d.withColumns({"short": upto(2 * percent, 100 + percent), "long": upto(percent, 100)}).where("long > 0")
     posts = d.select("id", "n", "comp", "central", "own", "short", F.posexplode(F.slice(F.col("found.shingle"), F.lit(1), F.col("long").cast("int"))).alias("at", "pair"))
     posts = posts.select("pair", "id", "n", "comp", "central", (F.col("own") + F.col("at")).alias("before"), (F.col("at") < F.col("short")).alias("small"))
+    posts = scratch.keep(posts, "rare-posts")
     lists = posts.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "comp")).alias("x")).where("low <> high")
-    return posts.join(lists.select("pair", F.col("x.comp").alias("main")), "pair")
+    return posts.join(scratch.keep(lists.select("pair", F.col("x.comp").alias("main")), "rare-lists"), "pair")  # so a long list may be split
 
 
 def _unmet(posts: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     posts = scratch.keep(cand.select(F.explode(F.slice("pairs", F.lit(1), F.col("posted"))).alias("pair"), "id", "n", "central"), "posts")
     near = (F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")) & (F.col("a") != F.col("b"))
     centres = posts.groupBy("pair").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
-    centres = centres.select("pair", (-F.col("c.minus")).alias("b"), F.col("c.n").alias("b_n"))
+    centres = scratch.keep(centres.select("pair", (-F.col("c.minus")).alias("b"), F.col("c.n").alias("b_n")), "centres")  # so a long list may be split
     stars = posts.select("pair", F.col("id").alias("a"), F.col("n").alias("a_n")).join(centres, "pair").where(near).select("a", "b").distinct()
     links = scratch.keep(_linked(stars, cand, sets, t, percent), "links")
     comps = components(links, scratch)
@@ -213,9 +214,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     own = comps.withColumnRenamed("node", "id")
     members = posts.join(own, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("pair", "id", "n", "comp", "central")
     members = scratch.keep(members, "members")
-    mixed = members.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair")
+    mixed = scratch.keep(members.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair"), "mixed")
     left = members.join(mixed, "pair", "left_semi").select("id", "n", "comp", "central").distinct()
-    rest = _unmet(scratch.keep(_rare_posts(sets, scratch.keep(left, "left"), percent), "rare"), percent)
+    rest = _unmet(scratch.keep(_rare_posts(sets, scratch.keep(left, "left"), percent, scratch), "rare"), percent)
     more = scratch.keep(_linked(rest, cand, sets, t, percent), "more")
     if more.limit(1).count():
         comps = components(links.union(more), scratch)
