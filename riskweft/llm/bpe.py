@@ -30,6 +30,8 @@ MEMO_PIECES = 250_000
 #: Bytes of text after which a batch of results is handed on.
 BATCH_BYTES = 4 << 20
 
+_SHORT = 64
+_AFTER, _BEFORE = list(range(1, _SHORT + 1)), list(range(-1, _SHORT - 1))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,6 +125,7 @@ class Tokenizer:
             for cut in range(1, len(token)):
                 if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
                     self.pairs[a << 20 | b] = rank
+        self.byte_pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.lengths = np.zeros(size, np.int64)
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
@@ -151,12 +154,12 @@ class Tokenizer:
         entries of pairs that have changed meanwhile are passed over.
         """
         ids = list(map(self.bytes_id.__getitem__, piece))
-        n, pair = len(ids), self.pairs.get
+        n, pair, first = len(ids), self.pairs.get, self.byte_pairs
         bits = n.bit_length()
         low = (1 << bits) - 1
-        now = [pair(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        now = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
         now.append(-1)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = (_AFTER[:n], _BEFORE[:n]) if n <= _SHORT else (list(range(1, n + 1)), list(range(-1, n - 1)))
         heap = [rank << bits | i for i, rank in enumerate(now) if rank >= 0]
         heapify(heap)
         while heap:
