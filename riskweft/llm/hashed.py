@@ -27,11 +27,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: i
     different labels counts as its largest label.
     """
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
-    if per_label:
-        ranked = some.withColumn("__r", F.row_number().over(Window.partitionBy("__label").orderBy(F.xxhash64(id_col), id_col)))
-        some = ranked.where(F.col("__r") <= bound).drop("__r")  # limited before the shuffle, too
-    else:
-        some = some.orderBy(F.xxhash64(id_col), id_col).limit(bound)
+    some = some.withColumn("__group", F.col("__label") if per_label else F.lit(0)).withColumn("__h", F.xxhash64(id_col))
+    # of large groups, only about three times the bound are ranked: those with the smallest hashes
+    sizes = some.groupBy("__group").agg(F.count("*").alias("__n"))
+    near = some.join(F.broadcast(sizes), "__group").where(F.col("__h") / float(2**64) + 0.5 <= F.lit(3.0 * bound) / F.col("__n"))  # a row a grade
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy("__group").orderBy("__h", id_col)))
+    some = ranked.where(F.col("__r") <= bound).select(id_col, "__label")
     some = some.withColumnRenamed(id_col, "__id")
     return docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(some), F.col("__doc") == F.col("__id")).select("__doc", "__text", F.col("__label").cast("int").alias("__label"))
 

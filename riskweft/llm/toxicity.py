@@ -33,7 +33,11 @@ PREFIXES = (4, 5)
 #: A slot counts if so many sentences of the sample have it.
 MIN_SENTENCES = 3
 
-_SENTENCE = re.compile(r"[^.!?\n]*[^.!?\s][^.!?\n]*")
+_SENTENCE = re.compile(r"[^.!?\n]+")
+
+
+def sentences(text: str) -> list[str]:
+    return [s for s in _SENTENCE.findall(text) if not s.isspace()]
 
 
 def word_slots(word: str) -> tuple[int, ...]:
@@ -44,7 +48,7 @@ def word_slots(word: str) -> tuple[int, ...]:
 
 def extract(text: str) -> list[tuple[list[int], list[float]]]:
     out = []
-    for sentence in _SENTENCE.findall(text):
+    for sentence in sentences(text):
         slots = sorted({s for w in sentence.split() for s in word_slots(w)})
         out.append((slots, [1.0] * len(slots)))
     return out
@@ -87,26 +91,26 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.bias, self.weights, self.memo = model.bias, model.weights, {}
 
-    def sentences(self, sentences: list[str]) -> np.ndarray:
+    def sentences(self, found: list[str]) -> np.ndarray:
         """Linear score of each sentence. A slot counts once in a sentence."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo, weights = self.memo, self.weights
-        cut = [set(s.split()) for s in sentences]
+        cut = [set(s.split()) for s in found]
         for word in set().union(*cut).difference(memo):
             memo[word] = {at: w for at in word_slots(word) if (w := weights.get(at))}
         out = []
         for ws in cut:
-            found: dict[int, float] = {}
+            slots: dict[int, float] = {}
             for x in map(memo.__getitem__, ws):
                 if x:
-                    found |= x
-            out.append(self.bias + sum(found.values()))
+                    slots |= x
+            out.append(self.bias + sum(slots.values()))
         return np.array(out, np.float64)
 
     def document(self, text: str) -> float:
-        sentences = _SENTENCE.findall(text)
-        return float(-np.expm1(-np.logaddexp(0, self.sentences(sentences)).sum())) if sentences else 0.0
+        found = sentences(text)
+        return float(-np.expm1(-np.logaddexp(0, self.sentences(found)).sum())) if found else 0.0
 
 
 def held_out(id_col: str) -> Column:
@@ -137,7 +141,7 @@ def locate(docs: DataFrame, model: ToxicityModel, min_prob: float = 0.5, id_col:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(_SENTENCE.finditer(text or ""))
+                found = [x for x in _SENTENCE.finditer(text or "") if not x[0].isspace()]
                 probs = sigmoid(scorer.sentences([x[0] for x in found])) if found else []
                 rows += [(key, x.start(), x.end(), x[0], float(p)) for x, p in zip(found, probs, strict=True) if p >= min_prob]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
