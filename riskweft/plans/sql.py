@@ -19,7 +19,7 @@ tx AS (
     floor(o_totalprice) / 100.0::DOUBLE AS amount,
     CASE o_orderpriority WHEN '2-HIGH' THEN 'pos' WHEN '3-MEDIUM' THEN 'atm' WHEN '4-NOT SPECIFIED' THEN 'mobile' ELSE 'online' END AS channel,
     o_orderstatus AS status, (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')::INTEGER AS label_fraud, o_orderpriority AS scenario_tag
-  FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS merchant_id, min(l_partkey) % 200 AS device_id FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+  FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS merchant_id, min(l_partkey) AS device_id FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
   LEFT JOIN supplier ON s_suppkey = merchant_id),
 known AS (SELECT account_id, device_id, min(ts) AS first_used_ts, max(ts) AS last_used_ts FROM tx WHERE txn_id % 3 <> 0 AND device_id IS NOT NULL GROUP BY ALL),
 links AS (SELECT *, device_id = min(device_id) OVER (PARTITION BY account_id) AS is_primary FROM known)"""
