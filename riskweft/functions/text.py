@@ -59,8 +59,8 @@ def chat_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.coalesce(m["role"], F.lit("user")), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
 
 
-def record_text(fields: Mapping[str, Column], max_len: int = 512) -> Column:
-    """A training record as text: the first pair of fields that it has, else its text, else its messages; 4 max_len characters."""
+def record_text(fields: Mapping[str, Column], max_len: int | None = 512) -> Column:
+    """A training record as text: the first pair of fields that it has, else its text, else its messages; 4 max_len characters, or all if max_len is None."""
     options = []
     for a, b in (("prompt", "completion"), ("instruction", "output"), ("input", "output"), ("question", "answer")):
         if a in fields and b in fields:
@@ -69,7 +69,8 @@ def record_text(fields: Mapping[str, Column], max_len: int = 512) -> Column:
         options.append(fields["text"])
     if "messages" in fields:
         options.append(F.when(fields["messages"].isNotNull(), chat_text(fields["messages"])))
-    return F.substring(F.coalesce(*options, F.lit("")), 1, 4 * max_len)
+    whole = F.coalesce(*options, F.lit(""))
+    return whole if max_len is None else F.substring(whole, 1, 4 * max_len)
 
 
 def checkpoint_step(name: Column) -> Column:

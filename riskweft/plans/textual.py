@@ -43,10 +43,13 @@ def _casts(s, d):
     return e.select("event_id", F.coalesce(raw.try_cast("long"), F.lit(0)).alias("n"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-def _chat(s, d):
-    c = table(s, d, "conversations")
-    m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))  # the turns of one conversation
-    return m.select("conv_id", text.record_text({"messages": F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))}, 128).alias("text"))
+def _chat(max_len):
+    def run(s, d):
+        c = table(s, d, "conversations")
+        m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))  # the turns of one conversation
+        return m.select("conv_id", text.record_text({"messages": F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))}, max_len).alias("text"))
+
+    return run
 
 
 def _prompt(s, d):
@@ -152,7 +155,8 @@ QUERIES = {
         lambda s, d: env(s, d)["transactions"].select("txn_id", S.mapped("channel", {"online": "REMOTE", "mobile": "REMOTE", "atm": "CASH"}, F.lit("STORE")).alias("kind"), instruct.fraud_type(F.col("scenario_tag")).alias("fraud_type")),
         sql("SELECT txn_id, CASE channel WHEN 'online' THEN 'REMOTE' WHEN 'mobile' THEN 'REMOTE' WHEN 'atm' THEN 'CASH' ELSE 'STORE' END AS kind, upper(scenario_tag) AS fraud_type FROM tx"),
     ),
-    "chat_to_text": (_chat, "SELECT conv_id, substr(string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn), 1, 512) AS text FROM conversations GROUP BY conv_id"),
+    "chat_to_text": (_chat(128), "SELECT conv_id, substr(string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn), 1, 512) AS text FROM conversations GROUP BY conv_id"),
+    "chat_to_whole_text": (_chat(None), "SELECT conv_id, string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
     "prompt_template": (_prompt, "SELECT event_id, '" + text.PROMPT[0] + "' || props || '" + text.PROMPT[1] + "' AS prompt FROM events"),
     "latest_checkpoint": (
         lambda s, d: table(s, d, "orders").select(F.col("o_custkey"), F.concat(F.when(F.col("o_orderkey") % 3 == 0, "checkpoint-").otherwise("other-"), F.col("o_orderkey").cast("string")).alias("name")).groupBy("o_custkey").agg(F.coalesce(F.max(text.checkpoint_step(F.col("name"))), F.lit(-1)).alias("step")),

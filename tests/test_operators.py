@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
 from riskweft.functions import text
+from riskweft.functions.text import record_text
 from riskweft.operators import fusion, graph, instruct, metrics, prepare, profiles
 from riskweft.operators import features as X
 from riskweft.operators.evidence import evidence_text
@@ -227,3 +228,8 @@ def test_schema_checks(spark):
 def test_scalars(spark):
     row = spark.range(1).select(S.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)), S.safe_div(F.lit(1.0), F.lit(0.0), 7.0), S.ordinal(F.lit("odd")), S.off_hours(F.lit(5)), S.clip(F.lit(3.0), 0.0, 1.0)).first()
     assert row[0] == pytest.approx(math.pi * 6371) and row[1:] == (7.0, 0, 0, 1.0)
+
+
+def test_record_text_cuts_only_when_asked(spark):
+    row = spark.range(1).select(F.repeat(F.lit("abcd"), 1000).alias("text"))
+    assert row.select(*[F.length(record_text({"text": F.col("text")}, *a)) for a in ((), (128,), (None,))]).first()[:] == (2048, 512, 4000)
