@@ -144,6 +144,17 @@ def test_shards(spark):
     assert sorted(map(str, sharding.shard_documents(df.repartition(5), 8).collect())) == sorted(map(str, got))
 
 
+def test_shards_with_a_hot_text(spark):
+    texts = ["x" * 99] * 3000 + [f"{i:099d}" for i in range(3000)] + [f"group {i % 1000:093d}" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    load, shards = Counter(), defaultdict(set)
+    for x in sharding.shard_documents(df, 16).collect():
+        load[x["shard"]] += x["size"]
+        shards[texts[x["doc_id"]]].add(x["shard"])
+    assert len(shards.pop(texts[0])) <= 6 and max(map(len, shards.values())) == 1  # a third of 16 shards are 5.3
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= 400
+
+
 def test_shard_edges(spark):
     got = sharding.shard_documents(edge.docs(spark), 4).collect()
     assert Counter(x["doc_id"] for x in got) == Counter(r[0] for r in edge.rows())
