@@ -1,0 +1,29 @@
+"""op5 once more: every page against lists with entries that hit pages, come and go, and end inside a segment or a host."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .q_urls import report_of, sql_of
+
+#: List, kind, value, action, day.
+ENTRIES = [
+    ("malware", "prefix", "m.tionsh.example.net/e", "add", "2024-01-01"),
+    ("malware", "prefix", "m.tionsh.example.net/e", "remove", "2024-05-01"),
+    ("malware", "prefix", "m.tionsh.example.net/e", "add", "2024-09-15"),
+    ("spam", "prefix", "thther.example.com/de", "add", "2024-01-02"),
+    ("spam", "prefix", "thther.example.com/de/8", "add", "2024-01-03"),
+    ("spam", "prefix", "thther.example.com/de/8", "remove", "2024-10-01"),
+    ("spam", "prefix", "tiontion.example.net/en/78", "add", "2024-01-01"),
+    ("spam", "host", "tionsh.example.net", "add", "2024-01-01"),
+    ("spam", "host", "tionsh.example.net", "add", "2024-02-01"),
+    ("spam", "host", "tionsh.example.net", "remove", "2024-03-01"),
+    ("adult", "prefix", "blog.ththsh.example.com/fr/", "add", "2024-01-01"),
+    ("adult", "prefix", "www.thth", "add", "2024-03-01"),
+    ("adult", "prefix", "www.thth", "remove", "2024-11-01"),
+]
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_of(spark, sf_dir, ENTRIES)
+
+
+ORACLE_SQL = sql_of(ENTRIES)

@@ -21,17 +21,22 @@ ENTRIES = [
 ]
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_of(spark: SparkSession, sf_dir: str, rows: list[tuple[str, ...]]) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     pages = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")))
-    entries = spark.createDataFrame(ENTRIES, "list string, kind string, value string, action string, day string")
+    entries = spark.createDataFrame(rows, "list string, kind string, value string, action string, day string")
     return report(pages, entries.withColumn("at", F.to_date("day")).drop("day"), "page_id")
 
 
-ORACLE_SQL = (
-    "WITH e(list, kind, value, action, day) AS (VALUES "
-    + ", ".join(f"('{a}', '{b}', '{c}', '{d}', DATE '{e}')" for a, b, c, d, e in ENTRIES)
-    + r"""),
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_of(spark, sf_dir, ENTRIES)
+
+
+def sql_of(rows: list[tuple[str, ...]]) -> str:
+    return (
+        "WITH e(list, kind, value, action, day) AS (VALUES "
+        + ", ".join(f"('{a}', '{b}', '{c}', '{d}', DATE '{e}')" for a, b, c, d, e in rows)
+        + r"""),
 ch AS (SELECT list, kind, value, day, action = 'add' AS up, coalesce(lag(action = 'add') OVER (PARTITION BY list, kind, value ORDER BY day), false) AS was FROM e),
 iv AS (SELECT * FROM (SELECT list, kind, value, up, day AS since, lead(day) OVER (PARTITION BY list, kind, value ORDER BY day) AS until FROM ch WHERE up <> was) WHERE up),
 p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
@@ -41,4 +46,7 @@ m AS (SELECT DISTINCT page_id, list, kind, value FROM p JOIN iv ON d >= since AN
 SELECT p.page_id, any_value(host) AS host, count(list) AS n_matches, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS lists, count(list) > 0 AS blocked
 FROM p LEFT JOIN m USING (page_id) GROUP BY p.page_id
 """
-)
+    )
+
+
+ORACLE_SQL = sql_of(ENTRIES)

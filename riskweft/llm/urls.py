@@ -2,7 +2,7 @@
 
 Dated list entries (add or remove a host or a path prefix) become validity intervals; an as-of join meets every capture
 with the entries that were active when it was fetched. A host entry covers the host and its subdomains, a prefix entry
-the paths of one host that begin with it.
+what begins with it as host and path, wherever it ends.
 
 Edge cases: entries with a null value, list or date are ignored; captures with a null or malformed URL, or without a
 fetch time, match nothing and pass; equal entries count once; of entries at one moment a removal comes first, so an
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 
 def host(url: Column) -> Column:
     """Lower-cased host without user and port; empty for what is no URL."""
@@ -39,19 +41,33 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.select("list", "kind", "value", F.col("at").alias("since"), "until")
 
 
-def keys(url: Column) -> Column:
-    """Array of (kind, value) under which an entry for the URL may stand: its host's suffixes and its path's prefixes."""
-    labels, parts = F.split(host(url), r"\."), F.split(path(url), "/")
-    n, m = F.size(labels), F.size(parts)
+def keys(url: Column, lengths: Column) -> Column:
+    """Array of (kind, value) under which an entry for the URL may stand: its host's suffixes, and the beginnings of host
+    and path that have one of the lengths."""
+    labels, page = F.split(host(url), r"\."), F.concat(host(url), F.lower(path(url)))
+    n = F.size(labels)
     hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("host").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("value")))
-    prefixes = F.transform(F.sequence(F.lit(1), m), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host(url), F.lower(F.array_join(F.slice(parts, 1, i), "/")), F.when(i < m, "/").otherwise("")).alias("value")))
+    fitting = F.filter(F.array_distinct(lengths), lambda x: x <= F.length(page))
+    prefixes = F.transform(fitting, lambda x: F.struct(F.lit("prefix").alias("kind"), F.substr(page, F.lit(1), x).alias("value")))
     return F.when(host(url) != "", F.array_distinct(F.concat(hosts, prefixes))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
 
 def matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
-    """(id_col, list, kind, value, since): the entries active for each capture at its time."""
-    asked = captures.select(F.col(id_col).alias("__id"), F.col(at_col).alias("__at"), F.explode(keys(F.col(url_col))).alias("__k")).select("__id", "__at", F.col("__k.kind").alias("kind"), F.col("__k.value").alias("value"))
-    hit = asked.join(intervals(entries), ["kind", "value"]).where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
+    """(id_col, list, kind, value, since): the entries active for each capture at its time.
+
+    A prefix may end anywhere, so a page is looked up under its beginnings of the lengths that its host's entries have,
+    not under each entry of its host.
+    """
+    spans = intervals(entries)
+    begun = spans.where("kind = 'prefix'").select(F.substring_index("value", "/", 1).alias("__host"), F.length("value").alias("n"), F.contains("value", F.lit("/")).alias("__whole"))
+    own = begun.where("__whole").groupBy("__host").agg(F.collect_set("n").alias("__own"))  # no more than a URL has characters
+    own = Scratch(captures.sparkSession, "urls").keep(own, "lengths")  # its size is known, so it is broadcast or a hot host is split
+    other = begun.where("NOT __whole").agg(F.collect_set("n").alias("__other"))  # ends within the host
+    asked = captures.select(F.col(id_col).alias("__id"), F.col(at_col).alias("__at"), F.col(url_col).alias("__url"), host(F.col(url_col)).alias("__h"))
+    asked = asked.join(own, F.col("__h") == F.col("__host"), "left").crossJoin(F.broadcast(other))  # one row
+    lengths = F.concat(F.coalesce("__own", F.array().cast("array<int>")), F.col("__other"))
+    asked = asked.select("__id", "__at", F.explode(keys(F.col("__url"), lengths)).alias("__k")).select("__id", "__at", F.col("__k.kind").alias("kind"), F.col("__k.value").alias("value"))
+    hit = asked.join(spans, ["kind", "value"]).where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
     return hit.select(F.col("__id").alias(id_col), "list", "kind", "value", "since")
 
 

@@ -185,3 +185,13 @@ def test_url_lists(spark):
     assert kept.columns == captures.columns and {r["page_id"] for r in kept.collect()} == {i for i, n in got.items() if not n}
     assert urls.report(captures.limit(0), entries, "page_id").count() == 0
     assert urls.report(captures, entries.limit(0), "page_id").agg(F.sum("n_matches")).first()[0] == 0
+
+
+def test_url_prefixes_end_anywhere(spark):
+    d = dt.date(2024, 1, 1)
+    values = ["site.com/de", "site.com/en/78", "site.com/en/7817", "other.o", "third.org"]
+    entries = spark.createDataFrame([("a", "prefix", v, "add", d) for v in values], "list string, kind string, value string, action string, at date")
+    pages = ["site.com/de/x", "site.com/deep", "site.com/d", "site.com/en/78", "SITE.com/EN/7817?q", "sub.site.com/de", "other.org/x", "third.org", "third.org/y", "third.com/"]
+    captures = spark.createDataFrame([(i, f"http://{u}", d) for i, u in enumerate(pages)], "page_id long, url string, fetched_at date")
+    got = {r["page_id"]: r["n_matches"] for r in urls.report(captures, entries, "page_id").collect()}
+    assert got == {i: sum(u.lower().split("?")[0].startswith(v) for v in values) for i, u in enumerate(pages)}
