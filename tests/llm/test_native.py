@@ -146,3 +146,16 @@ def test_heavier_documents_come_first(spark):
     got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 400").collect()
     share = [sum(r["taken"] for r in got if r["doc_id"] % 2 == k) for k in (0, 1)]
     assert share[0] > share[1] > 0
+
+
+def test_cleaned_removes_lines_above_the_limit(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"Shared  LINE\n{own(i)}\n\nshared line\nend{i}", "a", i) for i in range(5)]
+    rows += [(10 + i, f"shared line\n{own(10 + i)}", "b", 0) for i in range(2)] + [(20, "too short", "a", 0), (21, None, "a", 0)]
+    rows += [(30 + i, "\n".join(["common " * 3 + own(99)] * 2 + [f"rest{i}"]), "c", 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    out = quality.cleaned(df, max_docs=3)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {**{i: f"{own(i)}\n\nend{i}" for i in range(5)}, **{10 + i: f"shared line\n{own(10 + i)}" for i in range(2)}}
+    assert set(got) == {r["doc_id"] for r in quality.quality_rules(df, max_docs=3).where("kept").collect()}
