@@ -115,6 +115,18 @@ def drain(s, df, label, mode="append"):
     return s.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+def drain_totals(s, df, label):
+    """Runs an aggregation of a stream over all that there is and gives its state after the last batch, so open windows count too."""
+    folder = scratch_path(s, label)
+
+    def put(batch, _):
+        batch.write.mode("overwrite").parquet(f"{folder}/out")  # complete mode: each batch has all windows
+
+    query = df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.schema(df.schema).parquet(f"{folder}/out")
+
+
 def _stream_velocity(s, d):
     out = drain(s, velocity.velocity(stream(s, d), 3600), "velocity")
     return out.select("txn_id", "vel_count", F.round("vel_amount", 4).alias("vel_amount"))
@@ -125,17 +137,20 @@ def _stream_first(s, d):
 
 
 def _stream_windows(s, d):
-    # a window is handed on once the watermark has passed its end, so the last ones stay open
-    out = drain(s, velocity.windowed_totals(stream(s, d), "1 day", lateness="0 seconds"), "windows")
+    out = drain_totals(s, velocity.windowed_totals(stream(s, d), "1 day", lateness="0 seconds"), "windows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "account_id", "n", F.round("total", 4).alias("total"))
 
 
 def _stream_sessions(s, d):
-    return drain(s, velocity.sessions(stream(s, d), "1 hour"), "sessions").select("account_id", "n", F.round("total", 4).alias("total"))
+    return drain_totals(s, velocity.sessions(stream(s, d), "1 hour"), "sessions").select("account_id", "n", F.round("total", 4).alias("total"))
 
 
 VEL = """SELECT x.event_id AS txn_id, count(y.event_id)::INTEGER AS vel_count, round(coalesce(sum(y.value), 0), 4) AS vel_amount FROM events x
 LEFT JOIN events y ON x.user_id = y.user_id AND (y.ts < x.ts OR (y.ts = x.ts AND y.event_id < x.event_id)) AND y.ts > x.ts - INTERVAL 3600 SECOND GROUP BY x.event_id"""
+SESSIONS = """SELECT account_id, count(*) AS n, round(sum(value), 4) AS total FROM (
+    SELECT *, sum(begins) OVER (PARTITION BY account_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (
+        SELECT event_id, user_id AS account_id, ts, value, coalesce((ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR)::INTEGER, 1) AS begins FROM events))
+GROUP BY account_id, k"""
 
 QUERIES = {
     "logreg_scores": (_proba("logreg", maxIter=50), None),
@@ -161,6 +176,6 @@ QUERIES = {
     "synthetic_flat_table": (_flat, None),
     "stream_velocity": (_stream_velocity, VEL),
     "stream_first_seen": (_stream_first, "SELECT event_id AS txn_id, user_id AS account_id FROM events"),
-    "stream_windows": (_stream_windows, None),
-    "stream_sessions": (_stream_sessions, None),
+    "stream_windows": (_stream_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id AS account_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
+    "stream_sessions": (_stream_sessions, SESSIONS),
 }
