@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskweft.scratch import remove, scratch_path
 from riskweft.session import ship  # noqa: F401
 
 #: The six ASCII white-space characters, as a class of a Java or RE2 pattern and as a string.
@@ -17,21 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Only on a local master, where driver and executors are one process, a temporary folder stands in for it.
-    """
-    conf = spark.sparkContext.getConf()
-    if at := conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    at = tempfile.mkdtemp(prefix="riskweft-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{at}")
-    return f"file://{at}"
-
-
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 
@@ -39,7 +23,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, scratch_path(spark, label), 0
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -52,8 +36,7 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         """Remove a table that nothing reads any more."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(self.spark, path)
 
 
 def let(value: Column, body) -> Column:
@@ -76,19 +59,33 @@ def row_hash(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
+#: Bins that are prefixed in one task.
+WIDE = 4096
+
+
+def _before(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds out: sum of value over the rows of the group that come before this one."""
+    over = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(value).over(over), F.lit(0)))
+
+
+def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The join on keys that may be null, without the right ones."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]).drop(*[f"__r_{k}" for k in keys])
+
+
 def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], bin_col: str, value: str, out: str) -> DataFrame:
     """Adds out: sum of value over the rows of the group before this one, in order of (bin_col, *order).
 
-    Two levels, so no task holds a whole group: bins are summed with map-side combining and prefixed over the few
-    bins of a group; rows are sorted only within their bin. bin_col must rise with the intended order.
+    Three levels, so no task holds a whole group: bins are summed with map-side combining, runs of WIDE bins likewise;
+    the runs of a group are prefixed, the bins within their run, and rows only within their bin. bin_col is a whole
+    number that rises with the intended order.
     """
-    keys = [*group, bin_col]
-    bins = df.groupBy(*keys).agg(F.sum(value).alias("__in_bin"))
-    over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    bins = bins.withColumn("__bins_before", F.coalesce(F.sum("__in_bin").over(over.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__in_bin_before", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    right = bins.select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__bins_before")
-    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    joined = df.join(right, on, "inner") if on else df.crossJoin(right)
-    return joined.withColumn(out, F.col("__bins_before") + F.col("__in_bin_before")).drop("__bins_before", "__in_bin_before", *[f"__r_{k}" for k in keys])
+    bins = df.groupBy(*group, bin_col).agg(F.sum(value).alias("__in_bin")).withColumn("__run", F.floor(F.col(bin_col) / WIDE))
+    runs = bins.groupBy(*group, "__run").agg(F.sum("__in_bin").alias("__in_run"))
+    runs = _before(runs, group, ["__run"], "__in_run", "__runs_before").drop("__in_run")
+    bins = _on(_before(bins, [*group, "__run"], [bin_col], "__in_bin", "__bins_before"), runs, [*group, "__run"])
+    bins = bins.select(*group, bin_col, (F.col("__runs_before") + F.col("__bins_before")).alias("__bins_before"))
+    rows = _on(_before(df, [*group, bin_col], order, value, "__in_bin_before"), bins, [*group, bin_col])
+    return rows.withColumn(out, F.col("__bins_before") + F.col("__in_bin_before")).drop("__bins_before", "__in_bin_before")
