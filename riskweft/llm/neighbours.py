@@ -1,15 +1,21 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue over all of them, exact reranking.
 
 The trees are fitted on a bounded sample (a documented parameter) and every row is indexed: equal vectors become one
-class, each class lies in one leaf of every tree. A query opens leaves in order of their margins, over all trees at
-once, until they hold enough rows; the classes in them are compared exactly, leaf by leaf and in blocks.
+class, and a class has a leaf in every tree. A query opens leaves, over all trees at once, in order of the squared
+margins on the way to them, until the opened leaves hold the wanted share of the sample, each row counted once.
+
+Vectors are dealt once, by cells of the first tree (subtrees of BLOCK_ROWS rows, about), with their leaves of all trees.
+A query goes to the cells where an opened leaf of any tree has rows, and is compared there, once, with each class that
+lies in an opened leaf. Cells that a leaf overfills and large query sets are split, so a task holds bounded blocks.
 
 A class carries its K + 1 smallest ids: further members of the same vector can't be among a query's K nearest, since
 ties go to smaller ids. So a vector that a third of all rows share costs no more than any other.
 
-Edge cases: ids or vectors that are null, vectors of another length than the smallest id's, zero vectors and those with
-null or non-finite components take no part; a table with fewer rows than K gives all of them; an empty table gives an
-empty one; other columns are not read.
+Edge cases: null ids, null vectors, vectors without components, zero vectors and those with null or non-finite
+components take no part; nor do vectors of another length than the most frequent (of equally frequent ones the larger).
+Rows equal in id and vector count once; an id with several vectors is a candidate at each of them, and as a query counts
+with the least; rows that share the query's id are never its neighbours. With fewer rows than K all of them are given;
+an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ship
 
-#: Rows that the trees are fitted on, at most; rows of a leaf, about; rows of a leaf that one task compares, about.
-SAMPLE, LEAF_ROWS, BLOCK_ROWS = 20_000, 1024, 8192
+#: Rows that the trees are fitted on, at most; rows of a leaf, about, and rows of the sample in it, at least.
+SAMPLE, LEAF_ROWS, LEAF_SAMPLE = 20_000, 200, 8
+#: Rows, and queries, that one task compares, about.
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 20_000
 
 
 @dataclass
@@ -36,11 +44,11 @@ class Tree:
     directions: np.ndarray
     thresholds: np.ndarray
     children: np.ndarray
-    shares: np.ndarray  # of the sample in each leaf
+    members: list[np.ndarray]  # rows of the sample in each leaf
 
     @classmethod
     def grow(cls, rows: np.ndarray, leaf: int, random: np.random.Generator) -> Tree:
-        directions, thresholds, children, shares = [], [], [], []
+        directions, thresholds, children, members = [], [], [], []
 
         def split(at: np.ndarray) -> int:
             if len(at) > leaf:
@@ -57,114 +65,146 @@ class Tree:
                         children.append((0, 0))
                         children[node] = (split(at[~side]), split(at[side]))
                         return node
-            shares.append(len(at) / max(1, len(rows)))
-            return -len(shares)
+            members.append(at)
+            return -len(members)
+
+        split(np.arange(len(rows)))
+        return cls(np.array(directions).reshape(-1, rows.shape[1]), np.array(thresholds), np.array(children, np.int64).reshape(-1, 2), members)
 
-        root = split(np.arange(len(rows)))
-        if root < 0:
-            return cls(np.zeros((0, rows.shape[1])), np.zeros(0), np.zeros((0, 2), np.int64), np.array(shares))
-        return cls(np.array(directions), np.array(thresholds), np.array(children, np.int64), np.array(shares))
+    @property
+    def root(self) -> int:
+        return 0 if len(self.directions) else -1
 
     def leaves(self, rows: np.ndarray) -> np.ndarray:
         """Leaf of each row."""
-        at = np.zeros(len(rows), np.int64) if len(self.directions) else np.full(len(rows), -1)
+        at = np.full(len(rows), self.root)
         while (inner := np.flatnonzero(at >= 0)).size:
             node = at[inner]
             side = np.einsum("ij,ij->i", rows[inner], self.directions[node]) > self.thresholds[node]
             at[inner] = self.children[node, side.astype(np.int64)]
         return -1 - at
 
+    def cells(self, rows: int) -> np.ndarray:
+        """Cell of each leaf: leaves below a node with at most so many rows of the sample are in one cell."""
+        out, n = np.zeros(len(self.members), np.int64), 0
+
+        def below(node: int) -> list[int]:
+            return [-1 - node] if node < 0 else [x for child in self.children[node] for x in below(child)]
+
+        left = [self.root]
+        while left:
+            node = left.pop()
+            leaves = below(node)
+            if node < 0 or sum(len(self.members[x]) for x in leaves) <= rows:
+                out[leaves], n = n, n + 1
+            else:
+                left.extend(self.children[node].tolist())
+        return out
+
 
 def search(trees: list[Tree], query: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in order of margin over all trees, until the opened leaves hold the share of rows wanted of all trees."""
+    """(tree, leaf) in order of the squared margins passed, over all trees, until the leaves hold the share of the sample."""
     margins = [t.directions @ query - t.thresholds for t in trees]
-    queue = [(-np.inf, k, 0 if len(t.directions) else -1) for k, t in enumerate(trees)]
-    heapq.heapify(queue)
-    out, held = [], 0.0
-    while queue and held < share * len(trees):
-        worst, k, node = heapq.heappop(queue)
+    queue = [(0.0, k, t.root) for k, t in enumerate(trees)]
+    seen = np.zeros(sum(map(len, trees[0].members)), bool)
+    out, held, wanted = [], 0, share * len(seen)
+    while queue and held < wanted:
+        passed, k, node = heapq.heappop(queue)
         if node < 0:
             out.append((k, -1 - node))
-            held += trees[k].shares[-1 - node]
+            rows = trees[k].members[-1 - node]
+            held += len(rows) - int(seen[rows].sum())
+            seen[rows] = True
             continue
-        m, (low, high) = margins[k][node], trees[k].children[node].tolist()
-        heapq.heappush(queue, (max(worst, m), k, low))
-        heapq.heappush(queue, (max(worst, -m), k, high))
+        m, (low, high) = float(margins[k][node]), trees[k].children[node].tolist()
+        heapq.heappush(queue, (passed + max(m, 0.0) ** 2, k, low))
+        heapq.heappush(queue, (passed + max(-m, 0.0) ** 2, k, high))
     return out
 
 
-def _usable(vector: Column, dims: int) -> Column:
+def _usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(vector.isNotNull() & (F.size(vector) == dims) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, width)
+
+
+def _nearest_ids(scores: np.ndarray, ids: list[list[int]], own: int, k: int) -> list[tuple[float, int]]:
+    """The k smallest (score, id) of classes given by their scores and ids, without the own id."""
+    wanted = min(len(scores), k + 1)
+    limit = np.partition(scores, wanted - 1)[wanted - 1] if wanted else 0.0
+    found = [(float(scores[i]), x) for i in np.flatnonzero(scores <= limit).tolist() for x in ids[i] if x != own]
+    return heapq.nsmallest(k, found)
 
 
-def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10, trees: int = 8, share: float = 0.3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10, trees: int = 8, share: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest found of each row whose id is a multiple of query_step."""
     ship(vectors.sparkSession)
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "neighbours")
-    result = f"query_id long, rank int, `{id_col}` long, score double"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    if not (least := rows.orderBy("id").select(F.size("v").alias("n")).first()) or not (dims := least["n"]):
-        return spark.createDataFrame([], result)
-    rows = rows.where(_usable(F.col("v"), dims)).withColumns({"v1": F.xxhash64("v"), "v2": F.xxhash64(F.lit(1), "v")})
-    smallest = Window.partitionBy("v1", "v2").orderBy("id")
-    classes = rows.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)  # limited before the shuffle, too
-    classes = classes.groupBy("v1", "v2").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")).select(F.col("ids")[0].alias("class"), "ids", "v")
-    classes = scratch.keep(classes, "classes")
+    empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & _usable(F.col("v")))
+    lengths = rows.groupBy(F.size("v").alias("n")).count().agg(F.max(F.struct("count", "n")).alias("x")).first()["x"]
+    if lengths is None:
+        return empty
+    dims = lengths["n"]
+    rows = rows.where(F.size("v") == dims).withColumns({"v1": F.xxhash64("v"), "v2": F.xxhash64(F.lit(1), "v")})
+    ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v1", "v2").orderBy("id"))).where(F.col("r") <= k + 1)  # limited before the shuffle, too
+    classes = scratch.keep(ranked.groupBy("v1", "v2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("v").alias("v")).select("v1", "ids", "v"), "classes")
     n = classes.count()
-    sample = classes.select("class", "v").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).toArrow()  # SAMPLE at most
-    if not len(sample):
-        return spark.createDataFrame([], result)
+    sample = classes.select("v1", "v").orderBy("v1").limit(SAMPLE).toArrow()  # SAMPLE at most; v1 is a hash
     points, random = _matrix(sample["v"], dims), np.random.default_rng(11)
-    forest = [Tree.grow(points, max(8, len(points) * LEAF_ROWS // n), random) for _ in range(trees)]
-    shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE
-    blocks = max(1, int(max(t.shares.max() for t in forest) * n) // BLOCK_ROWS)
+    leaf = max(LEAF_SAMPLE, len(points) * LEAF_ROWS // n)
+    forest = [Tree.grow(points, leaf, random) for _ in range(trees)]
+    cells = forest[0].cells(max(1, len(points) * BLOCK_ROWS // n))
+    first = np.concatenate([[0], np.cumsum([len(t.members) for t in forest])])  # number of each tree's first leaf
+    blocks = 1 + int(max(map(len, forest[0].members)) * n / len(points)) // BLOCK_ROWS
+    shared = spark.sparkContext.broadcast((forest, cells, first))  # bounded by SAMPLE
+    kind = classes.schema["v"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, cells, first = shared.value
         for batch in batches:
-            m = _matrix(batch.column(1), dims)
-            for j, tree in enumerate(shared.value):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), j), pa.int32()), pa.array(tree.leaves(m), pa.int64()), *batch.columns], ["tree", "leaf", "class", "v"])
+            m = _matrix(batch.column(2), dims)
+            at = [tree.leaves(m) for tree in forest]
+            numbers = pa.FixedSizeListArray.from_arrays(pa.array((np.column_stack(at) + first[:-1]).ravel(), pa.int32()), len(forest)).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(cells[at[0]], pa.int32()), numbers, *batch.columns], ["cell", "leaves", "v1", "ids", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, _, first = shared.value
         for batch in batches:
-            m = _matrix(batch.column(1), dims)
-            for i in range(len(m)):
-                found = search(shared.value, m[i], share)
-                at = pa.array(np.full(len(found), i))
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["tree", "leaf", "query_id", "q"])
-
-    def rerank(queries: pa.Table, leaf: pa.Table) -> pa.Table:
-        """The k + 1 nearest classes of this leaf for each query."""
-        if not len(queries) or not len(leaf):
-            return pa.table({"query_id": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, x, names = _matrix(queries["q"], dims), _matrix(leaf["v"], dims), leaf["class"].to_numpy()
-        rough = (x * x).sum(1)[None, :] - 2 * (q @ x.T)
-        wanted = min(len(x), k + 1)
-        out_q, out_c, out_s = [], [], []
-        for i, query in enumerate(queries["query_id"].to_pylist()):
-            limit = np.partition(rough[i], wanted - 1)[wanted - 1] + 1e-9 * (1 + np.abs(rough[i]).max())
-            some = np.flatnonzero(rough[i] <= limit)
-            exact = np.sqrt(((x[some] - q[i]) ** 2).sum(1))
-            best = np.lexsort((names[some], exact))[:wanted]
-            out_q += [query] * len(best)
-            out_c.append(names[some][best])
-            out_s.append(exact[best])
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "class": pa.array(np.concatenate(out_c), pa.int64()), "score": pa.array(np.concatenate(out_s), pa.float64())})
-
-    indexed = classes.select("class", "v").mapInArrow(index, "tree int, leaf long, class long, v array<double>").withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)))
-    queries = rows.where(F.col("id") % query_step == 0).select("id", "v").dropDuplicates(["id"])
-    probes = queries.mapInArrow(probe, "tree int, leaf long, query_id long, q array<double>").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    key = ["tree", "leaf", "block"]
-    found = probes.groupBy(*key).cogroup(indexed.groupBy(*key)).applyInArrow(rerank, "query_id long, class long, score double")
-    found = found.groupBy("query_id", "class").agg(F.min("score").alias("score"))
-    nearest_classes = Window.partitionBy("query_id").orderBy("score", "class")
-    top = found.withColumn("r", F.row_number().over(nearest_classes)).where(F.col("r") <= k + 1)
-    members = top.join(classes.select("class", "ids"), "class").select("query_id", "score", F.explode("ids").alias("id")).where("id <> query_id")
-    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
+            opened = [[int(first[t] + x) for t, x in search(forest, q, share)] for q in _matrix(batch.column(1), dims)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opened, pa.list_(pa.int32()))], ["query_id", "q", "opened"])
+
+    def rerank(queries: pa.Table, block: pa.Table) -> pa.Table:
+        """The k nearest ids of this block for each query, among the classes in its opened leaves."""
+        out_q, out_i, out_s = [], [], []
+        if len(queries) and len(block):
+            q, x, leaves = _matrix(queries["q"], dims), _matrix(block["v"], dims), _matrix(block["leaves"], trees, np.int64)
+            ids, opened = block["ids"].to_pylist(), np.zeros(int(first[-1]), bool)
+            for i, (own, numbers) in enumerate(zip(queries["query_id"].to_pylist(), queries["opened"], strict=True)):
+                opened[:] = False
+                opened[numbers.values.to_numpy()] = True
+                some = np.flatnonzero(opened[leaves].any(axis=1))
+                found = _nearest_ids(np.sqrt(((x[some] - q[i]) ** 2).sum(1)), [ids[j] for j in some.tolist()], own, k)
+                out_q += [own] * len(found)
+                out_s += [s for s, _ in found]
+                out_i += [j for _, j in found]
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.float64())})
+
+    indexed = scratch.keep(classes.mapInArrow(index, f"cell int, leaves array<int>, v1 long, ids array<long>, v {kind}"), "index")
+    queries = rows.where(F.col("id") % query_step == 0).groupBy("id").agg(F.min("v").alias("q"))
+    probes = scratch.keep(queries.mapInArrow(probe, f"query_id long, q {kind}, opened array<int>"), "probes")
+    filled = indexed.select(F.col("cell").alias("home"), F.explode("leaves").alias("leaf")).distinct()
+    visits = probes.select("query_id", F.explode("opened").alias("leaf")).join(filled, "leaf").select("query_id", "home").distinct()
+    chunks = 1 + probes.count() // BLOCK_QUERIES
+    numbered = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    asked = probes.join(visits, "query_id").withColumnRenamed("home", "cell").withColumn("chunk", numbered("query_id", chunks)).withColumn("block", every(blocks))
+    held = indexed.withColumn("block", numbered("v1", blocks)).withColumn("chunk", every(chunks)).drop("v1")
+    key = ["cell", "block", "chunk"]
+    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(rerank, "query_id long, id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

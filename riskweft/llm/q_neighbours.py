@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .neighbours import nearest
 
-QUERY_STEP, K, TREES, SHARE = 100, 10, 8, 0.3
+QUERY_STEP, K, TREES, SHARE = 100, 10, 8, 0.5
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,14 +116,50 @@ def test_few_vectors(spark):
     assert neighbours.nearest(vectors(spark, [(0, [0.0], 0, 0, "")])).count() == 0
 
 
+@pytest.mark.parametrize("odd", [[], [1.0], [1.0, 2.0, 3.0], [None, 1.0], [0.0, 0.0], [float("inf"), 1.0], None])
+def test_an_odd_vector_takes_no_part(spark, odd):
+    """Wherever it stands: what is left is as if it weren't there."""
+    good = [(100, [1.0, 0.0], 0, 0, ""), (7, [0.0, 1.0], 0, 0, ""), (9, [3.0, 0.0], 0, 0, "")]
+    for at in (0, 200):
+        got = neighbours.nearest(vectors(spark, [(at, odd, 0, 0, ""), *good])).collect()
+        assert sorted(map(tuple, got)) == [(100, 1, 7, pytest.approx(2**0.5)), (100, 2, 9, 2.0)]
+
+
+def test_ids_that_repeat(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [5.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 3.0]), (8, [9.0, 0.0])]
+    got = neighbours.nearest(vectors(spark, [(i, v, 0, 0, "") for i, v in rows])).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 7, 1.0), (0, 2, 7, 3.0), (0, 3, 8, 8.0)]
+
+
+def test_blocks_and_chunks(spark, monkeypatch):
+    """Small blocks, so cells, blocks of a leaf and chunks of queries all split; each candidate is met once."""
+    for name, value in (("BLOCK_ROWS", 20), ("BLOCK_QUERIES", 10), ("LEAF_ROWS", 40)):
+        monkeypatch.setattr(neighbours, name, value)
+    m = np.random.default_rng(5).normal(size=(600, 4))
+    rows = [(i, list(map(float, x)), 0, 0, "") for i, x in enumerate(m)]
+    got = neighbours.nearest(vectors(spark, rows), 20, 5, 3, 1.0).collect()
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    want = []
+    for q in range(0, 600, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want += [(q, n + 1, int(v), pytest.approx(d[v])) for n, v in enumerate(np.lexsort((np.arange(600), d))[:5])]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_search_opens_leaves_by_margin():
     r = np.random.default_rng(0)
     rows = r.normal(size=(400, 5))
     trees = [neighbours.Tree.grow(rows, 20, r) for _ in range(3)]
-    assert all(abs(t.shares.sum() - 1) < 1e-9 for t in trees)
+    assert all(sorted(np.concatenate(t.members)) == list(range(400)) for t in trees)
     own = neighbours.search(trees, rows[0], 0.01)
     assert own[0][1] == trees[own[0][0]].leaves(rows[:1])[0]
-    assert len(neighbours.search(trees, rows[0], 1.0)) == sum(len(t.shares) for t in trees)
+    for share in (0.3, 1.0):
+        seen = set().union(*(trees[t].members[x] for t, x in neighbours.search(trees, rows[0], share)))
+        assert share * 400 <= len(seen) <= share * 400 + 20
+    cells = trees[0].cells(100)
+    held = Counter(int(c) for c, m in zip(cells, trees[0].members, strict=True) for _ in m)
+    assert set(held) == set(range(len(held))) and max(held.values()) <= 100 and len(held) < len(cells)
 
 
 def test_shards(spark):
