@@ -86,14 +86,36 @@ def test_keys_fold_only_ascii(spark):
     assert [r["x"] for r in df.collect()] == [False, True, False, True]
 
 
-def test_runs_stay_few(spark):
-    runs, total = lines.LineRuns(spark, Scratch(spark, "test")), 0
+def batch(spark, b):
+    return spark.range(20).select((F.col("id") % (4 + b)).alias("h1"), F.lit(0).cast("long").alias("h2"), (F.col("id") + 100 * b).alias("__doc"))
+
+
+def test_runs(spark):
+    """Runs stay few, a line has one entry, recurrences are added to it; without telling fresh lines from known ones counts would be wrong."""
+    runs = lines.LineRuns(spark, Scratch(spark, "test"))
     for b in range(6):
-        df = spark.range(20).select((F.col("id") % (4 + b)).alias("h1"), F.lit(0).cast("long").alias("h2"), (F.col("id") + 100 * b).alias("__doc"))
-        total += runs.add(df).where("fresh").count()
-    assert total == 9 and sum(map(len, runs.levels)) <= 3
-    got = {r["h1"]: r["n_docs"] for r in runs.merged(runs.runs()).collect()}
-    assert got == dict(Counter(i % (4 + b) for b in range(6) for i in range(20)))
+        name = runs.add(batch(spark, b))
+        fresh = {r["h1"] for r in spark.table(name).where("fresh").collect()}
+        assert fresh == (set(range(4)) if b == 0 else {3 + b}) and spark.table(name).count() == 4 + b
+        runs.compact()
+    assert len(runs.names()) <= 3
+    entries = [r["h1"] for name in runs.names() for r in spark.table(name).where("fresh").collect()]
+    assert sorted(entries) == list(range(9))
+    got = {r["h1"]: (r["n_docs"], r["last_doc"]) for r in runs.counted().collect()}
+    want = Counter(i % (4 + b) for b in range(6) for i in range(20))
+    assert got == {h: (n, max(i + 100 * b for b in range(6) for i in range(20) if i % (4 + b) == h)) for h, n in want.items()}
+    names = runs.names()
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_runs_are_not_dealt_or_sorted_again(spark):
+    runs = lines.LineRuns(spark, Scratch(spark, "test"))
+    a, b = runs.add(batch(spark, 0)), runs.add(batch(spark, 1))
+    with lines._sorted_scans(spark):
+        plan = runs._merged(spark.table(a).where("fresh"), spark.table(b).where("fresh"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
 
 
 def water(sizes, weights):
