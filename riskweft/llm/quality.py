@@ -77,6 +77,7 @@ def _lines_marked(docs: DataFrame, scratch: Scratch, keys: list[Column], text_co
     )
     per_doc = scratch.keep(per_doc, "lines")
     often = per_doc.groupBy("__host", "__h1", "__h2").count().where(F.col("count") > max_docs).select(F.col("__host").alias("__o"), F.col("__h1").alias("__o1"), F.col("__h2").alias("__o2"), F.lit(True).alias("__often"))
+    often = scratch.keep(often, "often")  # so the join has no aggregate below it and may split a hot line
     return per_doc.join(often, F.col("__host").eqNullSafe(F.col("__o")) & (F.col("__h1") == F.col("__o1")) & (F.col("__h2") == F.col("__o2")), "left")
 
 
