@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .sharding import shard_documents
 
-SHARDS, ROUNDS = 16, 4
+SHARDS = 16
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHARDS, ROUNDS)
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHARDS)

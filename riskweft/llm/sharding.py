@@ -2,12 +2,12 @@
 
 Documents with equal texts are linked (to their group, not pair by pair). Every document starts in a shard of equal
 bytes; in each round the documents of a group that lie in one shard move, as one chunk, to the shard that holds most of
-their group, while that shard has room. A group that is still split then moves as a whole to any shard with room for
+their group, while that shard has room, until no chunk may move. A group that is still split then moves as a whole to any shard with room for
 it; one that no shard has room for is laid along the free room, so it takes few shards. Documents without links are
 placed last and level the shards exactly.
 
 Edge cases: a null text counts as an empty one (size 1, crc32 0) and is linked with empty ones; a group larger than a
-shard is spread over several; repeated rows are placed one by one; with fewer bytes than shards some shards are
+shard is spread over several; repeated rows are placed one by one; a very long text is placed like any other; with fewer bytes than shards some shards are
 empty; an empty table gives an empty one; columns other than the two named ones are neither read nor returned.
 """
 
@@ -28,10 +28,13 @@ def _binned(df: DataFrame, rows: int) -> DataFrame:
     return df.withColumn("__bin", F.floor((F.col("__order") / float(2**64) + 0.5) * bins))
 
 
-def _propagate(chunks: DataFrame, scratch: Scratch, n_shards: int, room: float, rounds: int) -> DataFrame:
-    """(g1, g2, born, shard, bytes): where the chunk of a group that began in shard born ends up."""
+def _propagate(chunks: DataFrame, scratch: Scratch, n_shards: int, room: float) -> DataFrame:
+    """(g1, g2, born, shard, bytes): where the chunk of a group that began in shard born ends up.
+
+    A granted move leaves a group in fewer shards, so the rounds come to an end.
+    """
     chunks = scratch.keep(chunks.withColumn("shard", F.col("born")), "chunks")
-    for _ in range(rounds):
+    while True:
         mass = chunks.groupBy("g1", "g2", "shard").agg(F.sum("bytes").alias("mass"))
         loads = {r["shard"]: r["load"] for r in mass.groupBy("shard").agg(F.sum("mass").alias("load")).collect()}  # n_shards rows
         free = [max(0.0, room - (loads.get(s) or 0)) for s in range(n_shards)]
@@ -43,12 +46,13 @@ def _propagate(chunks: DataFrame, scratch: Scratch, n_shards: int, room: float,
         moves = moves.where(F.col("mass") <= quota).select("g1", "g2", "shard", "to", "mass", F.xxhash64("g1", "g2", "shard").alias("__order"))
         moves = scratch.keep(moves, "moves")
         if not (n := moves.count()):
-            break
+            return chunks
         moves = prefix_sum(_binned(moves, n), ["to"], ["__order", "g1", "g2", "shard"], "__bin", "mass", "before")
-        granted = moves.where(F.col("before") + F.col("mass") <= quota).select("g1", "g2", "shard", "to")
+        granted = scratch.keep(moves.where(F.col("before") + F.col("mass") <= quota).select("g1", "g2", "shard", "to"), "granted")
+        if not granted.limit(1).count():
+            return chunks
         chunks = chunks.join(granted, ["g1", "g2", "shard"], "left").select("g1", "g2", "born", F.coalesce("to", "shard").alias("shard"), "bytes")
         chunks = scratch.keep(chunks, "chunks")
-    return chunks
 
 
 def _line(free: list[float]) -> tuple[list[int], list[float]]:
@@ -89,7 +93,7 @@ def _homes(chunks: DataFrame, large: DataFrame, scratch: Scratch, n_shards: int,
     return scratch.keep(homes.select("g1", "g2", "shard", F.lit(None).cast("long").alias("offset")).union(rest.select("g1", "g2", F.lit(None).cast("int"), "offset")), "homes"), free
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) of every row, under the law `bytes`."""
     scratch = Scratch(docs.sparkSession, "sharding")
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -98,6 +102,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 4, id_col
     total = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     room = total["bytes"] / n_shards
     linked = nodes.groupBy("g1", "g2").agg(F.count("*").alias("count"), F.sum("size").alias("mass")).where("count > 1").select("g1", "g2", "mass")
+    linked = scratch.keep(linked, "linked")  # so the join has no aggregate below it and may split a hot text
     nodes = prefix_sum(_binned(nodes, total["n"]), [], ["__order", "__id"], "__bin", "size", "__before")
     born = F.least(F.floor(F.col("__before") / max(room, 1e-9)), F.lit(n_shards - 1)).cast("int")
     nodes = nodes.withColumn("born", born).drop("__before", "__bin")
@@ -105,7 +110,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 4, id_col
 
     large = nodes.where(F.col("mass") > room).select("g1", "g2", "mass").distinct()  # in no shard as a whole, so not in the way of the others
     chunks = nodes.where(F.col("mass") <= room).groupBy("g1", "g2", "born").agg(F.sum("size").alias("bytes"))
-    homes, free = _homes(_propagate(chunks, scratch, n_shards, room, rounds), large, scratch, n_shards, room)
+    homes, free = _homes(_propagate(chunks, scratch, n_shards, room), large, scratch, n_shards, room)
     moved = scratch.keep(nodes.where("__linked").select("g1", "g2", "__id", "size", "text_crc32", "__order").join(homes, ["g1", "g2"]), "moved")
     spread = moved.where("shard IS NULL")
     order, ends = _line(free)
