@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for the nodes of edges (a, b): comp is the smallest node of the component.
 
     Each round is written to the shared folder, which cuts the lineage; it ends when no label changes.
@@ -16,7 +16,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.keep(both.distinct(), "edges")
     labels, old = None, None
-    for _ in range(rounds):
+    while True:
         if labels is None:
             near = both.groupBy("a").agg(F.min("b").alias("near"))
             step = near.select(F.col("a").alias("node"), F.col("a").alias("was"), F.least("a", "near").alias("comp"))
@@ -38,4 +38,3 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         labels = done.select("node", "comp")
         if not done.where("comp <> was").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

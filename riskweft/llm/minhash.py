@@ -15,8 +15,9 @@ Every pair with T common coordinates is decided by exact comparison of the full
 length is a join that the engine may split.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null texts and texts without words have the empty
-set and are linked with nothing; a null id is linked with nothing; rows that share id and text are alike; an empty
-table gives an empty one; other columns pass through dedup_documents and are not read otherwise.
+set and are linked with nothing; a null id is linked with nothing; rows that share id and text are alike; an id with
+several texts is one document, so the groups of its texts are one; the shingles of a very long text are made block by
+block; an empty table gives an empty one; other columns pass through dedup_documents and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -198,7 +199,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = rows.where("s1 IS NOT NULL AND __id IS NOT NULL")
     least = F.min(F.struct("__id", "__k1", "__k2", "n"))
     classes = named.groupBy("s1", "s2").agg(least.alias("x"), F.first("sig").alias("sig")).select("s1", "s2", F.col("x.__id").alias("id"), "x.__k1", "x.__k2", "x.n", "sig")
-    # ids that repeat with different texts would be one node; only the class that comes first keeps such an id as its own
     classes = scratch.keep(classes, "classes")
     cand = scratch.keep(_candidates(classes, t), "candidates")
     sets = scratch.keep(_sets(docs, cand, k, id_col, text_col), "sets")
