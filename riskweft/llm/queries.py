@@ -14,7 +14,6 @@ MODULES = {
     "op3_line_dedup": "q_lines",
     "op4_quality_classifier": "q_ordinal",
     "op5_url_filters": "q_urls",
-    "op5_url_prefixes": "q_url_prefixes",
     "op6_mixing": "q_mixing",
     "op7_minhash": "q_minhash",
     "op8_sharding": "q_sharding",

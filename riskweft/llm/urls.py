@@ -4,9 +4,13 @@ Dated list entries (add or remove a host or a path prefix) become validity inter
 with the entries that were active when it was fetched. A host entry covers the host and its subdomains, a prefix entry
 what begins with it as host and path, wherever it ends.
 
+A capture is named by its contents (id, URL and time), so captures of one page at different times are judged apart.
+
 Edge cases: entries with a null value, list or date are ignored; captures with a null or malformed URL, or without a
-fetch time, match nothing and pass; equal entries count once; of entries at one moment a removal comes first, so an
-addition at that moment holds; empty tables pass everything; extra columns of captures pass through.
+fetch time, match nothing and pass; a null id is like any other; captures equal in id, URL and time get the same result,
+each its own row; equal entries count once; of entries at one moment a removal comes first, so an addition at that
+moment holds; dots at the end of a host don't count; a very long URL is looked up under no more beginnings than entries
+of its host have lengths; empty tables pass everything; extra columns of captures pass through.
 """
 
 from __future__ import annotations
@@ -15,11 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .quality import row_key
 
 
 def host(url: Column) -> Column:
-    """Lower-cased host without user and port; empty for what is no URL."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """Lower-cased host without user, port and dots at its end; empty for what is no URL."""
+    return F.rtrim(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit("."))
 
 
 def path(url: Column) -> Column:
@@ -32,7 +37,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     Additions to what is already listed are merged, so the intervals of a value are as many as its real changes.
     """
     known = entries.where("list IS NOT NULL AND kind IS NOT NULL AND value IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
-    known = known.select("list", "kind", F.lower("value").alias("value"), F.col("action") == "add", "at").toDF("list", "kind", "value", "on", "at")
+    value = F.when(F.col("kind") == "host", F.rtrim(F.lower("value"), F.lit("."))).otherwise(F.lower("value"))
+    known = known.select("list", "kind", value.alias("value"), (F.col("action") == "add").alias("on"), "at")
     # of one moment, the addition holds
     moments = known.groupBy("list", "kind", "value", "at").agg(F.max("on").alias("on"))
     over = Window.partitionBy("list", "kind", "value").orderBy("at")
@@ -53,31 +59,37 @@ def keys(url: Column, lengths: Column) -> Column:
 
 
 def matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
-    """(id_col, list, kind, value, since): the entries active for each capture at its time.
+    """(__k1, __k2, id_col, at_col, list, kind, value, since): the entries active for each capture at its time, once for
+    captures that are equal; __k1 and __k2 name the capture.
 
     A prefix may end anywhere, so a page is looked up under its beginnings of the lengths that its host's entries have,
-    not under each entry of its host.
+    not under each entry of its host. The intervals and the lengths are written first, so their size is known: small
+    ones go to the captures, which are then not dealt at all; beyond that a hot host or key is split.
     """
-    spans = intervals(entries)
+    scratch = Scratch(captures.sparkSession, "urls")
+    spans = scratch.keep(intervals(entries), "intervals")
     begun = spans.where("kind = 'prefix'").select(F.substring_index("value", "/", 1).alias("__host"), F.length("value").alias("n"), F.contains("value", F.lit("/")).alias("__whole"))
-    own = begun.where("__whole").groupBy("__host").agg(F.collect_set("n").alias("__own"))  # no more than a URL has characters
-    own = Scratch(captures.sparkSession, "urls").keep(own, "lengths")  # its size is known, so it is broadcast or a hot host is split
+    own = scratch.keep(begun.where("__whole").groupBy("__host").agg(F.collect_set("n").alias("__own")), "lengths")  # no more than a URL has characters
     other = begun.where("NOT __whole").agg(F.collect_set("n").alias("__other"))  # ends within the host
-    asked = captures.select(F.col(id_col).alias("__id"), F.col(at_col).alias("__at"), F.col(url_col).alias("__url"), host(F.col(url_col)).alias("__h"))
+    asked = captures.select(*row_key(id_col, url_col, at_col), F.col(id_col).alias("__id"), F.col(at_col).alias("__at"), F.col(url_col).alias("__url"), host(F.col(url_col)).alias("__h"))
     asked = asked.join(own, F.col("__h") == F.col("__host"), "left").crossJoin(F.broadcast(other))  # one row
     lengths = F.concat(F.coalesce("__own", F.array().cast("array<int>")), F.col("__other"))
-    asked = asked.select("__id", "__at", F.explode(keys(F.col("__url"), lengths)).alias("__k")).select("__id", "__at", F.col("__k.kind").alias("kind"), F.col("__k.value").alias("value"))
+    asked = asked.select("__k1", "__k2", "__id", "__at", F.explode(keys(F.col("__url"), lengths)).alias("__k")).select("__k1", "__k2", "__id", "__at", F.col("__k.kind").alias("kind"), F.col("__k.value").alias("value"))
     hit = asked.join(spans, ["kind", "value"]).where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
-    return hit.select(F.col("__id").alias(id_col), "list", "kind", "value", "since")
+    return hit.select("__k1", "__k2", F.col("__id").alias(id_col), F.col("__at").alias(at_col), "list", "kind", "value", "since").distinct()
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
-    """The captures, all columns, that no entry matches. A null id passes."""
-    return captures.join(matches(captures, entries, id_col, url_col, at_col).select(id_col).distinct(), id_col, "left_anti").select(*[f"`{c}`" for c in captures.columns])
+    """The captures, all columns, that no entry matches."""
+    hit = matches(captures, entries, id_col, url_col, at_col).select(F.col("__k1").alias("__m1"), F.col("__k2").alias("__m2")).distinct()
+    keyed = captures.select("*", *row_key(id_col, url_col, at_col))
+    return keyed.join(hit, (F.col("__k1") == F.col("__m1")) & (F.col("__k2") == F.col("__m2")), "left_anti").select(*[f"`{c}`" for c in captures.columns])
 
 
 def report(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """(id_col, host, n_matches, lists, blocked) of each capture."""
-    hit = matches(captures, entries, id_col, url_col, at_col).groupBy(F.col(id_col).alias("__m")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    out = captures.select(F.col(id_col), host(F.col(url_col)).alias("host")).join(hit, F.col(id_col) == F.col("__m"), "left")
+    hit = matches(captures, entries, id_col, url_col, at_col).groupBy(F.col("__k1").alias("__m1"), F.col("__k2").alias("__m2"))
+    hit = hit.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    hit = Scratch(captures.sparkSession, "urls").keep(hit, "hits")
+    out = captures.select(F.col(id_col), host(F.col(url_col)).alias("host"), *row_key(id_col, url_col, at_col)).join(hit, (F.col("__k1") == F.col("__m1")) & (F.col("__k2") == F.col("__m2")), "left")
     return out.select(id_col, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("lists", F.lit("")).alias("lists"), F.col("n").isNotNull().alias("blocked"))

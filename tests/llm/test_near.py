@@ -64,6 +64,14 @@ def test_large_groups_make_no_pairs(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_an_id_with_several_texts(spark):
+    """It is one document: its groups are one."""
+    a, b = ("alpha beta gamma delta epsilon zeta " * 3), ("one two three four five six seven " * 3)
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, "something else that stands for itself alone")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True)]
+
+
 def test_near_edges(spark):
     docs = edge.docs(spark)
     got = minhash.near_duplicates(docs).collect()
@@ -227,7 +235,76 @@ def test_url_prefixes_end_anywhere(spark):
     d = dt.date(2024, 1, 1)
     values = ["site.com/de", "site.com/en/78", "site.com/en/7817", "other.o", "third.org"]
     entries = spark.createDataFrame([("a", "prefix", v, "add", d) for v in values], "list string, kind string, value string, action string, at date")
-    pages = ["site.com/de/x", "site.com/deep", "site.com/d", "site.com/en/78", "SITE.com/EN/7817?q", "sub.site.com/de", "other.org/x", "third.org", "third.org/y", "third.com/"]
+    pages = ["site.com/de/x", "site.com/deep", "site.com/d", "site.com/en/78", "SITE.com/EN/7817?q", "sub.site.com/de", "other.org/x", "third.org", "third.org/y", "third.com/", "site.com./de", "third.org:80/z"]
     captures = spark.createDataFrame([(i, f"http://{u}", d) for i, u in enumerate(pages)], "page_id long, url string, fetched_at date")
     got = {r["page_id"]: r["n_matches"] for r in urls.report(captures, entries, "page_id").collect()}
-    assert got == {i: sum(u.lower().split("?")[0].startswith(v) for v in values) for i, u in enumerate(pages)}
+    assert got == {i: sum(u.lower().split("?")[0].replace("com./", "com/").replace(":80", "").startswith(v) for v in values) for i, u in enumerate(pages)}
+
+
+def test_captures_against_brute_force(spark):
+    """Pages captured many times, under ids that repeat or are null, against lists that come and go; every row is judged by itself."""
+    r, day = random.Random(8), lambda x: dt.date(2024, 1, x)
+    hosts = ["a.org", "b.a.org", "x.net", "y.x.net.", "com", "z.com"]
+    entries = []
+    for _ in range(60):
+        kind = r.choice(["host", "prefix"])
+        value = r.choice(hosts) if kind == "host" else r.choice(["a.org/p", "x.net/", "z.co", "b.a.org/p/q", "y.x.net/pq"])
+        entries.append((r.choice("kl"), kind, value, r.choice(["add", "remove"]), day(r.randint(1, 28))))
+    captures = [(r.choice([1, 2, 3, None]), f"http://{r.choice(hosts)}{r.choice(['', '/', '/p', '/p/q', '/pq', '/x'])}", r.choice([None, *map(day, range(1, 29))])) for _ in range(400)]
+    spans = []
+    for name, kind, value in {e[:3] for e in entries}:
+        state = {}
+        for e in entries:
+            if e[:3] == (name, kind, value):
+                state[e[4]] = state.get(e[4], False) or e[3] == "add"
+        on = None
+        for at in sorted(state):
+            if state[at] and on is None:
+                on = at
+            elif not state[at] and on is not None:
+                spans.append((name, kind, value.rstrip("."), on, at))
+                on = None
+        if on is not None:
+            spans.append((name, kind, value.rstrip("."), on, None))
+    spans = set(spans)  # of "y.x.net." there is one form only
+
+    def found(url, at):
+        rest = url.removeprefix("http://")
+        h, _, p = rest.partition("/")
+        h = h.rstrip(".")
+        page = h + ("/" + p if "/" in rest else "")
+        return [s for s in spans if at and s[3] <= at and (s[4] is None or at < s[4]) and (h == s[2] or h.endswith("." + s[2]) if s[1] == "host" else page.startswith(s[2]))]
+
+    df = spark.createDataFrame([(*c, i % 2) for i, c in enumerate(captures)], "page_id long, url string, fetched_at date, list int").repartition(5)
+    lists = spark.createDataFrame(entries, "list string, kind string, value string, action string, at date")
+    want = Counter((i, len(f := found(u, at)), ",".join(sorted({s[0] for s in f}))) for i, u, at in captures)
+    assert Counter(tuple(x) for x in urls.report(df, lists, "page_id").select("page_id", "n_matches", "lists").collect()) == want
+    assert 0 < sum(n for (_, m, _), n in want.items() if m) < 400
+    kept = Counter(tuple(x) for x in urls.filter_captures(df, lists, "page_id").select("page_id", "url", "fetched_at").collect())
+    assert kept == Counter(c for c in captures if not found(*c[1:]))
+
+
+def test_plain_propagation(spark):
+    """With room for all, a group ends as a whole where most of it began; with little room no shard is overfilled, and links are cut only then."""
+    r = random.Random(4)
+    rows = [(g, g, s, r.randint(1, 9)) for g in range(200) for s in r.sample(range(6), r.randint(1, 4))]
+    chunks = spark.createDataFrame(rows, "g1 long, g2 long, born int, bytes long")
+    home = lambda g: max((b, -s) for x, _, s, b in rows if x == g)
+    free = {(x["g1"], x["shard"]) for x in sharding._propagate(chunks, Scratch(spark, "test"), 6, 1e9).collect()}
+    assert free == {(g, -home(g)[1]) for g in range(200)}
+    room, tight = sum(x[3] for x in rows) / 6 * 1.02, sharding._propagate(chunks, Scratch(spark, "test"), 6, sum(x[3] for x in rows) / 6 * 1.02).collect()
+    load, at = Counter(), defaultdict(set)
+    began = Counter()
+    for x in rows:
+        began[x[2]] += x[3]
+    for x in tight:
+        load[x["shard"]] += x["bytes"]
+        at[x["g1"]].add(x["shard"])
+    assert sum(load.values()) == sum(x[3] for x in rows) and all(load[s] <= max(room, began[s]) for s in load)
+    assert sum(map(len, at.values())) < len(rows)
+
+
+def test_links_that_shards_cut(spark):
+    texts = [f"group {i % 50} " * 5 for i in range(400)] + [f"own {i} " * 5 for i in range(2000)]
+    got = sharding.cut_links(sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8)).first()
+    assert (got["links"], got["cut"]) == (350, 0)
