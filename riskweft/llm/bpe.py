@@ -3,8 +3,9 @@
 Two tiers: a minimal perfect hash over the vocabulary resolves pre-tokens that are tokens themselves; the others are
 merged by a heap over a linked list of their bytes. Text is never cut: a batch holds whole documents.
 
-Edge cases: a null text encodes like an empty one (no ids, empty bytes); repeated rows give repeated results; an empty
-table gives an empty one; columns other than the two named ones are neither read nor returned.
+Edge cases: a null text encodes like an empty one (no ids, empty bytes); repeated rows give repeated results; a very long
+text, with or without blanks, is encoded whole, and long pieces of it are not remembered; an empty table gives an empty
+one; columns other than the two named ones are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .common import ship
 
 #: A vocabulary is sent to all executors; larger ones are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Distinct pieces that a worker remembers before it starts a new memo; the one before is kept beside it.
-MEMO_PIECES = 250_000
+#: Bytes of pieces and their ids that a worker remembers before it starts a new memo; the one before is kept beside it.
+MEMO_BYTES = 64 << 20
+#: What an entry takes besides, and the characters of the longest piece that is remembered.
+ENTRY_BYTES, MEMO_CHARS = 200, 64
 #: Bytes of text after which a batch of results is handed on.
 BATCH_BYTES = 4 << 20
 
@@ -136,6 +139,8 @@ class Tokenizer:
         self.flat = np.frombuffer(bytes(flat), np.uint8)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the memo, about
+        self.once: list[str] = []  # pieces too long to be remembered
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Tokenizer:
@@ -193,19 +198,30 @@ class Tokenizer:
         texts = self.recall({x for _, found in cut for x in found}.difference(memo))
         tokens = list(map(str.encode, texts))
         for text, token, slot in zip(texts, tokens, self.hash.slots(tokens), strict=True):
-            memo[text] = array("i", [self.slot_id[slot]] if slot >= 0 else self.merge(token)).tobytes()
+            self.remember(text, array("i", [self.slot_id[slot]] if slot >= 0 else self.merge(token)).tobytes())
         for piece, found in cut:
             if len(found) > 1:
-                memo[piece] = b"".join(map(memo.__getitem__, found))
+                self.remember(piece, b"".join(map(memo.__getitem__, found)))
+
+    def remember(self, piece: str, ids: bytes) -> None:
+        self.memo[piece] = ids
+        self.held += len(piece) + len(ids) + ENTRY_BYTES
+        if len(piece) > MEMO_CHARS:
+            self.once.append(piece)
+
+    def forget_long(self) -> None:
+        for piece in self.once:
+            self.held -= len(piece) + len(self.memo.pop(piece)) + ENTRY_BYTES
+        self.once = []
 
     def recall(self, pieces: set[str]) -> set[str]:
         """Takes over what the older memo has of the pieces; the rest is new."""
-        memo, old = self.memo, self.old
+        old = self.old
         if old:
             for piece in pieces:
                 if (ids := old.get(piece)) is not None:
-                    memo[piece] = ids
-            return pieces.difference(memo)
+                    self.remember(piece, ids)
+            return pieces.difference(self.memo)
         return pieces
 
     def encode(self, text: str) -> np.ndarray:
@@ -220,11 +236,14 @@ class Tokenizer:
             pieces = _cut(text)
         else:
             pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _cut(text)
-        if len(self.memo) > MEMO_PIECES:
-            self.memo, self.old = {}, self.memo
+        if self.held > MEMO_BYTES:
+            self.memo, self.old, self.held = {}, self.memo, 0
         if (new := set(pieces).difference(self.memo)) and (new := self.recall(new)):
             self.learn(new)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
+        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.int32)
+        if self.once:
+            self.forget_long()
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids, which need not be valid UTF-8."""

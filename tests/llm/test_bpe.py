@@ -47,11 +47,21 @@ def test_long_pieces(tok, reference):
 
 
 def test_memo_starts_anew(tok, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 3 * bpe.ENTRY_BYTES)
     for text in ("some words that are more than three", "some other words after that", "some words"):
         assert tok.encode(text).tolist() == reference.encode_ordinary(text)
 
 
+def test_texts_without_blanks_are_not_remembered(reference):
+    """Each a single piece: encoded whole, but the memo stays small."""
+    tok, r = bpe.Tokenizer.load(PATH, P.PATTERN), random.Random(3)
+    hanzi = [chr(0x4E00 + i) for i in range(3000)]
+    for text in ["".join(r.choices(hanzi, k=4000)) for _ in range(30)] + ["".join(r.choices("ABCDabcd0123+/", k=5000)) for _ in range(10)]:
+        assert tok.encode(text).tolist() == reference.encode_ordinary(text)
+    size = sum(len(k) + len(v) + bpe.ENTRY_BYTES for k, v in tok.memo.items())
+    assert tok.held == size and not tok.once and max(map(len, tok.memo), default=0) <= bpe.MEMO_CHARS
+
+
 def test_edges(spark, tok, reference):
     got = sorted(map(tuple, bpe.round_trip_digest(edge.docs(spark), tok).collect()), key=str)
     want = []
