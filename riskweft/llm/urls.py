@@ -76,7 +76,8 @@ def matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str =
     lengths = F.concat(F.coalesce("__own", F.array().cast("array<int>")), F.col("__other"))
     asked = asked.select("__k1", "__k2", "__id", "__at", F.explode(keys(F.col("__url"), lengths)).alias("__k")).select("__k1", "__k2", "__id", "__at", F.col("__k.kind").alias("kind"), F.col("__k.value").alias("value"))
     hit = asked.join(spans, ["kind", "value"]).where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
-    return hit.select("__k1", "__k2", F.col("__id").alias(id_col), F.col("__at").alias(at_col), "list", "kind", "value", "since").distinct()
+    hit = hit.select("__k1", "__k2", F.col("__id").alias(id_col), F.col("__at").alias(at_col), "list", "kind", "value", "since")
+    return scratch.keep(hit, "hits").distinct()  # written, since the join can't split a hot key if an aggregate uses how it was dealt
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
@@ -90,6 +91,5 @@ def report(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str =
     """(id_col, host, n_matches, lists, blocked) of each capture."""
     hit = matches(captures, entries, id_col, url_col, at_col).groupBy(F.col("__k1").alias("__m1"), F.col("__k2").alias("__m2"))
     hit = hit.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    hit = Scratch(captures.sparkSession, "urls").keep(hit, "hits")
     out = captures.select(F.col(id_col), host(F.col(url_col)).alias("host"), *row_key(id_col, url_col, at_col)).join(hit, (F.col("__k1") == F.col("__m1")) & (F.col("__k2") == F.col("__m2")), "left")
     return out.select(id_col, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("lists", F.lit("")).alias("lists"), F.col("n").isNotNull().alias("blocked"))
