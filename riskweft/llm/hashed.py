@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import ship
+from .common import Scratch, ship
 
 #: Words that a task remembers before it starts anew.
 MEMO_WORDS = 500_000
+#: Entries that a fit takes to the driver, at most; twelve bytes each.
+MAX_ENTRIES = 12_000_000
 
 
 def slot(token: str, dims: int) -> int:
@@ -37,11 +39,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: i
     return docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(some), F.col("__doc") == F.col("__id")).select("__doc", "__text", F.col("__label").cast("int").alias("__label"))
 
 
-def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int], list[float]]]], valued: bool = True) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int], list[float]]]], valued: bool = True, max_entries: int | None = None) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The features of the sample on the driver: label of each document, document of each part, and sparse entries.
 
     extract gives for a text its parts (one, or its sentences), each a list of slots and their values, which are left
-    out unless valued. The size is bounded by the sample's. Documents come in the order of their ids, so reruns agree.
+    out unless valued. An id with several texts counts with one of them. Documents are taken in order of a hash of their
+    ids while their entries are max_entries (MAX_ENTRIES) or fewer, so neither their number nor their length may fill the
+    driver; they come in the order of their ids, so reruns agree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,15 +55,23 @@ def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int],
                 [
                     batch.column(0),
                     batch.column(2),
+                    batch.column(3),
                     pa.array([[len(i) for i, _ in p] for p in parts], pa.list_(pa.int32())),
                     pa.array([[x for i, _ in p for x in i] for p in parts], pa.list_(pa.int32())),
                     pa.array([[x for _, v in p for x in v] for p in parts] if valued else [None] * len(parts), pa.list_(pa.float32())),
                 ],
-                ["id", "label", "sizes", "slots", "values"],
+                ["id", "label", "h", "sizes", "slots", "values"],
             )
 
     ship(sample.sparkSession)
-    rows = sample.mapInArrow(run, f"id {sample.schema['__doc'].dataType.simpleString()}, label int, sizes array<int>, slots array<int>, values array<float>").toArrow().combine_chunks().sort_by("id")
+    kind = sample.schema["__doc"].dataType.simpleString()
+    keyed = sample.select("__doc", "__text", "__label", F.xxhash64("__text").alias("__h"))
+    found = keyed.mapInArrow(run, f"id {kind}, label int, h long, sizes array<int>, slots array<int>, values array<float>")
+    found = found.groupBy("id").agg(F.min_by(F.struct("label", "sizes", "slots", "values"), "h").alias("x")).select("id", "x.*")
+    found = Scratch(sample.sparkSession, "features").keep(found, "features")
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # a row a document of the bounded sample
+    some = found.select("id", F.size("slots").alias("n")).withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= (max_entries or MAX_ENTRIES)).select("id")
+    rows = found.join(F.broadcast(some), "id", "left_semi").toArrow().combine_chunks().sort_by("id")
     labels = rows["label"].to_pylist()
     flat = lambda name, kind: np.asarray(rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False), kind)
     parts = np.repeat(np.arange(len(labels), dtype=np.int32), rows["sizes"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))

@@ -4,7 +4,8 @@ One weight vector over hashed text features is shared by all grades; ordered thr
 P(grade > k) = sigmoid(w.x - threshold_k). The model gives the expected grade and the probability of a grade of at
 least the wanted one, by which documents are selected.
 
-Fitting uses at most `bound` labelled documents (a documented parameter); scoring reads every whole text.
+Fitting uses at most `bound` labelled documents (a documented parameter), and fewer if their features exceed MAX_ENTRIES;
+scoring reads every whole text, however long.
 
 Edge cases: a null text scores like an empty one; null labels and labels without a document are ignored; with fewer
 than two grades in the sample every document gets the only grade (or 0) and probability 1; repeated rows get equal
@@ -38,7 +39,7 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>|#*$%&-"
 def word_slots(word: str) -> tuple[int, int]:
     """Slots of the word and of its shape, where letters, capitals, digits and runs are folded."""
     shape = _RUN.sub(r"\1", _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word))))
-    return slot("w:" + word.strip(PUNCTUATION).lower(), DIMS), slot("s:" + shape[:12], DIMS)
+    return slot("w:" + word.strip(PUNCTUATION).lower(), DIMS), slot("s:" + shape, DIMS)
 
 
 def rest_slots(n: int, distinct: int, repeats: int, lines: list[str]) -> tuple[list[int], list[float]]:
@@ -54,11 +55,13 @@ SCALE = 10.0
 def extract(text: str) -> list[tuple[list[int], list[float]]]:
     words = text.split()
     counts = Counter(words)
-    slots, values = rest_slots(len(words), len(counts), sum(map(eq, words, words[1:])), text.split("\n"))
+    total: dict[int, float] = {}
+    for at, value in zip(*rest_slots(len(words), len(counts), sum(map(eq, words, words[1:])), text.split("\n")), strict=True):
+        total[at] = total.get(at, 0.0) + value
     for word, count in counts.items():
-        slots.extend(word_slots(word))
-        values.extend([SCALE * count / len(words)] * 2)
-    return [(slots, values)]
+        for at in word_slots(word):
+            total[at] = total.get(at, 0.0) + SCALE * count / len(words)
+    return [(list(total), list(total.values()))]
 
 
 @dataclass

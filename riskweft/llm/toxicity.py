@@ -3,7 +3,8 @@
 A document is toxic if a sentence is: its score is the noisy-or of its sentences' probabilities. The weights of hashed
 words are fitted to document labels through the noisy-or, and then locate the sentences that offend.
 
-Fitting uses at most `bound` labelled documents of each label (a documented parameter); scoring reads every whole text.
+Fitting uses at most `bound` labelled documents of each label (a documented parameter), and fewer if their features exceed
+MAX_ENTRIES; scoring reads every whole text, however long.
 
 Edge cases: null and empty texts have no sentence and score 0; null labels are ignored; without a toxic label in the
 sample every score is near 0; repeated rows get equal scores; an empty table gives an empty one; columns other than the

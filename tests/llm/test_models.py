@@ -1,11 +1,13 @@
 """The two classifiers on held-out rows of the test tables, and on odd documents."""
 
+import re
+
 import edge
 import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
-from riskweft.llm import ordinal, toxicity
+from riskweft.llm import hashed, ordinal, toxicity
 
 BIG = SF.replace("0.001", "0.01")
 
@@ -47,6 +49,57 @@ def test_quality_edges(spark):
     assert twice.count() == 1
 
 
+def test_scores_are_the_plain_sum(spark):
+    """Every whole text, odd ones too: the score is that of its features, taken one by one."""
+    docs = edge.docs(spark)
+    model = ordinal.fit(docs, spark.createDataFrame([(i, i % 3) for i in range(30)], "doc_id long, quality int"))
+    got = sorted(map(tuple, ordinal.score(docs, model, grade=2).collect()), key=str)
+    want = []
+    for i, text, *_ in edge.rows():
+        (slots, values), z = ordinal.extract(text or "")[0], 0.0
+        for s, v in zip(slots, values, strict=True):
+            z += model.weights[s] * v
+        p = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        want.append((i, sum(p), p[1]))
+    assert len(p) == 2 and [g[0] for g in got] == [w[0] for w in sorted(want, key=str)]
+    assert np.allclose([g[1:] for g in got], [w[1:] for w in sorted(want, key=str)], atol=1e-9)
+
+
+def test_fit_is_the_most_likely(spark):
+    """No parameters near the fitted ones make the graded sample likelier, under the same penalty."""
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(6)]
+    rows = [(i, " ".join(r.choice(words, 8, p=np.roll([0.4, 0.2, 0.1, 0.1, 0.1, 0.1], i % 3)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grades = {i: int(np.clip(i % 3 + r.integers(-1, 2), 0, 2)) for i, _ in rows}
+    model = ordinal.fit(docs, spark.createDataFrame(list(grades.items()), "doc_id long, quality int"), rounds=3000, l2=1e-2)
+    x = np.zeros((len(rows), ordinal.DIMS))
+    for i, text in rows:
+        for s, v in zip(*ordinal.extract(text)[0], strict=True):
+            x[i, s] += v
+    used = np.flatnonzero(x.any(0))
+    y = np.array([grades[i] for i, _ in rows])
+
+    def loss(w, t):
+        above = 1 / (1 + np.exp(t[None, :] - (x[:, used] @ w)[:, None]))
+        p = np.hstack([np.ones((len(y), 1)), above]) - np.hstack([above, np.zeros((len(y), 1))])
+        return -np.log(p[np.arange(len(y)), y]).mean() + 0.5e-2 * (w * w).sum()
+
+    w, t = model.weights[used], model.thresholds
+    best = loss(w, t)
+    assert all(loss(w + 0.02 * r.normal(size=len(w)), t + 0.02 * r.normal(size=2)) > best - 1e-5 for _ in range(200))
+
+
+def test_features_to_the_driver_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} " * (i + 1)) for i in range(50)] + [(7, "another text of the seventh")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    sample = hashed.labelled_sample(docs, labels, "quality", 40, "doc_id", "text")
+    y, parts, entries, slots, values = hashed.collected(sample, ordinal.extract)
+    assert len(y) == 40 and parts.tolist() == list(range(40)) and len(entries) == len(slots) == len(values)
+    few, *_, some, _ = hashed.collected(sample, ordinal.extract, max_entries=len(slots) // 2)
+    assert 0 < len(few) < 40 and len(some) <= len(slots) // 2
+
+
 def test_toxicity_on_held_out(spark):
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")))
@@ -72,6 +125,23 @@ def test_noisy_or():
     assert scorer.document("") == 0.0
 
 
+def test_documents_are_the_plain_noisy_or(spark):
+    docs = edge.docs(spark)
+    weights = {s: 0.1 * (k + 1) for k, w in enumerate(["this", "very", "word", "copy", "🙂", "éclair"]) for s in toxicity.word_slots(w)}
+    model = toxicity.ToxicityModel(-3.0, weights)
+    want = []
+    for i, text, *_ in edge.rows():
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            if sentence.strip():
+                slots = {s for w in sentence.split() for s in toxicity.word_slots(w)}
+                clean *= 1 - 1 / (1 + np.exp(3.0 - sum(weights.get(s, 0.0) for s in slots)))
+        want.append((i, 1 - clean))
+    got = sorted(map(tuple, toxicity.score(docs, model).collect()), key=lambda r: (str(r[0]), r[1]))
+    want.sort(key=lambda r: (str(r[0]), r[1]))
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
+
+
 def test_toxicity_edges(spark):
     docs = edge.docs(spark)
     none = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
