@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweft.ml.boosting import BoostedTrees
 from riskweft.session import ship
 
 
@@ -39,6 +40,8 @@ def paths(tree: Any) -> list[tuple[float, dict[int, tuple[float, float, float]]]
 
 def ensemble_paths(model: Any) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
     """Leaves of a boosted model, weighted by their trees."""
+    if isinstance(model, BoostedTrees):
+        return model.paths()
     return [(w * value, path) for tree, w in zip(model.trees, model.treeWeights, strict=True) for value, path in paths(tree)]
 
 

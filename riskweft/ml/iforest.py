@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweft.operators.prepare import impute, medians
+from riskweft.operators.prepare import impute, medians, quantiles
 from riskweft.session import ship
 
 EULER = 0.5772156649015329
@@ -67,9 +67,8 @@ class IsolationForest:
         self.size = min(self.sample, len(rows))
         random, limit = np.random.default_rng(self.seed), math.ceil(math.log2(max(2, self.size)))
         self.forest = [grow(rows[random.choice(len(rows), self.size, replace=False)], limit, random) for _ in range(self.trees)]
-        raw = self._raw(filled)
-        got = raw.agg(F.min("__raw").alias("low"), F.max("__raw").alias("high"), F.percentile("__raw", 1 - self.contamination).alias("cut")).first()
-        self.range, self.offset = (got["low"], got["high"]), got["cut"]
+        got = {r["share"]: r["value"] for r in quantiles(self._raw(filled), ["__raw"], [0.0, 1 - self.contamination, 1.0]).collect()}  # three rows
+        self.range, self.offset = (got[0.0], got[1.0]), got[1 - self.contamination]
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:

@@ -9,13 +9,27 @@ from pyspark.sql import functions as F
 
 from riskweft.functions.scalars import node_id
 from riskweft.schema import tables
+from riskweft.scratch import kept
 
 
-def device_share_pairs(links: DataFrame) -> DataFrame:
-    """(account_a, account_b, device_id): pairs of accounts on a device, a < b, under their smallest shared device."""
-    ad = links.select("account_id", "device_id").distinct()
-    left, right = ad.select(F.col("account_id").alias("account_a"), "device_id"), ad.select(F.col("account_id").alias("account_b"), "device_id")
-    return left.join(right, "device_id").where("account_a < account_b").groupBy("account_a", "account_b").agg(F.min("device_id").alias("device_id"))
+#: Accounts of a device that one task pairs with as many others, about.
+BLOCK = 1000
+
+
+def device_share_pairs(links: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(account_a, account_b, device_id): pairs of accounts on a device, a < b, under their smallest shared device.
+
+    The accounts of a device are dealt into blocks, and each two blocks meet in a cell of their own, so a task never
+    holds a whole hot device; a device with fewer accounts than a block is one cell.
+    """
+    ad = kept(links.select("account_id", "device_id").where("account_id IS NOT NULL AND device_id IS NOT NULL").distinct(), "links")
+    sizes = kept(ad.groupBy("device_id").agg((1 + F.floor(F.count("*") / block)).cast("int").alias("blocks")).where("blocks > 1"), "sizes")
+    dealt = ad.join(sizes, "device_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("account_id"), F.col("blocks")).cast("int"))
+    first = dealt.select("device_id", F.col("account_id").alias("account_a"), F.col("block").alias("row"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("column"))
+    second = dealt.select("device_id", F.col("account_id").alias("account_b"), F.col("block").alias("column"), F.explode(F.sequence(F.lit(0), "block")).alias("row"))
+    met = first.join(second, ["device_id", "row", "column"]).where((F.col("row") < F.col("column")) | (F.col("account_a") < F.col("account_b")))
+    return met.groupBy(F.least("account_a", "account_b").alias("account_a"), F.greatest("account_a", "account_b").alias("account_b")).agg(F.min("device_id").alias("device_id"))
 
 
 def edges(env: Mapping[str, DataFrame]) -> DataFrame:
@@ -30,24 +44,32 @@ def edges(env: Mapping[str, DataFrame]) -> DataFrame:
 
 def degrees(edge_frame: DataFrame) -> DataFrame:
     """(node, degree)."""
-    ends = edge_frame.select(F.col("src").alias("node")).unionAll(edge_frame.select(F.col("dst").alias("node")))
+    ends = edge_frame.select(F.explode(F.array("src", "dst")).alias("node"))
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
 def sharing_neighbours(links: DataFrame) -> DataFrame:
     """(account_id, other): both directions of the sharing pairs."""
-    pairs = device_share_pairs(links)
-    return pairs.select(F.col("account_a").alias("account_id"), F.col("account_b").alias("other")).unionAll(pairs.select(F.col("account_b").alias("account_id"), F.col("account_a").alias("other")))
+    both = F.explode(F.array(F.struct(F.col("account_a").alias("account_id"), F.col("account_b").alias("other")), F.struct(F.col("account_b").alias("account_id"), F.col("account_a").alias("other"))))
+    return device_share_pairs(links).select(both.alias("x")).select("x.*")
 
 
 def fraud_accounts(tx: DataFrame) -> DataFrame:
     return tx.where("label_fraud = 1").select("account_id").distinct()
 
 
+def neighbour_counts(links: DataFrame, tx: DataFrame) -> DataFrame:
+    """(account_id, n, suspicious): sharing neighbours, and those with a labelled transaction, from one pass over the pairs.
+
+    Uses labels of all times: for analysis, not for training.
+    """
+    bad = kept(fraud_accounts(tx).select(F.col("account_id").alias("other"), F.lit(1).cast("long").alias("bad")), "bad")
+    return sharing_neighbours(links).join(bad, "other", "left").groupBy("account_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("suspicious"))
+
+
 def suspicious_neighbours(links: DataFrame, tx: DataFrame) -> DataFrame:
-    """(account_id, n): sharing neighbours with a labelled transaction. Uses labels of all times: for analysis, not for training."""
-    bad = fraud_accounts(tx).withColumnRenamed("account_id", "other")
-    return sharing_neighbours(links).join(bad, "other", "left_semi").groupBy("account_id").agg(F.count("*").alias("n"))
+    """(account_id, n): sharing neighbours with a labelled transaction, where there are any."""
+    return neighbour_counts(links, tx).where("suspicious > 0").select("account_id", F.col("suspicious").alias("n"))
 
 
 GRAPH_COLUMNS = ["account_degree", "device_degree", "merchant_degree", "shared_device_count", "account_suspicious_neighbor_count"]
@@ -59,11 +81,12 @@ def graph_features(env: Mapping[str, DataFrame]) -> DataFrame:
     owned = accounts.join(users.select("user_id"), "user_id", "left_semi").select("account_id").distinct().withColumn("n", F.lit(1).cast("long"))
     ad = links.select("account_id", "device_id").distinct()
     am = tx.where("merchant_id IS NOT NULL").select("account_id", "merchant_id").distinct()
-    parts = owned.unionAll(ad.groupBy("account_id").agg(F.count("*").alias("n"))).unionAll(am.groupBy("account_id").agg(F.count("*").alias("n"))).unionAll(sharing_neighbours(links).groupBy("account_id").agg(F.count("*").alias("n")))
+    shared = kept(neighbour_counts(links, tx), "neighbours")
+    parts = owned.unionAll(ad.groupBy("account_id").agg(F.count("*").alias("n"))).unionAll(am.groupBy("account_id").agg(F.count("*").alias("n"))).unionAll(shared.select("account_id", "n"))
     account = parts.groupBy("account_id").agg(F.sum("n").alias("account_degree"))
     dev = ad.groupBy("device_id").agg(F.count("*").alias("device_degree"))
     mer = am.groupBy("merchant_id").agg(F.count("*").alias("merchant_degree"))
-    sus = suspicious_neighbours(links, tx).withColumnRenamed("n", "sus")
+    sus = shared.select("account_id", F.col("suspicious").alias("sus"))
     out = tx.select("txn_id", "account_id", "device_id", "merchant_id").join(account, "account_id", "left").join(dev, "device_id", "left").join(mer, "merchant_id", "left").join(sus, "account_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     return out.select("txn_id", zero("account_degree").alias("account_degree"), zero("device_degree").alias("device_degree"), zero("merchant_degree").alias("merchant_degree"), F.greatest(zero("device_degree") - 1, F.lit(0)).alias("shared_device_count"), zero("sus").alias("account_suspicious_neighbor_count"))

@@ -110,12 +110,14 @@ def mock_answer(given: Column) -> Column:
 def accuracy(df: DataFrame, levels: Mapping[str, str] | None = None) -> DataFrame:
     """One row of rates from expected (JSON) and answer (struct). levels maps other level names to the answer's.
 
-    A value that is not expected counts as right; an exact match needs both values expected and right.
+    A value that is not expected counts as right, a null answer as wrong where one is; an exact match needs both values
+    expected and right.
     """
     want = lambda c: F.upper(F.trim(F.coalesce(F.get_json_object("expected", f"$.{c}"), F.lit(""))))
     risk = S.mapped(want("risk_level"), levels or {}, want("risk_level")) if levels else want("risk_level")
     kind = want("fraud_type")
-    risk_ok, kind_ok = F.col("answer.risk_level") == risk, F.col("answer.fraud_type") == kind
+    right = lambda c, x: F.coalesce(F.col(f"answer.{c}") == x, F.lit(False))
+    risk_ok, kind_ok = right("risk_level", risk), right("fraud_type", kind)
     rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
     return df.agg(
         F.count("*").alias("n_total"),

@@ -1,7 +1,8 @@
 """Evaluation of scores against labels, exact, from one sorted pass over distinct scores.
 
-Rows are first summed by score, with map-side combining. Running counts go in two levels: score ranges are counted and
-prefixed, then each range runs on its own, so no task sorts all scores.
+Rows are first summed by score, with map-side combining. Running counts go in two levels: the sums are dealt into ranges
+of scores that hold as many each, and written; ranges are counted and prefixed, then each runs on its own, so no task
+sorts all scores, however they crowd.
 """
 
 from __future__ import annotations
@@ -9,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of scores that run in parallel.
-RANGES = 64
+from riskweft.scratch import in_ranges
 
 
 def by_score(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -21,11 +21,8 @@ def by_score(df: DataFrame, label: str = "label", score: str = "score") -> DataF
 
 def curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(score, tp, fp, positives, negatives): counts at the threshold `>= score`, for every distinct score."""
-    per = by_score(df, label, score)
-    span = per.agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    width = F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
-    per = per.join(F.broadcast(span)).withColumn("range", F.floor((F.col("score") - F.col("low")) / width * RANGES).cast("int")).drop("low", "high")  # span is one row
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    per = in_ranges(by_score(df, label, score), ["score"], "curve", "range")
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not scores
     every = Window.partitionBy(F.lit(0))
     ranges = per.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     ranges = ranges.select("range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_above"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.sum("p").over(every).alias("positives"), F.sum("n").over(every).alias("negatives"))

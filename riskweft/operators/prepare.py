@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
+from riskweft.scratch import in_ranges
 
 
 class SplitError(ValueError):
@@ -73,18 +74,24 @@ def tagged_split(df: DataFrame, tag: str, key: str, seed: int = 42) -> DataFrame
 
 def ordered_split(df: DataFrame, order: Sequence[str], share: float = 0.8) -> DataFrame:
     """Adds split: the first share of the rows in order is train, the rest test. Ranks come from range counts."""
-    ranked = with_rank(df, order)
-    n = df.agg(F.count("*").alias("__n"))
-    return ranked.join(F.broadcast(n)).withColumn("split", F.when(F.col("__rank") <= F.floor(F.col("__n") * share), "train").otherwise("test")).select(*df.columns, "split")  # n is one row
+    ranked = with_rank(df, order, total="__n")
+    return ranked.withColumn("split", F.when(F.col("__rank") <= F.floor(F.col("__n") * share), "train").otherwise("test")).select(*df.columns, "split")
 
 
-def with_rank(df: DataFrame, order: Sequence[str], out: str = "__rank") -> DataFrame:
-    """Adds the global rank from 1: rows are range-partitioned, partitions counted, ranks made within them."""
-    sorted_rows = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    per = sorted_rows.groupBy("__p").agg(F.count("*").alias("__c"))
-    per = per.select("__p", F.coalesce(F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return sorted_rows.withColumn("__in", inner).join(per, "__p").withColumn(out, F.col("__before") + F.col("__in")).drop("__p", "__in", "__before")
+def with_rank(df: DataFrame, order: Sequence[str], out: str = "__rank", total: str | None = None) -> DataFrame:
+    """Adds the global rank from 1 and, under the name total, the number of rows.
+
+    The rows are dealt into ranges of the order and written with their range; ranges are counted and prefixed, ranks
+    made within them. Ranks of rows that are equal in the order are any of theirs, so the order should name a row.
+    """
+    rows = in_ranges(df, list(order), "ranks")
+    every = Window.partitionBy(F.lit(0))  # over ranges, not rows
+    per = rows.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(every.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(F.col("__p").alias("__q"), before.alias("__before"), F.sum("__c").over(every).alias("__total"))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    ranked = rows.withColumn("__in", within).join(per, F.col("__p") == F.col("__q"))
+    return ranked.select(*df.columns, (F.col("__before") + F.col("__in")).alias(out), *([F.col("__total").alias(total)] if total else []))
 
 
 @dataclass
@@ -110,10 +117,40 @@ class Scaler:
         return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s if s else 1.0) for c, (m, s) in self.params.items()})
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], by: str | None = None) -> DataFrame:
+    """(by, column, share, value): exact quantiles of the finite values of columns, interpolated between neighbours.
+
+    Values are counted by value, the counts dealt into ranges and prefixed, and only the ranges that hold a wanted place
+    are run through, so no task holds a whole column. by is null if no groups are asked for.
+    """
+    group = (F.col(by) if by else F.lit(None).cast("string")).alias("__g")
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("__c"), S.finite(c).cast("double").alias("__v")) for i, c in enumerate(columns)]))
+    long = df.select(group, entries.alias("__x")).select("__g", "__x.*").where("__v IS NOT NULL")
+    counts = in_ranges(long.groupBy("__g", "__c", "__v").agg(F.count("*").alias("__n")), ["__g", "__c", "__v"], "quantiles")
+    whole = Window.partitionBy("__g", "__c")
+    ranges = counts.groupBy("__g", "__c", "__p").agg(F.sum("__n").alias("__m"))
+    ranges = ranges.withColumns({"__before": F.coalesce(F.sum("__m").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__total": F.sum("__m").over(whole)})
+    place = F.col("__share") * (F.col("__total") - 1)
+    wanted = ranges.withColumn("__share", F.explode(F.array(*[F.lit(float(x)) for x in shares]))).withColumns({"__low": F.floor(place), "__rest": place - F.floor(place)})
+    end = F.col("__before") + F.col("__m")
+    wanted = wanted.where((F.col("__low") < end) & (F.col("__low") + 1 >= F.col("__before")))  # the range that holds the place, and the next if that holds the neighbour
+    wanted = wanted.select(F.col("__g").alias("__wg"), F.col("__c").alias("__wc"), F.col("__p").alias("__wp"), "__share", "__before", "__low", "__rest")
+    some = counts.join(wanted.select("__wg", "__wc", "__wp").distinct(), F.col("__g").eqNullSafe(F.col("__wg")) & (F.col("__c") == F.col("__wc")) & (F.col("__p") == F.col("__wp")), "left_semi")
+    upto = F.sum("__n").over(Window.partitionBy("__g", "__c", "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    run = some.withColumn("__upto", upto).join(wanted, F.col("__g").eqNullSafe(F.col("__wg")) & (F.col("__c") == F.col("__wc")) & (F.col("__p") == F.col("__wp")))
+    last = F.col("__before") + F.col("__upto")
+    holds = lambda at: (at >= last - F.col("__n")) & (at < last)
+    run = run.withColumns({"__a": F.when(holds(F.col("__low")), F.col("__v")), "__b": F.when(holds(F.col("__low") + 1), F.col("__v"))})
+    found = run.groupBy("__g", "__c", "__share").agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"), F.max("__rest").alias("__rest"))
+    value = F.col("__a") + F.when(F.col("__rest") > 0, F.col("__rest") * (F.col("__b") - F.col("__a"))).otherwise(0.0)
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1)
+    return found.select(F.col("__g").alias(by or "by"), name.alias("column"), F.col("__share").alias("share"), value.alias("value"))
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians of the finite values; 0 where there are none."""
-    row = df.agg(*[F.coalesce(F.median(S.finite(c)), F.lit(0.0)).alias(c) for c in columns]).first()
-    return {c: float(row[c]) for c in columns}
+    found = {r["column"]: r["value"] for r in quantiles(df, columns, [0.5]).collect()}  # a row a column
+    return {c: float(found.get(c, 0.0)) for c in columns}
 
 
 def impute(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
@@ -123,8 +160,9 @@ def impute(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
 
 def boxplot(df: DataFrame, column: str, by: str) -> DataFrame:
     """Five-number summary per class."""
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    return df.groupBy(by).agg(F.min(column).alias("low"), q.alias("q"), F.max(column).alias("high")).select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    names = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+    of = lambda x: F.max(F.when(F.col("share") == x, F.col("value")))
+    return quantiles(df, [column], list(names.values()), by).groupBy(by).agg(*[of(x).alias(n) for n, x in names.items()])
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

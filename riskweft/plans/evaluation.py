@@ -80,5 +80,8 @@ QUERIES = {
         sql("""SELECT scenario_tag, split, n FROM (SELECT scenario_tag, count(*) AS c, CASE WHEN count(*) >= 5 THEN greatest(1, floor(count(*) * 0.1)) ELSE floor(count(*) * 0.1) END::BIGINT AS v FROM tx GROUP BY scenario_tag)
             CROSS JOIN LATERAL (VALUES ('val', v), ('test', v), ('train', c - 2 * v)) x(split, n)"""),
     ),
-    "shuffled": (lambda s, d: prepare.with_rank(env(s, d)["transactions"].select("txn_id").withColumn("h", prepare.hash_order("txn_id", 7)), ["h", "txn_id"], "place").select("txn_id", "place"), None),
+    "shuffled": (
+        lambda s, d: prepare.with_rank(env(s, d)["transactions"].withColumn("h", F.md5(F.concat(F.lit("7/"), F.col("txn_id").cast("string")).cast("binary"))), ["h", "txn_id"], "place").select("txn_id", F.col("place").cast("long").alias("place"), "amount", "ts"),
+        sql("SELECT txn_id, row_number() OVER (ORDER BY md5('7/' || txn_id), txn_id) AS place, amount, ts FROM tx"),
+    ),
 }

@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from riskweft.ml import attribution, iforest, models
+from riskweft.ml.engine import FusionEngine
 from riskweft.operators import features as X
 from riskweft.operators import instruct, prepare
 from riskweft.plans.risk import features, scored_with_text
 from riskweft.plans.sql import FEATURES, sql
-from riskweft.scratch import scratch_path
-from riskweft.sources import generator
+from riskweft.plans.textual import MOCK
+from riskweft.scratch import kept, scratch_path
+from riskweft.sources import generator, writers
 from riskweft.sources.adapters import environment as env
 from riskweft.streaming import velocity
 
-COLUMNS = ["amount_log", "hour", "is_new_device", "device_account_count", "prior_tx_count", "prior_total_amount", "vel_count_86400s", "country_switch", "distance_to_prev_km", "is_unusual_location"]
+COLUMNS = X.feature_columns()
 
 
 def training(s, d):
+    """(txn_id, label_fraud, split, features) without gaps: medians of the training rows stand in. Written once."""
     df = features(s, d).select("txn_id", "label_fraud", *[F.col(c).cast("double").alias(c) for c in COLUMNS])
-    return prepare.stratified_split(df, "label_fraud", "txn_id")
+    split = kept(prepare.stratified_split(kept(df, "features"), "label_fraud", "txn_id"), "split")
+    return prepare.impute(split, prepare.medians(split.where("split = 'train'"), COLUMNS))
+
+
+def scaled(df):
+    """The frame scaled by its training rows."""
+    scaler = prepare.Scaler(COLUMNS).fit(df.where("split = 'train'"))
+    return scaler, scaler.transform(df)
 
 
-def _proba(name, **params):
+def _proba(name):
     def run(s, d):
         df = training(s, d)
-        fitted = df.where("split <> 'test'").withColumn("is_val", F.col("split") == "val") if name == "lightgbm" else df.where("split = 'train'")
-        out = models.predict_proba(models.fit(fitted, COLUMNS, "label_fraud", name, **params), df)
-        return out.select("txn_id", "label_fraud", "split", F.round("probability", 6).alias("probability"))
+        ready = scaled(df)[1] if name == "logreg" else df
+        model = models.fit(ready.where("split <> 'test'").withColumn("held", F.col("split") == "val"), COLUMNS, "label_fraud", name, "held")
+        return models.predict_proba(model, ready).select("txn_id", "label_fraud", "split", F.round("probability", 6).alias("probability"))
 
     return run
 
@@ -40,17 +52,37 @@ def _iforest(s, d):
 
 def _treeshap(s, d):
     df = training(s, d)
-    model = models.fit(df.where("split = 'train'"), COLUMNS, "label_fraud", "fusion_gb", maxIter=5)
-    out = attribution.attribute(df.where("split = 'test'"), model.stages[-1], COLUMNS)
+    model = models.fit(df.where("split = 'train'"), COLUMNS, "label_fraud", "fusion_gb")
+    out = attribution.attribute(df, model, COLUMNS)
     return out.select("txn_id", *[F.round(F.get("attributions", i), 6).alias(c) for i, c in enumerate(COLUMNS)])
 
 
 def _predictor(s, d):
     df = training(s, d)
-    p = models.Predictor(models.fit(df.where("split = 'train'"), COLUMNS, "label_fraud", "logreg", maxIter=20), COLUMNS, 0.1)
+    scaler, ready = scaled(df)
+    p = models.Predictor(models.fit(ready.where("split = 'train'"), COLUMNS, "label_fraud", "logreg"), COLUMNS, 0.1, scaler)
     return p.predict(df).select("txn_id", F.round("fraud_probability", 6).alias("fraud_probability"), "prediction")
 
 
+def _exported(s, d):
+    """The probability of a model before and after its export: equal for every row."""
+    df = training(s, d)
+    folder = f"{scratch_path(s, 'export')}/out"
+    model = models.fit(df.where("split = 'train'"), COLUMNS, "label_fraud", "fusion_gb")
+    missing = writers.export_all(s, folder, model, {}, 0.5, COLUMNS, {"rows": 1})
+    back = models.Predictor.load(s, f"{folder}/model", COLUMNS, json.loads(writers.read_text(s, f"{folder}/threshold.json"))["threshold"])
+    both = back.predict(models.predict_proba(model, df, "before"))
+    return both.select("txn_id", F.abs(F.col("fraud_probability") - F.col("before")).alias("difference"), F.lit(len(missing)).alias("missing_parts"))
+
+
+def _course(s, d):
+    """The whole course of training on the features, in one row of test figures."""
+    df = kept(features(s, d).select("txn_id", "label_fraud", *[F.col(c).cast("double").alias(c) for c in COLUMNS]), "features")
+    filled = prepare.impute(df, prepare.medians(df, COLUMNS))
+    done = models.train(filled, COLUMNS, "label_fraud", "txn_id", "lightgbm", scale=["amount_log"], folder=f"{scratch_path(s, 'course')}/out")
+    return s.createDataFrame([(done.predictor.threshold, *[float(done.test[c]) for c in ("roc_auc", "average_precision", "precision", "recall", "f1")])], "threshold double, roc_auc double, average_precision double, precision double, recall double, f1 double")
+
+
 def _proxy(s, d):
     weights = [0.5, 0.3, 0.2]
     out = attribution.importance_proxy(features(s, d), weights, ["amount", "prior_tx_count", "is_new_device"])
@@ -63,40 +95,46 @@ def _jitter(s, d):
     return out.select("txn_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+def _texts(records):
+    """Stands in for a language model: fenced, bare and broken answers in turn."""
+    body = F.to_json(instruct.mock_answer(F.col("input")))
+    k = F.col("o_orderkey")
+    return instruct.resolve(records).withColumn("text", F.when(k % 5 == 0, "I can't tell.").when(k % 5 == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(k % 5 == 2, F.regexp_replace(body, r"\}$", ",}")).otherwise(body))
+
+
 def _answers(s, d):
     from riskweft.plans.textual import records
 
-    return instruct.model_answers(records(s, d))
+    a = instruct.accuracy(instruct.model_answers(records(s, d), _texts))
+    return a.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in a.dtypes])
 
 
 def _fitted_fusion(s, d):
-    from riskweft.operators import fusion
-
-    frame = features(s, d)
-    numeric = [c for c in X.feature_columns() if c != "amount_zscore"]
-    values = prepare.medians(frame, numeric)
-    filled = prepare.impute(frame.select("txn_id", "label_fraud", *[F.col(c).cast("double").alias(c) for c in numeric]), values)
-    model = models.fit(filled, numeric, "label_fraud", "fusion_gb", maxIter=5)
-    forest = iforest.IsolationForest(numeric, trees=50).fit(filled.where("label_fraud = 0"), "txn_id")
-    scores = forest.transform(models.predict_proba(model, filled, "xgb_score")).select("txn_id", "xgb_score", "anomaly_score")
-    return fusion.fuse(frame.join(scores, "txn_id")).select("txn_id", F.round("risk_score", 6).alias("risk_score"), "risk_level", "decision")
+    frame = kept(features(s, d), "features")
+    out = FusionEngine().fit(frame).predict(frame)
+    return out.select("txn_id", F.round("risk_score", 6).alias("risk_score"), "risk_level", "decision")
 
 
 def _dataset(s, d):
     return instruct.build_dataset(scored_with_text(s, d), 50)
 
 
-def _generated(config):
-    def run(s, d):
-        tx = generator.generate(s, config())["transactions"]
-        return tx.groupBy("scenario_tag").agg(F.count("*").alias("n"), F.sum("label_fraud").alias("flagged"), F.round(F.avg("amount"), 2).alias("mean_amount"))
+def _episodes(s, d):
+    tx = generator.generate(s)["transactions"]
+    return tx.groupBy("scenario_tag").agg(F.count_distinct("scenario_extra").alias("episodes"), F.count_distinct(F.when(F.col("label_fraud") == 1, F.col("scenario_extra"))).alias("labelled"), F.min("currency").alias("currency"), F.min("status").alias("status"))
 
-    return run
+
+def _hard(s, d):
+    tx = generator.generate(s, generator.EnvironmentConfig.hard_overlap())["transactions"]
+    return tx.groupBy("scenario_tag").agg(F.count("*").alias("n"), F.sum("label_fraud").alias("labelled"))
 
 
 def _flat(s, d):
-    f = generator.flat_table(s)
-    return f.groupBy("Class").agg(F.count("*").alias("n"), F.round(F.avg("Amount"), 4).alias("mean_amount"), F.round(F.avg("V1"), 4).alias("mean_v1"))
+    return generator.flat_table(s).groupBy("Class").agg(F.count("*").alias("n"))
+
+
+def _constants(rows, *names):
+    return "SELECT * FROM (VALUES " + ", ".join(map(str, rows)) + f") t({', '.join(names)})"
 
 
 def stream(s, d):
@@ -153,9 +191,11 @@ SESSIONS = """SELECT account_id, count(*) AS n, round(sum(value), 4) AS total FR
 GROUP BY account_id, k"""
 
 QUERIES = {
-    "logreg_scores": (_proba("logreg", maxIter=50), None),
-    "gbt_scores": (_proba("xgboost", maxIter=10), None),
-    "gbt_early_stop_scores": (_proba("lightgbm", maxIter=20), None),
+    "logreg_scores": (_proba("logreg"), None),
+    "gbt_scores": (_proba("xgboost"), None),
+    "gbt_early_stop_scores": (_proba("lightgbm"), None),
+    "training_course": (_course, None),
+    "export_roundtrip": (_exported, sql("SELECT txn_id, 0.0::DOUBLE AS difference, 0 AS missing_parts FROM tx")),
     "iforest_scores": (_iforest, None),
     "treeshap": (_treeshap, None),
     "fitted_fusion": (_fitted_fusion, None),
@@ -164,16 +204,20 @@ QUERIES = {
         _proxy,
         sql("SELECT txn_id, " + ", ".join(f"round({w}::DOUBLE * (0.95::DOUBLE + 0.1::DOUBLE * t / (t + 1)), 6) AS a{i}" for i, w in enumerate((0.5, 0.3, 0.2))) + " FROM (SELECT txn_id, amount + prior_tx_count + is_new_device AS t FROM f)", FEATURES),
     ),
-    "model_evaluation": (_answers, "SELECT true AS skipped, 'no model is given' AS reason"),
+    "model_evaluation": (
+        _answers,
+        MOCK + """SELECT count(*) AS n_total, count(*) FILTER (k % 5 <> 0) AS n_valid, round(avg((k % 5 <> 0)::INTEGER), 9) AS json_valid_rate, round(avg((k % 5 <> 0 AND risk = want_risk)::INTEGER), 9) AS risk_level_accuracy,
+            round(avg((want_type = '' OR (k % 5 <> 0 AND kind = want_type))::INTEGER), 9) AS fraud_type_accuracy, round(avg((want_type <> '' AND k % 5 <> 0 AND risk = want_risk AND kind = want_type)::INTEGER), 9) AS exact_match_rate FROM b""",
+    ),
     "collision_jitter": (
         _jitter,
-        sql("""SELECT txn_id, strftime(h + to_seconds([0, 1, -1, 2, -2][least(r, 5)]), '%Y-%m-%d %H:%M:%S') AS ts FROM
-            (SELECT txn_id, h, row_number() OVER (PARTITION BY account_id, h ORDER BY txn_id) AS r FROM (SELECT txn_id, account_id, date_trunc('hour', ts) AS h FROM tx))"""),
+        sql("""SELECT unnest(ids) AS txn_id, strftime(make_timestamp(unnest(list_reduce(hs, lambda done, x: list_append(done, coalesce(list_filter([x[1], x[1] + 1, x[1] - 1, x[1] + 2, x[1] - 2], lambda t: NOT list_contains(done, t))[1], x[1])))) * 1000000), '%Y-%m-%d %H:%M:%S') AS ts
+            FROM (SELECT account_id, list(txn_id ORDER BY h, txn_id) AS ids, list([epoch(h)::BIGINT] ORDER BY h, txn_id) AS hs FROM (SELECT txn_id, account_id, date_trunc('hour', ts) AS h FROM tx) GROUP BY account_id)"""),
     ),
     "instruction_dataset": (_dataset, None),
-    "synthetic_environment": (_generated(generator.EnvironmentConfig), None),
-    "synthetic_hard_overlap": (_generated(generator.EnvironmentConfig.hard_overlap), None),
-    "synthetic_flat_table": (_flat, None),
+    "synthetic_environment": (_episodes, _constants([("background", 1, 0, "USD", "settled"), *((k, n, n, "USD", "settled") for k, n in generator.SCENARIOS.items())], "scenario_tag", "episodes", "labelled", "currency", "status")),
+    "synthetic_hard_overlap": (_hard, _constants([("background", 9000, 0), *((k, 20, 20) for k in generator.HARD_SCENARIOS)], "scenario_tag", "n", "labelled")),
+    "synthetic_flat_table": (_flat, _constants([(0, 9828), (1, 172)], '"Class"', "n")),
     "stream_velocity": (_stream_velocity, VEL),
     "stream_first_seen": (_stream_first, "SELECT event_id AS txn_id, user_id AS account_id FROM events"),
     "stream_windows": (_stream_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id AS account_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),

@@ -73,6 +73,12 @@ def _boxplot(s, d):
     return b.select("label_fraud", *[F.round(c, 6).alias(c) for c in ("low", "q1", "median", "q3", "high")])
 
 
+def _percentiles(s, d):
+    names = {"p01": 0.01, "p25": 0.25, "p75": 0.75, "p99": 0.99}
+    found = prepare.quantiles(env(s, d)["transactions"], ["amount"], list(names.values()))
+    return found.agg(*[F.round(F.max(F.when(F.col("share") == x, F.col("value"))), 6).alias(n) for n, x in names.items()])
+
+
 def _duplicates(s, d):
     per = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     return per.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_rows"), F.sum(F.col("n") - 1).alias("duplicates"))
@@ -222,7 +228,7 @@ QUERIES = {
         sql("SELECT txn_id, CASE WHEN txn_id % 7 = 0 OR txn_id % 11 = 0 OR txn_id % 13 = 0 THEN (SELECT median(amount) FROM tx WHERE txn_id % 7 <> 0 AND txn_id % 11 <> 0 AND txn_id % 13 <> 0) ELSE amount END AS x FROM tx"),
     ),
     "percentiles_iqr": (
-        lambda s, d: env(s, d)["transactions"].agg(*[F.round(F.percentile("amount", p), 6).alias(n) for n, p in (("p01", 0.01), ("p25", 0.25), ("p75", 0.75), ("p99", 0.99))]),
+        _percentiles,
         sql("SELECT round(quantile_cont(amount, 0.01), 6) AS p01, round(quantile_cont(amount, 0.25), 6) AS p25, round(quantile_cont(amount, 0.75), 6) AS p75, round(quantile_cont(amount, 0.99), 6) AS p99 FROM tx"),
     ),
     "hist_bins": (lambda s, d: prepare.histogram(env(s, d)["transactions"], "amount", 0, 5000, 40), sql("SELECT least(floor(amount / (5000.0::DOUBLE / 40)), 39)::INTEGER AS bin, count(*) AS n FROM tx WHERE amount BETWEEN 0 AND 5000 GROUP BY ALL")),

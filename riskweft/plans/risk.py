@@ -52,7 +52,8 @@ def _custom_rules(s, d):
 def _profile_scoring(s, d):
     e = env(s, d)
     tx = X.with_owner(e["transactions"], e["accounts"], e["users"])
-    out = profiles.score_transactions(tx, profiles.build_profiles(tx))
+    past = tx.where(F.col("ts") < F.lit("2024-01-03").cast("timestamp"))  # later payments meet profiles that don't know them
+    out = profiles.score_transactions(tx, profiles.build_profiles(past))
     return out.select("txn_id", F.round("z_score", 4).alias("z_score"), "is_unusual_hour", "is_new_merchant", "is_new_device", "is_new_location", "frequency_anomaly")
 
 
@@ -66,9 +67,10 @@ SEVERITIES = ["medium", "high", "medium", "high", "medium", "high", "critical",
 
 PROFILE = """,
 o AS (SELECT tx.*, user_id FROM tx LEFT JOIN owner USING (account_id)),
-st AS (SELECT user_id, avg(amount) AS m, coalesce(stddev_samp(amount), 0) AS sd, count(*)::DOUBLE / (date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1) AS freq FROM o GROUP BY user_id),
-hr AS (SELECT user_id, h FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, h) AS r FROM (SELECT user_id, hour(ts) AS h, count(*) AS n FROM o GROUP BY ALL)) WHERE r <= 12),
-mt AS (SELECT user_id, merchant_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, merchant_id) AS r FROM (SELECT user_id, merchant_id, count(*) AS n FROM o WHERE merchant_id IS NOT NULL GROUP BY ALL)) WHERE r <= 3)"""
+p AS (SELECT * FROM o WHERE ts < TIMESTAMP '2024-01-03'),
+st AS (SELECT user_id, avg(amount) AS m, coalesce(stddev_samp(amount), 0) AS sd, count(*)::DOUBLE / (date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1) AS freq, list(DISTINCT device_id) AS devices, list(DISTINCT location_id) AS places FROM p GROUP BY user_id),
+hr AS (SELECT user_id, h FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, h) AS r FROM (SELECT user_id, hour(ts) AS h, count(*) AS n FROM p GROUP BY ALL)) WHERE r <= 12),
+mt AS (SELECT user_id, merchant_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, merchant_id) AS r FROM (SELECT user_id, merchant_id, count(*) AS n FROM p WHERE merchant_id IS NOT NULL GROUP BY ALL)) WHERE r <= 3)"""
 
 QUERIES = {
     "rules_long": (
@@ -94,8 +96,9 @@ QUERIES = {
     ),
     "profile_scoring": (
         _profile_scoring,
-        sql("""SELECT txn_id, round(CASE WHEN sd > 0 THEN (amount - m) / sd ELSE 0 END, 4) AS z_score, (hr.h IS NULL)::INTEGER AS is_unusual_hour, (o.merchant_id IS NOT NULL AND mt.merchant_id IS NULL)::INTEGER AS is_new_merchant,
-            0 AS is_new_device, 0 AS is_new_location, (count(*) OVER (PARTITION BY o.user_id, o.ts::DATE) > 2 * freq)::INTEGER AS frequency_anomaly
-            FROM o JOIN st ON st.user_id = o.user_id LEFT JOIN hr ON hr.user_id = o.user_id AND hr.h = hour(ts) LEFT JOIN mt ON mt.user_id = o.user_id AND mt.merchant_id = o.merchant_id""", PROFILE),
+        sql("""SELECT txn_id, round(CASE WHEN sd > 0 THEN (amount - m) / sd ELSE 0 END, 4) AS z_score, (hr.h IS NULL)::INTEGER AS is_unusual_hour, (st.user_id IS NULL OR (o.merchant_id IS NOT NULL AND mt.merchant_id IS NULL))::INTEGER AS is_new_merchant,
+            (st.user_id IS NULL OR (device_id IS NOT NULL AND NOT coalesce(list_contains(devices, device_id), false)))::INTEGER AS is_new_device, (st.user_id IS NULL OR (location_id IS NOT NULL AND NOT coalesce(list_contains(places, location_id), false)))::INTEGER AS is_new_location,
+            coalesce(count(*) OVER (PARTITION BY o.user_id, o.ts::DATE) > 2 * freq, false)::INTEGER AS frequency_anomaly
+            FROM o LEFT JOIN st ON st.user_id = o.user_id LEFT JOIN hr ON hr.user_id = o.user_id AND hr.h = hour(ts) LEFT JOIN mt ON mt.user_id = o.user_id AND mt.merchant_id = o.merchant_id""", PROFILE),
     ),
 }

@@ -53,7 +53,7 @@ def _events_high(s, d):
 
 
 def _ordered(s, d):
-    return prepare.ordered_split(env(s, d)["transactions"].select("txn_id", "ts"), ["ts", "txn_id"]).groupBy("split").agg(F.count("*").alias("n"), F.min("txn_id").alias("low"))
+    return prepare.ordered_split(env(s, d)["transactions"], ["ts", "txn_id"]).select("txn_id", "amount", "channel", "split")
 
 
 VEL = """WITH v AS (SELECT x.event_id AS txn_id, x.value AS amount, y.value AS other, y.event_id AS y_id, x.ts - y.ts AS gap FROM events x
@@ -86,12 +86,12 @@ QUERIES = {
         "SELECT user_id, string_agg(h::VARCHAR, ',' ORDER BY h) AS hours FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, h) AS r FROM (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL)) WHERE r <= 12 GROUP BY user_id",
     ),
     "sequence_ids": (
-        lambda s, d: prepare.with_rank(env(s, d)["transactions"].select("txn_id", "ts"), ["ts", "txn_id"], "seq").select("txn_id", F.col("seq").cast("long").alias("seq")),
-        sql("SELECT txn_id, row_number() OVER (ORDER BY ts, txn_id) AS seq FROM tx"),
+        lambda s, d: prepare.with_rank(env(s, d)["transactions"], ["ts", "txn_id"], "seq").select("txn_id", F.col("seq").cast("long").alias("seq"), "amount", "channel", "device_id"),
+        sql("SELECT txn_id, row_number() OVER (ORDER BY ts, txn_id) AS seq, amount, channel, device_id FROM tx"),
     ),
     "ordered_split": (
         _ordered,
-        sql("SELECT split, count(*) AS n, min(txn_id) AS low FROM (SELECT txn_id, CASE WHEN row_number() OVER (ORDER BY ts, txn_id) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM tx) GROUP BY split"),
+        sql("SELECT txn_id, amount, channel, CASE WHEN row_number() OVER (ORDER BY ts, txn_id) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM tx"),
     ),
     "feature_matrix_36": part(*X.feature_columns()),
 }

@@ -5,7 +5,7 @@
 | users, accounts | customers; two accounts a user, the user's country is that of the smaller account |
 | merchants | suppliers; the risk band comes from the balance |
 | locations | nations; latitude and longitude are linear in the key |
-| transactions | orders, with the smallest supplier and part key of their line items, a day of orders lasting two minutes |
+| transactions | orders, with the smallest supplier key of their line items, the smallest part key modulo 200 as device, a day of orders lasting two minutes |
 | account_devices | devices of orders whose key is no multiple of three |
 """
 
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Channel of each order priority.
 CHANNEL = {"1-URGENT": "online", "2-HIGH": "pos", "3-MEDIUM": "atm", "4-NOT SPECIFIED": "mobile", "5-LOW": "online"}
 
+#: Devices that the parts stand for, so some are shared by hundreds of accounts.
+DEVICES = 200
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +40,7 @@ def environment(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     merchants = supplier.select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("name"), F.lit("retail").alias("category"), (1000 + F.col("s_suppkey") % 9000).cast("int").alias("mcc_code"), "country", band.alias("risk_band"))
     key = F.col("n_nationkey").cast("long")
     locations = nation.select(key.alias("location_id"), F.col("n_name").alias("city"), F.col("n_name").alias("country"), F.col("n_name").alias("region"), (key * 7 % 121 - 60).cast("double").alias("lat"), (key * 29 % 341 - 170).cast("double").alias("lon"))
-    lines = get("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("merchant_id"), F.min("l_partkey").alias("device_id"))
+    lines = get("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("merchant_id"), (F.min("l_partkey") % DEVICES).alias("device_id"))
     places = get("supplier").select(F.col("s_suppkey").alias("merchant_id"), F.col("s_nationkey").cast("long").alias("location_id"))
     orders = get("orders")
     channel = F

@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskweft.operators.prepare import hash_rank, with_rank
 from riskweft.schema import TABLES
+from riskweft.scratch import kept
 
-#: Countries, categories, weights of the hours, episodes of each scenario.
+#: Countries, categories, weights of the hours, episodes of each scenario, weight of a high-risk merchant
+#: in the background (and its share of the payments in the hard form), channels.
 COUNTRIES = ["US", "GB", "DE", "FR", "IN", "BR", "NG", "RU", "JP", "MX"]
 CATEGORIES = ["grocery", "fuel", "restaurant", "retail", "travel", "electronics", "pharmacy", "entertainment", "utilities", "cash_advance"]
-HOUR_WEIGHTS = [1, 1, 1, 1, 1, 2, 4, 6, 8, 9, 9, 9, 10, 9, 8, 8, 8, 9, 10, 9, 7, 5, 3, 2]
+HOUR_WEIGHTS = [0.4, 0.2, 0.1, 0.05, 0.05, 0.1, 0.3, 0.6, 1.0, 1.2, 1.4, 1.5, 1.6, 1.4, 1.3, 1.4, 1.5, 1.6, 1.5, 1.2, 1.0, 0.8, 0.6, 0.5]
 SCENARIOS = {"account_takeover": 30, "unusual_amount_time": 60, "transaction_velocity": 40, "new_device": 80, "unusual_location": 60, "device_sharing": 20, "mule_behavior": 15, "unusual_merchant": 50}
-HARD_SCENARIOS = {"weak_takeover": 20, "weak_device": 20, "weak_location": 20, "weak_amount": 20, "weak_velocity": 20}
+HIGH_RISK_WEIGHT, HARD_HIGH_RISK_SHARE = 0.05, 0.20
+CHANNELS = ["online", "pos", "atm", "mobile"]
+
+
+@dataclass(frozen=True)
+class Blend:
+    """A form that a hard scenario takes with the given chance: which weak signals come together."""
+
+    chance: float
+    mu: float
+    sigma: float
+    signal: str
+    new_device: bool = False
+    high_risk: float = 0.0  # chance of a high-risk merchant; any merchant otherwise
+    night: float = 0.0
+    foreign: float = 0.0
+
+
+#: The hard scenarios, 20 rows each.
+HARD_SCENARIOS = {
+    "hard_moderate_amo_dev": [Blend(1, 3.9, 0.6, "moderate_amount+new_device", new_device=True)],
+    "hard_normal_amount_new_device_merchant": [Blend(1, 3.5, 0.5, "normal_amount+new_device+merchant", new_device=True, high_risk=0.5)],
+    "hard_high_amount_normal_location_velocity": [Blend(1, 5.5, 0.5, "high_amount_only")],
+    "hard_normal_amount_normal_device_merchant": [Blend(1, 3.7, 0.7, "weak_signals_only", night=0.3, foreign=0.2)],
+    "hard_mixed_signals": [
+        Blend(0.25, 4.0, 0.4, "combo_0"),
+        Blend(0.25, 3.6, 0.5, "combo_1", foreign=1.0),
+        Blend(0.25, 3.5, 0.6, "combo_2", new_device=True, night=1.0),
+        Blend(0.25, 3.7, 0.6, "combo_3", high_risk=1.0),
+    ],
+}
+HARD_EPISODES = 20
 
 
 @dataclass(frozen=True)
@@ -37,7 +73,7 @@ class EnvironmentConfig:
 
     @classmethod
     def hard_overlap(cls) -> EnvironmentConfig:
-        return cls(transactions=9000, scenarios=dict(HARD_SCENARIOS), hard=True)
+        return cls(transactions=9000, scenarios=dict.fromkeys(HARD_SCENARIOS, HARD_EPISODES), hard=True)
 
 
 class Draws:
@@ -107,114 +143,204 @@ def links(spark: SparkSession, c: EnvironmentConfig) -> DataFrame:
     )
 
 
-def _chosen(rows: DataFrame, env: dict[str, DataFrame], c: EnvironmentConfig, home_share: float) -> DataFrame:
-    """Adds home, a device that the account knows and a location, mostly in the home country."""
+def _numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(__number from 1, key) in order of the key, and how many there are."""
+    ranked = kept(with_rank(df.select(key), [key], "__number"), "numbered")
+    return ranked.withColumn("__number", F.col("__number").cast("long")), ranked.count()
+
+
+def _merchant(rows: DataFrame, env: Mapping[str, DataFrame], d: Draws, high_share: Column, stream: str = "merchant") -> DataFrame:
+    """Adds merchant_id: a high-risk one with the given chance, and evenly among those of its kind."""
+    parts = {high: _numbered(env["merchants"].where((F.col("risk_band") == "high") == high), "merchant_id") for high in (True, False)}
+    high = (d.uniform(f"{stream} kind") < high_share) if parts[False][1] else F.lit(True)
+    high = high if parts[True][1] else F.lit(False)
+    number = F.when(F.col("__high"), d.integer(stream, 1, max(1, parts[True][1]))).otherwise(d.integer(stream, 1, max(1, parts[False][1])))
+    by_kind = parts[True][0].withColumn("__kind", F.lit(True)).unionByName(parts[False][0].withColumn("__kind", F.lit(False)))
+    picked = rows.withColumn("__high", high).withColumn("__n", number)
+    return picked.join(by_kind, (F.col("__high") == F.col("__kind")) & (F.col("__n") == F.col("__number"))).drop("__high", "__n", "__kind", "__number")
+
+
+def _high_share(env: Mapping[str, DataFrame], weight: float) -> float:
+    """Chance of a high-risk merchant if each of them has the weight and each other one 1."""
+    n = env["merchants"].agg(F.count_if(F.col("risk_band") == "high").alias("high"), F.count("*").alias("n")).first()
+    return n["high"] * weight / max(1e-12, n["high"] * weight + n["n"] - n["high"])
+
+
+def _chosen(rows: DataFrame, env: Mapping[str, DataFrame], c: EnvironmentConfig) -> DataFrame:
+    """Adds a device that the account knows and one that it doesn't, and places: at home, anywhere, and abroad."""
     d = Draws(c.seed, "row")
     owners = env["accounts"].join(env["users"].select("user_id", "home_country"), "user_id").select("account_id", "home_country")
     known = env["account_devices"].groupBy("account_id").agg(F.array_sort(F.collect_list("device_id")).alias("known"))  # three at most
     out = rows.join(owners, "account_id").join(known, "account_id")
-    place = F.array_position(F.array(*[F.lit(x) for x in COUNTRIES]), F.col("home_country"))
-    per = c.locations // len(COUNTRIES)
-    home = place + len(COUNTRIES) * d.integer("home place", 0, max(0, per - 1))
+    country = F.array_position(F.array(*[F.lit(x) for x in COUNTRIES]), F.col("home_country"))
+    place = country + len(COUNTRIES) * d.integer("home place", 0, max(0, c.locations // len(COUNTRIES) - 1))
+    used = F.element_at("known", (1 + d.integer("device", 0, 99) % F.size("known")).cast("int"))
+    # the n-th device outside the known ones: each of these that is no larger moves it up
+    left = F.lit(c.devices) - F.size("known")
+    other = F.aggregate("known", F.lit(1).cast("long") + F.floor(d.uniform("other device") * left), lambda n, x: n + (n >= x).cast("long"))
     return out.withColumns(
         {
-            "device_id": F.element_at("known", (1 + d.integer("device", 0, 99) % F.size("known")).cast("int")),
-            "location_id": F.when(d.uniform("stay") < home_share, home).otherwise(d.integer("place", 1, c.locations)),
-            "__away": 1 + (home - 1 + 1 + d.integer("away", 0, 7)) % len(COUNTRIES),
+            "__used": used,
+            "__other": F.when(left > 0, other).otherwise(used),
+            "__home": place,
+            "__any": d.integer("place", 1, c.locations),
+            "__away": 1 + (place - 1 + 1 + d.integer("away", 0, len(COUNTRIES) - 2)) % len(COUNTRIES),
         }
     )
 
 
-def background(spark: SparkSession, c: EnvironmentConfig, env: dict[str, DataFrame]) -> DataFrame:
+def _hour(d: Draws) -> Column:
+    return d.pick("hour", [str(h) for h in range(24)], HOUR_WEIGHTS).cast("int")
+
+
+def _payment(label: Column, tag: str, extra: Column) -> list[Column]:
+    return [label.cast("int").alias("label_fraud"), F.lit(tag).alias("scenario_tag"), extra.alias("scenario_extra")]
+
+
+PAYMENT = ["row", "account_id", "device_id", "merchant_id", "location_id", "second", "amount", "channel"]
+
+
+def background(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame]) -> DataFrame:
+    """Payments of active accounts (of all if none is active)."""
     d = Draws(c.seed, "row")
-    hours = d.pick("hour", [str(h) for h in range(24)], [float(w) for w in HOUR_WEIGHTS]).cast("int")
-    seconds = d.integer("day", 0, c.days - 1) * 86400 + hours * 3600 + d.integer("second", 0, 3599)
-    rows = spark.range(c.transactions).withColumnRenamed("id", "row").withColumn("account_id", d.integer("account", 1, c.accounts))
-    rows = _chosen(rows, env, c, 0.7 if c.hard else 0.9)
-    if c.hard:
-        rows = rows.withColumn("device_id", F.when(d.uniform("new device") < 0.1, d.integer("other device", 1, c.devices)).otherwise(F.col("device_id")))
-    return rows.select("row", "account_id", "device_id", d.integer("merchant", 1, c.merchants).alias("merchant_id"), "location_id", seconds.alias("second"), d.lognormal("amount", 3.6, 0.95).alias("amount"), d.pick("channel", ["online", "pos", "atm", "mobile"], [0.4, 0.35, 0.1, 0.15]).alias("channel"), F.lit(0).alias("label_fraud"), F.lit("background").alias("scenario_tag"), F.lit(None).cast("string").alias("scenario_extra"))
+    accounts, n = _numbered(env["accounts"].where("status = 'active'"), "account_id")
+    if not n:
+        accounts, n = _numbered(env["accounts"], "account_id")
+    rows = spark.range(c.transactions).withColumnRenamed("id", "row").withColumn("__number", d.integer("account", 1, max(1, n))).join(accounts, "__number").drop("__number")
+    rows = _chosen(rows, env, c)
+    rows = _merchant(rows, env, d, F.lit(HARD_HIGH_RISK_SHARE if c.hard else _high_share(env, HIGH_RISK_WEIGHT)))
+    seconds = d.integer("day", 0, c.days - 1) * 86400 + _hour(d) * 3600 + d.integer("second", 0, 3599)
+    device = F.when(d.uniform("new device") < 0.1, F.col("__other")).otherwise(F.col("__used")) if c.hard else F.col("__used")
+    location = F.when(d.uniform("stay") < (0.7 if c.hard else 0.9), F.col("__home")).otherwise(F.col("__any"))
+    rows = rows.withColumns({"device_id": device, "location_id": location, "second": seconds, "amount": d.lognormal("amount", 3.6, 0.95), "channel": d.pick("channel", CHANNELS)})
+    return rows.select(*PAYMENT, *_payment(F.lit(0), "background", F.lit("")))
+
+
+def hard_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame], tag: str, episodes: int, base: int) -> DataFrame:
+    """Single payments that blend weak signals; all are labelled."""
+    d, blends, done = Draws(c.seed, "row"), HARD_SCENARIOS[tag], 0.0
+    rows = spark.range(episodes).select((F.lit(base) + F.col("id")).alias("row")).withColumn("account_id", d.integer("account", 1, c.accounts))
+    roll, at = d.uniform("blend"), F
+    for i, b in enumerate(blends[:-1]):
+        done += b.chance
+        at = at.when(roll < done, i)
+    rows = _chosen(rows.withColumn("__blend", at.otherwise(len(blends) - 1) if len(blends) > 1 else F.lit(0)), env, c)
+    of = lambda name: F.element_at(F.array(*[F.lit(getattr(b, name)) for b in blends]), F.col("__blend") + 1)
+    # any merchant, or for sure a high-risk one
+    high = of("high_risk") + (1 - of("high_risk")) * F.lit(_high_share(env, 1.0))
+    rows = _merchant(rows, env, d, high)
+    hour = F.when(d.uniform("night") < of("night"), d.integer("night hour", 2, 4)).otherwise(d.integer("business hour", 9, 18))
+    amount = F.round(F.exp(of("mu") + of("sigma") * d.normal("amount")), 2)
+    rows = rows.withColumns(
+        {
+            "device_id": F.when(of("new_device"), F.col("__other")).otherwise(F.col("__used")),
+            "location_id": F.when(d.uniform("foreign") < of("foreign"), F.col("__away")).otherwise(F.col("__home")),
+            "second": d.integer("day", 0, c.days - 1) * 86400 + hour * 3600 + d.integer("second", 0, 3599),
+            "amount": amount,
+            "channel": F.lit("online"),
+        }
+    )
+    return rows.select(*PAYMENT, *_payment(F.lit(1), tag, F.to_json(F.struct(of("signal").alias("signal")))))
 
 
-def scenario_rows(spark: SparkSession, c: EnvironmentConfig, env: dict[str, DataFrame]) -> DataFrame:
+def scenario_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame]) -> DataFrame:
     """Episodes of the labelled scenarios; each is a few rows of one account."""
     parts = []
     for k, (tag, episodes) in enumerate(c.scenarios.items()):
-        base = 1_000_000_000 * (k + 1)
+        base = 1_000_000_000_000 * (k + 1)
+        if tag in HARD_SCENARIOS:
+            parts.append(hard_rows(spark, c, env, tag, episodes, base))
+            continue
         e = Draws(c.seed, F.concat_ws("/", F.lit(tag), "episode"))
         size = {"transaction_velocity": e.integer("n", 8, 12), "mule_behavior": e.integer("n", 5, 9), "account_takeover": e.integer("n", 2, 3)}.get(tag, F.lit(1).cast("long"))
         rows = spark.range(episodes).withColumnRenamed("id", "episode").withColumns({"account_id": e.integer("account", 1, c.accounts), "n": size, "t": e.integer("day", 1, c.days - 2) * 86400 + e.integer("second", 3600, 82000)})
         rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i")).withColumn("row", F.lit(base) + F.col("episode") * 100 + F.col("i"))
-        rows = _chosen(rows, env, c, 0.9)
+        rows = _chosen(rows, env, c)
         d, last = Draws(c.seed, "row"), F.col("i") == F.col("n")
         second, amount, flagged = F.col("t") + F.col("i") * 60, d.lognormal("amount", 3.6, 0.95), last
-        device, merchant, location = F.col("device_id"), d.integer("merchant", 1, c.merchants), F.col("location_id")
-        other_device = d.integer("other device", 1, c.devices)
+        device, location = F.col("__used"), F.when(d.uniform("stay") < 0.9, F.col("__home")).otherwise(F.col("__any"))
         if tag == "account_takeover":
             amount = F.when(last, d.lognormal("high", 7.5, 0.4)).otherwise(amount)
         elif tag == "unusual_amount_time":
             second, amount = F.floor(F.col("t") / 86400) * 86400 + d.integer("night", 2 * 3600, 5 * 3600 + 3599), F.round(d.between("high", 800, 4500), 2)
         elif tag == "transaction_velocity":
             second, amount, flagged = F.col("t") + d.integer("burst", 0, 599), F.round(d.between("low", 5, 250), 2), F.lit(True)
-        elif tag in ("new_device", "weak_device", "device_sharing"):
-            device = F.when(F.array_contains("known", other_device), F.element_at(F.array_except(F.sequence(F.lit(1).cast("long"), F.lit(c.devices).cast("long")), "known"), 1)).otherwise(other_device) if tag != "device_sharing" else other_device
-            amount = d.lognormal("high", {"new_device": 5.0, "device_sharing": 6.5}.get(tag, 4.0), 0.7)
-        elif tag in ("unusual_location", "weak_location"):
-            location, amount = F.col("__away"), d.lognormal("high", 5.5 if tag == "unusual_location" else 4.0, 0.8)
+        elif tag == "new_device":
+            device, amount = F.col("__other"), d.lognormal("high", 5.0, 0.7)
+        elif tag == "device_sharing":
+            device, amount = d.integer("shared device", 1, c.devices), d.lognormal("high", 6.5, 0.7)
+        elif tag == "unusual_location":
+            location, amount = F.col("__away"), d.lognormal("high", 5.5, 0.8)
         elif tag == "mule_behavior":
             second = F.when(last, F.col("t")).otherwise(F.col("t") - d.integer("inbound", 1, 3599))
             amount = F.when(last, F.round(d.between("out", 1500, 8000), 2)).otherwise(F.round(d.between("in", 20, 200), 2))
         elif tag == "unusual_merchant":
             amount = F.round(d.between("high", 500, 3500), 2)
-        else:
-            amount = d.lognormal("high", 4.2, 0.9)
-        risky = tag == "unusual_merchant"
-        out = rows.select("row", "account_id", device.alias("device_id"), merchant.alias("merchant_id"), location.alias("location_id"), second.alias("second"), amount.alias("amount"), d.pick("channel", ["online", "pos", "mobile"]).alias("channel"), flagged.cast("int").alias("label_fraud"), F.lit(tag).alias("scenario_tag"), F.to_json(F.struct("episode")).alias("scenario_extra"))
-        if risky:
-            bad = env["merchants"].where("risk_band = 'high'").agg(F.array_sort(F.collect_list("merchant_id")).alias("bad"))
-            out = out.join(F.broadcast(bad.select("bad"))).withColumn("merchant_id", F.when(F.size("bad") > 0, F.element_at("bad", (1 + F.col("merchant_id") % F.greatest(F.size("bad"), F.lit(1))).cast("int"))).otherwise(F.col("merchant_id"))).drop("bad")  # bad is one row
-        parts.append(out)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows = _merchant(rows, env, d, F.lit(1.0 if tag == "unusual_merchant" else _high_share(env, 1.0)))
+        rows = rows.withColumns({"device_id": device, "location_id": location, "second": second, "amount": amount, "channel": d.pick("channel", ["online", "pos", "mobile"])})
+        parts.append(rows.select(*PAYMENT, *_payment(flagged, tag, F.to_json(F.struct("episode")))))
+    return reduce(DataFrame.unionByName, parts)
 
 
-#: Seconds by which repeated (account, time) rows are moved, in turn.
-JITTER = [0, 1, -1, 2, -2]
+#: Seconds by which repeated (account, time) rows are moved, the first that is free; the last two in the hard form only.
+JITTER, HARD_JITTER = [0, 1, -1, 2, -2], [0, 1, -1, 2, -2, 3, -3]
 
 
-def spread_collisions(rows: DataFrame, keys: tuple[str, ...], ts: str, order: str) -> DataFrame:
-    """Moves rows that share keys and time by +0, +1, -1, +2, -2 seconds, in their order; later ones by -2.
+def spread_collisions(rows: DataFrame, keys: tuple[str, ...], ts: str, order: str, taken: DataFrame | None = None, offsets: Sequence[int] = tuple(JITTER)) -> DataFrame:
+    """Moves rows so that keys and time are unique: each row in turn takes the first offset whose time neither a row
+    before it nor a taken one has; a row for which all are taken keeps its time.
 
-    All rows of a collision move at once, so a moved row may meet one that stood there before.
+    Rows of the same keys are cut into chains of times that could meet; a chain is moved by itself, rows alone in theirs
+    are not touched. All rows of one (keys, time) are in one chain. taken has the columns of rows; its rows stay.
     """
-    turn = F.least(F.row_number().over(Window.partitionBy(*keys, ts).orderBy(order)), F.lit(len(JITTER)))
-    offset = F.element_at(F.array(*[F.lit(x) for x in JITTER]), turn)
-    return rows.withColumn(ts, F.timestamp_seconds(F.unix_seconds(F.col(ts)) + offset))
+    reach = 2 * max(map(abs, offsets)) * 1_000_000
+    at = F.unix_micros(F.col(ts))
+    every = rows.select(*keys, at.alias("__t"), F.col(order).alias("__o"), F.struct(*rows.columns).alias("__row"), F.lit(False).alias("__fixed"))
+    if taken is not None:
+        none = F.lit(None).cast(every.schema["__row"].dataType)
+        every = every.unionByName(taken.select(*keys, at.alias("__t"), F.lit(None).cast(every.schema["__o"].dataType).alias("__o"), none.alias("__row"), F.lit(True).alias("__fixed")))
+    over = Window.partitionBy(*keys).orderBy("__t")
+    begins = F.coalesce(F.col("__t") - F.lag("__t").over(over) > reach, F.lit(True)).cast("int")
+    every = every.withColumn("__begins", begins).withColumn("__chain", F.sum("__begins").over(over.rangeBetween(Window.unboundedPreceding, 0)))
+    movable = F.when(~F.col("__fixed"), F.struct("__o", "__t", "__row"))
+    chains = every.groupBy(*keys, "__chain").agg(F.array_sort(F.collect_list(movable)).alias("__rows"), F.collect_set(F.when(F.col("__fixed"), F.col("__t"))).alias("__used")).where(F.size("__rows") > 0)
+    steps = F.array(*[F.lit(x * 1_000_000).cast("long") for x in offsets])
+
+    def place(state: Column, row: Column) -> Column:
+        free = F.filter(F.transform(steps, lambda x: row["__t"] + x), lambda t: ~F.array_contains(state["used"], t))
+        to = F.coalesce(F.get(free, 0), row["__t"])
+        return F.struct(F.array_union(state["used"], F.array(to)).alias("used"), F.concat(state["to"], F.array(to)).alias("to"))
+
+    start = F.struct(F.col("__used").alias("used"), F.array().cast("array<long>").alias("to"))
+    moved = chains.withColumn("__to", F.when(F.size("__rows") + F.size("__used") == 1, F.transform("__rows", lambda r: r["__t"])).otherwise(F.aggregate("__rows", start, place)["to"]))
+    each = moved.select(F.explode(F.arrays_zip(F.col("__rows"), F.col("__to"))).alias("x")).select("x.__rows.__row.*", F.col("x.__to").alias("__to"))
+    return each.withColumn(ts, F.timestamp_micros("__to")).select(*rows.columns)
 
 
 def generate(spark: SparkSession, config: EnvironmentConfig = EnvironmentConfig()) -> dict[str, DataFrame]:
-    """The seven tables. Transactions are numbered in time order and stay within the period."""
-    from riskweft.operators.prepare import with_rank
+    """The seven tables. Transactions are numbered in time order and stay within the period; a scenario row is moved
+    where another payment of its account has its time."""
+    env = {name: kept(df, name) for name, df in (entities(spark, config) | {"account_devices": links(spark, config)}).items()}
+
+    def timed(rows: DataFrame) -> DataFrame:
+        second = F.least(F.greatest("second", F.lit(3)), F.lit(config.days * 86400 - 4)).cast("long")  # leaves room to move
+        return kept(rows.withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.lit(config.start).cast("timestamp")) + second)).drop("second"), "payments")
 
-    env = entities(spark, config)
-    env["account_devices"] = links(spark, config)
-    rows = background(spark, config, env)
+    rows = timed(background(spark, config, env))
     if config.scenarios:
-        rows = rows.unionByName(scenario_rows(spark, config, env))
-    second = F.least(F.greatest("second", F.lit(2)), F.lit(config.days * 86400 - 3)).cast("long")  # leaves room to move
-    rows = rows.withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.lit(config.start).cast("timestamp")) + second))
-    ranked = with_rank(spread_collisions(rows, ("account_id",), "ts", "row"), ["ts", "row"], "txn_id")
+        rows = rows.unionByName(spread_collisions(timed(scenario_rows(spark, config, env)), ("account_id",), "ts", "row", rows, HARD_JITTER if config.hard else JITTER))
+    ranked = with_rank(rows, ["ts", "row"], "txn_id")
     names = TABLES["transactions"].fieldNames()
-    env["transactions"] = ranked.withColumns({"currency": F.lit("USD"), "status": F.lit("completed"), "txn_id": F.col("txn_id").cast("long")}).select(*names)
+    env["transactions"] = ranked.withColumns({"currency": F.lit("USD"), "status": F.lit("settled"), "txn_id": F.col("txn_id").cast("long")}).select(*names)
     return env
 
 
 def flat_table(spark: SparkSession, n: int = 10_000, fraud_ratio: float = 0.0172, seed: int = 42) -> DataFrame:
     """A flat card table: Time, V1..V28, Amount, Class."""
     d = Draws(seed, "id")
-    fraud = d.uniform("class") < fraud_ratio
+    # exactly the wanted number of frauds: those with the smallest hashes
+    place = hash_rank(spark.range(n).withColumn("__all", F.lit(1)), "__all", "id", seed)
+    fraud = F.col("__place") <= max(2, int(n * fraud_ratio))
     v = [F.when(fraud, 0.2 + 1.2 * d.normal(f"V{i}")).otherwise(d.normal(f"V{i}")).alias(f"V{i}") for i in range(1, 29)]
     amount = F.when(fraud, d.lognormal("a1", 4.0, 1.2)).otherwise(d.lognormal("a0", 3.5, 1.0))
-    return spark.range(n).select(d.between("time", 0, 172_800).alias("Time"), *v, amount.alias("Amount"), fraud.cast("int").alias("Class"))
+    return place.select(d.between("time", 0, 172_800).alias("Time"), *v, amount.alias("Amount"), fraud.cast("int").alias("Class"))

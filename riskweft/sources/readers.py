@@ -60,28 +60,30 @@ def read_examples(spark: SparkSession, path: str, schema: StructType = EXAMPLE)
 
 
 def read_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(record): JSON objects of an array, a single object or lines, bad lines skipped; none if the path is missing.
+    """(record): the JSON objects of a file or of each file of a folder; none if the path is missing.
 
-    Records stay JSON, since their fields differ.
+    Each file is taken for itself: as an array of objects, as a single object, or else as lines, bad ones skipped.
+    Records stay JSON, since their fields differ. Only files that begin with `[`, or with a `{` that its line doesn't
+    close, are parsed as a whole; the others are read line by line, in splits, whatever their first line is.
     """
-    empty = spark.createDataFrame([], "record string")
+    empty, trimmed = spark.createDataFrame([], "record string"), F.btrim("value", F.lit(" \t\r\n"))
     try:
         if not exists(spark, path):
             return empty
-        head = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
+        lines = spark.read.text(path).where(trimmed != "").select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+        whole = trimmed.startswith("[") | (trimmed.startswith("{") & F.try_parse_json(trimmed).isNull())
+        first = lines.where("__start = 0").withColumn("__at", F.monotonically_increasing_id()).groupBy("__file").agg(F.min_by(whole, "__at").alias("whole"))
+        large = [r["__file"] for r in first.where("whole").select("__file").collect()]  # names of files
     except AnalysisException:
         return empty
-    if head is None:
-        return empty
-    start = head["value"].lstrip()
-    whole = F.col("value")
-    array = F.from_json(whole, "array<string>")
-    if start.startswith("["):
-        out = spark.read.text(path, wholetext=True).select(F.explode(array).alias("record"))
-    else:
-        lines = spark.read.text(path).where(F.trim("value") != "")
-        single = spark.read.text(path, wholetext=True)
-        is_object = F.try_parse_json(whole).isNotNull() & F.ltrim(whole).startswith("{")
-        good = lines.where(is_object).select(whole.alias("record"))
-        out = good if start.rstrip().endswith("}") else single.where(is_object).select(whole.alias("record"))
+    is_object = lambda x: F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith("{")
+    out = lines.where(is_object(F.col("value"))).select("__file", trimmed.alias("record"))
+    if large:
+        text = spark.read.text(large, wholetext=True).select(trimmed.alias("value"), F.col("_metadata.file_path").alias("__file"))
+        valid = F.try_parse_json("value").isNotNull()
+        parts = F.when(valid & F.col("value").startswith("["), F.from_json("value", "array<string>")).when(valid & F.col("value").startswith("{"), F.array("value"))
+        text = text.select("__file", parts.alias("parts")).where("parts IS NOT NULL")
+        of_whole = text.select("__file", F.explode("parts").alias("record")).where(is_object(F.col("record")))
+        out = out.join(F.broadcast(text.select("__file").distinct()), "__file", "left_anti").unionByName(of_whole)  # names of files
+    out = out.select("record")
     return out.limit(limit) if limit is not None else out

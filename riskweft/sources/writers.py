@@ -35,13 +35,15 @@ def save_splits(df: DataFrame, folder: str, fmt: str = "parquet", names: tuple[s
 
 def save_environment(env: Mapping[str, DataFrame], folder: str, metadata: Mapping[str, Any] | None = None, fmt: str = "parquet") -> None:
     """The tables, and metadata.json with row counts, the scenario breakdown and the fraud rate."""
-    counts = {}
+    from riskweft.sources.readers import read_environment
+
     for name, df in env.items():
         writer = df.write.mode("overwrite")
         writer.option("header", True).csv(f"{folder}/{name}.csv") if fmt == "csv" else writer.parquet(f"{folder}/{name}.parquet")
-        counts[name] = df.count()
-    tx = env["transactions"]
-    spark = tx.sparkSession
+    spark = env["transactions"].sparkSession
+    written = read_environment(spark, folder, fmt)  # counted as written, not computed again
+    counts = {name: written[name].count() for name in env}
+    tx = written["transactions"]
     breakdown = [r.asDict() for r in scenario_breakdown(tx).collect()]  # a row a scenario
     rate = fraud_rate(tx).first()["fraud_rate"]
     write_text(spark, f"{folder}/metadata.json", json.dumps({"config": dict(metadata or {}), "rows": counts, "scenarios": breakdown, "fraud_rate": rate}, indent=2, default=str))
@@ -56,8 +58,15 @@ def fraud_rate(tx: DataFrame) -> DataFrame:
     return tx.agg(F.coalesce(F.avg("label_fraud"), F.lit(0.0)).alias("fraud_rate"))
 
 
-def save_dataset(df: DataFrame, folder: str) -> None:
-    """JSON lines under split=train|val|test; columns that begin with _ are left out."""
+def save_dataset(df: DataFrame, folder: str, single: bool = False) -> None:
+    """JSON lines under split=train|val|test; columns that begin with _ are left out. single: one file, train.jsonl and so
+    on, in the order of the rows' JSON, for each split (a small dataset)."""
+    if single:
+        lines = df.select(F.col("split"), F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")])).alias("line"))
+        for name in [r["split"] for r in lines.select("split").distinct().collect()]:  # a row a split
+            text = "".join(f"{r['line']}\n" for r in lines.where(F.col("split") == name).orderBy("line").toLocalIterator())
+            write_text(df.sparkSession, f"{folder}/{name}.jsonl", text)
+        return
     df.drop(*[c for c in df.columns if c.startswith("_")]).write.mode("overwrite").partitionBy("split").json(folder)
 
 
@@ -80,7 +89,9 @@ EXPORT_LAYOUT = ("model", "scaler.json", "threshold.json", "feature_columns.json
 
 def export_all(spark: SparkSession, folder: str, model: Any, scaler: Mapping[str, Any], threshold: float, columns: list[str], metrics: Mapping[str, Any]) -> list[str]:
     """Model and its companions in EXPORT_LAYOUT. All figures are given; none is made up."""
-    model.write().overwrite().save(f"{folder}/model")
+    from riskweft.ml.models import save
+
+    save(spark, model, f"{folder}/model")
     for name, value in (("scaler", dict(scaler)), ("threshold", {"threshold": threshold}), ("feature_columns", columns), ("metrics", dict(metrics))):
         write_text(spark, f"{folder}/{name}.json", json.dumps(value, indent=2, default=str))
     write_text(spark, f"{folder}/report.md", report("Model report", metrics))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,30 +20,33 @@ STATE = "micros array<long>, amounts array<double>"
 def velocity(stream: DataFrame, seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:
     """Trailing count and sum per account, as each transaction comes; rows of a batch count in order of (ts, txn_id).
 
-    The state of an account is what lies within the window before its latest row; idle accounts are dropped once the
-    watermark has passed them. stream has txn_id, account_id, ts, amount.
+    The state of an account is what lies within the window and the lateness before its latest row, so a late row finds
+    its neighbours; idle accounts are dropped once the watermark has passed them. A null amount counts as 0 in the sum.
+    stream has txn_id, account_id, ts, amount.
     """
     ship(stream.sparkSession)
-    window = seconds * 1_000_000
+    window, late = seconds * 1_000_000, int(pd.Timedelta(lateness) / pd.Timedelta(microseconds=1))
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen, amounts = (list(x) for x in state.get) if state.exists else ([], [])
+        seen, before = (np.array(x, k) for x, k in zip(state.get if state.exists else ([], []), (np.int64, np.float64), strict=True))
         rows = pd.concat(list(batches)).sort_values(["ts", "txn_id"])
-        counts, sums = [], []
-        for ts, amount in zip(rows["ts"], rows["amount"], strict=True):
-            now = int(ts.value // 1000)
-            near = [a for t, a in zip(seen, amounts, strict=True) if 0 <= now - t < window]
-            counts.append(len(near))
-            sums.append(float(sum(near)))
-            seen.append(now)
-            amounts.append(float(amount))
-        last = max(seen)
-        kept = [(t, a) for t, a in zip(seen, amounts, strict=True) if last - t < window]
-        state.update(([t for t, _ in kept], [a for _, a in kept]))
-        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        now = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        amounts = rows["amount"].fillna(0.0).to_numpy(float)
+        # rows of earlier batches are sorted by time, and so are these: all that is asked for lies between two places
+        counts, sums = np.zeros(len(now), np.int64), np.zeros(len(now))
+        for times, values, end in ((seen, before, np.searchsorted(seen, now, "right")), (now, amounts, np.arange(len(now)))):
+            start = np.minimum(np.searchsorted(times, now - window, "right"), end)
+            total = np.concatenate([[0.0], np.cumsum(values)])
+            counts += end - start
+            sums += total[end] - total[start]
+        seen, before = np.concatenate([seen, now]), np.concatenate([before, amounts])
+        kept = np.argsort(seen, kind="stable")
+        kept = kept[seen[kept] > seen.max() - window - late]
+        state.update((seen[kept].tolist(), before[kept].tolist()))
+        state.setTimeoutTimestamp(max(int(seen.max()) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"txn_id": rows["txn_id"], "account_id": key[0], "ts": rows["ts"], "vel_count": counts, "vel_amount": sums})
 
     marked = stream.select("txn_id", "account_id", "ts", "amount").withWatermark("ts", lateness)

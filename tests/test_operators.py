@@ -233,3 +233,75 @@ def test_scalars(spark):
 def test_record_text_cuts_only_when_asked(spark):
     row = spark.range(1).select(F.repeat(F.lit("abcd"), 1000).alias("text"))
     assert row.select(*[F.length(record_text({"text": F.col("text")}, *a)) for a in ((), (128,), (None,))]).first()[:] == (2048, 512, 4000)
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ranks_of_wide_rows(spark, coalesce):
+    """No row is lost or numbered twice, whatever the partitions are made of."""
+    df = spark.range(60_000).select(F.xxhash64("id").alias("h"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide")).repartition(7)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, coalesce)
+    try:
+        out = prepare.with_rank(df, ["h", "id"], "place", "n")
+        got = out.agg(F.count("*"), F.count_distinct("place"), F.min("place"), F.max("place"), F.max("n"), F.sum(F.length("wide"))).first()
+        assert tuple(got) == (60_000, 60_000, 1, 60_000, 60_000, 256 * 60_000)
+        by_place = [r["h"] for r in out.where("place % 5000 = 0").orderBy("place").collect()]
+    finally:
+        spark.conf.set(name, before)
+    hashes = sorted(r["h"] for r in df.select("h").collect())
+    assert by_place == [hashes[i - 1] for i in range(5000, 60_001, 5000)]
+    split = prepare.ordered_split(df, ["h", "id"]).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in split} == {"train": 48_000, "test": 12_000}
+
+
+def test_pairs_in_blocks(spark):
+    """However small the blocks, each pair once, under its smallest shared device."""
+    rows = [(a, d) for d in range(3) for a in range(60) if (a * 7 + d * 3) % 4 < 3] + [(1, 9), (2, 9), (None, 9), (3, None)]
+    links = spark.createDataFrame(rows, "account_id long, device_id long")
+    want = {}
+    for a, d in rows:
+        for b, e in rows:
+            if a is not None and b is not None and d is not None and d == e and a < b:
+                want[a, b] = min(d, want.get((a, b), d))
+    for block in (5, 1000):
+        got = [tuple(r) for r in graph.device_share_pairs(links, block).collect()]
+        assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want
+
+
+def test_neighbour_counts(spark):
+    links = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (3, 2), (4, 2), (1, 2), (5, 3)], "account_id long, device_id long")
+    tx = spark.createDataFrame([(1, 1), (4, 1), (2, 0), (4, 1)], "account_id long, label_fraud int")
+    got = {r["account_id"]: (r["n"], r["suspicious"]) for r in graph.neighbour_counts(links, tx).collect()}
+    assert got == {1: (3, 1), 2: (2, 1), 3: (3, 2), 4: (2, 1)}
+    assert {r["account_id"]: r["n"] for r in graph.suspicious_neighbours(links, tx).collect()} == {1: 1, 2: 1, 3: 2, 4: 1}
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    values = {"a": np.round(r.normal(size=3000), 2), "b": r.lognormal(size=3000)}
+    rows = [(float(x), float(y), int(i % 3)) for i, (x, y) in enumerate(zip(values["a"], values["b"], strict=True))]
+    df = spark.createDataFrame([*rows, (None, float("nan"), 0), (float("inf"), None, 1)], "a double, b double, g int")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {(x["column"], x["share"]): x["value"] for x in prepare.quantiles(df, ["a", "b"], shares).collect()}
+    assert len(got) == 12 and all(np.isclose(got[c, p], np.quantile(values[c], p)) for c in values for p in shares)
+    by = {(x["g"], x["column"], x["share"]): x["value"] for x in prepare.quantiles(df, ["a", "b"], [0.5], "g").collect()}
+    assert len(by) == 6 and all(np.isclose(by[g, c, 0.5], np.median(values[c][g::3])) for g in range(3) for c in values)
+    assert prepare.quantiles(df.limit(0), ["a"], [0.5]).count() == 0 and prepare.medians(df.limit(0), ["a"]) == {"a": 0.0}
+    one = spark.createDataFrame([(4.0,)], "a double")
+    assert [x["value"] for x in prepare.quantiles(one, ["a"], [0.0, 0.3, 1.0]).collect()] == [4.0] * 3
+
+
+def test_curve_of_crowded_scores(spark):
+    """Scores that crowd at one end: the same counts as by sorting."""
+    df = spark.range(4000).select((F.pow(F.rand(3), 8)).alias("score"), (F.col("id") % 7 == 0).cast("int").alias("label")).cache()
+    rows = sorted(((r["score"], r["label"]) for r in df.collect()), reverse=True)
+    tp = fp = 0
+    want = {}
+    for s, y in rows:
+        tp, fp = tp + y, fp + 1 - y
+        want[s] = (tp, fp)
+    got = {r["score"]: (r["tp"], r["fp"]) for r in metrics.curve(df).collect()}
+    assert got == want

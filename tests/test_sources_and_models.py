@@ -2,10 +2,15 @@ import json
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskweft.ml import attribution, iforest, models
+from riskweft.ml import attribution, boosting, iforest, models
+from riskweft.ml.engine import FusionEngine
 from riskweft.plans.learning import drain
 from riskweft.sources import generator, readers, writers
 from riskweft.streaming import velocity
@@ -32,6 +37,28 @@ def test_records(spark, tmp_path):
     assert read("c.json") == [{"a": 1}] and read("d.json") == [] and read("none") == [] and len(read("a.jsonl", limit=1)) == 1
 
 
+def test_records_of_each_file(spark, tmp_path):
+    """A bad first line costs that line only; the files of a folder may differ."""
+    (tmp_path / "a.jsonl").write_text('not json\n{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "b.json").write_text('[\n {"a": 3},\n 7, {"a": 4, "b": [1]}\n]')
+    (tmp_path / "c.json").write_text('\n{\n "a": 5\n}')
+    (tmp_path / "d.jsonl").write_text('{"a": \n{"a": 6}\n[1]\n')
+    (tmp_path / "e.json").write_text('[{"a": 9},\n{"a": 7}\n{"a": 8}\n')
+    (tmp_path / "f.jsonl").write_text("\n\n")
+    got = sorted((json.loads(r[0]) for r in readers.read_records(spark, f"file://{tmp_path}").collect()), key=lambda x: x["a"])
+    assert got == [{"a": 1}, {"a": 2}, {"a": 3}, {"a": 4, "b": [1]}, {"a": 5}, {"a": 6}, {"a": 7}, {"a": 8}]
+
+
+def test_late_rows_find_their_neighbours(spark, tmp_path):
+    rows = [(1, 1, "2024-01-01 00:00:00", 1.0), (2, 1, "2024-01-01 00:03:00", 2.0), (3, 1, "2024-01-01 00:14:00", None), (4, 1, "2024-01-01 00:09:00", 8.0), (5, 1, "2024-01-01 00:14:00", 16.0)]
+    df = spark.createDataFrame(rows, "txn_id long, account_id long, t string, amount double").withColumn("ts", F.to_timestamp("t")).drop("t")
+    for k in (1, 2, 3, 4, 5):
+        df.where(f"txn_id = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["txn_id"]: (r["vel_count"], r["vel_amount"]) for r in drain(spark, velocity.velocity(stream, 600), "late").collect()}
+    assert got == {1: (0, 0.0), 2: (1, 1.0), 3: (0, 0.0), 4: (2, 3.0), 5: (2, 8.0)}
+
+
 def test_examples_fail_fast(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"instruction": "x", "input": "{}", "output": "{}"}\n')
     assert readers.read_examples(spark, f"file://{tmp_path}").count() == 1
@@ -70,10 +97,43 @@ def test_generator_invariants(spark):
     assert {r[0] for r in nights.collect()} <= {2, 3, 4, 5}
     strange = tx.where("scenario_tag = 'unusual_location'").join(env["accounts"], "account_id").join(env["users"], "user_id").join(env["locations"], "location_id")
     assert strange.where("country = home_country").count() == 0
+    linked = tx.join(env["account_devices"], ["account_id", "device_id"], "left_semi").groupBy("scenario_tag").count().collect()
+    linked = {r["scenario_tag"]: r["count"] for r in linked}
+    assert "new_device" not in linked and linked["background"] == 800
+    assert tx.where("scenario_tag = 'background'").join(env["accounts"].where("status = 'active'"), "account_id", "left_anti").count() == 0
+    assert tx.where("scenario_tag = 'unusual_merchant'").join(env["merchants"].where("risk_band = 'high'"), "merchant_id", "left_anti").count() == 0
     again = generator.generate(spark, c)["transactions"]
     assert again.exceptAll(tx).count() == 0
-    hard = generator.generate(spark, generator.EnvironmentConfig.hard_overlap())["transactions"]
-    assert 0.008 <= writers.fraud_rate(hard).first()[0] <= 0.02 and hard.where("currency IS NULL").count() == 0
+
+
+def test_generator_at_some_size(spark):
+    """Gapless numbers over several partitions; high-risk merchants as often as their weight says."""
+    env = generator.generate(spark, generator.EnvironmentConfig(accounts=20_000, users=15_000, transactions=60_000))
+    tx = env["transactions"].cache()
+    n = tx.count()
+    assert n > 60_000 and tuple(tx.agg(F.min("txn_id"), F.max("txn_id"), F.count_distinct("txn_id")).first()) == (1, n, n)
+    assert tx.withColumn("before", F.lag("ts").over(Window.orderBy("txn_id"))).where("before > ts").count() == 0
+    bands = {r["risk_band"]: r["n"] for r in env["merchants"].groupBy("risk_band").agg(F.count("*").alias("n")).collect()}
+    want = 0.05 * bands["high"] / (0.05 * bands["high"] + sum(v for k, v in bands.items() if k != "high"))
+    share = tx.where("scenario_tag = 'background'").join(env["merchants"], "merchant_id").agg(F.avg((F.col("risk_band") == "high").cast("int"))).first()[0]
+    assert abs(share - want) < 0.003
+
+
+def test_hard_overlap(spark):
+    env = generator.generate(spark, generator.EnvironmentConfig.hard_overlap())
+    tx = env["transactions"].cache()
+    tags = {r["scenario_tag"]: (r["n_total"], r["n_fraud"]) for r in writers.scenario_breakdown(tx).collect()}
+    assert tags == {"background": (9000, 0), **dict.fromkeys(generator.HARD_SCENARIOS, (20, 20))}
+    assert tx.where("currency IS NULL OR ts IS NULL OR device_id IS NULL").count() == 0
+    high = tx.join(env["merchants"], "merchant_id").where("scenario_tag = 'background'").agg(F.avg((F.col("risk_band") == "high").cast("int"))).first()[0]
+    assert abs(high - 0.2) < 0.02
+    mine = tx.where("label_fraud = 1").withColumn("known", F.lit(1)).join(env["account_devices"].select("account_id", "device_id", F.lit(1).alias("linked")), ["account_id", "device_id"], "left")
+    linked = {r["scenario_tag"]: r["n"] for r in mine.groupBy("scenario_tag").agg(F.count("linked").alias("n")).collect()}
+    assert linked["hard_moderate_amo_dev"] == linked["hard_normal_amount_new_device_merchant"] == 0 and linked["hard_high_amount_normal_location_velocity"] == 20
+    signals = {r[0] for r in tx.where("scenario_tag = 'hard_mixed_signals'").select(F.get_json_object("scenario_extra", "$.signal")).distinct().collect()}
+    assert signals <= {"combo_0", "combo_1", "combo_2", "combo_3"} and len(signals) > 1
+    repeated = tx.groupBy("account_id", "ts").agg(F.count("*").alias("n"), F.max("label_fraud").alias("y")).where("n > 1 AND y = 1")
+    assert repeated.count() == 0
 
 
 def test_isolation_forest(spark):
@@ -94,15 +154,128 @@ def test_attributions_sum_to_the_margin(spark):
     random = np.random.default_rng(1)
     x = random.normal(size=(200, 3))
     df = spark.createDataFrame([(*map(float, r), int(r[0] + r[1] * r[2] > 0)) for r in x], "a double, b double, c double, y int")
-    model = models.fit(df, ["a", "b", "c"], "y", "fusion_gb", maxIter=4, subsamplingRate=1.0).stages[-1]
-    leaves = attribution.ensemble_paths(model)
-    phi, base = attribution.shapley(x, leaves)
-    margin = np.zeros(len(x))
-    for value, path in leaves:
-        margin += value * np.all([(x[:, f] > lo) & (x[:, f] <= hi) for f, (lo, hi, _) in path.items()] or [np.ones(len(x))], axis=0)
-    assert np.allclose(phi.sum(1) + base, margin)
-    got = attribution.attribute(df, model, ["a", "b", "c"]).limit(3).collect()
-    assert np.allclose([r["attributions"] for r in got], phi[:3])
+    for model in (models.fit(df, ["a", "b", "c"], "y", "fusion_gb", trees=4, rows=1.0), GBTClassifier(maxIter=4, maxDepth=4, seed=1, labelCol="y", featuresCol="f").fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df))):
+        leaves = attribution.ensemble_paths(model)
+        phi, base = attribution.shapley(x, leaves)
+        margin = np.zeros(len(x))
+        for value, path in leaves:
+            margin += value * np.all([(x[:, f] > lo) & (x[:, f] <= hi) for f, (lo, hi, _) in path.items()] or [np.ones(len(x))], axis=0)
+        assert np.allclose(phi.sum(1) + base, margin)
+        if isinstance(model, boosting.BoostedTrees):
+            assert np.allclose(margin + model.base, model.margin(x))
+        got = attribution.attribute(df, model, ["a", "b", "c"]).limit(3).collect()
+        assert np.allclose([r["attributions"] for r in got], phi[:3])
+
+
+def plain_tree(x, g, h, depth, p):
+    """Values of a tree by trying every split of every feature on the raw rows."""
+    out = np.full(len(g), -p.rate * g.sum() / (h.sum() + p.l2))
+    best = (1e-9, None)
+    if depth:
+        for f in range(x.shape[1]):
+            for t in np.unique(x[:, f])[:-1]:
+                side = x[:, f] <= t
+                if h[side].sum() >= p.min_weight and h[~side].sum() >= p.min_weight:
+                    gain = (g[side].sum() ** 2 / (h[side].sum() + p.l2) + g[~side].sum() ** 2 / (h[~side].sum() + p.l2) - g.sum() ** 2 / (h.sum() + p.l2)) / 2
+                    if gain > best[0] + 1e-9:
+                        best = (gain, side)
+    if best[1] is not None:
+        for side in (best[1], ~best[1]):
+            out[side] = plain_tree(x[side], g[side], h[side], depth - 1, p)
+    return out
+
+
+def test_boosting_against_plain_trees():
+    random = np.random.default_rng(5)
+    x = random.integers(0, 12, size=(300, 4)).astype(float)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 5) + random.normal(size=300) > 9).astype(float)
+    p = boosting.Params(trees=5, rate=0.3, max_depth=3, rows=1.0, columns=1.0)
+    model = boosting.fit_arrays(x, y, list("abcd"), p)
+    margin = np.full(300, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(5):
+        prob = 1 / (1 + np.exp(-margin))
+        margin += plain_tree(x, prob - y, prob * (1 - prob), 3, p)
+    assert np.allclose(model.margin(x), margin) and np.isclose(sum(model.importances), 1)
+
+
+def test_boosting_options(spark):
+    random = np.random.default_rng(6)
+    x = random.normal(size=(4000, 5))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.7 * random.normal(size=4000) > 1.2).astype(float)
+    leafy = boosting.fit_arrays(x, y, list("abcde"), boosting.Params(trees=20, max_depth=0, max_leaves=7, min_rows=50, l2=0.0, min_weight=1e-3))
+    assert all(sum(f < 0 for f in t["feature"]) <= 7 for t in leafy.trees)
+    early = boosting.fit_arrays(x[:3000], y[:3000], list("abcde"), boosting.Params(trees=400, rate=0.3, stop_after=10), x[3000:], y[3000:])
+    scores = [boosting.average_precision(y[3000:], boosting.BoostedTrees(early.columns, early.base, early.trees[:k]).margin(x[3000:])) for k in range(len(early.trees) + 1)]
+    assert 0 < len(early.trees) < 300 and scores[-1] == max(scores)
+    df = spark.createDataFrame([(*map(float, r), int(k), i) for i, (r, k) in enumerate(zip(x, y, strict=True))], "a double, b double, c double, d double, e double, y int, i long")
+    one, two = (boosting.Boosting(boosting.Params(trees=5)).fit(df.repartition(n), list("abcde"), "y") for n in (2, 5))
+    assert one == two and boosting.BoostedTrees.from_json(one.to_json()) == one
+    got = [r["probability"] for r in one.transform(df).orderBy("i").collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(-one.margin(x))))
+    with pytest.raises(TypeError):
+        boosting.BoostedTrees.from_json("[]")
+    assert boosting.fit_arrays(x[:0], y[:0], ["a"], boosting.Params()).trees == []
+
+
+def test_average_precision():
+    y, s = np.array([0, 1, 0, 1, 1, 0, 0, 1]), np.array([0.1, 0.9, 0.6, 0.8, 0.35, 0.35, 0.2, 0.6])
+    assert np.isclose(boosting.average_precision(y, s), 0.8541666)
+
+
+def test_course_and_export(spark, tmp_path):
+    random = np.random.default_rng(7)
+    rows = [(i, *map(float, random.normal(size=3) * [1, 100, 1])) for i in range(1500)]
+    df = spark.createDataFrame([(*r, int(r[1] + r[2] / 100 + 0.3 * r[3] > 1.3)) for r in rows], "id long, a double, b double, c double, y int")
+    for name, options in (("logreg", {}), ("lightgbm", {"trees": 40})):
+        folder = f"file://{tmp_path}/{name}"
+        done = models.train(df, ["a", "b", "c"], "y", "id", name, scale=["b"], target_fpr=0.05, folder=folder, **options)
+        assert done.test["roc_auc"] > 0.9 and done.validation["fp"] <= 0.05 * (done.validation["fp"] + done.validation["tn"]) and done.test["threshold"] == done.predictor.threshold
+        assert writers.missing_exports(spark, folder) == []
+        scaler = json.loads(writers.read_text(spark, f"{folder}/scaler.json"))
+        back = models.Predictor.load(spark, f"{folder}/model", ["a", "b", "c"], done.predictor.threshold, scaler)
+        assert back.predict(df).columns == [*df.columns, "fraud_probability", "prediction"]
+        assert back.predict(df).exceptAll(done.predictor.predict(df)).count() == 0 and back.predict(df).select(df.columns).exceptAll(df).count() == 0
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, f"file://{tmp_path}/none")
+    with pytest.raises(TypeError):
+        models.load(spark, f"file://{tmp_path}")
+    with pytest.raises(TypeError):
+        models.Predictor("no model", ["a"])
+
+
+def test_engine(spark, tmp_path):
+    from riskweft.plans.risk import features
+
+    frame = features(spark, SF).cache()
+    engine = FusionEngine(boosted_params={"trees": 5}, forest_params={"trees": 10}).fit(frame)
+    out = engine.predict(frame)
+    assert out.count() == frame.count() and out.where("xgb_score IS NULL OR anomaly_score NOT BETWEEN 0 AND 1").count() == 0
+    engine.save(spark, f"file://{tmp_path}/engine")
+    again = FusionEngine.load(spark, f"file://{tmp_path}/engine").predict(frame)
+    assert again.select("txn_id", "risk_score", "decision").exceptAll(out.select("txn_id", "risk_score", "decision")).count() == 0
+    given = FusionEngine(model=engine.model, forest=engine.forest, levels={"red": 0.2, "yellow": 0.1}).fit(frame)
+    assert given.model is engine.model and given.predict(frame).where("risk_level = 'RED'").count() >= out.where("risk_level = 'RED'").count()
+    with pytest.raises(RuntimeError):
+        FusionEngine().predict(frame)
+
+
+def test_collisions(spark):
+    """Greedy, row by row: each takes the first free second around its own."""
+    random = np.random.default_rng(9)
+    times = {i: (int(random.integers(0, 3)), int(random.integers(0, 40))) for i in range(120)}
+    fixed = [(1000 + i, int(random.integers(0, 3)), int(random.integers(0, 40))) for i in range(30)]
+    schema, epoch = "id long, a int, s long", 1_700_000_000
+    frame = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("s") + epoch))
+    for offsets in (generator.JITTER, generator.HARD_JITTER):
+        used, want = {(a, s) for _, a, s in fixed}, {}
+        for i, (a, s) in times.items():
+            free = [s + x for x in offsets if (a, s + x) not in used]
+            want[i] = free[0] if free else s
+            used.add((a, want[i]))
+        rows = frame([(i, a, s) for i, (a, s) in times.items()])
+        out = generator.spread_collisions(rows, ("a",), "ts", "id", frame(fixed), offsets)
+        assert out.columns == rows.columns
+        assert {r["id"]: r["t"] - epoch for r in out.select("id", F.unix_seconds("ts").alias("t")).collect()} == want
 
 
 def test_attributions_against_subsets():
