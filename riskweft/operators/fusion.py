@@ -37,6 +37,7 @@ def _num(name: str) -> Column:
 
 
 def behavioral_score() -> Column:
+    # fixed values: the steps and what each flag adds
     z = F.abs(_num("amount_zscore"))
     base = F.when(z > 3, 0.40).when(z > 2, 0.25).when(z > 1, 0.10).otherwise(0.0)
     added = {"is_new_device": 0.20, "is_unusual_location": 0.20, "is_new_user": 0.15, "country_switch": 0.15, "device_is_shared": 0.10, "is_offhours": 0.05}
@@ -44,6 +45,7 @@ def behavioral_score() -> Column:
 
 
 def graph_score() -> Column:
+    # fixed values: the steps of both signals and of the countries
     n, v, c = _num("device_account_count"), _num("vel_count_300s"), _num("prior_unique_countries")
     shared = F.when(n >= 4, 0.9).when(n >= 3, 0.7).when(n >= 2, 0.5).otherwise(0.0)
     busy = F.when(v >= 8, 0.85).when(v >= 5, 0.6).otherwise(0.0)
@@ -51,6 +53,7 @@ def graph_score() -> Column:
 
 
 def _evidence(df: DataFrame) -> Column:
+    # fixed values: the texts of the entries, their limits and their order
     amount, z, v = S.amount_of(df), F.col("amount_zscore").cast("double"), F.col("vel_count_300s").cast("int")
     on = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     fired = lambda rule: F.array_contains("triggered_rules", rule)

@@ -54,6 +54,7 @@ def build_examples(scored: DataFrame, evidence: str = "evidence_text") -> DataFr
     d = scored.withColumns({"__in": given, "__proof": proof, "__type": fraud_type(F.col("scenario_tag"))})
     x = F.col("__in")
     money, score = lambda c: S.fixed(x[c], 2), lambda c: S.fixed(x[c], 2)
+    # fixed values: the two summaries
     legit = F.concat(
         F.lit("Legitimate transaction of $"), money("transaction_amount"), F.lit(" (historical avg $"), money("historical_average"), F.lit("). No strong fraud indicators; recent_count="), x["recent_count"].cast("string"),
         F.lit(", new_device="), F.initcap(x["new_device"].cast("string")), F.lit(", distance="), S.fixed(x["location_distance"], 0), F.lit("km. Scores xgb="), score("xgboost_score"), F.lit(" anomaly="), score("anomaly_score"), F.lit(". Risk "), F.col("risk_level"), F.lit("."),

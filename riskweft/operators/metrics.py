@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweft.scratch import in_ranges
+from riskweft.scratch import in_ranges, kept
 
 
 def by_score(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -35,10 +35,13 @@ def _rate(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def _roc(points: DataFrame) -> DataFrame:
+    return points.select(F.col("score").alias("threshold"), _rate(F.col("fp"), F.col("negatives")).alias("fpr"), _rate(F.col("tp"), F.col("positives")).alias("tpr"))
+
+
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score."""
-    c = curve(df, label, score)
-    return c.select(F.col("score").alias("threshold"), _rate(F.col("fp"), F.col("negatives")).alias("fpr"), _rate(F.col("tp"), F.col("positives")).alias("tpr"))
+    return _roc(curve(df, label, score))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -47,12 +50,20 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataF
     return c.select(F.col("score").alias("threshold"), _rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _rate(F.col("tp"), F.col("positives")).alias("recall"))
 
 
-def auc_ap(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row: roc_auc (trapezoids, ties count half) and average_precision (steps)."""
-    c = curve(df, label, score)
+def _areas(points: DataFrame) -> DataFrame:
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     steps = F.sum(F.col("pos") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
-    return c.agg(F.try_divide(area, F.max("positives") * F.max("negatives")).alias("roc_auc"), F.try_divide(steps, F.max("positives")).alias("average_precision"))
+    return points.agg(F.try_divide(area, F.max("positives") * F.max("negatives")).alias("roc_auc"), F.try_divide(steps, F.max("positives")).alias("average_precision"))
+
+
+def auc_ap(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: roc_auc (trapezoids, ties count half) and average_precision (steps)."""
+    return _areas(curve(df, label, score))
+
+
+def _recall_at(points: DataFrame, target: float) -> DataFrame:
+    best = _roc(points).where(F.col("fpr") <= target).agg(F.max(F.struct("tpr", "threshold")).alias("x"))
+    return best.select(F.coalesce("x.tpr", F.lit(0.0)).alias("recall"), F.when(F.coalesce("x.tpr", F.lit(0.0)) > 0, F.col("x.threshold")).otherwise(float("inf")).alias("threshold"))
 
 
 def recall_at_fpr(df: DataFrame, target: float, label: str = "label", score: str = "score") -> DataFrame:
@@ -60,15 +71,13 @@ def recall_at_fpr(df: DataFrame, target: float, label: str = "label", score: str
 
     If no threshold has such a rate: recall 0 and an infinite threshold, which flags nothing.
     """
-    r = roc_curve(df, label, score).where(F.col("fpr") <= target)
-    best = r.agg(F.max(F.struct("tpr", "threshold")).alias("x"))
-    return best.select(F.coalesce("x.tpr", F.lit(0.0)).alias("recall"), F.when(F.coalesce("x.tpr", F.lit(0.0)) > 0, F.col("x.threshold")).otherwise(float("inf")).alias("threshold"))
+    return _recall_at(curve(df, label, score), target)
 
 
 def tune_threshold(df: DataFrame, target: float, label: str = "label", score: str = "score") -> DataFrame:
     """One row: threshold, precision, recall, f1. The lowest candidate (a score, 0 or 1) of the largest recall within the
     false-positive rate; all 0 if none has any recall."""
-    c = curve(df, label, score)
+    c = kept(curve(df, label, score), "points")
     precision, recall = _rate(F.col("tp"), F.col("tp") + F.col("fp")), _rate(F.col("tp"), F.col("positives"))
     ok = c.where((F.col("fp") <= target * F.greatest(F.col("negatives"), F.lit(1))) & (F.col("tp") > 0))
     best = ok.agg(F.max(F.struct(recall.alias("recall"), (-F.col("score")).alias("minus"), precision.alias("precision"))).alias("x"))
@@ -95,14 +104,15 @@ def precision_recall_f1(counts: DataFrame) -> DataFrame:
 def evaluate(df: DataFrame, threshold: float, target_fpr: float, label: str = "label", score: str = "score") -> DataFrame:
     """One row with all figures of a scored set at a threshold."""
     counts = precision_recall_f1(confusion(df.withColumn("predicted", F.col(score) >= threshold), label))
-    at = recall_at_fpr(df, target_fpr, label, score).select(F.col("recall").alias("recall_at_fpr"), F.col("threshold").alias("threshold_at_fpr"))
-    return counts.crossJoin(auc_ap(df, label, score)).crossJoin(at).withColumn("threshold", F.lit(threshold))  # one row each
+    points = kept(curve(df, label, score), "points")
+    at = _recall_at(points, target_fpr).select(F.col("recall").alias("recall_at_fpr"), F.col("threshold").alias("threshold_at_fpr"))
+    return counts.crossJoin(_areas(points)).crossJoin(at).withColumn("threshold", F.lit(threshold))  # one row each
 
 
 def interpolated_recall(df: DataFrame, target: float = 0.01, label: str = "label", score: str = "score") -> DataFrame:
     """One row: recall at the target rate by linear interpolation along the curve from (0, 0), and the threshold whose
     rate is nearest the target, the highest among equals."""
-    r = roc_curve(df, label, score)
+    r = kept(roc_curve(df, label, score), "points")
     below = r.where(F.col("fpr") <= target).agg(F.max(F.struct("fpr", "tpr")).alias("x")).select(F.coalesce("x.fpr", F.lit(0.0)).alias("x0"), F.coalesce("x.tpr", F.lit(0.0)).alias("y0"))
     above = r.where(F.col("fpr") > target).agg(F.min(F.struct("fpr", "tpr")).alias("x")).select(F.col("x.fpr").alias("x1"), F.col("x.tpr").alias("y1"))
     near = r.agg(F.min(F.struct(F.abs(F.col("fpr") - target).alias("d"), (-F.col("threshold")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("threshold"))

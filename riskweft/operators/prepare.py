@@ -17,7 +17,8 @@ class SplitError(ValueError):
 
 
 def hash_order(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), key)
+    """Text by which keys stand in a random order that any engine with md5 can tell."""
+    return F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
 
 
 #: Rows of a range of hashes, about.
@@ -31,7 +32,8 @@ def hash_rank(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
     """
     n = df.groupBy(group).agg(F.count("*").alias("__size"))
     d = df.join(n.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g").withColumn("__h", hash_order(key, seed))
-    d = d.withColumn("__b", F.floor((F.col("__h") / float(2**64) + 0.5) * (1 + F.floor(F.col("__size") / RANGE_ROWS))))
+    share = F.conv(F.substring("__h", 1, 12), 16, 10).cast("double") / float(2**48)
+    d = d.withColumn("__b", F.floor(share * (1 + F.floor(F.col("__size") / RANGE_ROWS))))
     per = d.groupBy(group, "__b").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select(F.col(group).alias("__g"), F.col("__b").alias("__gb"), before.alias("__before"))

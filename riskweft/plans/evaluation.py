@@ -73,7 +73,20 @@ QUERIES = {
         sql("""SELECT label_fraud, split, n FROM (SELECT label_fraud, round(count(*) * 0.7)::BIGINT AS a, round(count(*) * 0.85)::BIGINT AS b, count(*) AS c FROM tx GROUP BY label_fraud)
             CROSS JOIN LATERAL (VALUES ('train', a), ('val', b - a), ('test', c - b)) x(split, n)"""),
     ),
-    "stratified_split": (lambda s, d: prepare.stratified_split(env(s, d)["transactions"].select("txn_id", "label_fraud"), "label_fraud", "txn_id"), None),
+    "stratified_split": (
+        lambda s, d: prepare.stratified_split(env(s, d)["transactions"].select("txn_id", "label_fraud"), "label_fraud", "txn_id"),
+        sql("""SELECT txn_id, label_fraud, CASE WHEN r <= round(n * 0.7::DOUBLE) THEN 'train' WHEN r <= round(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+            FROM (SELECT *, row_number() OVER (PARTITION BY label_fraud ORDER BY md5('42/' || txn_id), txn_id) AS r, count(*) OVER (PARTITION BY label_fraud) AS n FROM tx)"""),
+    ),
+    "tagged_sample": (
+        lambda s, d: prepare.tagged_sample(env(s, d)["transactions"], "scenario_tag", "txn_id", 100).select("scenario_tag", "txn_id", "copy"),
+        sql("SELECT scenario_tag, txn_id, 0 AS copy FROM tx QUALIFY row_number() OVER (PARTITION BY scenario_tag ORDER BY md5('42/' || txn_id), txn_id) <= 100"),
+    ),
+    "tagged_split": (
+        lambda s, d: prepare.tagged_split(env(s, d)["transactions"], "scenario_tag", "txn_id").select("scenario_tag", "txn_id", "split"),
+        sql("""SELECT scenario_tag, txn_id, CASE WHEN r <= v THEN 'val' WHEN r <= 2 * v THEN 'test' ELSE 'train' END AS split FROM (SELECT *, CASE WHEN n >= 5 THEN greatest(1, floor(n * 0.1)) ELSE floor(n * 0.1) END AS v
+            FROM (SELECT *, row_number() OVER (PARTITION BY scenario_tag ORDER BY md5('42/' || txn_id), txn_id) AS r, count(*) OVER (PARTITION BY scenario_tag) AS n FROM tx))"""),
+    ),
     "tagged_sample_sizes": (_sample_sizes, sql("SELECT scenario_tag, 100::BIGINT AS n, least(count(*), 100) AS ids FROM tx GROUP BY scenario_tag")),
     "tagged_split_sizes": (
         _tag_split_sizes,

@@ -49,7 +49,7 @@ def _lenient(s, d):
     arrays.write.partitionBy("at").text(f"{folder}/arrays")
     single = texts.where("at = 19").agg(F.concat(F.lit('{\n"orders":'), F.to_json(F.array_sort(F.collect_list("o_orderkey"))), F.lit("\n}")).alias("value"))
     single.coalesce(1).write.text(f"{folder}/single")
-    records = readers.read_records(s, f"{folder}/*").select("record")
+    records = readers.read_records(s, folder).select("record")
     keys = F.coalesce(F.from_json(F.get_json_object("record", "$.orders"), "array<long>"), F.array(F.get_json_object("record", "$.k").cast("long")))
     return records.select(F.explode(keys).alias("o_orderkey"), F.coalesce(F.get_json_object("record", "$.s"), F.lit("?")).alias("status"))
 

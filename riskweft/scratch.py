@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,15 +34,32 @@ def file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+#: Folders made within each open `temporary`.
+_MADE: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new empty folder in the shared one; it goes when the driver ends, since lazy results may read it until then."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     fs, at = file_system(spark, path)
     fs.mkdirs(at)
     fs.deleteOnExit(at)
+    if _MADE:
+        _MADE[-1].append(path)
     return path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders made within, for callers that have written what they want of them."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = file_system(spark, path)
     fs.delete(at, True)

@@ -143,27 +143,37 @@ def links(spark: SparkSession, c: EnvironmentConfig) -> DataFrame:
     )
 
 
-def _numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(__number from 1, key) in order of the key, and how many there are."""
-    ranked = kept(with_rank(df.select(key), [key], "__number"), "numbered")
-    return ranked.withColumn("__number", F.col("__number").cast("long")), ranked.count()
+@dataclass(frozen=True)
+class Merchants:
+    """(__kind, __number, merchant_id): merchants numbered from 1 within the high-risk ones and within the others."""
 
+    numbered: DataFrame
+    high: int
+    others: int
 
-def _merchant(rows: DataFrame, env: Mapping[str, DataFrame], d: Draws, high_share: Column, stream: str = "merchant") -> DataFrame:
-    """Adds merchant_id: a high-risk one with the given chance, and evenly among those of its kind."""
-    parts = {high: _numbered(env["merchants"].where((F.col("risk_band") == "high") == high), "merchant_id") for high in (True, False)}
-    high = (d.uniform(f"{stream} kind") < high_share) if parts[False][1] else F.lit(True)
-    high = high if parts[True][1] else F.lit(False)
-    number = F.when(F.col("__high"), d.integer(stream, 1, max(1, parts[True][1]))).otherwise(d.integer(stream, 1, max(1, parts[False][1])))
-    by_kind = parts[True][0].withColumn("__kind", F.lit(True)).unionByName(parts[False][0].withColumn("__kind", F.lit(False)))
-    picked = rows.withColumn("__high", high).withColumn("__n", number)
-    return picked.join(by_kind, (F.col("__high") == F.col("__kind")) & (F.col("__n") == F.col("__number"))).drop("__high", "__n", "__kind", "__number")
+    @classmethod
+    def of(cls, merchants: DataFrame) -> Merchants:
+        ranked = hash_rank(merchants.select("merchant_id", F.coalesce(F.col("risk_band") == "high", F.lit(False)).alias("__kind")), "__kind", "merchant_id", 0)
+        numbered = kept(ranked.select("__kind", F.col("__place").cast("long").alias("__number"), "merchant_id"), "merchants")
+        n = {r["__kind"]: r["count"] for r in numbered.groupBy("__kind").count().collect()}  # two rows
+        return cls(numbered, n.get(True, 0), n.get(False, 0))
 
+    def high_share(self, weight: float) -> float:
+        """Chance of a high-risk merchant if each of them has the weight and each other one 1."""
+        return self.high * weight / max(1e-12, self.high * weight + self.others)
 
-def _high_share(env: Mapping[str, DataFrame], weight: float) -> float:
-    """Chance of a high-risk merchant if each of them has the weight and each other one 1."""
-    n = env["merchants"].agg(F.count_if(F.col("risk_band") == "high").alias("high"), F.count("*").alias("n")).first()
-    return n["high"] * weight / max(1e-12, n["high"] * weight + n["n"] - n["high"])
+    def pick(self, rows: DataFrame, d: Draws, high_share: Column, stream: str = "merchant") -> DataFrame:
+        """Adds merchant_id: a high-risk one with the given chance, and evenly among those of its kind."""
+        high = d.uniform(f"{stream} kind") < high_share if self.high and self.others else F.lit(bool(self.high))
+        number = F.when(F.col("__high"), d.integer(stream, 1, max(1, self.high))).otherwise(d.integer(stream, 1, max(1, self.others)))
+        picked = rows.withColumn("__high", high).withColumn("__n", number)
+        return picked.join(self.numbered, (F.col("__high") == F.col("__kind")) & (F.col("__n") == F.col("__number"))).drop("__high", "__n", "__kind", "__number")
+
+
+def _numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(__number from 1, key) in order of the key, and how many there are."""
+    ranked = kept(with_rank(df.select(key), [key], "__number"), "numbered")
+    return ranked.withColumn("__number", F.col("__number").cast("long")), ranked.count()
 
 
 def _chosen(rows: DataFrame, env: Mapping[str, DataFrame], c: EnvironmentConfig) -> DataFrame:
@@ -200,7 +210,7 @@ def _payment(label: Column, tag: str, extra: Column) -> list[Column]:
 PAYMENT = ["row", "account_id", "device_id", "merchant_id", "location_id", "second", "amount", "channel"]
 
 
-def background(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame]) -> DataFrame:
+def background(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame], merchants: Merchants) -> DataFrame:
     """Payments of active accounts (of all if none is active)."""
     d = Draws(c.seed, "row")
     accounts, n = _numbered(env["accounts"].where("status = 'active'"), "account_id")
@@ -208,7 +218,7 @@ def background(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, Data
         accounts, n = _numbered(env["accounts"], "account_id")
     rows = spark.range(c.transactions).withColumnRenamed("id", "row").withColumn("__number", d.integer("account", 1, max(1, n))).join(accounts, "__number").drop("__number")
     rows = _chosen(rows, env, c)
-    rows = _merchant(rows, env, d, F.lit(HARD_HIGH_RISK_SHARE if c.hard else _high_share(env, HIGH_RISK_WEIGHT)))
+    rows = merchants.pick(rows, d, F.lit(HARD_HIGH_RISK_SHARE if c.hard else merchants.high_share(HIGH_RISK_WEIGHT)))
     seconds = d.integer("day", 0, c.days - 1) * 86400 + _hour(d) * 3600 + d.integer("second", 0, 3599)
     device = F.when(d.uniform("new device") < 0.1, F.col("__other")).otherwise(F.col("__used")) if c.hard else F.col("__used")
     location = F.when(d.uniform("stay") < (0.7 if c.hard else 0.9), F.col("__home")).otherwise(F.col("__any"))
@@ -216,7 +226,7 @@ def background(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, Data
     return rows.select(*PAYMENT, *_payment(F.lit(0), "background", F.lit("")))
 
 
-def hard_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame], tag: str, episodes: int, base: int) -> DataFrame:
+def hard_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame], merchants: Merchants, tag: str, episodes: int, base: int) -> DataFrame:
     """Single payments that blend weak signals; all are labelled."""
     d, blends, done = Draws(c.seed, "row"), HARD_SCENARIOS[tag], 0.0
     rows = spark.range(episodes).select((F.lit(base) + F.col("id")).alias("row")).withColumn("account_id", d.integer("account", 1, c.accounts))
@@ -227,8 +237,8 @@ def hard_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataF
     rows = _chosen(rows.withColumn("__blend", at.otherwise(len(blends) - 1) if len(blends) > 1 else F.lit(0)), env, c)
     of = lambda name: F.element_at(F.array(*[F.lit(getattr(b, name)) for b in blends]), F.col("__blend") + 1)
     # any merchant, or for sure a high-risk one
-    high = of("high_risk") + (1 - of("high_risk")) * F.lit(_high_share(env, 1.0))
-    rows = _merchant(rows, env, d, high)
+    high = of("high_risk") + (1 - of("high_risk")) * F.lit(merchants.high_share(1.0))
+    rows = merchants.pick(rows, d, high)
     hour = F.when(d.uniform("night") < of("night"), d.integer("night hour", 2, 4)).otherwise(d.integer("business hour", 9, 18))
     amount = F.round(F.exp(of("mu") + of("sigma") * d.normal("amount")), 2)
     rows = rows.withColumns(
@@ -243,13 +253,13 @@ def hard_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataF
     return rows.select(*PAYMENT, *_payment(F.lit(1), tag, F.to_json(F.struct(of("signal").alias("signal")))))
 
 
-def scenario_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame]) -> DataFrame:
+def scenario_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, DataFrame], merchants: Merchants) -> DataFrame:
     """Episodes of the labelled scenarios; each is a few rows of one account."""
     parts = []
     for k, (tag, episodes) in enumerate(c.scenarios.items()):
         base = 1_000_000_000_000 * (k + 1)
         if tag in HARD_SCENARIOS:
-            parts.append(hard_rows(spark, c, env, tag, episodes, base))
+            parts.append(hard_rows(spark, c, env, merchants, tag, episodes, base))
             continue
         e = Draws(c.seed, F.concat_ws("/", F.lit(tag), "episode"))
         size = {"transaction_velocity": e.integer("n", 8, 12), "mule_behavior": e.integer("n", 5, 9), "account_takeover": e.integer("n", 2, 3)}.get(tag, F.lit(1).cast("long"))
@@ -276,7 +286,7 @@ def scenario_rows(spark: SparkSession, c: EnvironmentConfig, env: Mapping[str, D
             amount = F.when(last, F.round(d.between("out", 1500, 8000), 2)).otherwise(F.round(d.between("in", 20, 200), 2))
         elif tag == "unusual_merchant":
             amount = F.round(d.between("high", 500, 3500), 2)
-        rows = _merchant(rows, env, d, F.lit(1.0 if tag == "unusual_merchant" else _high_share(env, 1.0)))
+        rows = merchants.pick(rows, d, F.lit(1.0 if tag == "unusual_merchant" else merchants.high_share(1.0)))
         rows = rows.withColumns({"device_id": device, "location_id": location, "second": second, "amount": amount, "channel": d.pick("channel", ["online", "pos", "mobile"])})
         parts.append(rows.select(*PAYMENT, *_payment(flagged, tag, F.to_json(F.struct("episode")))))
     return reduce(DataFrame.unionByName, parts)
@@ -322,13 +332,15 @@ def generate(spark: SparkSession, config: EnvironmentConfig = EnvironmentConfig(
     where another payment of its account has its time."""
     env = {name: kept(df, name) for name, df in (entities(spark, config) | {"account_devices": links(spark, config)}).items()}
 
+    merchants = Merchants.of(env["merchants"])
+
     def timed(rows: DataFrame) -> DataFrame:
         second = F.least(F.greatest("second", F.lit(3)), F.lit(config.days * 86400 - 4)).cast("long")  # leaves room to move
         return kept(rows.withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.lit(config.start).cast("timestamp")) + second)).drop("second"), "payments")
 
-    rows = timed(background(spark, config, env))
+    rows = timed(background(spark, config, env, merchants))
     if config.scenarios:
-        rows = rows.unionByName(spread_collisions(timed(scenario_rows(spark, config, env)), ("account_id",), "ts", "row", rows, HARD_JITTER if config.hard else JITTER))
+        rows = rows.unionByName(spread_collisions(timed(scenario_rows(spark, config, env, merchants)), ("account_id",), "ts", "row", rows, HARD_JITTER if config.hard else JITTER))
     ranked = with_rank(rows, ["ts", "row"], "txn_id")
     names = TABLES["transactions"].fieldNames()
     env["transactions"] = ranked.withColumns({"currency": F.lit("USD"), "status": F.lit("settled"), "txn_id": F.col("txn_id").cast("long")}).select(*names)

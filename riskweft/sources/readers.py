@@ -60,7 +60,7 @@ def read_examples(spark: SparkSession, path: str, schema: StructType = EXAMPLE)
 
 
 def read_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(record): the JSON objects of a file or of each file of a folder; none if the path is missing.
+    """(record): the JSON objects of a file or of each file in a folder and below it; none if the path is missing.
 
     Each file is taken for itself: as an array of objects, as a single object, or else as lines, bad ones skipped.
     Records stay JSON, since their fields differ. Only files that begin with `[`, or with a `{` that its line doesn't
@@ -70,7 +70,7 @@ def read_records(spark: SparkSession, path: str, limit: int | None = None) -> Da
     try:
         if not exists(spark, path):
             return empty
-        lines = spark.read.text(path).where(trimmed != "").select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+        lines = spark.read.option("recursiveFileLookup", True).text(path).where(trimmed != "").select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
         whole = trimmed.startswith("[") | (trimmed.startswith("{") & F.try_parse_json(trimmed).isNull())
         first = lines.where("__start = 0").withColumn("__at", F.monotonically_increasing_id()).groupBy("__file").agg(F.min_by(whole, "__at").alias("whole"))
         large = [r["__file"] for r in first.where("whole").select("__file").collect()]  # names of files
