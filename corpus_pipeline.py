@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskweft.llm import bpe, lines, minhash, mixing, ordinal
 from riskweft.llm.common import Scratch
+from riskweft.scratch import temporary
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,8 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents."""
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents. What a stage writes on the way goes when its result is written, and that when the next one's is."""
+    scratch, docs, before = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark):
+            path = scratch.path(name.replace(" ", "-"))
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            scratch.drop(before)
+        before = path
     return docs
