@@ -1,8 +1,8 @@
 """MinHash near-dedup by a join of inverted signature coordinates.
 
 Documents become sets of word shingles; equal sets become one class. A class has M signature coordinates; it is posted
-under its coordinate-value pairs. Two sets at the threshold agree in at least T of M coordinates but for a chance below
-one in a thousand at the very threshold, so:
+under its coordinate-value pairs. Two sets at the very threshold agree in fewer than T of M coordinates with a chance of
+a few in a million, and more similar ones with less, so:
 
 - counting: a class with fewer than T pairs that others have too has no partner;
 - prefix: with pairs ordered rare first, partners share one among all but their last T - 1 pairs, so only those are
@@ -38,7 +38,7 @@ from .quality import row_key
 #: Coordinates of a signature; those counted first.
 M, FIRST = 64, 32
 #: Standard deviations below the mean agreement at the threshold at which pairs are let go.
-SLACK = 3.5
+SLACK = 4.75
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,6 +190,16 @@ def _unmet(posts: DataFrame, percent: int) -> DataFrame:
     return one.unionAll(two).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _joined(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp) with further links: these join components, which are few and are settled among themselves."""
+    for end in ("a", "b"):
+        of = comps.select(F.col("node").alias("__n"), F.col("comp").alias("__c"))
+        links = links.join(of, F.col(end) == F.col("__n"), "left").withColumn(end, F.coalesce("__c", end)).select("a", "b")
+    top = scratch.keep(components(links.where("a <> b").distinct(), scratch), "top")
+    moved = comps.join(top.toDF("__n", "__c"), F.col("comp") == F.col("__n"), "left").select("node", F.coalesce("__c", "comp").alias("comp"))
+    return scratch.keep(moved.unionByName(top.join(comps.select("node"), "node", "left_anti")), "joined")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__k1, __k2, id_col, n_shingles, component_id, kept) of every row; __k1, __k2 name its contents."""
     ship(docs.sparkSession)
@@ -219,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rest = _unmet(scratch.keep(_rare_posts(sets, scratch.keep(left, "left"), percent, scratch), "rare"), percent)
     more = scratch.keep(_linked(rest, cand, sets, t, percent), "more")
     if more.limit(1).count():
-        comps = components(links.union(more), scratch)
+        comps = _joined(comps, more, scratch)
 
     of_class = classes.select("s1", "s2", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("comp"))
     out = rows.drop("sig").join(of_class.withColumnsRenamed({"s1": "c1", "s2": "c2"}), (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
