@@ -8,7 +8,7 @@ import edge
 import pytest
 from pyspark.sql import functions as F
 
-from riskweft.llm import lines, mixing, quality
+from riskweft.llm import common, lines, mixing, quality
 from riskweft.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,6 +86,20 @@ def test_keys_fold_only_ascii(spark):
     assert [r["x"] for r in df.collect()] == [False, True, False, True]
 
 
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_prefix_sums(spark, monkeypatch, group):
+    """In order of bin and key, in groups that may be null, with few bins in a run."""
+    monkeypatch.setattr(common, "WIDE", 3)
+    rows = [(None if i % 5 == 0 else i % 3, (i * 7) % 40 - 20, i, i % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, b long, i long, v long").repartition(5)
+    got = {r["i"]: r["s"] for r in common.prefix_sum(df, group, ["i"], "b", "v", "s").collect()}
+    want, sums = {}, Counter()
+    for g, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        key = g if group else 0
+        want[i], sums[key] = sums[key], sums[key] + v
+    assert got == want
+
+
 def batch(spark, b):
     return spark.range(20).select((F.col("id") % (4 + b)).alias("h1"), F.lit(0).cast("long").alias("h2"), (F.col("id") + 100 * b).alias("__doc"))
 

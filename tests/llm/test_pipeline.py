@@ -1,12 +1,16 @@
 """The stages one by one, each against what it must do to its own input."""
 
 import hashlib
+import os
 
 import corpus_pipeline as pipeline
+import edge
 from conftest import SF
 from test_native import kept_lines
 from test_near import brute_components
 
+from riskweft.scratch import shared_dir
+
 
 def test_stages(spark, tmp_path):
     docs = raw = spark.read.parquet(f"{SF}/documents.parquet")
@@ -31,6 +35,32 @@ def test_stages(spark, tmp_path):
     assert len(got) == outs[3].count() and all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in got)
 
 
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and other columns; and a table without rows."""
+    for k, docs in enumerate((edge.docs(spark), edge.none(spark))):
+        given = docs
+        for j, (_, stage) in enumerate(pipeline.STAGES):
+            # odd documents are hardly of quality, so the later stages get them all
+            out = stage(spark, given if j == 0 else docs, SF)
+            out.write.parquet(str(tmp_path / f"{k}-{j}"))
+            back = spark.read.parquet(str(tmp_path / f"{k}-{j}"))
+            if j < len(pipeline.STAGES) - 1:
+                assert back.columns == docs.columns
+            if k:
+                assert back.count() == 0
+            elif j in (1, 4):
+                assert back.count() == docs.count()
+
+
+def test_run_leaves_its_last_table_only(spark):
+    """Folders of the stages are removed as soon as nothing reads them."""
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    pipeline.run(spark, SF)
+    made = set(os.listdir(root)) - before
+    assert len(made) == 1 and len(os.listdir(f"{root}/{made.pop()}")) == 1
+
+
 def test_run_gives_the_last_stage(spark):
     out = pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
