@@ -58,14 +58,25 @@ def keys(url: Column, lengths: Column) -> Column:
     return F.when(host(url) != "", F.array_distinct(F.concat(hosts, prefixes))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
 
-#: Characters of entries, with ENTRY_BYTES for each, up to which they are sent to all captures.
+#: Bytes of entries, with ENTRY_BYTES for each besides, up to which they are sent to all captures.
 BROADCAST_BYTES, ENTRY_BYTES = 2 << 20, 64
+#: Bits by which keys that no entry has are told before they are dealt; a megabyte of them.
+FILTER_BITS = 1 << 23
 
 
-def _sized(df: DataFrame, name: str) -> DataFrame:
-    """df, written, to be joined by broadcast if it is small by the bytes of its names, and by merging otherwise."""
-    size = df.agg(F.coalesce(F.sum(F.octet_length(name) + ENTRY_BYTES), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+def _small(df: DataFrame, size: Column) -> bool:
+    """Whether df may be sent to all captures, by the bytes that size gives for a row."""
+    return df.agg(F.coalesce(F.sum(size + ENTRY_BYTES), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
+def _listed(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of asked whose (kind, value) may be on a list: those whose bit is set among the bits of all entries."""
+    bit = F.pmod(F.xxhash64("kind", "value"), F.lit(FILTER_BITS))
+    bits = spans.select(bit.alias("__b")).groupBy(F.bitmap_bucket_number("__b").alias("__n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__b")).alias("__bits"))
+    at = F.bitmap_bit_position("__b")
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = asked.withColumn("__b", bit).join(F.broadcast(bits), F.bitmap_bucket_number("__b") == F.col("__n"))  # FILTER_BITS at most
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__b", "__n", "__bits")
 
 
 def matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
@@ -74,7 +85,8 @@ def matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str =
 
     A prefix may end anywhere, so a page is looked up under its beginnings of the lengths that its host's entries have,
     not under each entry of its host. The intervals and the lengths are written and measured: small ones go to the
-    captures, which are then not dealt at all; with larger ones they meet by merging, and a hot host or key is split.
+    captures, which are then not dealt at all; with larger ones they meet by merging, keys that no entry can have are
+    left out before, and a hot host or key is split.
     """
     scratch = Scratch(captures.sparkSession, "urls")
     spans = scratch.keep(intervals(entries), "intervals")
@@ -82,10 +94,15 @@ def matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str =
     own = scratch.keep(begun.where("__whole").groupBy("__host").agg(F.collect_set("n").alias("__own")), "lengths")  # no more than a URL has characters
     other = begun.where("NOT __whole").agg(F.collect_set("n").alias("__other"))  # ends within the host
     asked = captures.select(*row_key(id_col, url_col, at_col), F.col(id_col).alias("__id"), F.col(at_col).alias("__at"), F.col(url_col).alias("__url"), host(F.col(url_col)).alias("__h"))
-    asked = asked.join(_sized(own, "__host"), F.col("__h") == F.col("__host"), "left").crossJoin(F.broadcast(other))  # one row
+    own = F.broadcast(own) if _small(own, F.octet_length("__host") + 8 * F.size("__own")) else own.hint("merge")
+    asked = asked.join(own, F.col("__h") == F.col("__host"), "left").crossJoin(F.broadcast(other))  # one row
     lengths = F.concat(F.coalesce("__own", F.array().cast("array<int>")), F.col("__other"))
     asked = asked.select("__k1", "__k2", "__id", "__at", F.explode(keys(F.col("__url"), lengths)).alias("__k")).select("__k1", "__k2", "__id", "__at", F.col("__k.kind").alias("kind"), F.col("__k.value").alias("value"))
-    hit = asked.join(_sized(spans, "value"), ["kind", "value"]).where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
+    if _small(spans, F.octet_length("value") + F.octet_length("list")):
+        hit = asked.join(F.broadcast(spans), ["kind", "value"])
+    else:
+        hit = _listed(asked, spans).join(spans.hint("merge"), ["kind", "value"])
+    hit = hit.where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
     hit = hit.select("__k1", "__k2", F.col("__id").alias(id_col), F.col("__at").alias(at_col), "list", "kind", "value", "since")
     return scratch.keep(hit, "hits").distinct()  # written, since the join can't split a hot key if an aggregate uses how it was dealt
 
