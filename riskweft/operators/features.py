@@ -80,9 +80,9 @@ def zscore(amount: Column, mean: Column, std: Column) -> Column:
     return F.when(std.isNull(), F.lit(None)).when(std == 0, F.when(diff == 0, F.lit(None)).otherwise(F.signum(diff) * float("inf"))).otherwise(F.try_divide(diff, std))
 
 
-def with_history(tx: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+def with_history(tx: DataFrame, config: FeatureConfig = FeatureConfig(), partition: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Adds what the user's prior transactions say."""
-    w = W.prior(["user_id"], ["ts", "txn_id"])
+    w = W.prior(partition, ["ts", "txn_id"])
     tx = tx.withColumns(
         {
             "prior_tx_count": W.prior_count(w).cast("int"),
@@ -91,8 +91,8 @@ def with_history(tx: DataFrame, config: FeatureConfig = FeatureConfig()) -> Data
             "prior_std_amount": W.prior_std("amount", w),
         }
     )
-    tx = W.with_prior_distinct(tx, ["user_id"], ["ts", "txn_id"], {"prior_unique_merchants": "merchant_id", "prior_unique_devices": "device_id", "prior_unique_locations": "location_id"})
-    tx = W.with_prior_distinct(tx, ["user_id"], ["txn_id"], {"prior_unique_countries": "tx_country"})
+    tx = W.with_prior_distinct(tx, partition, ["ts", "txn_id"], {"prior_unique_merchants": "merchant_id", "prior_unique_devices": "device_id", "prior_unique_locations": "location_id"})
+    tx = W.with_prior_distinct(tx, partition, ["txn_id"], {"prior_unique_countries": "tx_country"})
     return tx.withColumns(
         {
             "amount_zscore": zscore(F.col("amount"), F.col("prior_mean_amount"), F.col("prior_std_amount")),
@@ -143,11 +143,16 @@ def with_location(tx: DataFrame, partition: tuple[str, ...] = ("user_id", "accou
 
 
 def build_features(env: Mapping[str, DataFrame], config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """txn_id, account_id, user_id, ts, amount, label, ids and the features, one row a transaction."""
+    """txn_id, account_id, user_id, ts, amount, label, ids and the features, one row a transaction.
+
+    A transaction of an account without an owner has the history of its account, so such rows are no single group.
+    """
     tx, accounts, users, merchants, locations, links = tables(env, "transactions", "accounts", "users", "merchants", "locations", "account_devices")
     frame = with_links(with_merchant(with_place(with_owner(tx, accounts, users), locations), merchants), links)
     frame = frame.withColumns(transactional(config))
-    frame = with_location(with_velocity(with_history(frame.repartition("user_id"), config), config))
+    frame = frame.withColumn("__lone", F.when(F.col("user_id").isNull(), F.col("account_id"))).repartition("user_id", "__lone")
+    own, per_account = ("user_id", "__lone"), ("user_id", "__lone", "account_id")
+    frame = with_location(with_velocity(with_history(frame, config, own), config, per_account), per_account)
     frame = device(frame)
     kept = ["txn_id", "account_id", "user_id", "ts", "amount", config.label_col, "scenario_tag", "merchant_id", "device_id", "location_id", "tx_country", "prev_location_id", "channel"]
     return frame.select(*[c for c in kept if c in frame.columns], *feature_columns(config))

@@ -26,7 +26,7 @@ links AS (SELECT *, device_id = min(device_id) OVER (PARTITION BY account_id) AS
 
 FEATURES = """,
 j AS (
-  SELECT tx.*, o.user_id, u.home_country, l.country AS tx_country, l.lat, l.lon, m.risk_band, k.first_used_ts, k.is_primary, c.n AS device_accounts
+  SELECT tx.*, o.user_id, CASE WHEN o.user_id IS NULL THEN tx.account_id END AS lone, u.home_country, l.country AS tx_country, l.lat, l.lon, m.risk_band, k.first_used_ts, k.is_primary, c.n AS device_accounts
   FROM tx LEFT JOIN owner o USING (account_id) LEFT JOIN users u USING (user_id) LEFT JOIN locations l USING (location_id) LEFT JOIN merchants m USING (merchant_id)
   LEFT JOIN links k ON k.account_id = tx.account_id AND k.device_id = tx.device_id
   LEFT JOIN (SELECT device_id, count(DISTINCT account_id) AS n FROM links GROUP BY device_id) c ON c.device_id = tx.device_id),
@@ -36,9 +36,9 @@ h AS (
     CASE WHEN count(*) OVER h >= 2 THEN stddev_pop(amount) OVER h END AS prior_std_amount,
     (count(DISTINCT merchant_id) OVER h)::INTEGER AS prior_unique_merchants, (count(DISTINCT device_id) OVER h)::INTEGER AS prior_unique_devices,
     (count(DISTINCT location_id) OVER h)::INTEGER AS prior_unique_locations,
-    (count(DISTINCT tx_country) OVER (PARTITION BY user_id ORDER BY txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INTEGER AS prior_unique_countries,
+    (count(DISTINCT tx_country) OVER (PARTITION BY user_id, lone ORDER BY txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INTEGER AS prior_unique_countries,
     lag(txn_id) OVER a AS prev_id, lag(location_id) OVER a AS prev_location_id, lag(tx_country) OVER a AS prev_country, lag(lat) OVER a AS prev_lat, lag(lon) OVER a AS prev_lon
-  FROM j WINDOW h AS (PARTITION BY user_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY account_id ORDER BY ts, txn_id)),
+  FROM j WINDOW h AS (PARTITION BY user_id, lone ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY account_id ORDER BY ts, txn_id)),
 v AS (
   SELECT x.txn_id, count(y.txn_id) FILTER (x.ts - y.ts < INTERVAL 300 SECOND)::INTEGER AS vel_count_300s, coalesce(sum(y.amount::DECIMAL(18,2)) FILTER (x.ts - y.ts < INTERVAL 300 SECOND), 0)::DOUBLE AS vel_amount_300s,
     count(y.txn_id) FILTER (x.ts - y.ts < INTERVAL 3600 SECOND)::INTEGER AS vel_count_3600s, coalesce(sum(y.amount::DECIMAL(18,2)) FILTER (x.ts - y.ts < INTERVAL 3600 SECOND), 0)::DOUBLE AS vel_amount_3600s,

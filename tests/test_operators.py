@@ -63,6 +63,15 @@ def test_features_ignore_the_future(mini, spark):
     assert before == after
 
 
+def test_accounts_without_an_owner(mini, spark):
+    """Their rows have the history of their account, not of all that lack an owner."""
+    import datetime as dt
+
+    rows = [(10 + i, a, 1, 1, 1, dt.datetime(2026, 1, 2, i), 10.0, "USD", "online", "ok", 0, "x", None) for i, a in enumerate((8, 9, 8, 8, 9))]
+    got = {r["txn_id"]: r["prior_tx_count"] for r in X.build_features(mini | {"transactions": mini["transactions"].unionByName(frame(spark, "transactions", rows))}).collect()}
+    assert got == {1: 0, 2: 0, 10: 0, 11: 0, 12: 1, 13: 2, 14: 1}
+
+
 def test_zscore_of_constant_history(spark):
     df = spark.createDataFrame([(5.0, 5.0, 0.0), (6.0, 5.0, 0.0), (4.0, 5.0, 0.0), (7.0, 5.0, 2.0), (1.0, None, None)], "a double, m double, s double")
     assert [r[0] for r in df.select(X.zscore(F.col("a"), F.col("m"), F.col("s"))).collect()] == [None, math.inf, -math.inf, 1.0, None]
