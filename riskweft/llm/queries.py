@@ -19,6 +19,9 @@ MODULES = {
     "op8_sharding": "q_sharding",
     "op9_neighbours": "q_neighbours",
     "op10_toxicity": "q_toxicity",
+    "op11_centroids": "q_centroids",
+    "op12_whitening": "q_whitening",
+    "op13_packing": "q_packing",
 }
 
 
