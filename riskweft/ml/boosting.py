@@ -1,29 +1,42 @@
-"""Second-order gradient boosting of trees on binned features, for binary labels.
+"""Second-order gradient boosting of trees on binned features, for binary labels, on all rows.
 
-The trees are fitted on the driver from at most `bound` rows, those with the smallest hashes (a documented parameter; the
-default holds all rows of the tables that such models are usually fitted on); scoring runs over all rows in Arrow
-batches. Trees grow by the best gain first, so a limit of leaves gives leaf-wise trees and a limit of depth alone gives
-level-wise ones. The histogram of a larger child is that of its parent less that of its sibling.
+Rows stay on the executors. Features are cut into bins by quantiles of all rows, and the rows are written once as a byte a
+feature. For each level of a tree the executors sum the gradients of the bins of every node whose split is wanted; the
+sums are added up among executors, and only they reach the driver, which picks the splits. A table whose bytes fit one
+block needs no sums of several tasks, so there the same loop runs through within the task that holds the block.
+
+Gradients are whole multiples of GRAIN, so sums are exact: trees don't depend on the partitioning, and the two ways give
+equal ones. Trees grow by the best gain first, so a limit of leaves gives leaf-wise trees and a limit of depth alone gives
+level-wise ones. The histogram of a larger child is that of its parent less that of its sibling. Scoring runs over all
+rows in Arrow batches.
+
+Rows equal in everything share their draw when rows are sampled. Early stopping takes the average precision of the
+validation rows, with scores in steps of 1 / SCORES. Rows with a null label are left out; a null or NaN feature is in the
+last bin, which goes right at every split.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweft.scratch import kept, remove, scratch_path
 from riskweft.session import ship
 
-#: Rows that a fit takes to the driver, at most.
-BOUND = 200_000
-#: Bins of a feature.
-BINS = 64
+#: Bytes of binned rows that one task fits on.
+BLOCK = 16 << 20
+#: Bins of a feature; steps of a gradient in 1; steps of a score for early stopping.
+BINS, GRAIN, SCORES = 64, 2.0**26, 1 << 20
+#: Trees after which the rows with their margins are written, which cuts the lineage.
+WRITTEN = 16
 
 
 def average_precision(y: np.ndarray, score: np.ndarray) -> float:
@@ -116,139 +129,371 @@ def _leaf_values(tree: dict[str, list[float]], x: np.ndarray) -> np.ndarray:
     return value[at]
 
 
+def _midpoints(values: np.ndarray) -> np.ndarray:
+    values = np.unique(values[~np.isnan(values)])
+    return (values[:-1] + values[1:]) / 2
+
+
 def _bins(x: np.ndarray) -> list[np.ndarray]:
     """Cuts of each feature, BINS - 1 at most; a value is in the bin of the first cut that is no smaller."""
     out = []
     for column in x.T:
-        values = np.unique(column)
+        values = np.unique(column[~np.isnan(column)])
         if len(values) > BINS:
-            values = np.unique(np.quantile(column, np.linspace(0, 1, BINS), method="lower"))
-        out.append((values[:-1] + values[1:]) / 2)
+            values = np.quantile(column[~np.isnan(column)], np.linspace(0, 1, BINS), method="lower")
+        out.append(_midpoints(values))
     return out
 
 
-class _Grower:
-    """One tree after another on binned rows."""
-
-    def __init__(self, x: np.ndarray, p: Params):
-        self.p, self.random = p, np.random.default_rng(p.seed)
-        self.cuts = _bins(x)
-        self.codes = np.column_stack([np.searchsorted(c, column, "left") for c, column in zip(self.cuts, x.T, strict=True)]).astype(np.int32)
-
-    def grow(self, g: np.ndarray, h: np.ndarray, gains: np.ndarray) -> tuple[dict[str, list[float]], np.ndarray]:
-        """The tree, and its value for every row."""
-        p, (n, m) = self.p, self.codes.shape
-        rows = np.flatnonzero(self.random.random(n) < p.rows) if p.rows < 1 else np.arange(n)
-        chosen = np.sort(self.random.choice(m, max(1, round(p.columns * m)), replace=False))
-        flat = self.codes[:, chosen] + (np.arange(len(chosen), dtype=np.int32) * BINS)[None, :]
-        size, width = len(chosen) * BINS, len(chosen)
-
-        def histogram(at: np.ndarray) -> np.ndarray:
-            codes = flat[at].ravel()
-            out = [np.bincount(codes, np.repeat(w[at], width), size) for w in (g, h)]
-            if p.min_rows > 1:
-                out.append(np.bincount(codes, minlength=size))
-            return np.array(out, np.float64).reshape(len(out), width, BINS)
-
-        def best(hist: np.ndarray) -> tuple[float, int, int]:
-            """(gain, column, bin) of the best split; bins up to it go left."""
-            left = np.cumsum(hist, axis=2)
-            total = left[:, :1, -1:]
-            right = total - left
-            ok = (left[1] >= p.min_weight) & (right[1] >= p.min_weight)
-            if p.min_rows > 1:
-                ok &= (left[2] >= p.min_rows) & (right[2] >= p.min_rows)
-            part = lambda s: s[0] ** 2 / (s[1] + p.l2 + 1e-12)
-            gain = np.where(ok, part(left) + part(right) - part(total), -np.inf)
-            at = int(gain.argmax())
-            return float(gain.flat[at]) / 2, at // BINS, at % BINS
+def cuts_of(rows: DataFrame, names: Sequence[str]) -> list[np.ndarray]:
+    """The cuts of each feature from all rows: between all values of a feature that has few, else between its quantiles."""
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The values of each feature in this task, BINS + 1 of them at most."""
+        found = [np.zeros(0)] * len(names)
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                if len(found[i]) <= BINS:
+                    values = column.to_numpy(zero_copy_only=False).astype(float)
+                    found[i] = np.unique(np.concatenate([found[i], values[~np.isnan(values)]]))[: BINS + 1]
+        at = np.repeat(np.arange(len(names)), [len(v) for v in found])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.concatenate(found) if found else at, pa.float64())], ["feature", "value"])
+
+    ship(rows.sparkSession)
+    values = rows.select(*names).mapInArrow(few, "feature int, value double").distinct()
+    counted = values.groupBy("feature").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("value")), 1, BINS + 1).alias("values"))
+    of = {r["feature"]: np.array(r["values"]) for r in counted.collect()}  # BINS + 1 values a feature
+    many = [i for i, v in of.items() if len(v) > BINS]
+    if many:
+        shares = [float(q) for q in np.linspace(0, 1, BINS)]
+        clean = lambda c: F.when(~F.isnan(c), F.col(c))
+        found = rows.agg(*[F.percentile_approx(clean(names[i]), shares, 10_000).alias(f"q{i}") for i in many]).first()
+        of |= {i: np.array(found[f"q{i}"]) for i in many}
+    return [_midpoints(of.get(i, np.zeros(0))) for i in range(len(names))]
+
+
+def _codes(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    return np.column_stack([np.searchsorted(c, column, "left") for c, column in zip(cuts, x.T, strict=True)]).astype(np.uint8)
 
+
+def _drawn(h: np.ndarray, tree: int, share: float) -> np.ndarray:
+    """Whether rows with these hashes are in the sample of a tree."""
+    if share >= 1:
+        return np.ones(len(h), bool)
+    z = h.astype(np.int64).view(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) < np.uint64(min(int(share * 2.0**64), 2**64 - 1))
+
+
+def _gradients(y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    prob = 0.5 * (1 + np.tanh(0.5 * margin))
+    return np.rint((prob - y) * GRAIN), np.rint(prob * (1 - prob) * GRAIN)
+
+
+@dataclass
+class _Split:
+    """Of a node of a tree under way: column among those chosen, last bin that goes left, and names of the children."""
+
+    gain: float
+    column: int
+    bin: int
+
+
+class _Growing:
+    """A tree under way. Nodes are named 1, and 2i, 2i + 1 below i; histograms are (2 or 3, columns, BINS): gradients,
+    second ones and, where rows are counted, rows."""
+
+    def __init__(self, p: Params, columns: int, tree: int):
+        self.p = p
+        self.chosen = np.sort(np.random.default_rng((p.seed, tree)).choice(columns, max(1, round(p.columns * columns)), replace=False))
+        self.splits: dict[int, _Split] = {}  # of nodes whose children are, or may be, made
+        self.counted = p.min_rows > 1
+
+    def best(self, hist: np.ndarray) -> _Split | None:
+        p = self.p
+        left = np.cumsum(hist, axis=2)
+        total = left[:, :1, -1:]
+        right = total - left
+        ok = (left[1] >= p.min_weight * GRAIN) & (right[1] >= p.min_weight * GRAIN)
+        if self.counted:
+            ok &= (left[2] >= p.min_rows) & (right[2] >= p.min_rows)
+        part = lambda s: (s[0] / GRAIN) ** 2 / (s[1] / GRAIN + p.l2 + 1e-12)
+        gain = np.where(ok, part(left) + part(right) - part(total), -np.inf)
+        at = int(gain.argmax())
+        found = _Split(float(gain.flat[at]) / 2, at // BINS, at % BINS)
+        return found if found.gain > max(p.gain, 1e-9) else None
+
+    def grow(self, ask: Callable[[list[int]], list[np.ndarray]], ahead: bool, gains: np.ndarray, cuts: Sequence[np.ndarray]) -> dict[str, list[float]]:
+        """The tree. ask gives the histograms of nodes; ahead asks for the children of all open nodes at once, else for those of the next."""
+        p = self.p
+        hists = {1: ask([1])[0]}
         tree: dict[str, list[float]] = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
+        queue: list[tuple[float, int]] = []
+        numbers: dict[int, int] = {}
 
-        def node(hist: np.ndarray) -> int:
-            sums = hist[:, 0].sum(1)
+        def node(name: int) -> int:
+            sums = hists[name][:, 0].sum(1) / GRAIN
             for k, v in zip(tree, (-1, 0.0, -1, -1, float(-p.rate * sums[0] / (sums[1] + p.l2 + 1e-12)), float(sums[1])), strict=True):
                 tree[k].append(v)
-            return len(tree["feature"]) - 1
-
-        first = histogram(rows)
-        root, queue, leaves = node(first), [], 1
-
-        def offer(at: int, own: np.ndarray, hist: np.ndarray, depth: int) -> None:
-            if (not p.max_depth or depth < p.max_depth) and len(own) > 1:
-                gain, column, cut = best(hist)
-                if gain > max(p.gain, 1e-9):
-                    heapq.heappush(queue, (-gain, at, column, cut, own, hist, depth))
-
-        offer(root, rows, first, 0)
-        while queue and (not p.max_leaves or leaves < p.max_leaves):
-            minus, at, column, cut, own, hist, depth = heapq.heappop(queue)
-            feature = int(chosen[column])
-            gains[feature] -= minus
-            side = self.codes[own, feature] <= cut
-            parts = [own[side], own[~side]]
-            small = int(len(parts[1]) < len(parts[0]))
-            counted = histogram(parts[small])
-            hists = [counted, hist - counted] if small == 0 else [hist - counted, counted]
-            tree["feature"][at], tree["threshold"][at] = feature, float(self.cuts[feature][cut])
-            tree["left"][at], tree["right"][at] = node(hists[0]), node(hists[1])
-            leaves += 1
-            for child, part, h_ in zip((tree["left"][at], tree["right"][at]), parts, hists, strict=True):
-                offer(child, part, h_, depth + 1)
-        return tree, self._values(tree)
-
-    def _values(self, tree: dict[str, list[float]]) -> np.ndarray:
-        feature, left, right = (np.asarray(tree[k]) for k in ("feature", "left", "right"))
-        cut = np.array([np.searchsorted(self.cuts[f], t) if f >= 0 else 0 for f, t in zip(tree["feature"], tree["threshold"], strict=True)])
-        at = np.zeros(len(self.codes), np.int64)
-        while (inner := np.flatnonzero(feature[at] >= 0)).size:
-            where = at[inner]
-            at[inner] = np.where(self.codes[inner, feature[where]] <= cut[where], left[where], right[where])
-        return np.asarray(tree["value"])[at]
+            numbers[name] = len(tree["feature"]) - 1
+            if (not p.max_depth or name.bit_length() <= p.max_depth) and (split := self.best(hists[name])):
+                heapq.heappush(queue, (-split.gain, name))
+                self.splits[name] = split
+            return numbers[name]
+
+        node(1)
+        while queue and (not p.max_leaves or len(numbers) // 2 + 1 < p.max_leaves):
+            if 2 * queue[0][1] not in hists:
+                wanted = [x for _, x in queue if 2 * x not in hists] if ahead else [queue[0][1]]
+                small = []
+                for x in wanted:
+                    s, h = self.splits[x], hists[x]
+                    small.append(2 * x + int(h[1, s.column, : s.bin + 1].sum() > h[1, s.column, s.bin + 1 :].sum()))
+                for x, child, found in zip(wanted, small, ask(small), strict=True):
+                    hists[child], hists[child ^ 1] = found, hists[x] - found
+            _, x = heapq.heappop(queue)
+            s, at = self.splits[x], numbers[x]
+            feature = int(self.chosen[s.column])
+            gains[feature] += s.gain
+            tree["feature"][at], tree["threshold"][at] = feature, float(cuts[feature][s.bin])
+            tree["left"][at], tree["right"][at] = node(2 * x), node(2 * x + 1)
+            del hists[x]
+        return tree
+
+
+def _values(tree: dict[str, list[float]], cuts: Sequence[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """The tree's value for binned rows."""
+    feature, left, right = (np.asarray(tree[k]) for k in ("feature", "left", "right"))
+    cut = np.array([np.searchsorted(cuts[f], t) if f >= 0 else 0 for f, t in zip(tree["feature"], tree["threshold"], strict=True)])
+    at = np.zeros(len(codes), np.int64)
+    while (inner := np.flatnonzero(feature[at] >= 0)).size:
+        where = at[inner]
+        at[inner] = np.where(codes[inner, feature[where]] <= cut[where], left[where], right[where])
+    return np.asarray(tree["value"])[at]
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, columns: Sequence[str], p: Params, x_val: np.ndarray | None = None, y_val: np.ndarray | None = None) -> BoostedTrees:
-    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-    model = BoostedTrees(list(columns), float(np.log(share / (1 - share))))
-    gains = np.zeros(x.shape[1])
-    if len(x) and 0 < y.sum() < len(y):
-        grower, margin = _Grower(x, p), np.full(len(y), model.base)
-        held = np.full(len(y_val), model.base) if p.stop_after and y_val is not None and len(y_val) else None
-        best, at = -1.0, 0
+class _Early:
+    """Keeps the number of trees with the best average precision so far."""
+
+    def __init__(self, p: Params):
+        self.after, self.best, self.at = p.stop_after, -1.0, 0
+
+    def stops(self, score: float, trees: int) -> bool:
+        if score > self.best:
+            self.best, self.at = score, trees
+        return trees - self.at >= self.after
+
+
+def _steps(margin: np.ndarray) -> np.ndarray:
+    return np.floor(0.5 * (1 + np.tanh(0.5 * margin)) * SCORES).astype(np.int64)
+
+
+def _begun(columns: Sequence[str], rows: int, positive: float) -> BoostedTrees:
+    share = float(np.clip(positive / rows if rows else 0.5, 1e-6, 1 - 1e-6))
+    return BoostedTrees(list(columns), float(np.log(share / (1 - share))))
+
+
+def _fit_block(codes: np.ndarray, y: np.ndarray, h: np.ndarray, columns: Sequence[str], cuts: Sequence[np.ndarray], p: Params, codes_val: np.ndarray, y_val: np.ndarray) -> BoostedTrees:
+    """On rows in memory."""
+    model, gains, m = _begun(columns, len(y), float(y.sum())), np.zeros(len(columns)), codes.shape[1]
+    if 0 < y.sum() < len(y):
+        margin = np.full(len(y), model.base)
+        held, early = np.full(len(y_val), model.base), _Early(p) if p.stop_after and len(y_val) else None
         for i in range(p.trees):
-            prob = 0.5 * (1 + np.tanh(0.5 * margin))
-            tree, values = grower.grow(prob - y, prob * (1 - prob), gains)
-            margin += values
+            g, h2 = _gradients(y, margin)
+            growing = _Growing(p, m, i)
+            flat = codes[:, growing.chosen].astype(np.int32) + (np.arange(len(growing.chosen), dtype=np.int32) * BINS)[None, :]
+            own, width = {1: np.flatnonzero(_drawn(h, i, p.rows))}, len(growing.chosen)
+
+            def ask(nodes: list[int]) -> list[np.ndarray]:
+                out = []
+                for node in nodes:
+                    if node not in own:
+                        split, at = growing.splits[node >> 1], own.pop(node >> 1)  # noqa: B023
+                        side = codes[at, growing.chosen[split.column]] <= split.bin  # noqa: B023
+                        own[node & ~1], own[node | 1] = at[side], at[~side]  # noqa: B023
+                    at = own[node]  # noqa: B023
+                    seen = flat[at].ravel()  # noqa: B023
+                    parts = [np.bincount(seen, np.repeat(w[at], width), width * BINS) for w in (g, h2)]  # noqa: B023
+                    if growing.counted:  # noqa: B023
+                        parts.append(np.bincount(seen, minlength=width * BINS))  # noqa: B023
+                    out.append(np.array(parts, np.float64).reshape(len(parts), width, BINS))  # noqa: B023
+                return out
+
+            tree = growing.grow(ask, False, gains, cuts)
+            margin += _values(tree, cuts, codes)
             model.trees.append(tree)
-            if held is not None:
-                held += _leaf_values(tree, x_val)
-                if (score := average_precision(y_val, held)) > best:
-                    best, at = score, i + 1
-                elif i + 1 - at >= p.stop_after:
+            if early:
+                held += _values(tree, cuts, codes_val)
+                if early.stops(average_precision(y_val, _steps(held)), i + 1):
                     break
-        if held is not None:
-            model.trees = model.trees[:at]
+        if early:
+            model.trees = model.trees[: early.at]
+    model.importances = (gains / max(gains.sum(), 1e-12)).tolist()
+    return model
+
+
+def fit_arrays(x: np.ndarray, y: np.ndarray, columns: Sequence[str], p: Params, x_val: np.ndarray | None = None, y_val: np.ndarray | None = None) -> BoostedTrees:
+    """On arrays; a row's place stands for its hash."""
+    if not len(x):
+        return _begun(columns, 0, 0.0)
+    cuts, none = _bins(x), np.zeros((0, x.shape[1]))
+    held = none if x_val is None else x_val
+    return _fit_block(_codes(x, cuts), np.asarray(y, float), np.arange(len(x)), columns, cuts, p, _codes(held, cuts), np.zeros(0) if y_val is None else np.asarray(y_val, float))
+
+
+_ROWS = "y double, held boolean, h long, codes binary"
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width) if len(column) else np.zeros((0, width), np.uint8)
+
+
+def _binned(rows: DataFrame, cuts: Sequence[np.ndarray]) -> DataFrame:
+    """(y, held, h, codes): a byte a feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[3:]])
+            codes = [r.tobytes() for r in _codes(x, cuts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codes, pa.binary())], ["y", "held", "h", "codes"])
+
+    return rows.mapInArrow(run, _ROWS)
+
+
+def _fit_in_task(binned: DataFrame, columns: Sequence[str], cuts: Sequence[np.ndarray], p: Params) -> BoostedTrees:
+    """All rows are one block: the fit runs in the task that holds it, and gives the model."""
+    width = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool), b.column(2).to_numpy(), _matrix(b.column(3), width)) for b in batches if b.num_rows]
+        y, held, h, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        model = _fit_block(codes[~held], y[~held], h[~held], columns, cuts, p, codes[held], y[held])
+        yield pa.RecordBatch.from_arrays([pa.array([model.to_json()])], ["model"])
+
+    return BoostedTrees.from_json(binned.coalesce(1).mapInArrow(run, "model string").first()["model"])  # BLOCK bytes at most
+
+
+def _summed(rows: DataFrame, task: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The arrays of all batches added up: within tasks, then among executors; one array reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                out += task(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+    return rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"]).reshape(shape)).treeReduce(np.add)
+
+
+def _fit_over_tasks(binned: DataFrame, columns: Sequence[str], cuts: Sequence[np.ndarray], p: Params) -> BoostedTrees:
+    """Rows in many tasks: sums of each level come from all of them."""
+    spark, width = binned.sparkSession, len(columns)
+    folder = scratch_path(spark, "boosting")
+    of = binned.where("NOT held").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("positive")).first()
+    model, gains = _begun(columns, of["n"], of["positive"]), np.zeros(width)
+    if not 0 < of["positive"] < of["n"]:
+        model.importances = gains.tolist()
+        return model
+    early = _Early(p) if p.stop_after and binned.where("held").limit(1).count() else None
+    rows, written = binned.withColumn("margin", F.lit(model.base)).persist(), None
+
+    def with_margins(tree: dict[str, list[float]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                margin = batch.column(4).to_numpy() + _values(tree, cuts, _matrix(batch.column(3), width))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margin)], ["y", "held", "h", "codes", "margin"])
+
+        return run
+
+    def precision(batch: pa.RecordBatch) -> np.ndarray:
+        held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        at, y = _steps(batch.column(4).to_numpy()[held]), batch.column(0).to_numpy()[held]
+        return np.stack([np.bincount(at, y, SCORES + 1), np.bincount(at, minlength=SCORES + 1)])
+
+    for i in range(p.trees):
+        growing = _Growing(p, width, i)
+        columns_in, counted = growing.chosen, growing.counted
+
+        def ask(nodes: list[int]) -> list[np.ndarray]:
+            splits, many, size = dict(growing.splits), len(nodes), len(columns_in) * BINS  # noqa: B023
+            place = {name: k for k, name in enumerate(nodes)}
+            chosen, tree = columns_in, i  # noqa: B023
+
+            def task(batch: pa.RecordBatch) -> np.ndarray:
+                codes = _matrix(batch.column(3), width)
+                use = _drawn(batch.column(2).to_numpy(), tree, p.rows) & ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                codes, y, margin = codes[use], batch.column(0).to_numpy()[use], batch.column(4).to_numpy()[use]
+                node = np.ones(len(codes), object if max(nodes).bit_length() > 60 else np.int64)
+                wanted = {x >> k for x in nodes for k in range(1, x.bit_length())}
+                for name in sorted(wanted):  # from the root down
+                    at = np.flatnonzero(node == name)
+                    node[at] = 2 * name + (codes[at, chosen[splits[name].column]] > splits[name].bin)
+                out = np.zeros((many, 3 if counted else 2, size))  # noqa: B023
+                g, h2 = _gradients(y, margin)
+                for name, k in place.items():
+                    at = np.flatnonzero(node == name)
+                    seen = (codes[at][:, chosen].astype(np.int32) + (np.arange(len(chosen), dtype=np.int32) * BINS)[None, :]).ravel()
+                    out[k, 0], out[k, 1] = (np.bincount(seen, np.repeat(w[at], len(chosen)), size) for w in (g, h2))
+                    if counted:  # noqa: B023
+                        out[k, 2] = np.bincount(seen, minlength=size)
+                return out
+
+            sums = _summed(rows, task, (many, 3 if counted else 2, size))  # noqa: B023
+            return list(sums.reshape(many, -1, len(chosen), BINS))
+
+        tree = growing.grow(ask, True, gains, cuts)
+        model.trees.append(tree)
+        old, rows = rows, rows.mapInArrow(with_margins(tree), f"{_ROWS}, margin double")
+        if (i + 1) % WRITTEN == 0:
+            path = f"{folder}/{i + 1}"
+            rows.write.option("compression", "zstd").parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+            if written:
+                remove(spark, written)
+            written = path
+        rows = rows.persist()
+        if early:
+            positive, n = _summed(rows, precision, (2, SCORES + 1))[:, ::-1]
+            some = np.flatnonzero(n)
+            tp, seen = np.cumsum(positive[some]), np.cumsum(n[some])
+            if early.stops(float((np.diff(tp, prepend=0) * tp / seen).sum() / max(1, tp[-1])), i + 1):
+                break
+        elif (i + 1) % WRITTEN:
+            rows.count()  # so the old rows may go
+        old.unpersist()
+    rows.unpersist()
+    if early:
+        model.trees = model.trees[: early.at]
     model.importances = (gains / max(gains.sum(), 1e-12)).tolist()
     return model
 
 
 @dataclass
 class Boosting:
-    """An estimator: fit gives BoostedTrees."""
+    """An estimator: fit gives BoostedTrees. block: bytes of binned rows up to which one task fits them."""
 
     params: Params
-    bound: int = BOUND
+    block: int = BLOCK
 
     def fit(self, df: DataFrame, columns: Sequence[str], label: str, validation: str | None = None) -> BoostedTrees:
-        """On rows without nulls in columns; rows where validation is true only stop the rounds."""
+        """On all rows with a label; rows where validation is true only stop the rounds."""
         held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
-        numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, c in enumerate(columns)]
         rows = df.select(F.col(label).cast("double").alias("y"), held.alias("held"), *numbers).where("y IS NOT NULL")
         names = rows.columns
-        taken = rows.withColumn("h", F.xxhash64(*names)).orderBy("h", *names).limit(self.bound).toArrow()  # bound at most
-        x = np.column_stack([taken[f"x{i}"].to_numpy() for i in range(len(columns))]) if len(taken) else np.zeros((0, len(columns)))
-        y, v = taken["y"].to_numpy(), taken["held"].to_numpy().astype(bool)
-        return fit_arrays(x[~v], y[~v], columns, self.params, x[v], y[v])
+        rows = rows.withColumn("h", F.xxhash64(*names)).select("y", "held", "h", *names[2:])
+        ship(df.sparkSession)
+        cuts = cuts_of(rows.where("NOT held"), names[2:])
+        binned = kept(_binned(rows, cuts), "binned")
+        n = binned.count()
+        if not n:
+            return _begun(columns, 0, 0.0)
+        fitted = _fit_in_task if n * len(columns) <= self.block else _fit_over_tasks
+        return fitted(binned, list(columns), cuts, self.params)
 
 
 def save(spark: SparkSession, model: BoostedTrees, path: str) -> None:

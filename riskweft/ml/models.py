@@ -31,12 +31,12 @@ def logistic(n_rows: int = 1, c: float = 1.0, **params: Any) -> Estimator:
 
 
 def boosted(params: Params) -> Callable[..., Boosting]:
-    """A builder of boosted trees with these defaults; `bound` and the fields of Params may be given instead."""
+    """A builder of boosted trees with these defaults; `block` and the fields of Params may be given instead."""
 
-    def build_one(n_rows: int = 1, bound: int = boosting.BOUND, **given: Any) -> Boosting:
+    def build_one(n_rows: int = 1, block: int = boosting.BLOCK, **given: Any) -> Boosting:
         if odd := set(given) - {f.name for f in fields(Params)}:
             raise TypeError(f"unknown parameters: {sorted(odd)}")
-        return Boosting(replace(params, **given), bound)
+        return Boosting(replace(params, **given), block)
 
     return build_one
 

@@ -217,6 +217,34 @@ def test_boosting_options(spark):
     assert boosting.fit_arrays(x[:0], y[:0], ["a"], boosting.Params()).trees == []
 
 
+@pytest.mark.parametrize("given", [{"trees": 6, "max_depth": 4}, {"trees": 18, "max_depth": 0, "max_leaves": 9, "min_rows": 20, "l2": 0.0, "min_weight": 1e-3, "stop_after": 3, "rate": 0.5}])
+def test_boosting_over_tasks_equals_one_block(spark, given):
+    """Sums of many tasks give the trees of one block, with sampled rows and columns, gaps, unlabelled and validation rows."""
+    random = np.random.default_rng(8)
+    x = np.column_stack([random.normal(size=(3000, 3)), random.integers(0, 5, 3000)])
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + x[:, 3] + 0.7 * random.normal(size=3000) > 2.5).astype(float)
+    rows = [(*map(float, r), None if i % 50 == 0 else int(k), i % 4 == 0) for i, (r, k) in enumerate(zip(x, y, strict=True))]
+    rows += [(None, float("nan"), 1.0, 2.0, 1, False)] * 3 + rows[:200]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y int, held boolean").repartition(5)
+    p = boosting.Params(**given)
+    one, many = (boosting.Boosting(p, block).fit(df, list("abcd"), "y", "held") for block in (boosting.BLOCK, 0))
+    assert one == many and one.trees and sum(t["cover"][0] for t in one.trees[:1]) > 0
+    assert len(one.trees) <= given["trees"] and ("max_leaves" not in given or max(sum(f < 0 for f in t["feature"]) for t in one.trees) <= 9)
+    again = boosting.Boosting(p, 0).fit(df.repartition(2), list("abcd"), "y", "held")
+    assert again == one
+    none = boosting.Boosting(p, 0).fit(df.where("y = 1"), list("abcd"), "y")
+    assert none.trees == [] and none.columns == list("abcd")
+    assert boosting.Boosting(p).fit(df.limit(0), list("abcd"), "y").trees == []
+
+
+def test_cuts_come_from_all_rows(spark):
+    """Few values are told apart however rare; many are cut at quantiles of all rows."""
+    df = spark.range(20_000).select((F.col("id") % 10_000 == 7).cast("double").alias("x0"), F.col("id").cast("double").alias("x1"), F.lit(float("nan")).alias("x2"), F.when(F.col("id") % 3 == 0, 1.0).alias("x3")).repartition(6)
+    rare, many, none, gaps = boosting.cuts_of(df, ["x0", "x1", "x2", "x3"])
+    assert rare.tolist() == [0.5] and len(none) == 0 and len(gaps) == 0
+    assert len(many) == boosting.BINS - 1 and np.abs(many - np.linspace(0, 19_999, boosting.BINS)[:-1] - 159).max() < 10
+
+
 def test_average_precision():
     y, s = np.array([0, 1, 0, 1, 1, 0, 0, 1]), np.array([0.1, 0.9, 0.6, 0.8, 0.35, 0.35, 0.2, 0.6])
     assert np.isclose(boosting.average_precision(y, s), 0.8541666)
