@@ -44,8 +44,8 @@ def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int],
 
     extract gives for a text its parts (one, or its sentences), each a list of slots and their values, which are left
     out unless valued. An id with several texts counts with one of them. Documents are taken in order of a hash of their
-    ids while their entries are max_entries (MAX_ENTRIES) or fewer, so neither their number nor their length may fill the
-    driver; they come in the order of their ids, so reruns agree.
+    ids, each that still fits into max_entries (MAX_ENTRIES), so neither their number nor their length may fill the driver
+    and a very long one is passed over alone; they come in the order of their ids, so reruns agree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +69,13 @@ def collected(sample: DataFrame, extract: Callable[[str], list[tuple[list[int],
     found = keyed.mapInArrow(run, f"id {kind}, label int, h long, sizes array<int>, slots array<int>, values array<float>")
     found = found.groupBy("id").agg(F.min_by(F.struct("label", "sizes", "slots", "values"), "h").alias("x")).select("id", "x.*")
     found = Scratch(sample.sparkSession, "features").keep(found, "features")
-    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # a row a document of the bounded sample
-    some = found.select("id", F.size("slots").alias("n")).withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= (max_entries or MAX_ENTRIES)).select("id")
+    sizes = found.select("id", F.size("slots").alias("n"), F.xxhash64("id").alias("h")).collect()  # a row a document of the bounded sample
+    fitting, free = [], max_entries or MAX_ENTRIES
+    for r in sorted(sizes, key=lambda r: (r["h"], r["id"])):
+        if r["n"] <= free:
+            fitting.append((r["id"],))
+            free -= r["n"]
+    some = sample.sparkSession.createDataFrame(fitting, f"id {kind}")
     rows = found.join(F.broadcast(some), "id", "left_semi").toArrow().combine_chunks().sort_by("id")
     labels = rows["label"].to_pylist()
     flat = lambda name, kind: np.asarray(rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False), kind)

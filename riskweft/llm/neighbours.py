@@ -2,11 +2,16 @@
 
 The trees are fitted on a bounded sample (a documented parameter) and every row is indexed: equal vectors become one
 class, and a class has a leaf in every tree. A query opens leaves, over all trees at once, in order of the squared
-margins on the way to them, until the opened leaves hold the wanted share of the sample, each row counted once.
+margins on the way to them, until the opened leaves hold the wanted share of the sample, each row counted once. The share
+is the smallest that reaches the wanted recall on the sample, where the true neighbours are known, with room for the
+chance in both the sample's queries and those asked: with structure in the vectors it is small, with none it is large,
+and where so few queries are asked that chance alone could miss the recall, all leaves are opened.
 
-Vectors are dealt once, by cells of the first tree (subtrees of BLOCK_ROWS rows, about), with their leaves of all trees.
-A query goes to the cells where an opened leaf of any tree has rows, and is compared there, once, with each class that
-lies in an opened leaf. Cells that a leaf overfills and large query sets are split, so a task holds bounded blocks.
+Vectors are dealt once, by cells of the first tree (subtrees of some thousand rows), with their leaves of all trees. What
+a query opens is told by one number, the margin at which its queue stopped: the tasks find the opened leaves from that
+and the broadcast trees, so a query is sent with its vector and that number alone, to the cells where an opened leaf has
+rows, and is compared there, once, with each class that lies in one. Which cells a leaf has rows in is a bitmap, bounded
+by the numbers of leaves and cells. Large cells and query sets are split, so a task holds bounded blocks.
 
 A class carries its K + 1 smallest ids: further members of the same vector can't be among a query's K nearest, since
 ties go to smaller ids. So a vector that a third of all rows share costs no more than any other.
@@ -30,11 +35,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, ship
+from .vectors import finite, frequent_length, matrix
 
-#: Rows that the trees are fitted on, at most; rows of a leaf, about, and rows of the sample in it, at least.
-SAMPLE, LEAF_ROWS, LEAF_SAMPLE = 20_000, 200, 8
-#: Rows, and queries, that one task compares, about.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 20_000
+#: Rows that the trees are fitted on, at most; rows of the sample in a leaf.
+SAMPLE, LEAF_SAMPLE = 20_000, 8
+#: Queries that the share is measured with; standard deviations of recall that it leaves room for.
+MEASURED, ROOM = 500, 2.5
+#: Rows, and queries, that one task compares; cells of the first tree; queries that are compared at once.
+BLOCK_ROWS, BLOCK_QUERIES, CELLS, AT_ONCE = 65_536, 20_000, 512, 16
 
 
 @dataclass
@@ -56,7 +64,8 @@ class Tree:
                 if (size := np.linalg.norm(a - b)) > 0:
                     direction = (a - b) / size
                     along = rows[at] @ direction
-                    threshold = float(np.median(along))
+                    middle = np.partition(along, [len(at) // 2 - 1, len(at) // 2])[[len(at) // 2 - 1, len(at) // 2]]
+                    threshold = float(middle.mean())  # between two rows, so rounding moves neither
                     side = along > threshold
                     if 0 < side.sum() < len(at):
                         node = len(directions)
@@ -102,34 +111,80 @@ class Tree:
         return out
 
 
-def search(trees: list[Tree], query: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in order of the squared margins passed, over all trees, until the leaves hold the share of the sample."""
-    margins = [t.directions @ query - t.thresholds for t in trees]
-    queue = [(0.0, k, t.root) for k, t in enumerate(trees)]
-    seen = np.zeros(sum(map(len, trees[0].members)), bool)
-    out, held, wanted = [], 0, share * len(seen)
-    while queue and held < wanted:
-        passed, k, node = heapq.heappop(queue)
-        if node < 0:
-            out.append((k, -1 - node))
-            rows = trees[k].members[-1 - node]
-            held += len(rows) - int(seen[rows].sum())
-            seen[rows] = True
-            continue
-        m, (low, high) = float(margins[k][node]), trees[k].children[node].tolist()
-        heapq.heappush(queue, (passed + max(m, 0.0) ** 2, k, low))
-        heapq.heappush(queue, (passed + max(-m, 0.0) ** 2, k, high))
-    return out
+class Forest:
+    """All trees as one: nodes and leaves are numbered through; children are nodes (>= 0) or leaves (-1 - leaf)."""
 
+    def __init__(self, trees: list[Tree]):
+        nodes, leaves = np.cumsum([0, *(len(t.directions) for t in trees)]), np.cumsum([0, *(len(t.members) for t in trees)])
+        self.trees, self.first = trees, leaves
+        self.directions, self.thresholds = np.concatenate([t.directions for t in trees]), np.concatenate([t.thresholds for t in trees])
+        self.children = np.concatenate([np.where(t.children >= 0, t.children + n, t.children - m) for t, n, m in zip(trees, nodes, leaves, strict=False)])
+        self.roots = [int(n) if t.root >= 0 else -1 - int(m) for t, n, m in zip(trees, nodes, leaves, strict=False)]
+        self.members = [rows for t in trees for rows in t.members]
+        self.levels, level = [], np.array([r for r in self.roots if r >= 0], np.int64)
+        while len(level):
+            self.levels.append(level)
+            level = self.children[level].ravel()
+            level = level[level >= 0]
 
-def _usable(vector: Column) -> Column:
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    def leaves(self, rows: np.ndarray) -> np.ndarray:
+        """The leaf of each row in each tree."""
+        return np.column_stack([t.leaves(rows) + n for t, n in zip(self.trees, self.first, strict=False)]).astype(np.int32)
+
+    def passed(self, queries: np.ndarray) -> np.ndarray:
+        """Sums of squared margins that each query passes on the way to each leaf."""
+        m = queries @ self.directions.T - self.thresholds
+        at_node, at_leaf = np.zeros(m.shape), np.zeros((len(m), len(self.members)))
+        for nodes in self.levels:
+            for side, margin in enumerate((np.maximum(m[:, nodes], 0), np.minimum(m[:, nodes], 0))):
+                child, value = self.children[nodes, side], at_node[:, nodes] + margin**2
+                at_node[:, child[child >= 0]] = value[:, child >= 0]
+                at_leaf[:, -1 - child[child < 0]] = value[:, child < 0]
+        return at_leaf
+
+    def search(self, query: np.ndarray, share: float) -> float:
+        """The margin at which a queue over all trees, nearest margin first, has opened leaves with the share of the sample."""
+        if share >= 1:
+            return float("inf")
+        m = self.directions @ query - self.thresholds
+        queue = [(0.0, root) for root in self.roots]
+        seen = np.zeros(sum(map(len, self.trees[0].members)), bool)
+        held, wanted, passed = 0, share * len(seen), 0.0
+        while queue and held < wanted:
+            passed, node = heapq.heappop(queue)
+            if node < 0:
+                rows = self.members[-1 - node]
+                held += len(rows) - int(seen[rows].sum())
+                seen[rows] = True
+                continue
+            margin, (low, high) = float(m[node]), self.children[node].tolist()
+            heapq.heappush(queue, (passed + max(margin, 0.0) ** 2, low))
+            heapq.heappush(queue, (passed + min(margin, 0.0) ** 2, high))
+        return passed * (1 + 1e-9)  # so the last leaf stays open, however the sums were rounded
+
+
+def share_for(forest: Forest, points: np.ndarray, k: int, recall: float, asked: int, random: np.random.Generator) -> float:
+    """The share of the sample that queries have to open for this recall of their k nearest among the points."""
+    own = random.choice(len(points), min(MEASURED, len(points)), replace=False)
+    k = min(k, len(points) - 1)
+    if k < 1:
+        return 1.0
+    target = recall + ROOM * (recall * (1 - recall) * (1 / (len(own) * k) + 1 / max(1, asked))) ** 0.5
+    if target >= 1:
+        return 1.0
+    leaves, norms, needed = forest.leaves(points), (points**2).sum(1), []
+    for some in np.array_split(own, -(-len(own) // AT_ONCE)):
+        apart = norms - 2 * points[some] @ points.T
+        apart[np.arange(len(some)), some] = np.inf
+        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+        for passed, rows in zip(forest.passed(points[some]), near, strict=True):
+            opened = np.sort(passed[leaves].min(axis=1))
+            needed.append(np.searchsorted(opened, passed[leaves[rows]].min(axis=1), "right") / len(points))
+    return float(np.quantile(np.concatenate(needed), target, method="higher"))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, width)
+def _usable(vector: Column) -> Column:
+    return finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def _nearest_ids(scores: np.ndarray, ids: list[list[int]], own: int, k: int) -> list[tuple[float, int]]:
@@ -140,71 +195,89 @@ def _nearest_ids(scores: np.ndarray, ids: list[list[int]], own: int, k: int) ->
     return heapq.nsmallest(k, found)
 
 
-def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10, trees: int = 8, share: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id_col, score): the k nearest found of each row whose id is a multiple of query_step."""
+def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10, trees: int = 16, recall: float = 0.9, share: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, id_col, score): the k nearest found of each row whose id is a multiple of query_step.
+
+    share: that of the rows to compare with, instead of the smallest for the recall.
+    """
     ship(vectors.sparkSession)
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "neighbours")
     empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & _usable(F.col("v")))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().agg(F.max(F.struct("count", "n")).alias("x")).first()["x"]
-    if lengths is None:
+    dims = frequent_length(rows, "v")
+    if dims is None:
         return empty
-    dims = lengths["n"]
     rows = rows.where(F.size("v") == dims).withColumns({"v1": F.xxhash64("v"), "v2": F.xxhash64(F.lit(1), "v")})
     ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v1", "v2").orderBy("id"))).where(F.col("r") <= k + 1)  # limited before the shuffle, too
     classes = scratch.keep(ranked.groupBy("v1", "v2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("v").alias("v")).select("v1", "ids", "v"), "classes")
-    n = classes.count()
+    queries = scratch.keep(rows.where(F.col("id") % query_step == 0).groupBy("id").agg(F.min("v").alias("q")), "queries")
+    n, asked = classes.count(), queries.count()
     sample = classes.select("v1", "v").orderBy("v1").limit(SAMPLE).toArrow()  # SAMPLE at most; v1 is a hash
-    points, random = _matrix(sample["v"], dims), np.random.default_rng(11)
-    leaf = max(LEAF_SAMPLE, len(points) * LEAF_ROWS // n)
-    forest = [Tree.grow(points, leaf, random) for _ in range(trees)]
-    cells = forest[0].cells(max(1, len(points) * BLOCK_ROWS // n))
-    first = np.concatenate([[0], np.cumsum([len(t.members) for t in forest])])  # number of each tree's first leaf
-    blocks = 1 + int(max(map(len, forest[0].members)) * n / len(points)) // BLOCK_ROWS
-    shared = spark.sparkContext.broadcast((forest, cells, first))  # bounded by SAMPLE
+    points, random = matrix(sample["v"].combine_chunks(), dims), np.random.default_rng(11)
+    forest = Forest([Tree.grow(points, LEAF_SAMPLE, random) for _ in range(trees)])
+    if share is None:  # so many of the sample as of all rows there are k nearest
+        share = share_for(forest, points, max(1, round(k * len(points) / n)), recall, asked * k, random)
+    block = block_rows or max(4096, min(BLOCK_ROWS, n // (2 * spark.sparkContext.defaultParallelism)))
+    cells = forest.trees[0].cells(max(1, len(points) * block // n, len(points) // CELLS))
+    shared = spark.sparkContext.broadcast((forest, cells))  # bounded by SAMPLE
     kind = classes.schema["v"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, cells, first = shared.value
+        forest, cells = shared.value
         for batch in batches:
-            m = _matrix(batch.column(2), dims)
-            at = [tree.leaves(m) for tree in forest]
-            numbers = pa.FixedSizeListArray.from_arrays(pa.array((np.column_stack(at) + first[:-1]).ravel(), pa.int32()), len(forest)).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(cells[at[0]], pa.int32()), numbers, *batch.columns], ["cell", "leaves", "v1", "ids", "v"])
+            leaves = forest.leaves(matrix(batch.column(2), dims))
+            numbers = pa.FixedSizeListArray.from_arrays(pa.array(leaves.ravel(), pa.int32()), trees).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(cells[leaves[:, 0]], pa.int32()), numbers, *batch.columns], ["cell", "leaves", "v1", "ids", "v"])
+
+    indexed = scratch.keep(classes.mapInArrow(index, f"cell int, leaves array<int>, v1 long, ids array<long>, v {kind}"), "index")
+    filled = indexed.select("cell", F.explode("leaves").alias("leaf")).groupBy("leaf", F.floor(F.col("cell") / 63).cast("int").alias("word"))
+    filled = filled.agg(F.bit_or(F.expr("shiftleft(1L, cell % 63)")).alias("bits")).toArrow()  # leaves x cells / 63, at most
+    bits = np.zeros((len(forest.members), int(cells.max()) // 63 + 1), np.int64)
+    bits[filled["leaf"].to_numpy(), filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    filled_in = spark.sparkContext.broadcast(bits)  # bounded by SAMPLE and CELLS
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, _, first = shared.value
+        (forest, cells), bits = shared.value, filled_in.value
         for batch in batches:
-            opened = [[int(first[t] + x) for t, x in search(forest, q, share)] for q in _matrix(batch.column(1), dims)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opened, pa.list_(pa.int32()))], ["query_id", "q", "opened"])
+            q = matrix(batch.column(1), dims)
+            stops = [forest.search(x, share) for x in q]
+            visits = []
+            for start in range(0, len(q), AT_ONCE):
+                for passed, stop in zip(forest.passed(q[start : start + AT_ONCE]), stops[start : start + AT_ONCE], strict=True):
+                    words = np.bitwise_or.reduce(bits[passed <= stop], axis=0)
+                    visits.append([63 * w + b for w, word in enumerate(words.tolist()) for b in range(63) if word >> b & 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stops, pa.float64()), pa.array(visits, pa.list_(pa.int32()))], ["query_id", "q", "stop", "cells"])
 
     def rerank(queries: pa.Table, block: pa.Table) -> pa.Table:
         """The k nearest ids of this block for each query, among the classes in its opened leaves."""
         out_q, out_i, out_s = [], [], []
         if len(queries) and len(block):
-            q, x, leaves = _matrix(queries["q"], dims), _matrix(block["v"], dims), _matrix(block["leaves"], trees, np.int64)
-            ids, opened = block["ids"].to_pylist(), np.zeros(int(first[-1]), bool)
-            for i, (own, numbers) in enumerate(zip(queries["query_id"].to_pylist(), queries["opened"], strict=True)):
-                opened[:] = False
-                opened[numbers.values.to_numpy()] = True
-                some = np.flatnonzero(opened[leaves].any(axis=1))
-                found = _nearest_ids(np.sqrt(((x[some] - q[i]) ** 2).sum(1)), [ids[j] for j in some.tolist()], own, k)
-                out_q += [own] * len(found)
-                out_s += [s for s, _ in found]
-                out_i += [j for _, j in found]
+            forest, _ = shared.value
+            q, x, leaves = (matrix(c.combine_chunks(), w, t) for c, w, t in ((queries["q"], dims, np.float64), (block["v"], dims, np.float64), (block["leaves"], trees, np.int32)))
+            ids, stops, names, norms = block["ids"].to_pylist(), queries["stop"].to_numpy(), queries["query_id"].to_pylist(), (x**2).sum(1)
+            for start in range(0, len(q), AT_ONCE):
+                at_once = q[start : start + AT_ONCE]
+                about = norms[:, None] - 2 * x @ at_once.T  # squared distances but for a term of the query's own
+                for i, passed in enumerate(forest.passed(at_once)):
+                    some = np.flatnonzero((passed <= stops[start + i])[leaves].any(axis=1))
+                    near, room = about[some, i], 1e-10 * (norms.max() + at_once[i] @ at_once[i])
+                    if len(some) > k + 1:
+                        some = some[near <= np.partition(near, k)[k] + room]
+                    found = _nearest_ids(np.sqrt(((x[some] - at_once[i]) ** 2).sum(1)), [ids[j] for j in some.tolist()], names[start + i], k)
+                    out_q += [names[start + i]] * len(found)
+                    out_s += [s for s, _ in found]
+                    out_i += [j for _, j in found]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    indexed = scratch.keep(classes.mapInArrow(index, f"cell int, leaves array<int>, v1 long, ids array<long>, v {kind}"), "index")
-    queries = rows.where(F.col("id") % query_step == 0).groupBy("id").agg(F.min("v").alias("q"))
-    probes = scratch.keep(queries.mapInArrow(probe, f"query_id long, q {kind}, opened array<int>"), "probes")
-    filled = indexed.select(F.col("cell").alias("home"), F.explode("leaves").alias("leaf")).distinct()
-    visits = probes.select("query_id", F.explode("opened").alias("leaf")).join(filled, "leaf").select("query_id", "home").distinct()
-    chunks = 1 + probes.count() // BLOCK_QUERIES
-    numbered = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
-    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    asked = probes.join(visits, "query_id").withColumnRenamed("home", "cell").withColumn("chunk", numbered("query_id", chunks)).withColumn("block", every(blocks))
-    held = indexed.withColumn("block", numbered("v1", blocks)).withColumn("chunk", every(chunks)).drop("v1")
+    probes = scratch.keep(queries.mapInArrow(probe, f"query_id long, q {kind}, stop double, cells array<int>"), "probes")
+    sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # CELLS at most, or leaves of the first tree
+    parts = F.get(F.array(*[F.lit(1 + sizes.get(c, 0) // block) for c in range(int(cells.max()) + 1)]), F.col("cell"))
+    chunks = 1 + asked // BLOCK_QUERIES
+    numbered = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), (m - 1).cast("int")))
+    asking = probes.select("query_id", "q", "stop", F.explode("cells").alias("cell")).withColumn("chunk", numbered("query_id", F.lit(chunks))).withColumn("block", every(parts))
+    held = indexed.withColumn("block", numbered("v1", parts)).withColumn("chunk", every(F.lit(chunks))).drop("v1")
     key = ["cell", "block", "chunk"]
-    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(rerank, "query_id long, id long, score double")
+    found = asking.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(rerank, "query_id long, id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

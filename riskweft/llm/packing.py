@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +45,25 @@ class Encoder:
     """Token ids of texts by a vocabulary file of the `tokenizers` library and the pattern that its ranks go with."""
 
     def __init__(self, spec: str, pattern: str):
-        from tokenizers import Tokenizer
-
         if len(spec) > MAX_FILE:
             raise ValueError("the vocabulary is larger than what is sent to executors")
         self.spec, self.pattern = spec, pattern
-        self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
-        ranks = byte_ranks(json.loads(spec))
-        self.fast = None
-        if ranks is not None:
-            import tiktoken
 
-            self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    @cached_property
+    def library(self):
+        """Made where a text needs it, which is seldom."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(self.spec)
+        library.encode_special_tokens = True
+        return library
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+
+        ranks = byte_ranks(json.loads(self.spec))
+        return None if ranks is None else tiktoken.Encoding("packing", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoder:
@@ -64,7 +71,7 @@ class Encoder:
             return cls(f.read(), pattern)
 
     def __reduce__(self):
-        return Encoder, (self.spec, self.pattern)
+        return _encoder, (self.spec, self.pattern)  # a worker has one, however many queries it serves
 
     def ids(self, text: str) -> list[int]:
         if self.fast is None or len(text) >= 4096 and _LONG.search(text):
@@ -72,6 +79,11 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+@lru_cache(maxsize=1)
+def _encoder(spec: str, pattern: str) -> Encoder:
+    return Encoder(spec, pattern)
+
+
 def byte_ranks(spec: dict) -> dict[bytes, int] | None:
     """Ranks of the byte strings of a byte-level vocabulary; None unless the ids order its merges, as ranks would."""
     model, before = spec["model"], spec.get("pre_tokenizer") or {}

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .neighbours import nearest
 
-QUERY_STEP, K, TREES, SHARE = 100, 10, 8, 0.5
+QUERY_STEP, K, TREES, RECALL = 100, 10, 16, 0.9
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), QUERY_STEP, K, TREES, SHARE)
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), QUERY_STEP, K, TREES, RECALL)

@@ -100,6 +100,17 @@ def test_features_to_the_driver_are_bounded(spark):
     assert 0 < len(few) < 40 and len(some) <= len(slots) // 2
 
 
+def test_a_long_document_does_not_end_the_sample(spark):
+    """The document that comes first in the order of hashes has more entries than fit: it alone is passed over."""
+    ids = [r["id"] for r in spark.range(60).orderBy(F.xxhash64("id")).collect()]
+    long = " ".join(f"w{i}" for i in range(4000))
+    docs = spark.createDataFrame([(i, long if i in (ids[0], ids[20]) else f"some few words {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    sample = hashed.labelled_sample(docs, labels, "quality", 60, "doc_id", "text")
+    y, parts, entries, slots, _ = hashed.collected(sample, ordinal.extract, max_entries=3000)
+    assert y == [i % 2 for i in sorted(set(ids) - {ids[0], ids[20]})] and 0 < len(slots) <= 3000 and len(parts) == 58
+
+
 def test_toxicity_on_held_out(spark):
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweft.llm import components, minhash, neighbours, sharding, urls
+from riskweft.llm import components, minhash, neighbours, q_neighbours, sharding, urls
 from riskweft.llm.common import Scratch
 
 
@@ -102,7 +102,7 @@ def test_neighbours_against_brute_force(spark):
     rows = [(i, list(map(float, x)), 0, 0, "x") for i, x in enumerate(m)]
     rows += [(5000, None, 0, 0, ""), (5100, [0.0] * 16, 0, 0, ""), (5200, [float("nan")] * 16, 0, 0, ""), (5300, [1.0], 0, 0, ""), (None, rows[0][1], 0, 0, ""), (5400, [None] * 16, 0, 0, "")]
     got = defaultdict(list)
-    for x in neighbours.nearest(vectors(spark, rows), 100, 10, 8, 0.5).orderBy("query_id", "rank").collect():
+    for x in neighbours.nearest(vectors(spark, rows), 100, 10).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
     assert sorted(got) == list(range(0, 1500, 100))
     hits, x = 0, m.astype(np.float64)
@@ -117,6 +117,36 @@ def test_neighbours_against_brute_force(spark):
     assert [v for _, v, _ in got[400]][:9] == list(range(300, 309))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    """The registered query, against exact search."""
+    folder = f"/root/testdata/{sf}"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), np.float64)
+    got = defaultdict(set)
+    for r in q_neighbours.query(spark, folder).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in ids[ids % 100 == 0]:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert len(got) == (ids % 100 == 0).sum() and hits >= 0.9 * 10 * len(got)
+
+
+def test_the_share_follows_structure():
+    """Grouped vectors need a small share for the same recall, vectors without structure a large one; few queries all leaves."""
+    r = np.random.default_rng(4)
+    loose = r.normal(size=(4000, 32))
+    grouped = 20 * r.normal(size=(80, 32)).repeat(50, axis=0) + loose
+    shares = []
+    for points in (loose, grouped):
+        forest = neighbours.Forest([neighbours.Tree.grow(points, neighbours.LEAF_SAMPLE, r) for _ in range(8)])
+        shares.append(neighbours.share_for(forest, points, 10, 0.9, 100_000, r))
+        assert neighbours.share_for(forest, points, 10, 0.9, 10, r) == 1.0
+    assert shares[1] < 0.05 < 0.15 < shares[0] < 0.6
+
+
 def test_few_vectors(spark):
     got = neighbours.nearest(vectors(spark, [(0, [1.0, 0.0], 0, 0, ""), (7, [0.0, 1.0], 0, 0, ""), (9, [1.0, 0.0], 0, 0, "")])).collect()
     assert [tuple(x) for x in sorted(got)] == [(0, 1, 9, 0.0), (0, 2, 7, pytest.approx(2**0.5))]
@@ -139,13 +169,13 @@ def test_ids_that_repeat(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 7, 1.0), (0, 2, 7, 3.0), (0, 3, 8, 8.0)]
 
 
-def test_blocks_and_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("share", [1.0, 0.999])
+def test_blocks_and_chunks(spark, monkeypatch, share):
     """Small blocks, so cells, blocks of a leaf and chunks of queries all split; each candidate is met once."""
-    for name, value in (("BLOCK_ROWS", 20), ("BLOCK_QUERIES", 10), ("LEAF_ROWS", 40)):
-        monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 10)
     m = np.random.default_rng(5).normal(size=(600, 4))
     rows = [(i, list(map(float, x)), 0, 0, "") for i, x in enumerate(m)]
-    got = neighbours.nearest(vectors(spark, rows), 20, 5, 3, 1.0).collect()
+    got = neighbours.nearest(vectors(spark, rows), 20, 5, 3, share=share, block_rows=20).collect()
     x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
     want = []
     for q in range(0, 600, 20):
@@ -159,12 +189,17 @@ def test_search_opens_leaves_by_margin():
     r = np.random.default_rng(0)
     rows = r.normal(size=(400, 5))
     trees = [neighbours.Tree.grow(rows, 20, r) for _ in range(3)]
+    forest = neighbours.Forest(trees)
     assert all(sorted(np.concatenate(t.members)) == list(range(400)) for t in trees)
-    own = neighbours.search(trees, rows[0], 0.01)
-    assert own[0][1] == trees[own[0][0]].leaves(rows[:1])[0]
-    for share in (0.3, 1.0):
-        seen = set().union(*(trees[t].members[x] for t, x in neighbours.search(trees, rows[0], share)))
-        assert share * 400 <= len(seen) <= share * 400 + 20
+    leaves, passed = forest.leaves(rows), forest.passed(rows[:7])
+    assert all(i in forest.members[x] for i in range(400) for x in leaves[i])
+    for i in range(7):
+        assert (passed[i][leaves[i]] == 0).all()  # its own leaves are passed without a margin
+        for share in (0.01, 0.3, 0.9):
+            opened = passed[i] <= forest.search(rows[i], share)
+            seen = set().union(*(forest.members[x] for x in np.flatnonzero(opened)))
+            assert share * 400 <= len(seen) <= share * 400 + 60
+        assert forest.search(rows[i], 1.0) == float("inf")
     cells = trees[0].cells(100)
     held = Counter(int(c) for c, m in zip(cells, trees[0].members, strict=True) for _ in m)
     assert set(held) == set(range(len(held))) and max(held.values()) <= 100 and len(held) < len(cells)
