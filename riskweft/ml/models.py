@@ -132,10 +132,13 @@ class Trained:
     seconds: float
 
 
-def train(df: DataFrame, columns: Sequence[str], label: str, key: str, name: str = "xgboost", scale: Sequence[str] = (), target_fpr: float = 0.01, seed: int = 42, folder: str | None = None, **overrides: Any) -> Trained:
-    """The whole course: split by class, scale by the training rows, fit, tune the threshold on the validation rows,
-    evaluate these and the test rows at it, and, if a folder is given, export everything there."""
+def train(df: DataFrame, columns: Sequence[str], label: str, key: str, name: str = "xgboost", scale: Sequence[str] = (), target_fpr: float = 0.01, seed: int = 42, fill: bool = False, folder: str | None = None, **overrides: Any) -> Trained:
+    """The whole course: split by class, fill gaps by the medians of the training rows (if so asked), scale by the training
+    rows, fit, tune the threshold on the validation rows, evaluate these and the test rows at it, and, if a folder is
+    given, export everything there. Nothing is learned from test rows."""
     split = kept(prepare.stratified_split(df, label, key, seed=seed), "split")
+    if fill:
+        split = prepare.impute(split, prepare.medians(split.where("split = 'train'"), list(columns)))
     scaler = prepare.Scaler(list(scale)).fit(split.where("split = 'train'")) if scale else None
     ready = scaler.transform(split) if scaler else split
     began = time.perf_counter()

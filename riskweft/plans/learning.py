@@ -77,9 +77,8 @@ def _exported(s, d):
 
 def _course(s, d):
     """The whole course of training on the features, in one row of test figures."""
-    df = kept(features(s, d).select("txn_id", "label_fraud", *[F.col(c).cast("double").alias(c) for c in COLUMNS]), "features")
-    filled = prepare.impute(df, prepare.medians(df, COLUMNS))
-    done = models.train(filled, COLUMNS, "label_fraud", "txn_id", "lightgbm", scale=["amount_log"], folder=f"{scratch_path(s, 'course')}/out")
+    df = features(s, d).select("txn_id", "label_fraud", *[F.col(c).cast("double").alias(c) for c in COLUMNS])
+    done = models.train(df, COLUMNS, "label_fraud", "txn_id", "lightgbm", scale=["amount_log"], fill=True, folder=f"{scratch_path(s, 'course')}/out")
     return s.createDataFrame([(done.predictor.threshold, *[float(done.test[c]) for c in ("roc_auc", "average_precision", "precision", "recall", "f1")])], "threshold double, roc_auc double, average_precision double, precision double, recall double, f1 double")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweft.ml import attribution, boosting, iforest, models
 from riskweft.ml.engine import FusionEngine
+from riskweft.operators import prepare
 from riskweft.plans.learning import drain
 from riskweft.sources import generator, readers, writers
 from riskweft.streaming import velocity
@@ -250,6 +251,17 @@ def test_average_precision():
     assert np.isclose(boosting.average_precision(y, s), 0.8541666)
 
 
+def test_course_learns_nothing_from_test_rows(spark):
+    """Values of test rows that would move medians, if they counted, leave the model and its figures as they are."""
+    random = np.random.default_rng(9)
+    rows = [(i, None if i % 7 == 0 else float(a), float(b), int(a + b > 1.2)) for i, (a, b) in enumerate(random.normal(size=(900, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    split = {r["id"]: r["split"] for r in prepare.stratified_split(df, "y", "id").collect()}
+    odd = spark.createDataFrame([(i, 1e6 if split[i] == "test" and a is not None else a, b, y) for i, a, b, y in rows], df.schema)
+    one, two = (models.train(x, ["a", "b"], "y", "id", "xgboost", trees=5, fill=True) for x in (df, odd))
+    assert one.predictor.model == two.predictor.model and one.validation == two.validation
+
+
 def test_course_and_export(spark, tmp_path):
     random = np.random.default_rng(7)
     rows = [(i, *map(float, random.normal(size=3) * [1, 100, 1])) for i in range(1500)]
