@@ -1,4 +1,11 @@
-"""The account graph as node and edge frames, and per-transaction graph features."""
+"""The account graph as node and edge frames, and per-transaction graph features.
+
+Sharing pairs are made only where pairs are asked for. Counts of neighbours come from bitmaps: accounts are numbered so
+that those of a device stand together, a device's accounts are set bits, and the neighbours of an account are the bits of
+all its devices. Accounts with the same devices have the same bits, so these are joined once for each set of devices: a
+device that a hundred thousand accounts share is a few bitmaps, however many pairs it has. Only devices whose accounts are
+too scattered for bitmaps to pay still meet in pairs, beside those that are small.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweft.functions.scalars import node_id
+from riskweft.operators.prepare import with_rank
 from riskweft.schema import tables
 from riskweft.scratch import kept
 
 
 #: Accounts of a device that one task pairs with as many others, about.
 BLOCK = 1000
+#: A device has bitmaps if it has more accounts than this, and in the mean as many in each of its bitmaps.
+DENSE = 64
 
 
 def device_share_pairs(links: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -32,14 +42,19 @@ def device_share_pairs(links: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.groupBy(F.least("account_a", "account_b").alias("account_a"), F.greatest("account_a", "account_b").alias("account_b")).agg(F.min("device_id").alias("device_id"))
 
 
-def edges(env: Mapping[str, DataFrame]) -> DataFrame:
-    """(src, dst, kind): owner, uses, transacts and shares edges, each once."""
+def _plain_edges(env: Mapping[str, DataFrame]) -> DataFrame:
+    """The edges but for those of sharing."""
     users, accounts, links, tx = tables(env, "users", "accounts", "account_devices", "transactions")
     owner = accounts.join(users.select("user_id"), "user_id", "left_semi").select(node_id("user", "user_id").alias("src"), node_id("account", "account_id").alias("dst"), F.lit("owns").alias("kind"))
     uses = links.select("account_id", "device_id").distinct().select(node_id("account", "account_id").alias("src"), node_id("device", "device_id").alias("dst"), F.lit("uses").alias("kind"))
     pays = tx.where("merchant_id IS NOT NULL").select("account_id", "merchant_id").distinct().select(node_id("account", "account_id").alias("src"), node_id("merchant", "merchant_id").alias("dst"), F.lit("transacts").alias("kind"))
-    shares = device_share_pairs(links).select(node_id("account", "account_a").alias("src"), node_id("account", "account_b").alias("dst"), F.lit("shares").alias("kind"))
-    return owner.distinct().unionByName(uses).unionByName(pays).unionByName(shares)
+    return owner.distinct().unionByName(uses).unionByName(pays)
+
+
+def edges(env: Mapping[str, DataFrame]) -> DataFrame:
+    """(src, dst, kind): owner, uses, transacts and shares edges, each once."""
+    shares = device_share_pairs(env["account_devices"]).select(node_id("account", "account_a").alias("src"), node_id("account", "account_b").alias("dst"), F.lit("shares").alias("kind"))
+    return _plain_edges(env).unionByName(shares)
 
 
 def degrees(edge_frame: DataFrame) -> DataFrame:
@@ -58,13 +73,63 @@ def fraud_accounts(tx: DataFrame) -> DataFrame:
     return tx.where("label_fraud = 1").select("account_id").distinct()
 
 
-def neighbour_counts(links: DataFrame, tx: DataFrame) -> DataFrame:
-    """(account_id, n, suspicious): sharing neighbours, and those with a labelled transaction, from one pass over the pairs.
+def _numbered(ad: DataFrame, bad: DataFrame) -> DataFrame:
+    """(account_id, number, bad) from 0 on: accounts in order of their devices, largest first, so a device's stand together."""
+    sizes = kept(ad.groupBy("device_id").agg(F.count("*").alias("size")), "sizes")
+    order = ad.join(sizes, "device_id").groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("size"), "device_id"))).alias("order"))  # an account's devices
+    ranked = with_rank(order, ["order", "account_id"], "number").select("account_id", (F.col("number") - 1).alias("number"))
+    return ranked.join(bad, "account_id", "left").select("account_id", "number", F.coalesce("bad", F.lit(0)).alias("bad"))
+
+
+def neighbour_counts(links: DataFrame, tx: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(account_id, n, suspicious): sharing neighbours, and those with a labelled transaction.
 
     Uses labels of all times: for analysis, not for training.
     """
-    bad = kept(fraud_accounts(tx).select(F.col("account_id").alias("other"), F.lit(1).cast("long").alias("bad")), "bad")
-    return sharing_neighbours(links).join(bad, "other", "left").groupBy("account_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("suspicious"))
+    ad = kept(links.select("account_id", "device_id").where("account_id IS NOT NULL AND device_id IS NOT NULL").distinct(), "links")
+    bad = fraud_accounts(tx).where("account_id IS NOT NULL").withColumn("bad", F.lit(1))
+    accounts = kept(_numbered(ad, bad), "accounts")
+    bits = ad.join(accounts, "account_id").withColumn("bucket", F.bitmap_bucket_number("number"))
+    at = F.bitmap_bit_position("number")
+    maps = bits.groupBy("device_id", "bucket").agg(F.bitmap_construct_agg(at).alias("every"), F.bitmap_construct_agg(F.when(F.col("bad") == 1, at)).alias("marked"))
+    maps = kept(maps.withColumn("size", F.bitmap_count("every")), "maps")
+    use = maps.groupBy("device_id").agg(F.sum("size").alias("size"), F.count("*").alias("maps")).where((F.col("size") > dense) & (F.col("size") >= dense * F.col("maps")))
+    use = kept(use.select("device_id", F.lit(True).alias("dense")), "dense")
+    marked = kept(ad.join(use, "device_id", "left"), "marked")
+
+    # by bitmaps: once for each set of dense devices
+    sets = marked.where("dense").groupBy("account_id").agg(F.array_sort(F.collect_list("device_id")).alias("devices"))  # an account's devices
+    sets = kept(sets, "sets")
+    classes = kept(sets.groupBy("devices").agg(F.min("account_id").alias("class")), "classes")
+    each = classes.select("class", F.explode("devices").alias("device_id")).join(maps, "device_id")
+    joined = each.groupBy("class", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("every")).alias("n"), F.bitmap_count(F.bitmap_or_agg("marked")).alias("bad"))
+    counts = joined.groupBy("class").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad_ones")).join(classes, "class").drop("class")
+    by_maps = sets.join(counts, "devices").join(accounts, "account_id").select("account_id", (F.col("n") - 1).alias("n"), (F.col("bad_ones") - F.col("bad")).alias("suspicious"))  # less the account itself
+
+    # in pairs: over the other devices, unless the two also meet on a dense one
+    ends = device_share_pairs(marked.where("dense IS NULL"))
+    side = lambda x: sets.select(F.col("account_id").alias(f"account_{x}"), F.col("devices").alias(f"{x}_devices"))
+    met = ends.join(side("a"), "account_a", "left").join(side("b"), "account_b", "left")
+    met = met.where(~F.coalesce(F.arrays_overlap("a_devices", "b_devices"), F.lit(False)))
+    both = met.select(F.explode(F.array(F.struct(F.col("account_a").alias("account_id"), F.col("account_b").alias("other")), F.struct(F.col("account_b").alias("account_id"), F.col("account_a").alias("other")))).alias("x")).select("x.*")
+    marks = accounts.where("bad = 1").select(F.col("account_id").alias("other"), F.lit(1).cast("long").alias("mark"))
+    in_pairs = both.join(marks, "other", "left").groupBy("account_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("mark"), F.lit(0)).alias("suspicious"))
+    return by_maps.unionByName(in_pairs).groupBy("account_id").agg(F.sum("n").alias("n"), F.sum("suspicious").alias("suspicious")).where("n > 0")
+
+
+def node_degrees(env: Mapping[str, DataFrame]) -> DataFrame:
+    """(node, degree) as `degrees` of `edges` gives, without the sharing pairs."""
+    links, tx = tables(env, "account_devices", "transactions")
+    shares = neighbour_counts(links, tx).select(node_id("account", "account_id").alias("node"), F.col("n").alias("degree"))
+    ends = _plain_edges(env).select(F.explode(F.array("src", "dst")).alias("node"))
+    return ends.groupBy("node").agg(F.count("*").alias("degree")).unionByName(shares).groupBy("node").agg(F.sum("degree").alias("degree"))
+
+
+def edge_counts(env: Mapping[str, DataFrame]) -> DataFrame:
+    """(kind, n): edges of each kind, without the sharing pairs."""
+    links, tx = tables(env, "account_devices", "transactions")
+    shares = neighbour_counts(links, tx).agg((F.sum("n") / 2).cast("long").alias("n")).where("n > 0").select(F.lit("shares").alias("kind"), "n")
+    return _plain_edges(env).groupBy("kind").agg(F.count("*").alias("n")).unionByName(shares)
 
 
 def suspicious_neighbours(links: DataFrame, tx: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def _profile(s, d):
 
 
 def _graph_nodes(s, d):
-    e = graph.degrees(graph.edges(env(s, d)))
+    e = graph.node_degrees(env(s, d))
     return e.select("node", F.col("degree").cast("long").alias("degree"))
 
 
@@ -240,7 +240,7 @@ QUERIES = {
     "graph_edges": (lambda s, d: graph.edges(env(s, d)), sql("SELECT * FROM edges", EDGES)),
     "graph_degrees": (_graph_nodes, sql("SELECT node, degree FROM deg", EDGES)),
     "node_edge_counts": (
-        lambda s, d: graph.edges(env(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
+        lambda s, d: graph.edge_counts(env(s, d)),
         sql("SELECT kind, count(*) AS n FROM edges GROUP BY kind", EDGES),
     ),
     "suspicious_neighbors": (_suspicious, sql("SELECT account_id, n FROM sus", EDGES)),

@@ -286,6 +286,38 @@ def test_neighbour_counts(spark):
     assert {r["account_id"]: r["n"] for r in graph.suspicious_neighbours(links, tx).collect()} == {1: 1, 2: 1, 3: 2, 4: 1}
 
 
+@pytest.mark.parametrize("dense", [1, 4, 64])
+def test_neighbour_counts_by_bitmaps(spark, dense):
+    """Whichever devices have bitmaps, the counts are those of the pairs; accounts on several devices count once."""
+    import random
+
+    r = random.Random(dense)
+    rows = [(a, d) for a in range(150) for d in r.sample(range(12), r.choice([0, 1, 1, 2, 5]))]
+    rows += [(1000 + i, 50) for i in range(100)] + [(1000 + i, 60 + i) for i in range(40)] + [(3, 60), (1001, 60), (None, 1), (7, None), (1, 1), (1, 1), (5000, 99)]
+    marked = {a for a in [*range(150), *range(1000, 1100)] if a % 7 == 0}
+    links = spark.createDataFrame(rows, "account_id long, device_id long")
+    tx = spark.createDataFrame([(a, int(a in marked)) for a in [*range(150), *range(1000, 1100)]] + [(None, 1), (9999, 1)], "account_id long, label_fraud int")
+    on = {}
+    for a, d in rows:
+        if a is not None and d is not None:
+            on.setdefault(d, set()).add(a)
+    want = {}
+    for a in {a for a, d in rows if a is not None and d is not None}:
+        near = set().union(*(x for x in on.values() if a in x)) - {a}
+        if near:
+            want[a] = (len(near), len(near & marked))
+    got = {r["account_id"]: (r["n"], r["suspicious"]) for r in graph.neighbour_counts(links, tx, dense).collect()}
+    assert got == want
+
+
+def test_a_hot_device_makes_no_pairs(spark):
+    """A device of 100,000 accounts, each with a device of its own too: as many sets of bits as devices, not pairs."""
+    links = spark.range(100_000).selectExpr("id AS account_id", "0L AS device_id").union(spark.range(100_000).selectExpr("id", "1 + id"))
+    tx = spark.range(0, 100_000, 1000).selectExpr("id AS account_id", "1 AS label_fraud")
+    got = graph.neighbour_counts(links, tx).groupBy("n", "suspicious").count().collect()
+    assert sorted(map(tuple, got)) == [(99_999, 99, 100), (99_999, 100, 99_900)]
+
+
 def test_quantiles(spark):
     import numpy as np
 
