@@ -9,10 +9,16 @@ a few in a million, and more similar ones with less, so:
   posted, and the frequent pairs of passages that many documents share are skipped;
 - merging: in a posting list everyone meets the list's most central class, not everyone; classes that are linked are in
   one component and need not meet again; the members of lists that still hold several components then meet under the
-  rare shingles of their full sets, by the same prefix rule, now without slack.
+  rare shingles of their full sets, by the same prefix rule, now without slack and without asking for coordinates.
 
-Every pair with T common coordinates is decided by exact comparison of the full sets. Nothing is capped: a list of any
-length is a join that the engine may split.
+Under rare shingles, those that the same documents hold count as one token with a weight. Partners share a token among
+all but the last of what may differ, two tokens if one more is taken in, and so on. Documents without a frequent token
+there meet under single ones; the others, as those that fill the slots of one template, under the sets of as many tokens
+as POSTS allows, and only where the weight of the set and of what follows it can reach the threshold.
+
+Every candidate pair is decided by exact comparison of the full sets. Nothing is capped: a list of any length is a join
+that the engine may split. With `exact`, the documents of all lists meet under rare shingles, also those whose
+signatures agree by no chance at all: no pair depends on signatures then.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null texts and texts without words have the empty
 set and are linked with nothing; a null id is linked with nothing; rows that share id and text are alike; an id with
@@ -23,6 +29,8 @@ block; an empty table gives an empty one; other columns pass through dedup_docum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +47,8 @@ from .quality import row_key
 M, FIRST = 64, 32
 #: Standard deviations below the mean agreement at the threshold at which pairs are let go.
 SLACK = 4.75
+#: A token that more documents have is frequent; tokens of a list's name, at most; names of one document, about.
+LIST, LEVELS, POSTS = 16, 4, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,50 +153,93 @@ def _candidates(classes: DataFrame, t: int) -> DataFrame:
     return of.join(left.select("id", "__k1", "__k2", "n"), "id").select("id", "__k1", "__k2", "n", F.col("found.pair").alias("pairs"), (F.size("found") - (t - 1)).alias("posted"), F.aggregate("found.count", F.lit(0).cast("long"), lambda a, x: a + x).alias("central"))
 
 
-def _linked(pairs: DataFrame, cand: DataFrame, sets: DataFrame, t: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that agree in t coordinates and whose full sets reach the threshold."""
-    sig = lambda x: cand.select(F.col("id").alias(x), F.col("pairs").alias(f"{x}_pairs"))
-    met = pairs.join(sig("a"), "a").join(sig("b"), "b").where(F.size(F.array_intersect("a_pairs", "b_pairs")) >= t).select("a", "b")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, cand: DataFrame | None = None, t: int = 0) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; given cand, of those that agree in t coordinates."""
+    if cand is not None:
+        sig = lambda x: cand.select(F.col("id").alias(x), F.col("pairs").alias(f"{x}_pairs"))
+        pairs = pairs.join(sig("a"), "a").join(sig("b"), "b").where(F.size(F.array_intersect("a_pairs", "b_pairs")) >= t).select("a", "b")
     whole = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"{x}_set"))
-    both = met.join(whole("a"), "a").join(whole("b"), "b")
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b")
 
 
-def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(pair, id, n, comp, central, before, small, main): classes of `left` posted under the rare shingles of their full sets.
+def rare_keys(tokens: np.ndarray, often: np.ndarray, weights: np.ndarray, n: int, percent: int) -> tuple[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(top, [(level, keys, weight, rest)]): what a set of n shingles is posted under, given its tokens, rare first.
 
-    Shingles are ordered rare first; those that no other of these classes has come before all. With p percent, a pair
-    overlaps in at least 2p / (100 + p) of the size of its smaller set and p / 100 of its larger one, so partners share
-    a shingle among the first of what that leaves over: `small` marks the shorter beginning. Near copies that differ in
-    too much have nothing but their own shingles there and drop out alone. `before` counts the shingles that come first.
+    A partner shares t of the n shingles, at least. If all tokens behind the first k, with the level - 1 heaviest of the
+    first k, weigh less than t, then it shares `level` tokens of the first k, at least; so the set is posted under all
+    sets of so many of these, at every level up to its top. Those of the first tokens shared with a partner weigh t
+    together with what follows them (rest), so other sets are left out.
     """
+    t = -(-percent * n // 100)
+    upto = np.concatenate([[0], np.cumsum(weights)])
+    behind = upto[-1] - upto  # weight of the tokens from each place on
+    first = []
+    for level in range(1, LEVELS + 1):
+        k = next((k for k in range(level, len(tokens) + 1) if behind[k] + np.sort(weights[:k])[k - level + 1 :].sum() < t), None)
+        if k is None:
+            break
+        first.append(k)
+    top = 1
+    if first and often[: first[0]].max() > LIST:
+        posts = np.cumsum([comb(k, level) for level, k in enumerate(first, 1)])
+        top = max(1, int((posts <= POSTS).sum()))
+    out = []
+    for level, k in enumerate(first[:top], 1):
+        some = np.array(list(combinations(range(k), level)), np.int64).reshape(-1, level)
+        weight, rest = weights[some].sum(1), behind[some[:, -1] + 1]
+        some, weight, rest = (x[weight + rest >= t] for x in (some, weight, rest))
+        key = np.full(len(some), level, np.uint64)
+        for place in some.T:
+            key = _finish(key * _MIX + tokens[place])
+        out.append((level, key.view(np.int64), weight, rest))
+    return top, out
+
+
+def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, level, top, id, n, comp, main, weight, rest): the classes of `left` posted under the rare tokens of their full
+    sets, in the lists that hold several components. Shingles that one of these classes alone has come before all tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, columns = [], [[], [], [], [], []]
+            for i, (n, found) in enumerate(zip(batch.column("n").to_pylist(), batch.column("found"), strict=True)):
+                often, names = (found.values.field(x).to_numpy(zero_copy_only=False) for x in ("often", "token"))
+                names, at, weights = np.unique(names.view(np.uint64), return_index=True, return_counts=True)
+                order = np.lexsort((names, often[at]))
+                top, levels = rare_keys(names[order], often[at][order], weights[order], n, percent)
+                for level, key, weight, rest in levels:
+                    rows.append(np.full(len(key), i))
+                    for column, values in zip(columns, (key, np.full(len(key), level), np.full(len(key), top), weight, rest), strict=True):
+                        column.append(values)
+            if rows:
+                own = batch.take(pa.array(np.concatenate(rows))).select(["id", "n", "comp", "central"])
+                made = [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*made, *own.columns], ["key", "level", "top", "weight", "rest", "id", "n", "comp", "central"])
+
     some = sets.join(left.select("id"), "id", "left_semi")
     each = some.select("id", F.explode("set").alias("shingle"))
-    common = each.groupBy("shingle").count().where("count > 1")
-    found = each.join(common, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("found"))  # of one document
-    upto = lambda num, den: F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1 - F.col("own")
-    d = found.join(left, "id").withColumn("own", F.col("n") - F.size("found"))
-    d = d.withColumns({"short": upto(2 * percent, 100 + percent), "long": upto(percent, 100)}).where("long > 0")
-    posts = d.select("id", "n", "comp", "central", "own", "short", F.posexplode(F.slice(F.col("found.shingle"), F.lit(1), F.col("long").cast("int"))).alias("at", "pair"))
-    posts = posts.select("pair", "id", "n", "comp", "central", (F.col("own") + F.col("at")).alias("before"), (F.col("at") < F.col("short")).alias("small"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("often"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")).where("often > 1")
+    held = held.select("shingle", "often", F.xxhash64("often", "x1", "x2").alias("token"))  # one for all shingles of the same documents
+    found = each.join(held, "shingle").groupBy("id").agg(F.collect_list(F.struct("often", "token")).alias("found"))  # of one document
+    posts = found.join(left, "id").select("id", "n", "comp", "central", "found").mapInArrow(run, "key long, level int, top int, weight long, rest long, id long, n long, comp long, central long")
     posts = scratch.keep(posts, "rare-posts")
-    lists = posts.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "comp")).alias("x")).where("low <> high")
-    return posts.join(scratch.keep(lists.select("pair", F.col("x.comp").alias("main")), "rare-lists"), "pair")  # so a long list may be split
+    lists = posts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "comp")).alias("x")).where("low <> high")
+    return posts.join(scratch.keep(lists.select("key", F.col("x.comp").alias("main")), "rare-lists"), "key")  # so a long list may be split
 
 
 def _unmet(posts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of a list in different components that may be linked; one is outside the list's main component.
-
-    Where two sets first meet, they can't overlap in more than either has from there on.
-    """
-    side = lambda x, rows: rows.select("pair", F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("comp").alias(f"{x}_comp"), (F.col("n") - F.col("before")).alias(f"{x}_rest"))
-    outside, small = F.col("comp") != F.col("main"), F.col("small")
-    larger = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") != F.col("b")))
-    room = (100 + percent) * F.least("a_rest", "b_rest") >= percent * (F.col("a_n") + F.col("b_n"))
-    may = larger & room & (100 * F.col("a_n") >= percent * F.col("b_n")) & (F.col("a_comp") != F.col("b_comp"))
-    one = side("a", posts.where(outside & small)).join(side("b", posts), "pair").where(may)
-    two = side("a", posts.where(~outside & small)).join(side("b", posts.where(outside)), "pair").where(may)
+    """(a, b): members of a list in different components that may be linked; one is outside the list's main component,
+    and one has no deeper lists. Where the tokens of the list are the first that two sets share, they can't overlap in
+    more than these and what follows in either."""
+    side = lambda x, rows: rows.select("key", *[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "n", "comp", "weight", "rest")])
+    outside, last = F.col("comp") != F.col("main"), F.col("level") == F.col("top")
+    total = F.col("a_n") + F.col("b_n")
+    room = (100 + percent) * (F.least("a_weight", "b_weight") + F.least("a_rest", "b_rest")) >= percent * total
+    may = room & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("a_comp") != F.col("b_comp"))
+    one = side("a", posts.where(last & outside)).join(side("b", posts), "key").where(may)
+    two = side("a", posts.where(last & ~outside)).join(side("b", posts.where(outside)), "key").where(may)
     return one.unionAll(two).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -200,8 +253,9 @@ def _joined(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(moved.unionByName(top.join(comps.select("node"), "node", "left_anti")), "joined")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__k1, __k2, id_col, n_shingles, component_id, kept) of every row; __k1, __k2 name its contents."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """(__k1, __k2, id_col, n_shingles, component_id, kept) of every row; __k1, __k2 name its contents. exact: signatures
+    only find links early; every class is posted under the rare shingles of its full set."""
     ship(docs.sparkSession)
     t = min_matches(percent)
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -211,23 +265,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = named.groupBy("s1", "s2").agg(least.alias("x"), F.first("sig").alias("sig")).select("s1", "s2", F.col("x.__id").alias("id"), "x.__k1", "x.__k2", "x.n", "sig")
     classes = scratch.keep(classes, "classes")
     cand = scratch.keep(_candidates(classes, t), "candidates")
-    sets = scratch.keep(_sets(docs, cand, k, id_col, text_col), "sets")
+    sets = scratch.keep(_sets(docs, classes if exact else cand, k, id_col, text_col), "sets")
 
     posts = scratch.keep(cand.select(F.explode(F.slice("pairs", F.lit(1), F.col("posted"))).alias("pair"), "id", "n", "central"), "posts")
     near = (F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")) & (F.col("a") != F.col("b"))
     centres = posts.groupBy("pair").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     centres = scratch.keep(centres.select("pair", (-F.col("c.minus")).alias("b"), F.col("c.n").alias("b_n")), "centres")  # so a long list may be split
     stars = posts.select("pair", F.col("id").alias("a"), F.col("n").alias("a_n")).join(centres, "pair").where(near).select("a", "b").distinct()
-    links = scratch.keep(_linked(stars, cand, sets, t, percent), "links")
+    links = scratch.keep(_linked(stars, sets, percent, cand, t), "links")
     comps = components(links, scratch)
 
     own = comps.withColumnRenamed("node", "id")
-    members = posts.join(own, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("pair", "id", "n", "comp", "central")
-    members = scratch.keep(members, "members")
-    mixed = scratch.keep(members.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair"), "mixed")
-    left = members.join(mixed, "pair", "left_semi").select("id", "n", "comp", "central").distinct()
+    if exact:
+        central = cand.select("id", "central")
+        left = classes.join(own, "id", "left").join(central, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("central", F.lit(0)).alias("central"))
+    else:
+        members = posts.join(own, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("pair", "id", "n", "comp", "central")
+        members = scratch.keep(members, "members")
+        mixed = scratch.keep(members.groupBy("pair").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair"), "mixed")
+        left = members.join(mixed, "pair", "left_semi").select("id", "n", "comp", "central").distinct()
     rest = _unmet(scratch.keep(_rare_posts(sets, scratch.keep(left, "left"), percent, scratch), "rare"), percent)
-    more = scratch.keep(_linked(rest, cand, sets, t, percent), "more")
+    more = scratch.keep(_linked(rest, sets, percent), "more")
     if more.limit(1).count():
         comps = _joined(comps, more, scratch)
 

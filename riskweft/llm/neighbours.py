@@ -38,9 +38,9 @@ from .common import Scratch, ship
 from .vectors import finite, frequent_length, matrix
 
 #: Rows that the trees are fitted on, at most; rows of the sample in a leaf.
-SAMPLE, LEAF_SAMPLE = 20_000, 8
+SAMPLE, LEAF_SAMPLE = 20_000, 16
 #: Queries that the share is measured with; standard deviations of recall that it leaves room for.
-MEASURED, ROOM = 500, 2.5
+MEASURED, ROOM = 300, 2.5
 #: Rows, and queries, that one task compares; cells of the first tree; queries that are compared at once.
 BLOCK_ROWS, BLOCK_QUERIES, CELLS, AT_ONCE = 65_536, 20_000, 512, 16
 
@@ -121,6 +121,7 @@ class Forest:
         self.children = np.concatenate([np.where(t.children >= 0, t.children + n, t.children - m) for t, n, m in zip(trees, nodes, leaves, strict=False)])
         self.roots = [int(n) if t.root >= 0 else -1 - int(m) for t, n, m in zip(trees, nodes, leaves, strict=False)]
         self.members = [rows for t in trees for rows in t.members]
+        self.rows, self.pairs = [m.tolist() for m in self.members], self.children.tolist()
         self.levels, level = [], np.array([r for r in self.roots if r >= 0], np.int64)
         while len(level):
             self.levels.append(level)
@@ -146,20 +147,19 @@ class Forest:
         """The margin at which a queue over all trees, nearest margin first, has opened leaves with the share of the sample."""
         if share >= 1:
             return float("inf")
-        m = self.directions @ query - self.thresholds
+        margins, rows, children = (self.directions @ query - self.thresholds).tolist(), self.rows, self.pairs
         queue = [(0.0, root) for root in self.roots]
-        seen = np.zeros(sum(map(len, self.trees[0].members)), bool)
-        held, wanted, passed = 0, share * len(seen), 0.0
-        while queue and held < wanted:
-            passed, node = heapq.heappop(queue)
+        seen, wanted, passed = set(), share * sum(map(len, self.trees[0].members)), 0.0
+        pop, push = heapq.heappop, heapq.heappush
+        while queue and len(seen) < wanted:
+            passed, node = pop(queue)
             if node < 0:
-                rows = self.members[-1 - node]
-                held += len(rows) - int(seen[rows].sum())
-                seen[rows] = True
+                seen.update(rows[-1 - node])
                 continue
-            margin, (low, high) = float(m[node]), self.children[node].tolist()
-            heapq.heappush(queue, (passed + max(margin, 0.0) ** 2, low))
-            heapq.heappush(queue, (passed + min(margin, 0.0) ** 2, high))
+            margin, (low, high) = margins[node], children[node]
+            far = passed + margin * margin
+            push(queue, (far if margin > 0 else passed, low))
+            push(queue, (passed if margin > 0 else far, high))
         return passed * (1 + 1e-9)  # so the last leaf stays open, however the sums were rounded
 
 
@@ -217,7 +217,7 @@ def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10, trees: int =
     forest = Forest([Tree.grow(points, LEAF_SAMPLE, random) for _ in range(trees)])
     if share is None:  # so many of the sample as of all rows there are k nearest
         share = share_for(forest, points, max(1, round(k * len(points) / n)), recall, asked * k, random)
-    block = block_rows or max(4096, min(BLOCK_ROWS, n // (2 * spark.sparkContext.defaultParallelism)))
+    block = block_rows or max(BLOCK_ROWS // 4, min(BLOCK_ROWS, n // spark.sparkContext.defaultParallelism))
     cells = forest.trees[0].cells(max(1, len(points) * block // n, len(points) // CELLS))
     shared = spark.sparkContext.broadcast((forest, cells))  # bounded by SAMPLE
     kind = classes.schema["v"].dataType.simpleString()

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import edge
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskweft.llm import components, minhash, neighbours, q_neighbours, sharding, urls
@@ -55,6 +57,66 @@ def test_near_copies(spark, k, percent):
     assert 1 < len({c for _, c in want.values()}) < len(rows)
 
 
+def template_documents(n, seed=1):
+    """Texts of 100 words, 8 of which are one of 10 values each."""
+    r = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(100)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for slot, value in enumerate(r.integers(0, 10, 8)):
+            words[6 + 12 * slot] = f"s{slot}v{value}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_templates_make_few_candidates(spark, monkeypatch, exact):
+    """Documents of one template, few of which are links: the links are those of brute force, from candidates far fewer than pairs."""
+    tried, plain = [], minhash._linked
+
+    def counting(pairs, sets, percent, cand=None, t=0):
+        if cand is None:
+            tried.append(pairs.count())
+        return plain(pairs, sets, percent, cand, t)
+
+    monkeypatch.setattr(minhash, "_linked", counting)
+    rows = template_documents(1200)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, exact=exact).collect()}
+    slots = np.array([[int(w.split("v")[1]) for w in t.split() if w.startswith("s")] for _, t in rows])
+    near = (slots[:, None, :] == slots[None, :, :]).sum(2) >= 6  # 92 of 104 shingles are common if two slots differ, 89 of 107 if three do
+    label = np.arange(len(rows))
+    while True:
+        low = np.where(near, label[None, :], len(rows)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    assert [got[i] for i in range(len(rows))] == label.tolist() and len(set(label.tolist())) < len(rows)
+    assert tried[-1] < 12 * len(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 6)), min_size=1, max_size=9), st.data())
+def test_linked_sets_share_a_key(tokens, data):
+    """Whatever the weights: two sets over the threshold meet in a list of the lower of their tops, with room there."""
+    names, often = np.arange(1, len(tokens) + 1, dtype=np.uint64), np.array([o for o, _ in tokens])
+    weights = np.array([w for _, w in tokens])
+    pick = [data.draw(st.lists(st.booleans(), min_size=len(tokens), max_size=len(tokens))) for _ in "ab"]
+    own = [data.draw(st.integers(0, 3)) for _ in "ab"]
+    sides = []
+    for chosen, alone in zip(pick, own, strict=True):
+        at = np.array([i for i, c in enumerate(chosen) if c], int)
+        at = at[np.lexsort((names[at], often[at]))]
+        n = int(weights[at].sum()) + alone
+        sides.append((n, *minhash.rare_keys(names[at], often[at], weights[at], n, 80)) if len(at) else (n, 0, []))
+    common = sum(int(w) for w, a, b in zip(weights, *pick, strict=True) if a and b)
+    (n, top, levels), (m, top2, levels2) = sides
+    if common and 100 * common >= 80 * (n + m - common):
+        level = min(top, top2)
+        (_, k1, w1, r1), (_, k2, w2, r2) = levels[level - 1], levels2[level - 1]
+        assert any(a == b and 180 * (min(w, v) + min(r, q)) >= 80 * (n + m) for a, w, r in zip(k1, w1, r1, strict=True) for b, v, q in zip(k2, w2, r2, strict=True))
+
+
 def test_large_groups_make_no_pairs(spark):
     """Copies and near copies of one text: what is compared stays near the number of documents."""
     base = [f"t{i}" for i in range(120)]
