@@ -50,6 +50,71 @@ def test_records_of_each_file(spark, tmp_path):
     assert got == [{"a": 1}, {"a": 2}, {"a": 3}, {"a": 4, "b": [1]}, {"a": 5}, {"a": 6}, {"a": 7}, {"a": 8}]
 
 
+def plain_records(text):
+    """One file as Python takes it: a list, an object, or lines."""
+    try:
+        whole = json.loads(text)
+        return whole if isinstance(whole, list) else [whole] if isinstance(whole, dict) else [whole]
+    except ValueError:
+        out = []
+        for line in text.split("\n"):
+            try:
+                out.append(json.loads(line))
+            except ValueError:
+                pass
+        return out
+
+
+ODD_FILES = [
+    '{"a": 1, "a": 2}\n{"b": NaN}\n{"c": -Infinity}\n{"d": [{"x": 1, "x": 2}]}\n7\n"text"\nnull\n',
+    '[{"a": 1, "a": 2}, {"b": NaN}, 5, "x", [1, {"y": 2}], null]',
+    '[\n{"t": "a } b ] c { \\" } , [ \\\\"},\n{"t": "}"}, {"u": {"v": [{}, {"w": "\\\\"}]}}\n]\n',
+    "[]", "[1, 2, 3]", '[[1, 2], [{"x": 1}]]', '["}", "]", {"a": "[{"}]', '{\n"a": {"b": "}"}\n}', '{"a": "}{"}', '{\n"a": 1}  ',
+    '{"open": \n{"a": 1}\n{"a": 2}\n', '[{"a": 1},\n{"a": 2}\n', '[{"a": 1}\n{"a": 2}]\n', '[{"a": 1},,{"a": 2}]', '[{"a": 1}, ]', '[{"a": 1}] x', '[,{"a": 1}]', '{"a": 1\n}\n{"b": 2}\n', '[{"a": "\\u00e9\\ud83d é🙂 }"}]',
+]
+
+
+@pytest.mark.parametrize("split", [None, "60"])
+def test_records_as_python_takes_them(spark, tmp_path, split):
+    """Repeated keys, NaN, items of any kind, braces in strings; whole files or splits of a few bytes."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for i, text in enumerate(ODD_FILES):
+        (tmp_path / f"{i:02}.json").write_text(text)
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        key = lambda x: json.dumps(x, sort_keys=True)
+        got = [json.loads(r[0]) for r in readers.read_records(spark, f"file://{tmp_path}", any_value=True).collect()]
+        want = [x for text in ODD_FILES for x in plain_records(text)]
+        assert sorted(map(key, got)) == sorted(map(key, want))
+        some = [json.loads(r[0]) for r in readers.read_records(spark, f"file://{tmp_path}").collect()]
+        assert sorted(map(key, some)) == sorted(key(x) for x in want if isinstance(x, dict))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_large_array_is_many_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    text = "[" + ",\n ".join(json.dumps({"id": i, "t": "} " * (i % 7), "in": {"x": [i]}}) for i in range(5000)) + "]"
+    (tmp_path / "a.json").write_text(text)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(text) // 10))
+        got = readers.read_records(spark, f"file://{tmp_path}/a.json")
+        assert sorted(json.loads(r[0])["id"] for r in got.collect()) == list(range(5000))
+        cuts = readers._cut(spark, [f"file://{tmp_path}/a.json"])
+        assert cuts.select(F.size("values").alias("n")).agg(F.max("n")).first()[0] == 1 and cuts.count() == 5001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_config(tmp_path):
+    """The first file that there is; none gives no settings."""
+    (tmp_path / "b.yaml").write_text("model: {depth: 6}\npaths: [x, y]\n")
+    (tmp_path / "empty.yaml").write_text("")
+    assert readers.config(str(tmp_path / "a.yaml"), str(tmp_path / "b.yaml")) == {"model": {"depth": 6}, "paths": ["x", "y"]}
+    assert readers.config(str(tmp_path / "a.yaml")) == {} and readers.config(str(tmp_path / "empty.yaml")) == {} and readers.config() == {}
+
+
 def test_late_rows_find_their_neighbours(spark, tmp_path):
     rows = [(1, 1, "2024-01-01 00:00:00", 1.0), (2, 1, "2024-01-01 00:03:00", 2.0), (3, 1, "2024-01-01 00:14:00", None), (4, 1, "2024-01-01 00:09:00", 8.0), (5, 1, "2024-01-01 00:14:00", 16.0)]
     df = spark.createDataFrame(rows, "txn_id long, account_id long, t string, amount double").withColumn("ts", F.to_timestamp("t")).drop("t")
