@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweft.plans import evaluation, files, learning, relational, risk, textual, windows
+from riskweft.plans import evaluation, files, learning, relational, risk, temporal, textual, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, tuple[Query, str | None]] = {}
-for module in (relational, windows, risk, evaluation, textual, files, learning):
+for module in (relational, windows, temporal, risk, evaluation, textual, files, learning):
     ALL.update(module.QUERIES)
 
 
