@@ -49,6 +49,8 @@ M, FIRST = 64, 32
 SLACK = 4.75
 #: A token that more documents have is frequent; tokens of a list's name, at most; names of one document, about.
 LIST, LEVELS, POSTS = 16, 4, 1024
+#: Rows that a task gives at once, about.
+ROWS_OUT = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -203,7 +205,7 @@ def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, columns = [], [[], [], [], [], []]
+            own, rows, columns, made = batch.select(["id", "n", "comp", "central"]), [], [[], [], [], [], []], 0
             for i, (n, found) in enumerate(zip(batch.column("n").to_pylist(), batch.column("found"), strict=True)):
                 often, names = (found.values.field(x).to_numpy(zero_copy_only=False) for x in ("often", "token"))
                 names, at, weights = np.unique(names.view(np.uint64), return_index=True, return_counts=True)
@@ -211,12 +213,13 @@ def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch
                 top, levels = rare_keys(names[order], often[at][order], weights[order], n, percent)
                 for level, key, weight, rest in levels:
                     rows.append(np.full(len(key), i))
+                    made += len(key)
                     for column, values in zip(columns, (key, np.full(len(key), level), np.full(len(key), top), weight, rest), strict=True):
                         column.append(values)
-            if rows:
-                own = batch.take(pa.array(np.concatenate(rows))).select(["id", "n", "comp", "central"])
-                made = [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*made, *own.columns], ["key", "level", "top", "weight", "rest", "id", "n", "comp", "central"])
+                if made >= ROWS_OUT or rows and i == batch.num_rows - 1:
+                    arrays = [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*arrays, *own.take(pa.array(np.concatenate(rows))).columns], ["key", "level", "top", "weight", "rest", "id", "n", "comp", "central"])
+                    rows, columns, made = [], [[], [], [], [], []], 0
 
     some = sets.join(left.select("id"), "id", "left_semi")
     each = some.select("id", F.explode("set").alias("shingle"))
