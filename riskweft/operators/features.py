@@ -1,6 +1,8 @@
 """The 36 leakage-safe features, on one frame without self-joins.
 
 History windows go by user, velocity and location windows by account within user, so one shuffle by user serves all.
+That keeps a user's rows in one task. With `segments` in the configuration a user's history is cut into segments instead:
+the same values from more passes, for tables in which a few users have a large share of all rows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
 from riskweft.functions import windows as W
+from riskweft.operators import temporal as T
 from riskweft.schema import tables
 
 
@@ -23,6 +26,7 @@ class FeatureConfig:
     high_value_threshold: float = 1000.0
     high_value_window_seconds: int = 3600
     label_col: str = "label_fraud"
+    segments: bool = False
 
 
 def feature_columns(config: FeatureConfig = FeatureConfig()) -> list[str]:
@@ -93,6 +97,10 @@ def with_history(tx: DataFrame, config: FeatureConfig = FeatureConfig(), partiti
     )
     tx = W.with_prior_distinct(tx, partition, ["ts", "txn_id"], {"prior_unique_merchants": "merchant_id", "prior_unique_devices": "device_id", "prior_unique_locations": "location_id"})
     tx = W.with_prior_distinct(tx, partition, ["txn_id"], {"prior_unique_countries": "tx_country"})
+    return _of_history(tx, config)
+
+
+def _of_history(tx: DataFrame, config: FeatureConfig) -> DataFrame:
     return tx.withColumns(
         {
             "amount_zscore": zscore(F.col("amount"), F.col("prior_mean_amount"), F.col("prior_std_amount")),
@@ -115,6 +123,19 @@ def with_velocity(tx: DataFrame, config: FeatureConfig = FeatureConfig(), partit
     return tx.withColumns(new).drop("__us")
 
 
+def _in_segments(tx: DataFrame, config: FeatureConfig, own: tuple[str, ...], per_account: tuple[str, ...]) -> DataFrame:
+    """What with_history, with_velocity and with_location add, without a task that holds a whole user."""
+    tx = tx.withColumns({"__own": F.struct(*own), "__each": F.struct(*per_account)})  # names without gaps
+    tx = T.with_prior(tx, ["__own"], ["ts", "txn_id"], "amount", distinct={"prior_unique_merchants": "merchant_id", "prior_unique_devices": "device_id", "prior_unique_locations": "location_id"})
+    tx = _of_history(T.with_distinct(tx, ["__own"], ["txn_id"], {"prior_unique_countries": "tx_country"}), config)
+    high, seconds = F.col("amount") > config.high_value_threshold, config.high_value_window_seconds
+    windows = {f"vel_{kind}_{s}s": (s, what) for s in config.velocity_windows_seconds for kind, what in (("count", None), ("amount", "amount"))}
+    windows[name := f"vel_high_value_count_{seconds}s"] = (seconds, high)
+    tx = T.with_trailing(tx, ["__each"], "ts", "txn_id", windows)
+    tx = tx.withColumn(name, F.when(high, F.col(name)).otherwise(0).cast("int"))
+    return _of_location(T.with_previous(tx, ["__each"], ["ts", "txn_id"], _PREVIOUS)).drop("__own", "__each")
+
+
 def device(tx: DataFrame) -> DataFrame:
     count = F.coalesce("device_accounts", F.lit(1)).cast("int")
     return tx.withColumns(
@@ -127,10 +148,17 @@ def device(tx: DataFrame) -> DataFrame:
     )
 
 
+#: What is taken from the account's previous transaction.
+_PREVIOUS = {"__prev_id": "txn_id", "prev_location_id": "location_id", "__prev_country": "tx_country", "__prev_lat": "lat", "__prev_lon": "lon"}
+
+
 def with_location(tx: DataFrame, partition: tuple[str, ...] = ("user_id", "account_id")) -> DataFrame:
     """Adds what changed since the account's previous transaction."""
     w = Window.partitionBy(*partition).orderBy("ts", "txn_id")
-    tx = tx.withColumns({"__prev_id": F.lag("txn_id").over(w), "prev_location_id": F.lag("location_id").over(w), "__prev_country": F.lag("tx_country").over(w), "__prev_lat": F.lag("lat").over(w), "__prev_lon": F.lag("lon").over(w)})
+    return _of_location(tx.withColumns({name: F.lag(c).over(w) for name, c in _PREVIOUS.items()}))
+
+
+def _of_location(tx: DataFrame) -> DataFrame:
     at = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     unknown_or_other = F.col("tx_country").isNull() | F.col("__prev_country").isNull() | (F.col("tx_country") != F.col("__prev_country"))
     return tx.withColumns(
@@ -150,9 +178,12 @@ def build_features(env: Mapping[str, DataFrame], config: FeatureConfig = Feature
     tx, accounts, users, merchants, locations, links = tables(env, "transactions", "accounts", "users", "merchants", "locations", "account_devices")
     frame = with_links(with_merchant(with_place(with_owner(tx, accounts, users), locations), merchants), links)
     frame = frame.withColumns(transactional(config))
-    frame = frame.withColumn("__lone", F.when(F.col("user_id").isNull(), F.col("account_id"))).repartition("user_id", "__lone")
+    frame = frame.withColumn("__lone", F.when(F.col("user_id").isNull(), F.col("account_id")))
     own, per_account = ("user_id", "__lone"), ("user_id", "__lone", "account_id")
-    frame = with_location(with_velocity(with_history(frame, config, own), config, per_account), per_account)
+    if config.segments:
+        frame = _in_segments(frame, config, own, per_account)
+    else:
+        frame = with_location(with_velocity(with_history(frame.repartition(*own), config, own), config, per_account), per_account)
     frame = device(frame)
     kept = ["txn_id", "account_id", "user_id", "ts", "amount", config.label_col, "scenario_tag", "merchant_id", "device_id", "location_id", "tx_country", "prev_location_id", "channel"]
     return frame.select(*[c for c in kept if c in frame.columns], *feature_columns(config))

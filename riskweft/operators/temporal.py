@@ -113,6 +113,14 @@ def with_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount:
     return out.drop("__p")
 
 
+def with_distinct(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """Adds by name the number of distinct values of a column on the rows of the keys that come before in the order."""
+    rows = in_ranges(df, [*keys, *order], "distinct")
+    for name, value in values.items():
+        rows = _with_distinct(rows, keys, order, value, name)
+    return rows.drop("__p")
+
+
 def _with_distinct(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """Adds the number of distinct values on earlier rows; rows have their segment. A value counts in the segment that has it first."""
     seen = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min("__p").alias("__first"))
@@ -130,6 +138,16 @@ def _with_distinct(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
     return out.withColumn(name, (F.coalesce("__before", F.lit(0)) + F.coalesce("__here", F.lit(0))).cast("int")).drop("__before", "__here", "__is_first")
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """Adds by name the columns of the row of the keys that comes just before in the order; null for the first one."""
+    rows = in_ranges(df.withColumn("__own", F.struct(*[F.col(c).alias(n) for n, c in values.items()])), [*keys, *order], "previous")
+    last = rows.groupBy(*keys, "__p").agg(F.max_by("__own", F.struct(*order)).alias("__last"))
+    carried = last.select(*keys, "__p", F.last("__last").over(_earlier(keys)).alias("__carried"))
+    here = F.lag("__own").over(Window.partitionBy(*keys, "__p").orderBy(*order))
+    out = _by_segment(rows.withColumn("__here", here), carried, keys).withColumn("__before", F.coalesce("__here", "__carried"))
+    return out.withColumns({n: F.col("__before")[n] for n in values}).drop("__own", "__here", "__carried", "__before", "__p")
+
+
 def with_trailing(df: DataFrame, keys: Sequence[str], time: str, tie: str, windows: Mapping[str, tuple[int, Column | str | None]]) -> DataFrame:
     """Adds for each name the figure of (seconds, what): rows before this one and less than so many seconds back; counted
     if what is None, counted where what is a condition, summed if it names an amount."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskweft.operators import features as X
 from riskweft.operators import temporal as T
-from riskweft.plans.sql import sql
+from riskweft.plans.sql import FEATURES, sql
+from riskweft.plans.windows import spark_cols, sql_cols
 from riskweft.sources.adapters import environment as env
 from riskweft.sources.adapters import event_transactions as events
 
@@ -47,10 +49,16 @@ def _trailing(s, d):
     return out.select("txn_id", "n_1h", "n_24h", F.round("amount_24h", 2).alias("amount_24h"), "high_24h")
 
 
+def _matrix(s, d):
+    """The features of every transaction, users cut into segments."""
+    return X.build_features(env(s, d), X.FeatureConfig(segments=True)).select("txn_id", *spark_cols(X.feature_columns()))
+
+
 ASOF = """WITH e AS (SELECT user_id, ts AS error_ts, max(event_id) AS error_id, arg_max(value, event_id) AS error_amount FROM events WHERE event_type = 'error' GROUP BY ALL)
 SELECT event_id AS txn_id, coalesce(error_id, -1) AS error_id, round(coalesce(error_amount, 0), 4) AS error_amount FROM events x ASOF LEFT JOIN e ON x.user_id = e.user_id AND x.ts """
 
 QUERIES = {
+    "feature_matrix_segments": (_matrix, sql(f"SELECT txn_id, {sql_cols(X.feature_columns())} FROM f", FEATURES)),
     "asof_last_error": (_asof, ASOF + ">= error_ts"),
     "asof_strictly_before": (lambda s, d: _asof(s, d, exact=False), ASOF + "> error_ts"),
     "asof_within_a_day": (

@@ -87,6 +87,16 @@ def test_deviation_of_far_amounts(spark):
     assert got["prior_std_amount"] == pytest.approx((sum((i % 7 - mean) ** 2 for i in range(2999)) / 2999) ** 0.5, rel=1e-9) and got["prior_total_amount"] == sum(x)
 
 
+def test_previous_row(spark):
+    rows, df = made(spark, 500, 4, 8)
+    got = {r["id"]: (r["p"], r["pv"]) for r in T.with_previous(df, ["k"], ["ts", "id"], {"p": "id", "pv": "v"}).collect()}
+    key = lambda x: (x[2] is not None, x[2] or BEGIN, x[0])
+    for i, k, *rest in rows:
+        before = [x for x in rows if x[1] == k and key(x) < key((i, k, *rest))]
+        last = max(before, key=key, default=None)
+        assert got[i] == ((last[0], last[4]) if last else (None, None))
+
+
 def test_trailing_equals_windows(spark):
     _, df = made(spark, 700, 4, 7)
     df = df.where("ts IS NOT NULL AND k IS NOT NULL AND amount IS NOT NULL")
