@@ -136,12 +136,12 @@ def _constants(rows, *names):
     return "SELECT * FROM (VALUES " + ", ".join(map(str, rows)) + f") t({', '.join(names)})"
 
 
-def stream(s, d):
-    """Events as a stream of files."""
+def stream(s, d, *more):
+    """Events as a stream of files, with more of their columns."""
     schema = s.read.parquet(f"{d}/events.parquet").schema
     at = d.rstrip("/").rsplit("/", 1)
     raw = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{at[0]}/{at[1]}/events.parquet*")
-    return raw.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("amount"))
+    return raw.select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("amount"), *more)
 
 
 def drain(s, df, label, mode="append"):
@@ -182,6 +182,14 @@ def _stream_sessions(s, d):
     return drain_totals(s, velocity.sessions(stream(s, d), "1 hour"), "sessions").select("account_id", "n", F.round("total", 4).alias("total"))
 
 
+def _stream_joined(s, d):
+    """Purchases with the account's views of the ten hours before."""
+    raw = stream(s, d, "event_type")
+    bought = raw.where("event_type = 'purchase'").select("account_id", F.col("txn_id").alias("purchase_id"), F.col("ts").alias("purchase_ts"))
+    came = stream(s, d, "event_type").where("event_type = 'view'").select("account_id", F.col("txn_id").alias("login_id"), F.col("ts").alias("login_ts"))
+    return drain(s, velocity.joined_within(bought, came, ["account_id"], "purchase_ts", "login_ts", 36_000).select("purchase_id", "login_id"), "joined")
+
+
 VEL = """SELECT x.event_id AS txn_id, count(y.event_id)::INTEGER AS vel_count, round(coalesce(sum(y.value), 0), 4) AS vel_amount FROM events x
 LEFT JOIN events y ON x.user_id = y.user_id AND (y.ts < x.ts OR (y.ts = x.ts AND y.event_id < x.event_id)) AND y.ts > x.ts - INTERVAL 3600 SECOND GROUP BY x.event_id"""
 SESSIONS = """SELECT account_id, count(*) AS n, round(sum(value), 4) AS total FROM (
@@ -219,6 +227,10 @@ QUERIES = {
     "synthetic_flat_table": (_flat, _constants([(0, 9828), (1, 172)], '"Class"', "n")),
     "stream_velocity": (_stream_velocity, VEL),
     "stream_first_seen": (_stream_first, "SELECT event_id AS txn_id, user_id AS account_id FROM events"),
+    "stream_joined_within": (
+        _stream_joined,
+        "SELECT x.event_id AS purchase_id, y.event_id AS login_id FROM events x JOIN events y ON x.user_id = y.user_id AND y.ts BETWEEN x.ts - INTERVAL 10 HOUR AND x.ts WHERE x.event_type = 'purchase' AND y.event_type = 'view'",
+    ),
     "stream_windows": (_stream_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id AS account_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "stream_sessions": (_stream_sessions, SESSIONS),
 }

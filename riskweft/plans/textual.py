@@ -155,7 +155,7 @@ QUERIES = {
         lambda s, d: env(s, d)["transactions"].select("txn_id", S.mapped("channel", {"online": "REMOTE", "mobile": "REMOTE", "atm": "CASH"}, F.lit("STORE")).alias("kind"), instruct.fraud_type(F.col("scenario_tag")).alias("fraud_type")),
         sql("SELECT txn_id, CASE channel WHEN 'online' THEN 'REMOTE' WHEN 'mobile' THEN 'REMOTE' WHEN 'atm' THEN 'CASH' ELSE 'STORE' END AS kind, upper(scenario_tag) AS fraud_type FROM tx"),
     ),
-    "chat_to_text": (_chat(128), "SELECT conv_id, substr(string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn), 1, 512) AS text FROM conversations GROUP BY conv_id"),
+    "chat_to_text": (_chat(None), "SELECT conv_id, string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
     "chat_to_whole_text": (_chat(None), "SELECT conv_id, string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
     "prompt_template": (_prompt, "SELECT event_id, '" + text.PROMPT[0] + "' || props || '" + text.PROMPT[1] + "' AS prompt FROM events"),
     "latest_checkpoint": (

@@ -2,55 +2,91 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from riskweft.session import ship
 
 OUTPUT = "txn_id long, account_id long, ts timestamp, vel_count int, vel_amount double"
-STATE = "micros array<long>, amounts array<double>"
 
+#: Fixed value: the state store that keeps single entries, which processors with timers need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def velocity(stream: DataFrame, seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:
-    """Trailing count and sum per account, as each transaction comes; rows of a batch count in order of (ts, txn_id).
 
-    The state of an account is what lies within the window and the lateness before its latest row, so a late row finds
-    its neighbours; idle accounts are dropped once the watermark has passed them. A null amount counts as 0 in the sum.
-    stream has txn_id, account_id, ts, amount.
-    """
-    ship(stream.sparkSession)
-    window, late = seconds * 1_000_000, int(pd.Timedelta(lateness) / pd.Timedelta(microseconds=1))
-
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, before = (np.array(x, k) for x, k in zip(state.get if state.exists else ([], []), (np.int64, np.float64), strict=True))
-        rows = pd.concat(list(batches)).sort_values(["ts", "txn_id"])
+class Trailing(StatefulProcessor):
+    """State of an account: its rows by buckets of time as wide as the window. A batch reads the buckets that its rows look
+    back on and writes those that they fall in; a timer removes a bucket once no row that may come can look back on it."""
+
+    def __init__(self, seconds: int):
+        self.window = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "bucket long", "micros array<long>, amounts array<double>")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values(["ts", "txn_id"])
         now = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)
         amounts = rows["amount"].fillna(0.0).to_numpy(float)
+        into = np.unique(now // self.window).tolist()
+        held = {b: self.buckets.getValue((b,)) for b in sorted({x for b in into for x in (b - 1, b)}) if self.buckets.containsKey((b,))}
+        seen, before = (np.concatenate([np.zeros(0, k), *[np.array(v[i], k) for v in held.values()]]) for i, k in ((0, np.int64), (1, np.float64)))
         # rows of earlier batches are sorted by time, and so are these: all that is asked for lies between two places
         counts, sums = np.zeros(len(now), np.int64), np.zeros(len(now))
         for times, values, end in ((seen, before, np.searchsorted(seen, now, "right")), (now, amounts, np.arange(len(now)))):
-            start = np.minimum(np.searchsorted(times, now - window, "right"), end)
+            start = np.minimum(np.searchsorted(times, now - self.window, "right"), end)
             total = np.concatenate([[0.0], np.cumsum(values)])
             counts += end - start
             sums += total[end] - total[start]
-        seen, before = np.concatenate([seen, now]), np.concatenate([before, amounts])
-        kept = np.argsort(seen, kind="stable")
-        kept = kept[seen[kept] > seen.max() - window - late]
-        state.update((seen[kept].tolist(), before[kept].tolist()))
-        state.setTimeoutTimestamp(max(int(seen.max()) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"txn_id": rows["txn_id"], "account_id": key[0], "ts": rows["ts"], "vel_count": counts, "vel_amount": sums})
-
-    marked = stream.select("txn_id", "account_id", "ts", "amount").withWatermark("ts", lateness)
-    return marked.groupBy("account_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        for b in into:
+            at, own = np.flatnonzero(now // self.window == b), held.get(b, ([], []))
+            times, values = np.concatenate([np.array(own[0], np.int64), now[at]]), np.concatenate([np.array(own[1], float), amounts[at]])
+            order = np.argsort(times, kind="stable")
+            self.buckets.updateValue((b,), (times[order].tolist(), values[order].tolist()))
+            self.handle.registerTimer(max((b + 2) * self.window // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"txn_id": rows["txn_id"], "account_id": key[0], "ts": rows["ts"], "vel_count": counts.astype(np.int32), "vel_amount": sums})
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.getCurrentWatermarkInMs()
+        for (b,) in list(self.buckets.keys()):
+            if (b + 2) * self.window // 1000 <= past:
+                self.buckets.removeKey((b,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def velocity(stream: DataFrame, seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:
+    """Trailing count and sum per account, as each transaction comes; rows of a batch count in order of (ts, txn_id).
+
+    A row that is late, but not behind the watermark, finds its neighbours. Rows without a time are left out. A null
+    amount counts as 0 in the sum. stream has txn_id, account_id, ts, amount. The session is set to the state store that
+    timers need.
+    """
+    ship(stream.sparkSession)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    marked = stream.select("txn_id", "account_id", "ts", "amount").where("ts IS NOT NULL").withWatermark("ts", lateness)
+    return marked.groupBy("account_id").transformWithStateInPandas(Trailing(seconds), OUTPUT, "append", "EventTime")
+
+
+def joined_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, before: int, after: int = 0, lateness: str = "10 minutes") -> DataFrame:
+    """Pairs of rows of two streams with equal keys, the right one from `before` seconds before the left one to `after` after it.
+
+    Both streams have a watermark, so rows of either are kept only while a partner may still come. Columns of the two
+    must differ in name, but for the keys.
+    """
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withWatermark(right_time, lateness)
+    seconds = lambda n: F.expr(f"INTERVAL {n} SECOND")
+    same = [F.col(k) == F.col(f"__r_{k}") for k in keys]
+    near = [F.col(right_time) >= F.col(left_time) - seconds(before), F.col(right_time) <= F.col(left_time) + seconds(after)]
+    return left.withWatermark(left_time, lateness).join(right, [*same, *near]).drop(*[f"__r_{k}" for k in keys])
 
 
 def windowed_totals(stream: DataFrame, width: str = "1 hour", slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:

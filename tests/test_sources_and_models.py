@@ -404,3 +404,61 @@ def test_stream_over_several_batches(spark, tmp_path):
     for i, k, _, _ in rows:
         near = [a for j, q, _, a in rows if q == k and i - 10 < j < i]
         assert got[i] == (len(near), sum(near))
+
+
+def put(spark, tmp_path, name, rows, schema="txn_id long, account_id long, t string, amount double"):
+    """One more file of a stream."""
+    spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("t")).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+
+def run_stream(spark, df, tmp_path, name):
+    """What a stream gives from here on, from its checkpoint."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/{name}/out").option("checkpointLocation", f"{tmp_path}/{name}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}/out")
+
+
+def test_velocity_restarts_and_expires(spark, tmp_path):
+    """A restart goes on from the checkpoint, a late row within the lateness finds its neighbours, one behind the watermark
+    is left out, and buckets that nothing can look back on any more are gone."""
+    schema = "txn_id long, account_id long, amount double, ts timestamp"
+    started = lambda: velocity.velocity(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 600)
+    held = lambda: {(r["key"]["account_id"], r["user_map_key"]["bucket"]) for r in spark.read.format("statestore").option("path", f"{tmp_path}/v/state").option("stateVarName", "buckets").load().selectExpr("key", "user_map_key").distinct().collect()}
+    put(spark, tmp_path, "in", [(1, 1, "2024-01-01 00:00:00", 1.0), (2, 1, "2024-01-01 00:05:00", 2.0), (3, 2, "2024-01-01 00:05:00", 4.0)])
+    run_stream(spark, started(), tmp_path, "v")
+    first = held()
+    assert len(first) == 2
+    put(spark, tmp_path, "in", [(4, 1, "2024-01-01 00:09:00", 8.0)])
+    put(spark, tmp_path, "in", [(5, 1, "2024-01-01 00:04:00", 16.0)])  # late, not behind the watermark
+    got = {r["txn_id"]: (r["vel_count"], r["vel_amount"]) for r in run_stream(spark, started(), tmp_path, "v").collect()}
+    assert got == {1: (0, 0.0), 2: (1, 1.0), 3: (0, 0.0), 4: (2, 3.0), 5: (1, 1.0)}
+    put(spark, tmp_path, "in", [(6, 1, "2024-01-01 05:00:00", 1.0)])
+    run_stream(spark, started(), tmp_path, "v")
+    put(spark, tmp_path, "in", [(7, 1, "2024-01-01 00:06:00", 1.0), (8, 1, "2024-01-01 05:01:00", 1.0)])  # the first is behind the watermark
+    got = {r["txn_id"]: (r["vel_count"], r["vel_amount"]) for r in run_stream(spark, started(), tmp_path, "v").collect()}
+    assert len(got) == 7 and got[6] == (0, 0.0) and got[8] == (1, 1.0)
+    assert len(held()) == 1 and not held() & first  # account 2 and the old buckets of account 1
+
+
+def test_streams_joined_within(spark, tmp_path):
+    """Pairs come whichever side comes first, also late ones; a row behind the watermark makes none."""
+    schema = "txn_id long, account_id long, amount double, ts timestamp"
+    read = lambda name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+    def started():
+        pay = read("pay").select("account_id", F.col("txn_id").alias("pay_id"), F.col("ts").alias("pay_ts"))
+        login = read("login").select("account_id", F.col("txn_id").alias("login_id"), F.col("ts").alias("login_ts"))
+        return velocity.joined_within(pay, login, ["account_id"], "pay_ts", "login_ts", 600, 60).select("pay_id", "login_id")
+
+    put(spark, tmp_path, "pay", [(1, 1, "2024-01-01 00:10:00", 1.0), (2, 2, "2024-01-01 00:10:00", 1.0)])
+    put(spark, tmp_path, "login", [(11, 1, "2024-01-01 00:00:00", 1.0), (12, 1, "2024-01-01 00:11:00", 1.0), (13, 1, "2024-01-01 00:12:00", 1.0), (14, 3, "2024-01-01 00:10:00", 1.0)])
+    pairs = lambda: sorted(tuple(r) for r in run_stream(spark, started(), tmp_path, "j").collect())
+    assert pairs() == [(1, 11), (1, 12)]
+    put(spark, tmp_path, "login", [(15, 2, "2024-01-01 00:05:00", 1.0)])  # late, within the lateness
+    put(spark, tmp_path, "pay", [(3, 1, "2024-01-01 00:12:30", 1.0)])
+    assert pairs() == [(1, 11), (1, 12), (2, 15), (3, 12), (3, 13)]
+    put(spark, tmp_path, "pay", [(4, 9, "2024-01-01 09:00:00", 1.0)])
+    put(spark, tmp_path, "login", [(16, 9, "2024-01-01 09:00:00", 1.0)])
+    pairs()
+    put(spark, tmp_path, "login", [(17, 1, "2024-01-01 00:10:00", 1.0)])  # behind both watermarks
+    assert pairs() == [(1, 11), (1, 12), (2, 15), (3, 12), (3, 13), (4, 16)]
