@@ -119,21 +119,26 @@ def _dataset(s, d):
 
 
 def _episodes(s, d):
-    tx = generator.generate(s)["transactions"]
-    return tx.groupBy("scenario_tag").agg(F.count_distinct("scenario_extra").alias("episodes"), F.count_distinct(F.when(F.col("label_fraud") == 1, F.col("scenario_extra"))).alias("labelled"), F.min("currency").alias("currency"), F.min("status").alias("status"))
+    """An environment as large as the given one."""
+    tx = generator.generate(s, generator.EnvironmentConfig().like(env(s, d)))["transactions"]
+    background = F.count(F.when(F.col("scenario_tag") == "background", 1)).alias("payments")
+    return tx.groupBy("scenario_tag").agg(F.count_distinct("scenario_extra").alias("episodes"), F.count_distinct(F.when(F.col("label_fraud") == 1, F.col("scenario_extra"))).alias("labelled"), background, F.min("currency").alias("currency"), F.min("status").alias("status"))
 
 
 def _hard(s, d):
-    tx = generator.generate(s, generator.EnvironmentConfig.hard_overlap())["transactions"]
+    tx = generator.generate(s, generator.EnvironmentConfig.hard_overlap().like(env(s, d)))["transactions"]
     return tx.groupBy("scenario_tag").agg(F.count("*").alias("n"), F.sum("label_fraud").alias("labelled"))
 
 
 def _flat(s, d):
-    return generator.flat_table(s).groupBy("Class").agg(F.count("*").alias("n"))
+    """As many rows as there are line items."""
+    return generator.flat_table(s, s.read.parquet(f"{d}/lineitem.parquet").count()).groupBy("Class").agg(F.count("*").alias("n"))
 
 
-def _constants(rows, *names):
-    return "SELECT * FROM (VALUES " + ", ".join(map(str, rows)) + f") t({', '.join(names)})"
+def _scenarios(names, background, each):
+    """SQL rows of the background and of each scenario, whose episodes grow with the payments."""
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS scenario_tag, {n} * times AS e FROM t" for k, n in names.items())
+    return sql(f"SELECT 'background' AS scenario_tag, {background} FROM tx UNION ALL SELECT scenario_tag, {each} FROM ({rows})", f", t AS (SELECT greatest(1, count(*) // {generator.EPISODES_PER}) AS times FROM tx)")
 
 
 def stream(s, d, *more):
@@ -222,9 +227,9 @@ QUERIES = {
             FROM (SELECT account_id, list(txn_id ORDER BY h, txn_id) AS ids, list([epoch(h)::BIGINT] ORDER BY h, txn_id) AS hs FROM (SELECT txn_id, account_id, date_trunc('hour', ts) AS h FROM tx) GROUP BY account_id)"""),
     ),
     "instruction_dataset": (_dataset, None),
-    "synthetic_environment": (_episodes, _constants([("background", 1, 0, "USD", "settled"), *((k, n, n, "USD", "settled") for k, n in generator.SCENARIOS.items())], "scenario_tag", "episodes", "labelled", "currency", "status")),
-    "synthetic_hard_overlap": (_hard, _constants([("background", 9000, 0), *((k, 20, 20) for k in generator.HARD_SCENARIOS)], "scenario_tag", "n", "labelled")),
-    "synthetic_flat_table": (_flat, _constants([(0, 9828), (1, 172)], '"Class"', "n")),
+    "synthetic_environment": (_episodes, _scenarios(generator.SCENARIOS, "1 AS episodes, 0 AS labelled, count(*) AS payments, 'USD' AS currency, 'settled' AS status", "e, e, 0, 'USD', 'settled'")),
+    "synthetic_hard_overlap": (_hard, _scenarios(dict.fromkeys(generator.HARD_SCENARIOS, generator.HARD_EPISODES), "count(*) AS n, 0 AS labelled", "e, e")),
+    "synthetic_flat_table": (_flat, "SELECT unnest([0, 1]) AS \"Class\", unnest([n - fraud, fraud]) AS n FROM (SELECT count(*) AS n, greatest(2, floor(count(*) * 0.0172::DOUBLE)::BIGINT) AS fraud FROM lineitem)"),
     "stream_velocity": (_stream_velocity, VEL),
     "stream_first_seen": (_stream_first, "SELECT event_id AS txn_id, user_id AS account_id FROM events"),
     "stream_joined_within": (

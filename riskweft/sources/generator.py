@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,6 +52,9 @@ HARD_SCENARIOS = {
 }
 HARD_EPISODES = 20
 
+#: Payments that one set of episodes goes with.
+EPISODES_PER = 5000
+
 
 @dataclass(frozen=True)
 class EnvironmentConfig:
@@ -75,6 +78,12 @@ class EnvironmentConfig:
     def hard_overlap(cls) -> EnvironmentConfig:
         return cls(transactions=9000, scenarios=dict.fromkeys(HARD_SCENARIOS, HARD_EPISODES), hard=True)
 
+    def like(self, env: Mapping[str, DataFrame]) -> EnvironmentConfig:
+        """With as many rows of each table as the given ones have, and episodes in proportion to the payments."""
+        sizes = {name: max(1, env[name].count()) for name in ("users", "accounts", "devices", "merchants", "locations", "transactions")}
+        times = max(1, sizes["transactions"] // EPISODES_PER)
+        return replace(self, **sizes | {"locations": max(len(COUNTRIES), sizes["locations"])}, scenarios={k: n * times for k, n in self.scenarios.items()})
+
 
 class Draws:
     """Uniform, normal and integer draws that are functions of (seed, stream, row)."""

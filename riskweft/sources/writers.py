@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweft.scratch import file_system, remove
 from riskweft.sources.readers import exists
 
 
@@ -62,14 +63,24 @@ def save_dataset(df: DataFrame, folder: str, single: bool = False) -> None:
     """JSON lines under split=train|val|test; columns that begin with _ are left out. single: one file, train.jsonl and so
     on, in the order of the rows' JSON, for each split (a small dataset)."""
     if single:
-        lines = df.select(F.col("split"), F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")])).alias("line"))
+        lines = df.select(F.col("split"), F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")])).alias("value"))
         for name in [r["split"] for r in lines.select("split").distinct().collect()]:  # a row a split
-            text = "".join(f"{r['line']}\n" for r in lines.where(F.col("split") == name).orderBy("line").toLocalIterator())
-            write_text(df.sparkSession, f"{folder}/{name}.jsonl", text)
+            _one_file(lines.where(F.col("split") == name).select("value").orderBy("value").coalesce(1), f"{folder}/{name}.jsonl")
         return
     df.drop(*[c for c in df.columns if c.startswith("_")]).write.mode("overwrite").partitionBy("split").json(folder)
 
 
+def _one_file(lines: DataFrame, path: str) -> None:
+    """The lines in a single file: written by one task, and moved to its place."""
+    fs, at = file_system(lines.sparkSession, path)
+    beside = f"{path}.parts"
+    lines.write.mode("overwrite").text(beside)
+    parts = [s.getPath() for s in fs.listStatus(file_system(lines.sparkSession, beside)[1]) if s.getPath().getName().startswith("part-")]
+    fs.delete(at, False)
+    fs.rename(parts[0], at)
+    remove(lines.sparkSession, beside)
+
+
 def write_metrics(row: DataFrame, path: str) -> dict[str, Any]:
     """A one-row frame as JSON."""
     found = row.first().asDict()
