@@ -139,13 +139,14 @@ class LineRuns:
 def repeated_lines(lines: DataFrame, scratch: Scratch, min_docs: int) -> DataFrame:
     """(h1, h2, last_doc) of the lines that min_docs documents or more hold, batch by batch through the runs."""
     runs = LineRuns(lines.sparkSession, scratch)
-    for b in range(BATCHES):
-        runs.add(lines.where(F.col("__batch") == b))
-        runs.compact()
-    with _sorted_scans(lines.sparkSession):
-        often = scratch.keep(runs.counted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "often")
-    runs.close()
-    return often
+    try:
+        for b in range(BATCHES):
+            runs.add(lines.where(F.col("__batch") == b))
+            runs.compact()
+        with _sorted_scans(lines.sparkSession):
+            return scratch.keep(runs.counted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "often")
+    finally:
+        runs.close()  # so a failed call leaves no tables in the catalog
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:

@@ -4,8 +4,8 @@ Each document gets an exponential key whose rate is its quality weight. A source
 documents as fit its target, then documents in order of their keys until the prefix sum of their sizes reaches the rest
 of the budget. Keys come from a hash of the id, so reruns agree.
 
-Edge cases: a null text has size 0; null is a source of its own, ordered last; rows equal in id, source and text are
-taken together; sources without words get no words; an empty table gives an empty one; other columns pass through
+Edge cases: a null text has size 0, and a very long one counts whole; of equal keys the smaller id comes first, then the
+smaller hash of the row; null is a source of its own, ordered last; rows equal in id, source and text are taken together; sources without words get no words; an empty table gives an empty one; other columns pass through
 mix_documents and are not read by mix_plan.
 """
 

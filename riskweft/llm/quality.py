@@ -4,7 +4,8 @@ Per document: word, symbol, repeated-line and repeated-window counts. Across doc
 distinct documents are counted per host and line, documents that would lose most of their words with the lines above the
 limit are rejected, and `cleaned` gives the others without these lines.
 
-Edge cases: a null text has no words and fails the base rules; a null host is a host of its own; rows equal in id, host
+Edge cases: a null text has no words and fails the base rules; a very long text is taken whole, its windows as hashes in
+arrays of its own row; a null host is a host of its own; rows equal in id, host
 and text count as one document and get the same verdict; an empty table gives an empty one; other columns are not read.
 """
 
