@@ -2,7 +2,8 @@
 
 All levels come from one pass: a row is expanded to the sets before the partial aggregation, so what is shuffled is a row
 for each group and task, whatever the number of levels. `level` tells the sets apart, also where a value is itself null: it
-is the grouping id, a bit for each column in their order, set where the column is summed over.
+is the grouping id, a bit for each column in their order, set where the column is summed over. An empty table has no
+groups on any level, not even a total.
 """
 
 from __future__ import annotations
