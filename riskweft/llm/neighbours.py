@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -121,13 +122,23 @@ class Forest:
         self.children = np.concatenate([np.where(t.children >= 0, t.children + n, t.children - m) for t, n, m in zip(trees, nodes, leaves, strict=False)])
         self.roots = [int(n) if t.root >= 0 else -1 - int(m) for t, n, m in zip(trees, nodes, leaves, strict=False)]
         self.members = [rows for t in trees for rows in t.members]
-        self.rows, self.pairs = [m.tolist() for m in self.members], self.children.tolist()
         self.levels, level = [], np.array([r for r in self.roots if r >= 0], np.int64)
         while len(level):
             self.levels.append(level)
             level = self.children[level].ravel()
             level = level[level >= 0]
 
+    def __reduce__(self):
+        return Forest, (self.trees,)  # the rest follows from these
+
+    @cached_property
+    def rows(self) -> list[list[int]]:
+        return [m.tolist() for m in self.members]
+
+    @cached_property
+    def pairs(self) -> list[list[int]]:
+        return self.children.tolist()
+
     def leaves(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row in each tree."""
         return np.column_stack([t.leaves(rows) + n for t, n in zip(self.trees, self.first, strict=False)]).astype(np.int32)
