@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweft.plans import cubes, evaluation, files, incremental, learning, relational, risk, temporal, textual, windows
+from riskweft.plans import catalog, cubes, evaluation, files, incremental, learning, relational, risk, temporal, textual, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, tuple[Query, str | None]] = {}
-for module in (relational, cubes, windows, temporal, incremental, risk, evaluation, textual, files, learning):
+for module in (relational, cubes, windows, temporal, incremental, risk, evaluation, textual, files, learning, catalog):
     ALL.update(module.QUERIES)
 
 
