@@ -48,7 +48,7 @@ M, FIRST = 64, 32
 #: Standard deviations below the mean agreement at the threshold at which pairs are let go.
 SLACK = 4.75
 #: A token that more documents have is frequent; tokens of a list's name, at most; names of one document, about.
-LIST, LEVELS, POSTS = 16, 4, 1024
+LIST, LEVELS, POSTS = 16, 4, 128
 #: Rows that a task gives at once, about.
 ROWS_OUT = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -201,7 +201,7 @@ def rare_keys(tokens: np.ndarray, often: np.ndarray, weights: np.ndarray, n: int
 
 def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(key, level, top, id, n, comp, main, weight, rest): the classes of `left` posted under the rare tokens of their full
-    sets, in the lists that hold several components. Shingles that one of these classes alone has come before all tokens."""
+    sets, in the lists that hold several components and somebody who has no deeper lists. Shingles that one of these classes alone has come before all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +228,7 @@ def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch
     found = each.join(held, "shingle").groupBy("id").agg(F.collect_list(F.struct("often", "token")).alias("found"))  # of one document
     posts = found.join(left, "id").select("id", "n", "comp", "central", "found").mapInArrow(run, "key long, level int, top int, weight long, rest long, id long, n long, comp long, central long")
     posts = scratch.keep(posts, "rare-posts")
-    lists = posts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "comp")).alias("x")).where("low <> high")
+    lists = posts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "comp")).alias("x"), F.max(F.col("level") == F.col("top")).alias("last")).where("low <> high AND last")
     return posts.join(scratch.keep(lists.select("key", F.col("x.comp").alias("main")), "rare-lists"), "key")  # so a long list may be split
 
 

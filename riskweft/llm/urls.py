@@ -60,8 +60,8 @@ def keys(url: Column, lengths: Column) -> Column:
 
 #: Bytes of entries, with ENTRY_BYTES for each besides, up to which they are sent to all captures.
 BROADCAST_BYTES, ENTRY_BYTES = 2 << 20, 64
-#: Bits by which keys that no entry has are told before they are dealt; a megabyte of them.
-FILTER_BITS = 1 << 23
+#: Bits by which keys that no entry has are told before they are dealt: for each entry, at least, and at most (64 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 23, 1 << 29
 
 
 def _small(df: DataFrame, size: Column) -> bool:
@@ -70,12 +70,16 @@ def _small(df: DataFrame, size: Column) -> bool:
 
 
 def _listed(asked: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of asked whose (kind, value) may be on a list: those whose bit is set among the bits of all entries."""
-    bit = F.pmod(F.xxhash64("kind", "value"), F.lit(FILTER_BITS))
+    """The rows of asked whose (kind, value) may be on a list: those whose bit is set among the bits of all entries. The
+    bits grow with the entries, so that one in BITS_EACH is set; with too many entries for that nothing is left out."""
+    wide = max(LEAST_BITS, 1 << (BITS_EACH * spans.count() - 1).bit_length())
+    if wide > MOST_BITS:
+        return asked
+    bit = F.pmod(F.xxhash64("kind", "value"), F.lit(wide))
     bits = spans.select(bit.alias("__b")).groupBy(F.bitmap_bucket_number("__b").alias("__n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__b")).alias("__bits"))
     at = F.bitmap_bit_position("__b")
     byte = F.conv(F.hex(F.substr("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = asked.withColumn("__b", bit).join(F.broadcast(bits), F.bitmap_bucket_number("__b") == F.col("__n"))  # FILTER_BITS at most
+    met = asked.withColumn("__b", bit).join(F.broadcast(bits), F.bitmap_bucket_number("__b") == F.col("__n"))  # MOST_BITS at most
     return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__b", "__n", "__bits")
 
 

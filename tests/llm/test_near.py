@@ -338,10 +338,11 @@ def test_url_prefixes_end_anywhere(spark):
     assert got == {i: sum(u.lower().split("?")[0].replace("com./", "com/").replace(":80", "").startswith(v) for v in values) for i, u in enumerate(pages)}
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_captures_against_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "most"), [(0, 1 << 29), (0, 64), (1 << 20, 1 << 29)])
+def test_captures_against_brute_force(spark, monkeypatch, limit, most):
     """Pages captured many times, under ids that repeat or are null, against lists that come and go; every row is judged by itself."""
-    monkeypatch.setattr(urls, "BROADCAST_BYTES", limit)
+    for name, value in (("BROADCAST_BYTES", limit), ("LEAST_BITS", 8), ("MOST_BITS", most)):
+        monkeypatch.setattr(urls, name, value)
     r, day = random.Random(8), lambda x: dt.date(2024, 1, x)
     hosts = ["a.org", "b.a.org", "x.net", "y.x.net.", "com", "z.com"]
     entries = []
