@@ -166,23 +166,26 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, cand: DataFrame | N
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b")
 
 
-def rare_keys(tokens: np.ndarray, often: np.ndarray, weights: np.ndarray, n: int, percent: int) -> tuple[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """(top, [(level, keys, weight, rest)]): what a set of n shingles is posted under, given its tokens, rare first.
+def rare_keys(tokens: np.ndarray, often: np.ndarray, weights: np.ndarray, n: int, percent: int) -> tuple[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(top, [(level, keys, weight, rest, short)]): what a set of n shingles is posted under, given its tokens, rare first.
 
     A partner shares t of the n shingles, at least. If all tokens behind the first k, with the level - 1 heaviest of the
     first k, weigh less than t, then it shares `level` tokens of the first k, at least; so the set is posted under all
     sets of so many of these, at every level up to its top. Those of the first tokens shared with a partner weigh t
-    together with what follows them (rest), so other sets are left out.
+    together with what follows them (rest), so other sets are left out. A partner that is no smaller shares more, so
+    with it fewer of the first tokens do: these are short.
     """
-    t = -(-percent * n // 100)
+    t, more = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
     upto = np.concatenate([[0], np.cumsum(weights)])
     behind = upto[-1] - upto  # weight of the tokens from each place on
-    first = []
+    first, short = [], []
     for level in range(1, LEVELS + 1):
-        k = next((k for k in range(level, len(tokens) + 1) if behind[k] + np.sort(weights[:k])[k - level + 1 :].sum() < t), None)
+        left = lambda k: behind[k] + np.sort(weights[:k])[k - level + 1 :].sum()  # noqa: B023, E731
+        k = next((k for k in range(level, len(tokens) + 1) if left(k) < t), None)
         if k is None:
             break
         first.append(k)
+        short.append(next(k for k in range(level, len(tokens) + 1) if left(k) < more))
     top = 1
     if first and often[: first[0]].max() > LIST:
         posts = np.cumsum([comb(k, level) for level, k in enumerate(first, 1)])
@@ -192,41 +195,45 @@ def rare_keys(tokens: np.ndarray, often: np.ndarray, weights: np.ndarray, n: int
         some = np.array(list(combinations(range(k), level)), np.int64).reshape(-1, level)
         weight, rest = weights[some].sum(1), behind[some[:, -1] + 1]
         some, weight, rest = (x[weight + rest >= t] for x in (some, weight, rest))
+        shorter = some[:, -1] < short[level - 1]
         key = np.full(len(some), level, np.uint64)
         for place in some.T:
             key = _finish(key * _MIX + tokens[place])
-        out.append((level, key.view(np.int64), weight, rest))
+        out.append((level, key.view(np.int64), weight, rest, shorter))
     return top, out
 
 
+_POSTED = {"key": pa.int64(), "level": pa.int32(), "top": pa.int32(), "weight": pa.int64(), "rest": pa.int64(), "short": pa.bool_()}
+
+
 def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(key, level, top, id, n, comp, main, weight, rest): the classes of `left` posted under the rare tokens of their full
     sets, in the lists that hold several components and somebody who has no deeper lists. Shingles that one of these classes alone has come before all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, rows, columns, made = batch.select(["id", "n", "comp", "central"]), [], [[], [], [], [], []], 0
+            own, rows, columns, made = batch.select(["id", "n", "comp", "central"]), [], [[] for _ in _POSTED], 0
             for i, (n, found) in enumerate(zip(batch.column("n").to_pylist(), batch.column("found"), strict=True)):
                 often, names = (found.values.field(x).to_numpy(zero_copy_only=False) for x in ("often", "token"))
                 names, at, weights = np.unique(names.view(np.uint64), return_index=True, return_counts=True)
                 order = np.lexsort((names, often[at]))
                 top, levels = rare_keys(names[order], often[at][order], weights[order], n, percent)
-                for level, key, weight, rest in levels:
+                for level, key, weight, rest, short in levels:
                     rows.append(np.full(len(key), i))
                     made += len(key)
-                    for column, values in zip(columns, (key, np.full(len(key), level), np.full(len(key), top), weight, rest), strict=True):
+                    for column, values in zip(columns, (key, np.full(len(key), level), np.full(len(key), top), weight, rest, short), strict=True):
                         column.append(values)
                 if made >= ROWS_OUT or rows and i == batch.num_rows - 1:
-                    arrays = [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*arrays, *own.take(pa.array(np.concatenate(rows))).columns], ["key", "level", "top", "weight", "rest", "id", "n", "comp", "central"])
-                    rows, columns, made = [], [[], [], [], [], []], 0
+                    arrays = [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, _POSTED.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*arrays, *own.take(pa.array(np.concatenate(rows))).columns], [*_POSTED, "id", "n", "comp", "central"])
+                    rows, columns, made = [], [[] for _ in _POSTED], 0
 
     some = sets.join(left.select("id"), "id", "left_semi")
     each = some.select("id", F.explode("set").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count("*").alias("often"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")).where("often > 1")
     held = held.select("shingle", "often", F.xxhash64("often", "x1", "x2").alias("token"))  # one for all shingles of the same documents
     found = each.join(held, "shingle").groupBy("id").agg(F.collect_list(F.struct("often", "token")).alias("found"))  # of one document
-    posts = found.join(left, "id").select("id", "n", "comp", "central", "found").mapInArrow(run, "key long, level int, top int, weight long, rest long, id long, n long, comp long, central long")
+    posts = found.join(left, "id").select("id", "n", "comp", "central", "found").mapInArrow(run, "key long, level int, top int, weight long, rest long, short boolean, id long, n long, comp long, central long")
     posts = scratch.keep(posts, "rare-posts")
     lists = posts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "comp")).alias("x"), F.max(F.col("level") == F.col("top")).alias("last")).where("low <> high AND last")
     return posts.join(scratch.keep(lists.select("key", F.col("x.comp").alias("main")), "rare-lists"), "key")  # so a long list may be split
@@ -235,12 +242,12 @@ def _rare_posts(sets: DataFrame, left: DataFrame, percent: int, scratch: Scratch
 def _unmet(posts: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of a list in different components that may be linked; one is outside the list's main component,
     and one has no deeper lists. Where the tokens of the list are the first that two sets share, they can't overlap in
-    more than these and what follows in either."""
-    side = lambda x, rows: rows.select("key", *[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "n", "comp", "weight", "rest")])
+    more than these and what follows in either; the smaller one has them among its short ones."""
+    side = lambda x, rows: rows.select("key", *[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "n", "comp", "weight", "rest", "short")])
     outside, last = F.col("comp") != F.col("main"), F.col("level") == F.col("top")
     total = F.col("a_n") + F.col("b_n")
     room = (100 + percent) * (F.least("a_weight", "b_weight") + F.least("a_rest", "b_rest")) >= percent * total
-    may = room & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("a_comp") != F.col("b_comp"))
+    may = room & (F.col("a_short") | (F.col("a_n") > F.col("b_n"))) & (F.col("b_short") | (F.col("b_n") > F.col("a_n"))) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("a_comp") != F.col("b_comp"))
     one = side("a", posts.where(last & outside)).join(side("b", posts), "key").where(may)
     two = side("a", posts.where(last & ~outside)).join(side("b", posts.where(outside)), "key").where(may)
     return one.unionAll(two).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -113,8 +113,9 @@ def test_linked_sets_share_a_key(tokens, data):
     (n, top, levels), (m, top2, levels2) = sides
     if common and 100 * common >= 80 * (n + m - common):
         level = min(top, top2)
-        (_, k1, w1, r1), (_, k2, w2, r2) = levels[level - 1], levels2[level - 1]
-        assert any(a == b and 180 * (min(w, v) + min(r, q)) >= 80 * (n + m) for a, w, r in zip(k1, w1, r1, strict=True) for b, v, q in zip(k2, w2, r2, strict=True))
+        (_, *one), (_, *two) = levels[level - 1], levels2[level - 1]
+        room = lambda w, v, r, q: 180 * (min(w, v) + min(r, q)) >= 80 * (n + m)
+        assert any(a == b and room(w, v, r, q) and (s or n > m) and (z or m > n) for a, w, r, s in zip(*one, strict=True) for b, v, q, z in zip(*two, strict=True))
 
 
 def test_large_groups_make_no_pairs(spark):
