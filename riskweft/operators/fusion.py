@@ -41,7 +41,8 @@ def behavioral_score() -> Column:
     z = F.abs(_num("amount_zscore"))
     base = F.when(z > 3, 0.40).when(z > 2, 0.25).when(z > 1, 0.10).otherwise(0.0)
     added = {"is_new_device": 0.20, "is_unusual_location": 0.20, "is_new_user": 0.15, "country_switch": 0.15, "device_is_shared": 0.10, "is_offhours": 0.05}
-    return F.least(base + sum((F.when(F.col(c) == 1, w).otherwise(0.0) for c, w in added.items()), F.lit(0.0)), F.lit(1.0))
+    # added one by one to the base: in another order a sum at a threshold may end on its other side
+    return F.least(sum((F.when(F.col(c) == 1, w).otherwise(0.0) for c, w in added.items()), base), F.lit(1.0))
 
 
 def graph_score() -> Column:
