@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from itertools import product
 
+from pyspark.sql import functions as F
 
+from riskweft.functions import scalars as S
 from riskweft.operators import fusion
 
 
@@ -17,3 +19,8 @@ def test_behavioral_score_is_added_in_the_order_of_its_sql(spark):
         for name, w in added.items():
             want += w * row[name]
         assert row["score"] == min(want, 1.0), row
+
+
+def test_fixed_takes_a_value_just_short_of_a_half_as_one(spark):
+    row = spark.range(1).select(*[S.fixed(F.lit(x), d).alias(n) for n, x, d in (("up", 2.2499999999999996, 1), ("down", -2.2499999999999996, 1), ("below", 2.2499, 1), ("none", 0.0, 1), ("whole", 99.5, 0))]).first()
+    assert row.asDict() == {"up": "2.3", "down": "-2.3", "below": "2.2", "none": "0.0", "whole": "100"}
