@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+from functools import partial
 from itertools import product
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
-from riskweft.operators import fusion
+from riskweft.operators import fusion, graph
 
 
 def test_behavioral_score_is_added_in_the_order_of_its_sql(spark):
@@ -24,3 +28,49 @@ def test_behavioral_score_is_added_in_the_order_of_its_sql(spark):
 def test_fixed_takes_a_value_just_short_of_a_half_as_one(spark):
     row = spark.range(1).select(*[S.fixed(F.lit(x), d).alias(n) for n, x, d in (("up", 2.2499999999999996, 1), ("down", -2.2499999999999996, 1), ("below", 2.2499, 1), ("none", 0.0, 1), ("whole", 99.5, 0))]).first()
     assert row.asDict() == {"up": "2.3", "down": "-2.3", "below": "2.2", "none": "0.0", "whole": "100"}
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    """Links of accounts with one to nine of thirty devices, and one account with all of them."""
+    rng = random.Random(3)
+    rows = [(a, d) for a in range(300) for d in rng.sample(range(30), rng.randint(1, 9))] + [(300, d) for d in range(30)]
+    tx = [(a, int(a % 7 == 0)) for a in range(301)]
+    pairs, of = {}, {}
+    for a, d in rows:
+        of.setdefault(d, set()).add(a)
+    for d in sorted(of):
+        for a in of[d]:
+            for b in of[d]:
+                if a < b:
+                    pairs.setdefault((a, b), d)
+    return spark.createDataFrame(rows, "account_id long, device_id long"), spark.createDataFrame(tx, "account_id long, label_fraud int"), pairs
+
+
+@pytest.mark.parametrize(("block", "wide"), [(4000, 256), (40, 256), (40, 8), (40, 2)])
+def test_pairs_meet_once_and_are_not_shuffled(linked, block, wide):
+    links, tx, pairs = linked
+    out = graph.device_share_pairs(links, block, wide)
+    assert sorted((r["account_a"], r["account_b"], r["device_id"]) for r in out.collect()) == sorted((a, b, d) for (a, b), d in pairs.items())
+    if wide >= 30:
+        assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    bad = graph.fraud_accounts(tx)
+    got = sorted((r["account_id"], r["other"]) for r in graph.marked_neighbours(links, bad, block, wide).collect())
+    assert got == sorted((x, y) for a, b in pairs for x, y in ((a, b), (b, a)) if y % 7 == 0)
+
+
+@pytest.mark.parametrize("dense", [0, 20, 64])
+def test_neighbours_are_counted_in_cells(spark, linked, dense, monkeypatch):
+    links, tx, pairs = linked
+    seen = []
+
+    def counted(*args):
+        seen.append(1)
+        return partial(counted_in_cells, most_maps=1, most_sets=3)(*args)
+
+    counted_in_cells = graph._counted
+    monkeypatch.setattr(graph, "_counted", counted)
+    got = {r["account_id"]: (r["n"], r["suspicious"]) for r in graph.neighbour_counts(links, tx, dense).collect()}
+    both = [(x, y) for a, b in pairs for x, y in ((a, b), (b, a))]
+    n, bad = Counter(x for x, _ in both), Counter(x for x, y in both if y % 7 == 0)
+    assert seen and got == {a: (n[a], bad[a]) for a in n}
