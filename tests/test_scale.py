@@ -7,10 +7,12 @@ from collections import Counter
 from functools import partial
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
+from riskweft.ml import boosting
 from riskweft.operators import fusion, graph
 
 
@@ -74,3 +76,22 @@ def test_neighbours_are_counted_in_cells(spark, linked, dense, monkeypatch):
     both = [(x, y) for a, b in pairs for x, y in ((a, b), (b, a))]
     n, bad = Counter(x for x, _ in both), Counter(x for x, y in both if y % 7 == 0)
     assert seen and got == {a: (n[a], bad[a]) for a in n}
+
+
+def test_leaves_at_the_depth_limit_are_not_summed_over_the_rows(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 20, (2000, 5)).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.integers(0, 9, 2000) > 24).astype(float)
+    asked, grow = [], boosting._Growing.grow
+    monkeypatch.setattr(boosting._Growing, "grow", lambda self, ask, *rest: grow(self, lambda nodes: asked.extend(nodes) or ask(nodes), *rest))
+    p = boosting.Params(trees=4, max_depth=3, rows=1.0, columns=1.0, rate=0.3)
+    model = boosting.fit_arrays(x, y, list("abcde"), p)
+    assert asked and max(asked).bit_length() == p.max_depth
+    margin = np.full(len(y), model.base)
+    for tree in model.trees:
+        prob = 0.5 * (1 + np.tanh(0.5 * margin))
+        at = boosting._leaf_values(tree | {"value": np.arange(len(tree["value"]))}, x)
+        for leaf in np.unique(at):
+            g, h = (prob - y)[at == leaf].sum(), (prob * (1 - prob))[at == leaf].sum()
+            assert abs(tree["value"][leaf] + p.rate * g / (h + p.l2)) < 1e-6 and abs(tree["cover"][leaf] - h) < 1e-4
+        margin += boosting._leaf_values(tree, x)
