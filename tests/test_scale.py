@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 from functools import partial
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
 from riskweft.ml import boosting
-from riskweft.operators import fusion, graph
+from riskweft.operators import fusion, graph, prepare
 
 
 def test_behavioral_score_is_added_in_the_order_of_its_sql(spark):
@@ -99,3 +100,20 @@ def test_leaves_at_the_depth_limit_are_not_summed_over_the_rows(monkeypatch):
 
 def test_the_payments_of_six_times_sf01_are_one_block():
     assert 900_000 * 36 <= boosting.Boosting(boosting.Params()).block <= 64 << 20
+
+
+def test_ranks_by_hash_never_join_by_the_group_alone(spark):
+    """A group of nearly all rows must not meet its size in one task, which would read it whole."""
+    df = spark.range(3000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = prepare.hash_rank(df, "label", "id", 1)
+        joins = [x for x in ranked._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        rows = ranked.orderBy("label", "__place").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joins and all("__b#" in x for x in joins), joins
+    assert [r["__place"] for r in rows] == [*range(1, 2701), *range(1, 301)] and {r["__size"] for r in rows} == {2700, 300}
+    for label in (0, 1):
+        want = sorted((hashlib.md5(f"1/{i}".encode()).hexdigest(), i) for i in range(3000) if (i % 10 == 0) == label)
+        assert [r["id"] for r in rows if r["label"] == label] == [i for _, i in want]
