@@ -20,23 +20,33 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Trailing(StatefulProcessor):
-    """State of an account: its rows by buckets of time as wide as the window. A batch reads the buckets that its rows look
-    back on and writes those that they fall in; a timer removes a bucket once no row that may come can look back on it."""
+    """State of an account: the rows that one yet to come may look back on, as one entry under the number of its first
+    bucket of time (as wide as the window). A batch costs an account one read, one write and a timer, however its rows are
+    spread in time; rows that the watermark has put out of reach go as it writes, and the timer removes what is left once no
+    row that may come can look back on it. Times and amounts are packed numbers."""
 
     def __init__(self, seconds: int):
         self.window = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buckets = handle.getMapState("buckets", "bucket long", "micros array<long>, amounts array<double>")
+        self.buckets = handle.getMapState("buckets", "bucket long", "micros binary, amounts binary")
+
+    def _held(self) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(bucket numbers, times, amounts) of the entry, if there is one."""
+        entries = list(self.buckets.iterator())
+        times, amounts = (np.concatenate([np.zeros(0, k), *[np.frombuffer(bytes(v[i]), k) for _, v in entries]]) for i, k in ((0, np.int64), (1, np.float64)))
+        return [k[0] for k, _ in entries], times, amounts
+
+    def _end(self, times: np.ndarray) -> int:
+        """The watermark in milliseconds at which nothing can look back on these rows any more."""
+        return (int(times[-1]) + self.window) // 1000 + 1
 
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows)).sort_values(["ts", "txn_id"])
         now = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)
         amounts = rows["amount"].fillna(0.0).to_numpy(float)
-        into = np.unique(now // self.window).tolist()
-        held = {b: self.buckets.getValue((b,)) for b in sorted({x for b in into for x in (b - 1, b)}) if self.buckets.containsKey((b,))}
-        seen, before = (np.concatenate([np.zeros(0, k), *[np.array(v[i], k) for v in held.values()]]) for i, k in ((0, np.int64), (1, np.float64)))
+        names, seen, before = self._held()
         # rows of earlier batches are sorted by time, and so are these: all that is asked for lies between two places
         counts, sums = np.zeros(len(now), np.int64), np.zeros(len(now))
         for times, values, end in ((seen, before, np.searchsorted(seen, now, "right")), (now, amounts, np.arange(len(now)))):
@@ -44,19 +54,23 @@ class Trailing(StatefulProcessor):
             total = np.concatenate([[0.0], np.cumsum(values)])
             counts += end - start
             sums += total[end] - total[start]
-        for b in into:
-            at, own = np.flatnonzero(now // self.window == b), held.get(b, ([], []))
-            times, values = np.concatenate([np.array(own[0], np.int64), now[at]]), np.concatenate([np.array(own[1], float), amounts[at]])
-            order = np.argsort(times, kind="stable")
-            self.buckets.updateValue((b,), (times[order].tolist(), values[order].tolist()))
-            self.handle.registerTimer(max((b + 2) * self.window // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        times, values = np.concatenate([seen, now]), np.concatenate([before, amounts])
+        order = np.argsort(times, kind="stable")
+        order = order[times[order] > timerValues.getCurrentWatermarkInMs() * 1000 - self.window]
+        times, values = times[order], values[order]
+        name = int(times[0] // self.window)
+        for other in names:
+            if other != name:
+                self.buckets.removeKey((other,))
+        self.buckets.updateValue((name,), (times.tobytes(), values.tobytes()))
+        if not len(seen) or self._end(seen) != self._end(times):
+            if len(seen):
+                self.handle.deleteTimer(self._end(seen))
+            self.handle.registerTimer(self._end(times))
         yield pd.DataFrame({"txn_id": rows["txn_id"], "account_id": key[0], "ts": rows["ts"], "vel_count": counts.astype(np.int32), "vel_amount": sums})
 
     def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        past = timerValues.getCurrentWatermarkInMs()
-        for (b,) in list(self.buckets.keys()):
-            if (b + 2) * self.window // 1000 <= past:
-                self.buckets.removeKey((b,))
+        self.buckets.clear()  # there is one timer an account, at the end of its last row
         return iter([])
 
     def close(self) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from datetime import datetime, timedelta
 from functools import partial
 from itertools import product
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from riskweft.functions import scalars as S
 from riskweft.ml import boosting
 from riskweft.operators import fusion, graph, prepare
+from riskweft.streaming import velocity
 
 
 def test_behavioral_score_is_added_in_the_order_of_its_sql(spark):
@@ -117,3 +119,19 @@ def test_ranks_by_hash_never_join_by_the_group_alone(spark):
     for label in (0, 1):
         want = sorted((hashlib.md5(f"1/{i}".encode()).hexdigest(), i) for i in range(3000) if (i % 10 == 0) == label)
         assert [r["id"] for r in rows if r["label"] == label] == [i for _, i in want]
+
+
+def test_velocity_holds_an_account_in_one_entry(spark, tmp_path):
+    """However its rows are spread over windows: entries, calls and timers of a batch are one an account."""
+    schema = "txn_id long, account_id long, ts timestamp, amount double"
+    rows = [(i, i % 2, datetime(2024, 1, 1) + timedelta(seconds=25 * (i // 2)), float(i)) for i in range(44)]
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        df = velocity.velocity(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 60)
+        df.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        held = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "buckets").load().select("key.account_id")
+        assert sorted(r["account_id"] for r in held.collect()) == [0, 1]
+    got = {r["txn_id"]: (r["vel_count"], r["vel_amount"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    for i, k, at, _ in rows:
+        near = [a for j, q, t, a in rows if q == k and j < i and at - t < timedelta(seconds=60)]
+        assert got[i] == (len(near), sum(near))
