@@ -108,35 +108,49 @@ def mock_answer(given: Column) -> Column:
     )
 
 
+def _rates(levels: Mapping[str, str] | None = None, answer: str = "answer") -> dict[str, Column]:
+    """The aggregates of accuracy by name."""
+    want = lambda c: F.upper(F.trim(F.coalesce(F.get_json_object("expected", f"$.{c}"), F.lit(""))))
+    risk = S.mapped(want("risk_level"), levels or {}, want("risk_level")) if levels else want("risk_level")
+    kind = want("fraud_type")
+    right = lambda c, x: F.coalesce(F.col(f"{answer}.{c}") == x, F.lit(False))
+    risk_ok, kind_ok = right("risk_level", risk), right("fraud_type", kind)
+    rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    return {
+        "n_total": F.count("*"),
+        "n_valid": F.count(answer),
+        "json_valid_rate": rate(F.col(answer).isNotNull()),
+        "risk_level_accuracy": rate((risk == "") | risk_ok),
+        "fraud_type_accuracy": rate((kind == "") | kind_ok),
+        "exact_match_rate": rate((risk != "") & (kind != "") & risk_ok & kind_ok),
+    }
+
+
 def accuracy(df: DataFrame, levels: Mapping[str, str] | None = None) -> DataFrame:
     """One row of rates from expected (JSON) and answer (struct). levels maps other level names to the answer's.
 
     A value that is not expected counts as right, a null answer as wrong where one is; an exact match needs both values
     expected and right.
     """
-    want = lambda c: F.upper(F.trim(F.coalesce(F.get_json_object("expected", f"$.{c}"), F.lit(""))))
-    risk = S.mapped(want("risk_level"), levels or {}, want("risk_level")) if levels else want("risk_level")
-    kind = want("fraud_type")
-    right = lambda c, x: F.coalesce(F.col(f"answer.{c}") == x, F.lit(False))
-    risk_ok, kind_ok = right("risk_level", risk), right("fraud_type", kind)
-    rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
-    return df.agg(
-        F.count("*").alias("n_total"),
-        F.count("answer").alias("n_valid"),
-        rate(F.col("answer").isNotNull()).alias("json_valid_rate"),
-        rate((risk == "") | risk_ok).alias("risk_level_accuracy"),
-        rate((kind == "") | kind_ok).alias("fraud_type_accuracy"),
-        rate((risk != "") & (kind != "") & risk_ok & kind_ok).alias("exact_match_rate"),
-    )
+    return df.agg(*[c.alias(n) for n, c in _rates(levels).items()])
+
+
+RATES = ("json_valid_rate", "risk_level_accuracy", "fraud_type_accuracy", "exact_match_rate")
 
 
 def compare(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """(metric, base, tuned, delta) of two rows of rates. Both must be measured."""
-    names = ["json_valid_rate", "risk_level_accuracy", "fraud_type_accuracy", "exact_match_rate"]
-    long = lambda df, out: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias(out)) for n in names])).alias("x")).select("x.*")
+    long = lambda df, out: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias(out)) for n in RATES])).alias("x")).select("x.*")
     return long(base, "base").join(long(tuned, "tuned"), "metric").withColumn("delta", F.col("tuned") - F.col("base"))
 
 
+def compare_answers(df: DataFrame, base: str, tuned: str, levels: Mapping[str, str] | None = None) -> DataFrame:
+    """What compare gives of the rates of two answers (structs) to the same records, which are read and parsed once."""
+    one = df.agg(*[_rates(levels, answer)[n].alias(f"{side}_{n}") for side, answer in (("base", base), ("tuned", tuned)) for n in RATES])
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"base_{n}").alias("base"), F.col(f"tuned_{n}").alias("tuned")) for n in RATES])
+    return one.select(F.explode(rows).alias("x")).select("x.*").withColumn("delta", F.col("tuned") - F.col("base"))
+
+
 def model_answers(records: DataFrame, answer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Records with the answers of a language model, which the caller gives: it adds `text`. Without one, the row
     (skipped, reason) says so; nothing is made up."""

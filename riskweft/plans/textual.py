@@ -87,8 +87,8 @@ def _accuracy(s, d):
 
 def _compare(s, d):
     base = answered(s, d)
-    tuned = base.withColumn("answer", F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.upper(F.get_json_object("expected", "$.risk_level")).alias("risk_level"), F.coalesce(F.get_json_object("expected", "$.fraud_type"), F.lit("LEGITIMATE")).alias("fraud_type"))).otherwise(F.col("answer")))
-    c = instruct.compare(instruct.accuracy(base), instruct.accuracy(tuned))
+    both = base.withColumn("tuned", F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.upper(F.get_json_object("expected", "$.risk_level")).alias("risk_level"), F.coalesce(F.get_json_object("expected", "$.fraud_type"), F.lit("LEGITIMATE")).alias("fraud_type"))).otherwise(F.col("answer")))
+    c = instruct.compare_answers(both, "answer", "tuned")
     return c.select("metric", F.round("base", 9).alias("base"), F.round("tuned", 9).alias("tuned"), F.round("delta", 9).alias("delta"))
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
 from riskweft.ml import boosting
-from riskweft.operators import fusion, graph, prepare
+from riskweft.operators import fusion, graph, instruct, prepare
+from riskweft.plans import textual
 from riskweft.streaming import velocity
 
 
@@ -135,3 +136,13 @@ def test_velocity_holds_an_account_in_one_entry(spark, tmp_path):
     for i, k, at, _ in rows:
         near = [a for j, q, t, a in rows if q == k and j < i and at - t < timedelta(seconds=60)]
         assert got[i] == (len(near), sum(near))
+
+
+def test_two_answers_are_compared_in_one_pass(spark):
+    rows = [(f'{{"risk_level":"{r}","fraud_type":"X"}}', *a) for r, a in zip(["high", "LOW", ""] * 5, [(("HIGH", "X"), ("LOW", "X")), (None, ("LOW", "Y")), (("LOW", "X"), None)] * 5, strict=True)]
+    df = spark.createDataFrame(rows, "expected string, first struct<risk_level:string,fraud_type:string>, second struct<risk_level:string,fraud_type:string>")
+    got = instruct.compare_answers(df, "first", "second")
+    one = lambda c: instruct.accuracy(df.withColumn("answer", F.col(c)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, instruct.compare(one("first"), one("second")).collect()))
+    both = textual._compare(spark, "/root/testdata/sf0.001")
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
