@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweft.operators.profiles import TOP
-from riskweft.scratch import file_system, remove
+from riskweft.scratch import dealt, file_system, remove
 from riskweft.sources.readers import exists
 
 #: What is counted by user: kind to column; amounts are counted for their exact median.
 COUNTED = {"merchant": "merchant_id", "device": "device_id", "location": "location_id"}
+#: Counts of a task that makes profiles, about.
+TASK_ROWS = 250_000
 _MOMENTS = "user_id long, n long, mean double, square double, first date, last date, day date"
 _COUNTS = "user_id long, kind string, value string, n long, day date"
 
@@ -74,9 +76,12 @@ class ProfileStore:
         return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def add(self, tx: DataFrame) -> None:
-        """The days of these payments, each whole, instead of what there was of them; other days stay."""
+        """The days of these payments, each whole, instead of what there was of them; other days stay.
+
+        Small days share a task and large ones are split, so neither files nor tasks go by the number or size of the days.
+        """
         for name, states in zip(("moments", "counts"), day_states(tx, self.counted), strict=True):
-            writer = states.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer = states.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("day").parquet(f"{self.folder}/{name}")
 
     def moments(self) -> DataFrame:
@@ -99,9 +104,12 @@ class ProfileStore:
                 remove(self.spark, f"{self.folder}/{name}/day={day}")
             fs.rename(made, file_system(self.spark, f"{self.folder}/{name}/day={upto}")[1])
 
+    def _by_user(self, states: DataFrame) -> DataFrame:
+        return dealt(states, self.counts().count(), TASK_ROWS, "user_id")  # equal numbers, so the parts of a profile meet where they are
+
     def profiles(self) -> DataFrame:
         """What profiles.build_profiles gives of all payments."""
-        moments, counts = merged_moments(self.moments()), merged_counts(self.counts())
+        moments, counts = merged_moments(self._by_user(self.moments())), merged_counts(self._by_user(self.counts()))
         of = lambda kind: counts.where(F.col("kind") == kind)
         hours = of("hour").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("value").cast("int"), "n"))).alias("m"))  # 24
         hours = hours.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0).cast("long"))).alias("hour_histogram"))

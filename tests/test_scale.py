@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
 from riskweft.ml import boosting
-from riskweft.operators import fusion, graph, instruct, prepare
+from riskweft.operators import fusion, graph, incremental, instruct, prepare
 from riskweft.plans import textual
 from riskweft.streaming import velocity
 
@@ -138,6 +138,25 @@ def test_velocity_holds_an_account_in_one_entry(spark, tmp_path):
         assert got[i] == (len(near), sum(near))
 
 
+def test_profiles_are_made_in_tasks_of_bounded_size_and_days_are_split(spark, tmp_path, monkeypatch):
+    tx = spark.range(4000).select((F.col("id") % 400).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 7 * 3600).alias("ts"), (F.col("id") * 7919 % 1000 / 10).alias("amount"), *[(F.col("id") % k).alias(c) for c, k in (("merchant_id", 7), ("device_id", 5), ("location_id", 3))])
+    store = incremental.ProfileStore(spark, f"file://{tmp_path}/states")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        store.add(tx)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert all(len(list(day.glob("*.parquet"))) > 1 for day in (tmp_path / "states" / "counts").glob("day=*"))  # one task a day made one file
+    monkeypatch.setattr(incremental, "TASK_ROWS", 1000)
+    want = -(-store.counts().count() // 1000)
+    out = store.profiles()
+    assert want > 4 and out.rdd.getNumPartitions() == want
+    assert out.count() == 400 and out.agg(F.sum("n_transactions")).first()[0] == 4000
+
+
 def test_two_answers_are_compared_in_one_pass(spark):
     rows = [(f'{{"risk_level":"{r}","fraud_type":"X"}}', *a) for r, a in zip(["high", "LOW", ""] * 5, [(("HIGH", "X"), ("LOW", "X")), (None, ("LOW", "Y")), (("LOW", "X"), None)] * 5, strict=True)]
     df = spark.createDataFrame(rows, "expected string, first struct<risk_level:string,fraud_type:string>, second struct<risk_level:string,fraud_type:string>")
