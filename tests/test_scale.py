@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
 from riskweft.ml import boosting
+from riskweft.operators import features as X
 from riskweft.operators import fusion, graph, incremental, instruct, prepare
 from riskweft.plans import textual
+from riskweft.sources.adapters import environment
 from riskweft.streaming import velocity
 
 
@@ -138,6 +140,25 @@ def test_velocity_holds_an_account_in_one_entry(spark, tmp_path):
         assert got[i] == (len(near), sum(near))
 
 
+def test_only_users_beyond_a_task_are_cut_into_segments(spark, monkeypatch):
+    """Their figures are those of the plain windows, and the rows of the others stay out of the many passes."""
+    env = environment(spark, "/root/testdata/sf0.001")
+    cut, before = [], X._in_segments
+    monkeypatch.setattr(X, "_in_segments", lambda tx, *more: cut.append(tx.count()) or before(tx, *more))
+    columns = ["txn_id", *[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in X.build_features(env).select(*X.feature_columns()).dtypes]]
+    read = lambda **given: sorted(tuple(r) for r in X.build_features(env, X.FeatureConfig(**given)).select(*columns).collect())
+    plain = read()
+    assert read(segments=True) == plain and not cut
+    assert read(segments=True, task_rows=22) == plain and 0 < cut[0] < len(plain)
+
+
+def test_tasks_of_the_windows_are_as_many_as_the_rows_ask_for(spark):
+    """Adaptive execution merges by compressed bytes; a task's sorts hold rows."""
+    env = environment(spark, "/root/testdata/sf0.001")
+    out = X.build_features(env, X.FeatureConfig(task_rows=100))
+    assert out.select("txn_id", "vel_count_300s", "prior_unique_countries", "distance_to_prev_km").rdd.getNumPartitions() == 15
+
+
 def test_profiles_are_made_in_tasks_of_bounded_size_and_days_are_split(spark, tmp_path, monkeypatch):
     tx = spark.range(4000).select((F.col("id") % 400).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 7 * 3600).alias("ts"), (F.col("id") * 7919 % 1000 / 10).alias("amount"), *[(F.col("id") % k).alias(c) for c, k in (("merchant_id", 7), ("device_id", 5), ("location_id", 3))])
     store = incremental.ProfileStore(spark, f"file://{tmp_path}/states")
