@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweft.functions import scalars as S
-from riskweft.ml import boosting
+from riskweft.ml import attribution, boosting
 from riskweft.operators import features as X
 from riskweft.operators import fusion, graph, incremental, instruct, prepare
 from riskweft.plans import textual
@@ -190,3 +190,15 @@ def test_two_answers_are_compared_in_one_pass(spark):
 
 def test_a_device_of_thirty_thousand_accounts_is_shuffled_three_times():
     assert 2 + 31_140 // graph.BLOCK <= 3
+
+
+def test_ways_along_a_path_are_valued_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    leaves = [(float(rng.normal()), {int(f): (-0.5, 0.5 + i, 0.1 + 0.2 * i) for i, f in enumerate(rng.permutation(6)[:m])}) for m in (0, 1, 3, 4)]
+    x, valued = rng.normal(size=(1000, 6)), []
+    plain = attribution._values
+    monkeypatch.setattr(attribution, "_values", lambda keeps, shares: (valued.append(len(keeps)), plain(keeps, shares))[1])
+    by_table = attribution.shapley(x, leaves)[0]
+    assert valued == [2, 8, 16]
+    monkeypatch.setattr(attribution, "TABLE", 0)
+    assert np.allclose(by_table, attribution.shapley(x, leaves)[0], rtol=0, atol=1e-12)
