@@ -202,3 +202,16 @@ def test_ways_along_a_path_are_valued_once(monkeypatch):
     assert valued == [2, 8, 16]
     monkeypatch.setattr(attribution, "TABLE", 0)
     assert np.allclose(by_table, attribution.shapley(x, leaves)[0], rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("given", [{"trees": 5, "rate": 0.3, "max_depth": 4}, {"trees": 9, "rate": 0.3, "max_depth": 0, "max_leaves": 7, "min_rows": 5, "stop_after": 2}])
+def test_a_fit_in_blocks_of_files_moves_no_rows_and_equals_that_over_tasks(spark, monkeypatch, given):
+    random = np.random.default_rng(3)
+    x = random.normal(size=(2000, 3))
+    rows = [(*map(float, r), int(r[0] + r[1] * r[2] + random.normal() > 0), i % 5 == 0) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int, held boolean")
+    fitted, over_tasks = boosting.Boosting(boosting.Params(**given), 0), boosting._fit_over_tasks
+    monkeypatch.setattr(boosting, "_fit_over_tasks", lambda *a: pytest.fail("rows went through Spark for each level"))
+    by_files = fitted.fit(df, list("abc"), "y", "held")
+    monkeypatch.setattr(boosting, "_fit_on_files", lambda binned, columns, cuts, p, *a: over_tasks(binned, columns, cuts, p))
+    assert by_files.trees and by_files == fitted.fit(df, list("abc"), "y", "held")
